@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secret_ledger
 from .packing import op9_harmonic_packing
+from .secret_ledger import op10_secret_blob_ledger
+from .simhash_dedup import op5_simhash_gray_dedup
 
-_QUERIES = [op9_harmonic_packing]
-_SQL: dict[str, str] = {}
+_QUERIES = [op5_simhash_gray_dedup, op9_harmonic_packing, op10_secret_blob_ledger]
+_SQL: dict[str, str] = {"op10_secret_blob_ledger": secret_ledger.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
