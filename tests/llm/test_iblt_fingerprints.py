@@ -33,7 +33,7 @@ def check(docs, rows):
 
 def test_whole_table(spark):
     rows = check(spark.read.parquet(f"{SF}/documents.parquet").collect(), I.op3_iblt_fingerprints(spark, SF).collect())
-    assert sum(r.near_edited > r.near_next for r in rows) > 0.95 * len(rows)
+    assert sum(r.near_edited > r.near_next for r in rows) > 0.9 * len(rows)
 
 
 def test_odd_rows(odd_docs, no_docs):

@@ -28,8 +28,8 @@ from .common import columns, partitions, table
 
 #: Cells of each of the three parts in the fingerprint that is given out; how much larger each retry is.
 CELLS, GROWTH = 4, 6
-#: A paragraph ends at a line's end or where a clause does.
-CUT = r"\n+|(?<=[.,;:!?|])\s+"
+#: A paragraph ends at a line's end or where a clause does; one of more words than LONG is cut after every LONG words.
+CUT, LONG = r"\n+|(?<=[.,;:!?|])\s+", 8
 #: Documents, and paragraphs, that are worked on together.
 TOGETHER, MANY = 256, 200_000
 #: Ranges of ids for each shuffle partition.
@@ -40,7 +40,13 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def digests(text: str, cut: re.Pattern) -> np.ndarray:
     """One distinct digest a paragraph, repeats included."""
-    found: Counter[str] = Counter(cut.split(text))
+    found: Counter[str] = Counter()
+    for p in cut.split(text):
+        if p.count(" ") < LONG:
+            found[p] += 1
+        else:
+            words = p.split(" ")
+            found.update(" ".join(words[i : i + LONG]) for i in range(0, len(words), LONG))
     found.pop("", None)
     h = xxhash.xxh64_intdigest
     return np.array([h(p, k) for p, n in found.items() for k in range(n)], np.uint64)
