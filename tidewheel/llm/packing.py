@@ -10,7 +10,6 @@ cuts the last bin at powers of two, so that padding is at most classes tokens a
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -25,9 +24,11 @@ from .common import columns, table
 CAPACITY, CLASSES, END_ID = 2048, 8, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers at a time; when there are more it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+#: Punctuation that is a token of its own after a letter or digit, whatever the word.
+TAIL = b".,;:!?|#$%&*"
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 def tokenizer_path() -> str:
@@ -38,7 +39,8 @@ def tokenizer_path() -> str:
 
 class WordIds(dict):
     """The ids of a word as little-endian bytes. The tokenizer drops white space and never joins across it, so a
-    text's ids are those of its words in a row."""
+    text's ids are those of its words in a row. It lower-cases, and never joins an ASCII letter or digit to punctuation
+    after it, so most words need no call: their lower-case stem and their tail are known."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,8 +51,15 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = found = np.array(ids, "<u4").tobytes()
+        plain = word if b"<|" in word else word.lower()  # special tokens are told by their case
+        stem = plain.rstrip(TAIL)
+        if stem and stem != plain and stem[-1:].isalnum():
+            found = self[stem] + self[plain[len(stem) :]]
+        elif plain != word:
+            found = self[plain]
+        else:
+            found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
         return found
 
 
@@ -97,7 +106,7 @@ class HarmonicPacker:
     def close(self, pieces: Iterable[tuple], length: int) -> Iterator[tuple]:
         offset = 0
         for doc_id, at, ids, total in pieces:
-            yield doc_id, at, len(ids) // 4, zlib.crc32(ids), total, self.next_id, offset, length
+            yield doc_id, at, len(ids) // 4, ids, total, self.next_id, offset, length
             offset += len(ids) // 4
         self.next_id += 1
 
@@ -124,7 +133,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     A document's ids are its text's, then end_id; a null or empty text is end_id alone. A null doc_id stays null.
     Repeated rows are packed once each, as documents of their own, so each token of each row lies in just one piece.
     An empty table gives no rows; other columns are ignored. sequence_length is the length to pad to: the capacity, or
-    a power of two for the at most log2(capacity) sequences that end a worker's part, which need no padding.
+    a power of two for the at most log2(capacity) sequences that end a worker's part, which need no padding. ids are
+    the piece's token ids as little-endian unsigned 32-bit numbers.
     Very long texts are cut into full sequences as they come; at most one bin a class is held in memory.
     """
     path = path or tokenizer_path()
@@ -134,7 +144,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         packer = HarmonicPacker(TaskContext.get().partitionId(), capacity, classes)
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * len(names), names)
+        types = [pa.binary() if n == "ids" else pa.int64() for n in names]
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
         for batch in batches:
             rows: list[tuple] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -148,4 +159,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
