@@ -7,6 +7,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ HOT_SHARE = 1000
 _written: list[str] = []
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """spark, with this package sent to the executors, once a session, for the Python functions that run there."""
+    if getattr(spark.sparkContext, "_tidewheel", None) is None:
+        folder = tempfile.mkdtemp(prefix="tidewheel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        package = Path(__file__).parent.parent
+        with zipfile.ZipFile(f"{folder}/tidewheel.zip", "w") as z:
+            for path in package.rglob("*.py"):
+                z.write(path, path.relative_to(package.parent))
+        spark.sparkContext.addPyFile(f"{folder}/tidewheel.zip")
+        spark.sparkContext._tidewheel = folder
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
