@@ -112,7 +112,7 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     document the worst counts, and a row with both null counts for none. A null text is empty, other nulls are a value of
     their own; a row with a null doc_id has no label. Repeated rows are scored alike. Without labels of both kinds there
     is nothing to learn: all rows are kept and p_* are null. An empty table gives no rows. Other columns are ignored.
-    key: a column of docs to carry along.
+    key: a column of docs to carry along in place of doc_id.
     """
     s, spark = settings, docs.sparkSession
     rows = columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.coalesce(F.col(text), F.lit("")).cast("binary"), lang=F.col(lang).cast("string"), source=F.col(source).cast("string"), n_chars=F.col(n_chars).cast("long"), key=F.col(key or doc_id))
@@ -160,7 +160,7 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     features = written(features.join(F.broadcast(sample), "doc_id", "left"), "features")
     if len(kinds) < 2:
         none = F.lit(None).cast("double")
-        return features.select("key" if key else "doc_id", none.alias("p_text"), none.alias("p_meta"), none.alias("p_bad"), F.lit(True).alias("keep"))
+        return features.select(F.col("key").alias(key or "doc_id"), none.alias("p_text"), none.alias("p_meta"), none.alias("p_bad"), F.lit(True).alias("keep"))
     fold = features.where("train = false").select("seen", "meta", "bad").toArrow().combine_chunks()  # part of the bounded sample
     list_of = lambda name: fold.column(name).combine_chunks() if fold.num_rows else pa.array([], pa.list_(pa.int32()))
     y = fold.column("bad").to_numpy().astype(float)
@@ -212,7 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
             p = chance(both(odds) @ mix[:-1] + mix[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in (chance(odds[0]), chance(odds[1]), p, p < s.threshold)]], [name, "p_text", "p_meta", "p_bad", "keep"])
 
-    name = "key" if key else "doc_id"
+    name = key or "doc_id"
     return features.select(F.col("key").alias(name), "seen", "meta").mapInArrow(scored, f"{name} {kind}, p_text double, p_meta double, p_bad double, keep boolean")
 
 
