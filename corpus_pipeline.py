@@ -1,6 +1,101 @@
-STAGES = []
+"""A corpus pipeline: quality, near-duplicates, benchmark leaks, secrets, packing. Each stage calls one operator.
+
+Every stage takes (spark, docs, sf_dir), with the columns of documents, and returns a DataFrame; its result is written as
+Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.llm.common import fresh, release, shared_dir, shipped, table
+from tidewheel.llm.cotraining import classify
+from tidewheel.llm.decontamination import contaminated
+from tidewheel.llm.packing import pack
+from tidewheel.llm.secret_ledger import redacted, scan
+from tidewheel.llm.simhash_dedup import near_duplicates
+
+#: documents(doc_id, text, lang, source, n_chars)
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _row_key() -> Column:
+    """Rows that are alike in id and text share it; so decisions join back to rows with null or repeated ids too."""
+    return F.xxhash64("doc_id", "text")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    key = fresh(docs, "key")
+    rows = docs.withColumn(key, _row_key())
+    kept = classify(rows, table(shipped(spark), sf_dir, "labels"), key=key).where("NOT keep").select(key).distinct()
+    return rows.join(kept, key, "left_anti").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays: one row. Rows without an id stay if their
+    group has no row with one; of those, and of rows that repeat the least id, the first in order of text."""
+    release(shipped(spark))  # the stage before is stored
+    key = fresh(docs, "key")
+    rows = docs.withColumn(key, _row_key())
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), "doc_id", "text")
+    # component_id is the least key of the group: groups by key, members back to their ids.
+    members = found.select(F.col("doc_id").alias(key), F.col("component_id").alias("group")).distinct().join(rows.select(key, "doc_id").distinct(), key)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
+    stay = members.groupBy("group").agg(F.min(order)["key"].alias(key)).select(key)
+    return rows.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    release(spark)
+    key = fresh(docs, "key")
+    hits = contaminated(docs, table(spark, sf_dir, "benchmark"), keep_place=True).select(F.col("place").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(hits, key, "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark in every document; n_chars is that of the new text."""
+    release(spark)
+    key = fresh(docs, "key")
+    rows = docs.withColumn(key, _row_key())
+    found, _ = scan(rows, key, None, "text")
+    hits = found.where(F.size("spans") > 0).select(F.col("path").alias(key), "spans").dropDuplicates([key])
+    spans = fresh(docs, "spans")
+    both = rows.join(hits.withColumnRenamed("spans", spans), key, "left")
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans)))
+    size = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(clean))
+    out = both.withColumn("n_chars", size.cast("long")).withColumn("text", clean)
+    return out.select(*docs.columns)
+
+
+def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of at most 2048 tokens."""
+    release(shipped(spark))
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scan),
+    ("packing", harmonic_packing),
+]
+
+#: Classifier and tokenizer can't be written in SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(shipped(spark), sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/tidewheel/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES, 1):
+        path = f"{folder}/{number}"
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
