@@ -1,10 +1,10 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
 A document is cut into paragraphs; each is hashed, with its number among equal ones, to a 64-bit digest, and the digest is
-put into one cell of each of three parts of the sketch. A cell holds a count, the XOR of its digests and the XOR of their
+put into one cell of each of three parts of the sketch. A cell holds a count, the sum of its digests and the sum of their
 check sums. Two versions' sketches subtract cell by cell: what both have cancels, and peeling recovers the digests that
-differ. When peeling gets stuck, because more differ than the cells can hold, both versions are sketched anew with
-GROWTH times the cells, until it succeeds. Likeness is common digests over all digests.
+differ. When peeling gets stuck, because more differ than the cells can hold, both versions are sketched anew with twice
+the cells (from a quarter of their paragraphs on), until it succeeds. Likeness is common digests over all digests.
 
 Sketches, subtraction and peeling run on flat arrays for many documents at a time.
 """
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import columns, partitions, table
 
-#: Cells of each of the three parts in the fingerprint that is given out; how much larger each retry is.
-CELLS, GROWTH = 4, 6
-#: A paragraph ends at a line's end or where a clause does; one of more words than LONG is cut after every LONG words.
-CUT, LONG = r"\n+|(?<=[.,;:!?|])\s+", 8
-#: Documents, and paragraphs, that are worked on together.
-TOGETHER, MANY = 256, 200_000
+#: Cells of each of the three parts in the fingerprint that is given out.
+CELLS = 4
+#: A paragraph ends with a line or a clause; one of more words than LONG is cut after every LONG words.
+CUT, LONG = r"[^\n.,;:!?|]*[\n.,;:!?|]+|[^\n.,;:!?|]+", 20
+#: Documents, paragraphs, and cells of larger sketches that are worked on together.
+TOGETHER, MANY, MOST_CELLS = 256, 50_000, 100_000
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -40,16 +40,16 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def digests(text: str, cut: re.Pattern) -> np.ndarray:
     """One distinct digest a paragraph, repeats included."""
-    found: Counter[str] = Counter()
-    for p in cut.split(text):
-        if p.count(" ") < LONG:
-            found[p] += 1
+    found, h = [], xxhash.xxh64_intdigest
+    for p in cut.findall(text):
+        if p.count(" ") <= LONG:
+            found.append(p)
         else:
             words = p.split(" ")
-            found.update(" ".join(words[i : i + LONG]) for i in range(0, len(words), LONG))
-    found.pop("", None)
-    h = xxhash.xxh64_intdigest
-    return np.array([h(p, k) for p, n in found.items() for k in range(n)], np.uint64)
+            found += [" ".join(words[i : i + LONG]) for i in range(0, len(words), LONG)]
+    if len(set(found)) == len(found):
+        return np.array([h(p) for p in found], np.uint64)
+    return np.array([h(p, k) for p, n in Counter(found).items() for k in range(n)], np.uint64)
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -74,17 +74,20 @@ class Sketches:
         part = self.parts[owner].astype(np.uint64)
         return np.stack([self.starts[owner] + k * self.parts[owner] + (mixed(keys, k + 1) % part).astype(np.int64) for k in range(3)])
 
-    def put(self, owner: np.ndarray, keys: np.ndarray, by: np.ndarray | int) -> np.ndarray:
+    def put(self, owner: np.ndarray, keys: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Add each digest `by` (1 or -1) times."""
         places, checks = self.places(owner, keys), mixed(keys, 9).astype(np.uint32)
+        off = by < 0
+        keys, checks = np.where(off, -keys, keys), np.where(off, -checks, checks)
         for row in places:
-            np.add.at(self.counts, row, np.int32(by) if np.isscalar(by) else by)
-            np.bitwise_xor.at(self.keys, row, keys)
-            np.bitwise_xor.at(self.checks, row, checks)
+            np.add.at(self.counts, row, by)
+            np.add.at(self.keys, row, keys)
+            np.add.at(self.checks, row, checks)
         return places
 
     def minus(self, other: Sketches) -> Sketches:
         out = Sketches(self.parts)
-        out.counts, out.keys, out.checks = self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks
+        out.counts, out.keys, out.checks = self.counts - other.counts, self.keys - other.keys, self.checks - other.checks
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +97,14 @@ class Sketches:
         owners = np.repeat(np.arange(len(self.parts)), 3 * self.parts)
         while len(at):
             at = at[np.abs(self.counts[at]) == 1]
-            at = at[self.checks[at] == mixed(self.keys[at], 9).astype(np.uint32)]
-            first = self.places(owners[at], self.keys[at])[0]
-            at = at[np.unique(first, return_index=True)[1]]  # each digest once; two with one first cell: the other later
-            owner, keys, signs = owners[at], self.keys[at], self.counts[at]
-            np.add.at(given, owner, 1)
+            signs = self.counts[at]
+            keys = np.where(signs < 0, -self.keys[at], self.keys[at])
+            pure = np.where(signs < 0, -self.checks[at], self.checks[at]) == mixed(keys, 9).astype(np.uint32)
+            at, keys, signs = at[pure], keys[pure], signs[pure]
+            first = self.places(owners[at], keys)[0]
+            once = np.unique(first, return_index=True)[1]  # each digest once; two with one first cell: the other later
+            owner, keys, signs = owners[at[once]], keys[once], signs[once]
+            given += np.bincount(owner, minlength=len(given))
             at = np.unique(self.put(owner, keys, -signs))
         left = (self.counts != 0) | (self.keys != 0) | (self.checks != 0)
         return given, np.add.reduceat(left, self.starts[:-1]) == 0
@@ -115,23 +121,27 @@ class Sketches:
 def sketched(sets: list[np.ndarray], parts: np.ndarray) -> Sketches:
     out = Sketches(parts)
     if sets:
-        out.put(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), 1)
+        keys = np.concatenate(sets)
+        out.put(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), keys, np.ones(len(keys), np.int32))
     return out
 
 
 def likeness(a: list[np.ndarray], b: list[np.ndarray], first: Sketches | None = None, second: Sketches | None = None) -> np.ndarray:
     """Common digests over all, for each pair; by subtracting and peeling, larger sketches for those that fail."""
-    parts, todo = CELLS, np.arange(len(a))
+    both = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
+    parts, todo = np.full(len(a), CELLS), np.arange(len(a))
     differ = np.zeros(len(a), np.int64)
     while len(todo):
-        if first is None or parts > CELLS:
-            size = np.full(len(todo), parts)
-            first, second = sketched([a[i] for i in todo], size), sketched([b[i] for i in todo], size)
-        given, ok = first.minus(second).peel()
-        differ[todo[ok]] = given[ok]
-        todo, parts = todo[~ok], parts * GROWTH
-        first = None
-    both = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
+        failed = []
+        for some in np.split(todo, np.flatnonzero(np.diff(np.cumsum(3 * parts[todo]) // MOST_CELLS)) + 1):
+            if first is None:
+                first, second = sketched([a[i] for i in some], parts[some]), sketched([b[i] for i in some], parts[some])
+            given, ok = first.minus(second).peel()
+            differ[some[ok]] = given[ok]
+            failed.append(some[~ok])
+            first = None
+        todo = np.concatenate(failed)
+        parts[todo] = np.maximum(2 * parts[todo], -(-both[todo] // 4))
     return np.where(both + differ > 0, (both - differ) / np.maximum(both + differ, 1), 1.0)
 
 
