@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import preferences, secret_ledger
+from . import decontamination, lz_dedup, preferences, secret_ledger, warc
 from .common import shipped
 from .context_tree import op7_context_tree_scores
 from .cotraining import op1_cotraining_quality
@@ -32,7 +32,13 @@ _QUERIES = (
     op9_harmonic_packing,
     op10_secret_blob_ledger,
 )
-_SQL = {"op6_preference_pairs": preferences.SQL, "op10_secret_blob_ledger": secret_ledger.SQL}
+_SQL = {
+    "op2_simhash_decontamination": decontamination.SQL,
+    "op4_warc_round_trip": warc.SQL,
+    "op6_preference_pairs": preferences.SQL,
+    "op8_relative_lz_dedup": lz_dedup.SQL,
+    "op10_secret_blob_ledger": secret_ledger.SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

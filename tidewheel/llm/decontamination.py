@@ -135,3 +135,19 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL = f"""
+WITH i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+items AS (SELECT row_number() OVER () AS item, item_id, w, len(w) AS n, least(len(w), {SHINGLE}) AS k FROM i WHERE len(w) > 0),
+si AS (SELECT item, item_id, n, k, sh, count(*) AS c FROM (SELECT item, item_id, n, k, array_to_string(w[j:j + k - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, n - k + 2)) AS j FROM items)) GROUP BY ALL),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS nw, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+sd AS (SELECT doc_id, nw, p, k, string_agg(word, ' ') OVER (PARTITION BY doc_id, k ORDER BY p ROWS BETWEEN CURRENT ROW AND k - 1 FOLLOWING) AS sh FROM t, (SELECT DISTINCT k FROM items)),
+hits AS (SELECT doc_id, item, item_id, n, si.k, p, sh, c, nw, least(n, nw) AS size FROM sd JOIN si USING (sh, k) WHERE p <= nw - k),
+win AS (SELECT *, unnest(range(greatest(p - size + k, 0), least(p, nw - size) + 1)) AS s FROM hits),
+cut AS (SELECT doc_id, item, item_id, n, k, size, s, sh, least(count(*), c) AS met FROM win GROUP BY doc_id, item, item_id, n, k, size, s, sh, c),
+sim AS (SELECT doc_id, item_id, s, size, sum(met) / (size - k + 1 + n - k + 1 - sum(met)) AS similarity FROM cut GROUP BY doc_id, item, item_id, n, k, size, s)
+SELECT doc_id, item_id, similarity, CAST(s AS BIGINT) AS start_word, CAST(size AS BIGINT) AS n_words
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s, size DESC) AS rn FROM sim WHERE similarity >= {SIMILARITY} - 1e-12) WHERE rn = 1
+"""

@@ -187,3 +187,14 @@ def op8_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j, len(w) AS n FROM d),
+s AS (SELECT doc_id, j, word, CASE WHEN j <= n - {WINDOW - 1} THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)) END AS h FROM t),
+r AS (SELECT h FROM s WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, j, word, coalesce(max(CASE WHEN r.h IS NOT NULL THEN j END) OVER (PARTITION BY doc_id ORDER BY j) >= j - {WINDOW - 1}, false) AS gone FROM s LEFT JOIN r ON s.h = r.h)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id, len(w)
+"""
