@@ -94,16 +94,20 @@ def columns(df: DataFrame, **of: Column | str) -> DataFrame:
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
     """left joined to right, where right has one row a key and in `count` how many rows of left have that key.
 
-    Keys with more than total / HOT_SHARE rows (at most HOT_SHARE of them) are joined by broadcast, so that a key
-    with a third of all rows is never dealt to one task; all others by shuffle. how: left, inner or left_semi.
+    Keys with more than total / HOT_SHARE rows (at most HOT_SHARE of them) are looked up in a broadcast table, and
+    their rows, like those without a key, are dealt by all their columns in the join by shuffle that serves the other
+    keys: so a key with a third of all rows never comes to one task. how: left, inner or left_semi.
     """
     limit = max(1000, total // HOT_SHARE)
-    hot = right.where(F.col(count) > limit).drop(count)
-    cold = right.where(F.col(count) <= limit).drop(count)
-    keys = F.broadcast(hot.select(key))
-    some = left.join(F.broadcast(hot), key, "inner" if how == "left" else how)
-    rest = left.join(keys, key, "left_anti").join(cold, key, how)
-    return some.unionByName(rest)
+    own = [c for c in right.columns if c not in (key, count)]
+    hot = right.where(F.col(count) > limit).select(key, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in own])
+    cold = right.where(F.col(count) <= limit).select(key, F.lit(0).cast("long").alias("__salt"), F.lit(True).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in own])
+    plain = [c for c, t in left.dtypes if t not in ("binary", "variant") and not t.startswith(("map", "array", "struct"))]
+    salt = F.when(F.col("__hot") | F.col(key).isNull(), F.xxhash64(*plain).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+    both = left.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).join(cold, [key, "__salt"], "left")
+    if how != "left":
+        both = both.where(F.coalesce("__hot", "__cold"))
+    return both.select(*left.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in own if how != "left_semi"])
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
