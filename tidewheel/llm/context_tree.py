@@ -31,9 +31,11 @@ DEPTH = 5
 #: Text ends with this byte, which UTF-8 never has; it also stands before the text's first byte.
 EDGE = b"\xff"
 #: Shuffle partitions for each group of documents.
-PER_GROUP = 3
+PER_GROUP = 2
 #: A group's counts are merged when so many strings wait.
-WAITING = 4_000_000
+WAITING = 1_000_000
+#: Buckets of strings and words for each shuffle partition.
+BUCKETS = 4
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
@@ -222,7 +224,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     counted by 64-bit hashes.
     """
     spark = docs.sparkSession
-    n_groups, n_buckets = max(6, partitions(spark) // PER_GROUP), partitions(spark)
+    n_groups, n_buckets = max(6, partitions(spark) // PER_GROUP), BUCKETS * partitions(spark)
     rows = columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = rows.select("doc_id", "text", held.alias("held"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("gid"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import columns, table, written
@@ -104,10 +104,14 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     windows = anchors.select("place", "n", "k", F.least("n", "n_words").alias("length"), F.explode(starts).alias("start")).distinct()
     windows = written(windows.groupBy("place").agg(F.collect_list(F.struct("n", "k", "length", "start")).alias("windows")), "windows")
 
-    text_of = docs.join(windows, "place").dropDuplicates(["place"]).select("place", words_of(F.col("text")).alias("words"), F.explode("windows").alias("w")).select("place", "words", "w.*")
-    inside = shingles(F.col("words"), F.col("start"), F.col("start") + F.col("length") - F.col("k"), F.col("k"))
-    # A window's hashes stay with it until it is verified.
-    hashed = written(text_of.select("place", "n", "length", "start", F.transform(inside, lambda s: s["h"]).alias("hashes")), "window-shingles")
+    one = docs.join(windows.select("place"), "place", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("row = 1")
+    one = one.select("place", words_of(F.col("text")).alias("words"))
+    every = lambda k: F.transform(shingles(F.col("words"), F.lit(0), F.size("words") - k, F.lit(k)), lambda s: s["h"])
+    one = one.select("place", *[every(k).alias(f"h{k}") for k in sizes] or [F.expr("CAST(NULL AS ARRAY<BIGINT>)").alias("h0")])
+    # A document's shingles are hashed once, before it meets its windows; each window takes its part.
+    own = lambda w: F.slice(F.coalesce(*[F.when(w["k"] == k, F.col(f"h{k}")) for k in sizes] or [F.col("h0")]), w["start"] + 1, w["length"] - w["k"] + 1)
+    each = F.transform("windows", lambda w: F.struct(w["n"].alias("n"), w["length"].alias("length"), w["start"].alias("start"), own(w).alias("hashes")))
+    hashed = written(one.join(windows, "place").select("place", F.explode(each).alias("w")).select("place", "w.*"), "window-shingles")
     prints = written(simhash(hashed.select("place", "n", "start", F.explode("hashes").alias("h")), ["place", "n", "start"]), "window-fingerprints")
     targets = written(simhash(in_items, ["item", "n"]), "item-fingerprints")
 
