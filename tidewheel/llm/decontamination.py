@@ -28,6 +28,8 @@ PROBE, BLOCKS = 2, 8
 RADIUS = BLOCKS * PROBE + BLOCKS - 1
 #: Item shingles, at most, that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Slots of the places of documents with anchors; as many rows, at most, are broadcast to keep other texts from the shuffle.
+FILTER = 1 << 20
 #: 21-bit counters in a long: so a window may have 2**21 - 1 shingles.
 LANE = (1 << 42) | (1 << 21) | 1
 
@@ -104,14 +106,18 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     windows = anchors.select("place", "n", "k", F.least("n", "n_words").alias("length"), F.explode(starts).alias("start")).distinct()
     windows = written(windows.groupBy("place").agg(F.collect_list(F.struct("n", "k", "length", "start")).alias("windows")), "windows")
 
-    one = docs.join(windows.select("place"), "place", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("row = 1")
+    # Texts without anchors need not move: most drop out by a table of at most FILTER places, the rest in the join.
+    slot = lambda: F.pmod("place", F.lit(FILTER)).alias("slot")
+    near_slots = F.broadcast(windows.select(slot()).distinct())
+    texts = docs.withColumn("slot", slot()).join(near_slots, "slot", "left_semi").drop("slot")
+    one = texts.join(windows.select("place").hint("merge"), "place", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("row = 1")
     one = one.select("place", words_of(F.col("text")).alias("words"))
     every = lambda k: F.transform(shingles(F.col("words"), F.lit(0), F.size("words") - k, F.lit(k)), lambda s: s["h"])
     one = one.select("place", *[every(k).alias(f"h{k}") for k in sizes] or [F.expr("CAST(NULL AS ARRAY<BIGINT>)").alias("h0")])
     # A document's shingles are hashed once, before it meets its windows; each window takes its part.
     own = lambda w: F.slice(F.coalesce(*[F.when(w["k"] == k, F.col(f"h{k}")) for k in sizes] or [F.col("h0")]), w["start"] + 1, w["length"] - w["k"] + 1)
     each = F.transform("windows", lambda w: F.struct(w["n"].alias("n"), w["length"].alias("length"), w["start"].alias("start"), own(w).alias("hashes")))
-    hashed = written(one.join(windows, "place").select("place", F.explode(each).alias("w")).select("place", "w.*"), "window-shingles")
+    hashed = written(one.join(windows.hint("merge"), "place").select("place", F.explode(each).alias("w")).select("place", "w.*"), "window-shingles")
     prints = written(simhash(hashed.select("place", "n", "start", F.explode("hashes").alias("h")), ["place", "n", "start"]), "window-fingerprints")
     targets = written(simhash(in_items, ["item", "n"]), "item-fingerprints")
 
