@@ -49,3 +49,15 @@ def test_small_alphabet_and_overlaps(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for window in (9, 12, 35):
         check(df.collect(), L.dedup(df, window=window).collect(), window)
+
+
+def test_copies_that_begin_in_a_block_with_a_cut_of_its_own(spark):
+    """Pairs end alike, a few words before a passage that other documents hold too."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(200):
+        same, passage = some(rng.randrange(1, 12)), some(60)
+        rows += [some(50) + same + passage for _ in range(2)] + [some(50) + passage for _ in range(4)]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    check(df.collect(), L.dedup(df).collect())

@@ -99,24 +99,28 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     rows = rows.withColumn("place", F.xxhash64("doc_id", "text"))  # rows alike in it are alike
 
     def tiles(batch: pa.RecordBatch) -> list:
-        out: list = [[], [], [], [], []]
+        out: list = [[], [], [], [], [], []]
         for place, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             words = value.as_py().split()
             if len(words) >= window:
                 p = Parsed(words, window)
-                for x, y in zip(out, (np.full(len(p.lo), place), np.arange(len(p.lo)), p.tiles(), p.anchors, ~p.real)):
+                for x, y in zip(out, (np.full(len(p.lo), place), np.arange(len(p.lo)), p.tiles(), p.anchors, ~p.real, np.full(len(p.lo), p.real.sum()))):
                     x.append(y)
-        place, block, tile, anchor, none = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)
-        return [place.astype(np.int64), block.astype(np.int32), pa.array(tile.view(np.int64), mask=none.astype(bool)), anchor.view(np.int64)]
+        place, block, tile, anchor, none, real = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)
+        return [place.astype(np.int64), block.astype(np.int32), pa.array(tile.view(np.int64), mask=none.astype(bool)), anchor.view(np.int64), real.astype(np.int32)]
 
-    schema = "place long, block int, tile long, anchor long"
+    schema = "place long, block int, tile long, anchor long, real int"
     index = written(rows.select("place", "text").mapInArrow(batches_of(tiles, schema), schema), "blocks")
     total = index.count()
     again = written(index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "cuts")
-    index = written(lookup(index, again, "anchor", "n", total, "left_semi").select("place", "block", "tile", F.xxhash64("place", "block").alias("one")), "candidates")
+    index = written(lookup(index, again, "anchor", "n", total, "left_semi").select("place", "block", "tile", "real", F.xxhash64("place", "block").alias("one")), "candidates")
     copied = written(index.where("tile IS NOT NULL").groupBy("tile").agg(F.count("*").alias("n"), F.min("one").alias("kept")).where("n > 1"), "copied")
     flag = F.col("block") * 4 + F.when(F.col("kept").isNull(), 0).when(F.col("kept") == F.col("one"), 3).otherwise(2)
-    flags = written(lookup(index, copied, "tile", "n", total).groupBy("place").agg(F.collect_list(flag.cast("int")).alias("flags")), "factors")
+    flags = lookup(index, copied, "tile", "n", total).groupBy("place").agg(F.collect_list(flag.cast("int")).alias("flags"), F.max("real").alias("real"))
+    # A document needs no single windows only if all its windows start in copies (repeated rows repeat their flags): a
+    # window that starts in a block with a cut of its own may have its least hash in a later block.
+    flags = flags.select("place", "flags", (F.size(F.array_distinct(F.filter("flags", lambda f: f % 4 == 2))) < F.col("real")).alias("open"))
+    flags = written(flags, "factors")
 
     def windows(batch: pa.RecordBatch) -> list:
         """Windows at the boundaries of factors, and those of one copy of each indexed block (sure)."""
@@ -133,12 +137,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         return [place.astype(np.int64), at.astype(np.int32), h.view(np.int64), sure.astype(bool)]
 
     schema = "place long, start int, hash long, sure boolean"
-    edges = rows.select("place", "text").join(flags.where(F.exists("flags", lambda f: f % 4 != 2)), "place")
+    edges = rows.select("place", "text").join(flags.where("open"), "place")
     edges = written(edges.select("place", "text", "flags").mapInArrow(batches_of(windows, schema), schema), "boundaries")
     twice = written(edges.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     single = lookup(edges.where("NOT sure").select("place", "start", "hash"), twice, "hash", "n", total, "left_semi")
     single = single.groupBy("place").agg(F.collect_list("start").alias("starts"))
-    marked = written(flags.join(single, "place", "full"), "marks")
+    marked = written(flags.drop("open").join(single, "place", "full"), "marks")
 
     def cleaned(batch: pa.RecordBatch) -> list:
         ids, counts, kept, spans = [], [], [], []
