@@ -27,3 +27,10 @@ def test_matches_sql(spark, duck, name):
     listed = ",".join(f'"{c}"' for c in columns)
     assert sorted(duck.sql(catalog.SQL[name]).columns) == columns
     assert rows(df.select(*columns).collect()) == rows(duck.sql(f"SELECT {listed} FROM ({catalog.SQL[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["port_connect_all", "port_connect_discriminated_all"])
+def test_ports_of_all_suppliers(spark, duck, name):
+    sellers = {r[0] for r in duck.sql("SELECT DISTINCT 'u' || l_suppkey FROM lineitem").fetchall()}
+    assert {r.upstream for r in catalog.QUERIES[name](spark, SF).collect()} == sellers
+    assert len(sellers) > 3

@@ -226,6 +226,39 @@ def connect_new_edges(spark, d):
     return G.port_matches(*ports(spark, d, True)).join(old, ["upstream", "downstream"], "left_anti")
 
 
+def all_ports(spark, d, schema: bool):
+    """Output ports of every supplier; an identifier is shared by four parts, so none is hot whatever the table's size."""
+    e = edges(spark, d).where("src LIKE 'u%'")
+    part = F.substr("dst", F.lit(2)).cast("int")
+    of = F.create_map(F.lit("part"), F.concat(F.lit("P"), part.cast("string"))) if schema else F.expr("CAST(map() AS MAP<STRING,STRING>)")
+    wild = F.create_map(F.lit("part"), F.concat(F.lit("p"), (F.floor(part / 10)).cast("string"), F.lit("%"))) if schema else of
+    port = F.concat(F.lit("Items:"), F.floor(part / 4).cast("string"))
+    out = e.select(F.col("src").alias("node"), port.alias("identifier"), wild.alias("schema"))
+    return out, e.select(F.concat(F.lit("n"), "dst").alias("node"), F.upper(port).alias("identifier"), of.alias("schema")).dropDuplicates(["node", "identifier"])
+
+
+ALL_PORTS = f"""WITH {E}, p AS (SELECT *, CAST(substr(dst, 2) AS INTEGER) AS part FROM e WHERE src LIKE 'u%'),
+  o AS (SELECT src AS upstream, 'items:' || (part // 4) AS identifier, 'p' || (part // 10) AS prefix FROM p),
+  i AS (SELECT DISTINCT 'n' || dst AS downstream, 'items:' || (part // 4) AS identifier, 'p' || part AS v FROM p)
+  SELECT upstream, downstream, min(identifier) AS identifier FROM o JOIN i USING (identifier)"""
+
+
+@query(ALL_PORTS + " GROUP BY 1, 2")
+def port_connect_all(spark, d):
+    return G.port_matches(*all_ports(spark, d, False))
+
+
+@query(ALL_PORTS + " WHERE starts_with(v, prefix) GROUP BY 1, 2")
+def port_connect_discriminated_all(spark, d):
+    return G.port_matches(*all_ports(spark, d, True))
+
+
+@query(ALL_PORTS + " WHERE starts_with(v, prefix) AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = upstream AND e.dst = substr(downstream, 2)) GROUP BY 1, 2")
+def connect_new_edges_all(spark, d):
+    old = edges(spark, d).select(F.col("src").alias("upstream"), F.concat(F.lit("n"), "dst").alias("downstream"))
+    return G.port_matches(*all_ports(spark, d, True)).join(old, ["upstream", "downstream"], "left_anti")
+
+
 @query(f"WITH {E} SELECT dst AS model_hash, src AS upstream FROM e WHERE dst LIKE 'u%'")
 def dependencies_direct(spark, d):
     return edges(spark, d).where("dst LIKE 'u%'").select(F.col("dst").alias("model_hash"), F.col("src").alias("upstream"))
