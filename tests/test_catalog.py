@@ -34,3 +34,13 @@ def test_ports_of_all_suppliers(spark, duck, name):
     sellers = {r[0] for r in duck.sql("SELECT DISTINCT 'u' || l_suppkey FROM lineitem").fetchall()}
     assert {r.upstream for r in catalog.QUERIES[name](spark, SF).collect()} == sellers
     assert len(sellers) > 3
+
+
+def test_whole_graph_and_whole_log(spark, duck):
+    n = lambda q: duck.sql(q).fetchall()[0][0]
+    sold = n("SELECT count(DISTINCT l_partkey) FROM lineitem")
+    links = n("SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)") + n("SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey") + n("SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey")
+    assert catalog.QUERIES["dependencies_all"](spark, SF).count() == links
+    assert catalog.QUERIES["upstream_closure_all"](spark, SF).select("root").distinct().count() == sold
+    assert catalog.QUERIES["downstream_closure_all"](spark, SF).select("root").distinct().count() == n("SELECT count(DISTINCT s_nationkey) FROM supplier")
+    assert catalog.QUERIES["scan_reconcile_all"](spark, SF).count() == n("SELECT count(DISTINCT user_id) FROM events")

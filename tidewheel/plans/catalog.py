@@ -264,6 +264,11 @@ def dependencies_direct(spark, d):
     return edges(spark, d).where("dst LIKE 'u%'").select(F.col("dst").alias("model_hash"), F.col("src").alias("upstream"))
 
 
+@query(f"WITH {E} SELECT dst AS model_hash, src AS upstream FROM e")
+def dependencies_all(spark, d):
+    return edges(spark, d).select(F.col("dst").alias("model_hash"), F.col("src").alias("upstream"))
+
+
 @query(f"""WITH {M}, {S}, t AS (SELECT snapshot_hash, model_hash, CASE WHEN CAST(k AS INTEGER) % 2 = 0 THEN 'm' || k ELSE 'm9999999' || k END AS up_hash, 'Customer#' || lpad(k, 9, '0') AS up_name FROM s WHERE gov_type = 'depends_on')
   SELECT t.snapshot_hash, t.model_hash, coalesce(a.model_hash, b.model_hash) AS upstream_hash FROM t LEFT JOIN m a ON a.model_hash = up_hash LEFT JOIN m b ON b.name = up_name WHERE coalesce(a.model_hash, b.model_hash) IS NOT NULL""")
 def dependencies_name_fallback(spark, d):
@@ -297,6 +302,16 @@ def downstream_closure(spark, d):
     return reach(spark, d, "src IN ('n1', 'n2')").select("root", "node")
 
 
+@query(closure_sql("dst LIKE 'p%'", "dst", "src") + " SELECT root, node FROM reach")
+def upstream_closure_all(spark, d):
+    return reach(spark, d, "dst LIKE 'p%'", True).select("root", "node")
+
+
+@query(closure_sql("src LIKE 'n%'") + " SELECT root, node FROM reach")
+def downstream_closure_all(spark, d):
+    return reach(spark, d, "src LIKE 'n%'").select("root", "node")
+
+
 @query(closure_sql("src LIKE 'r%'") + " SELECT * FROM reach WHERE hops <= 2")
 def trace_hops(spark, d):
     return reach(spark, d, "src LIKE 'r%'").where("hops <= 2")
@@ -344,6 +359,13 @@ def scan_reconcile(spark, d):
     return I.reconcile(s.where((F.col("timestamp") < ntz(WHEN)) & (F.col("k").cast("int") < 20)), s.where((F.col("timestamp") >= ntz(WHEN)) & (F.col("k").cast("int") > 80)))
 
 
+@query(f"""WITH {S}, a AS (SELECT DISTINCT model_hash FROM s WHERE "timestamp" < TIMESTAMP '{WHEN}'), b AS (SELECT DISTINCT model_hash FROM s WHERE "timestamp" >= TIMESTAMP '{WHEN}')
+  SELECT coalesce(a.model_hash, b.model_hash) AS model_hash, CASE WHEN a.model_hash IS NULL THEN 'discovered' WHEN b.model_hash IS NULL THEN 'not_found' ELSE 'scan_confirmed' END AS outcome FROM a FULL JOIN b USING (model_hash)""")
+def scan_reconcile_all(spark, d):
+    s = snapshots(spark, d)
+    return I.reconcile(s.where(F.col("timestamp") < ntz(WHEN)), s.where(F.col("timestamp") >= ntz(WHEN)))
+
+
 #: A text with every feature, made from columns; ~ stands for a quotation mark.
 TEXT_SQL = """replace('-- @owner: ' || o_orderpriority || chr(10) || 'INSERT INTO out.t' || o_custkey || ' SELECT * FROM raw.a.t' || (o_orderkey % 7) || ' x JOIN Raw.A.T' || (o_orderkey % 5)
   || ' y WHERE model_name = ~m' || o_custkey || '~ AND model_name IN (~a~, ~b' || (o_orderkey % 3) || '~) AND d > INTERVAL ~' || (o_orderkey % 30) || ' days~ {{ run_' || o_orderstatus || ' }}', '~', chr(39))"""
