@@ -48,3 +48,9 @@ def test_whole_table(spark):
     want = slow(chosen.collect(), rejected.collect())
     assert got(P.format_pairs(chosen, rejected).collect()) == want
     assert len(want) == turns.where("role = 'assistant'").select("conv_id").distinct().count() and any(w[2] for w in want)
+
+
+def test_turns_without_a_number_make_no_pair(spark):
+    rows = [(1, None, "user", "a"), (1, None, "assistant", "b"), (2, 1, "user", "c"), (2, 2, "assistant", "d"), (2, None, "assistant", "e")]
+    sides = P.stale_replies(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert [sorted((r.pair_id, r.turn) for r in side.collect()) for side in sides] == [[(2, 1), (2, 2)]] * 2

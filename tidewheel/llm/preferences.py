@@ -67,7 +67,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pair_id
 def stale_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from plain conversations: chosen is the conversation up to its last assistant turn; rejected has there the
     assistant turn before (a stale reply), or the turn before if there is none. Conversations that the assistant never
-    spoke in give no pair."""
+    spoke in give no pair. Turns with a null number are dropped first, as in the SQL: they have no place before or after
+    the last one (format_pairs keeps such turns, last), so a conversation of only such turns gives no pair."""
     turns = columns(conversations, pair_id="conv_id", turn="turn", role="role", text="text").where("turn IS NOT NULL")
     spoken = turns.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max("turn").alias("last"))
     chosen = turns.join(spoken.withColumnRenamed("pair_id", "of"), F.col("pair_id").eqNullSafe(F.col("of"))).where("turn <= last")
