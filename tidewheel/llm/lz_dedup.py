@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Substring deduplication by hashes of content-defined blocks and single windows, in place of relative Lempel-Ziv parsing.
 
 The corpus is its own reference. Every document is cut into blocks at content-defined places (the least hashes of short
 word shingles, so that two copies of a passage are cut alike), and every block, together with the WINDOW - 1 words that
-its last window needs, is indexed by hash. A document is then parsed greedily from left to right: a factor is a longest
-run of blocks that the index holds elsewhere too. All windows that start in a factor are duplicates, so long copies are
-settled block by block. Only around the boundaries of factors, where a copy ends within a block, single windows are
-checked against the index: those of the blocks that are not in a factor, and of one copy of each indexed block.
+its last window needs, is indexed by hash. No factors (source, start, length) are parsed: each block that the index holds
+elsewhere too is marked on its own. All windows that start in a marked block are duplicates, so long copies are settled
+block by block. Where a copy ends within a block, single windows are counted by hash: those of the blocks that are not
+marked, and of one copy of each marked block.
 
 A window always holds the least shingle hash of its own words, which is a cut in each document that has this window; so
 windows whose least hash is a cut only once in the corpus are unique, and are never looked at again.
