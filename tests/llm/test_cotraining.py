@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tidewheel.llm import cotraining as Q
 
 SF = "/root/testdata/sf0.1"
@@ -22,3 +24,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert Q.classify(no_docs, labels).collect() == []
     rows = Q.classify(odd_docs, labels.limit(0)).collect()
     assert len(rows) == odd_docs.count() and all(r.keep and r.p_bad is None for r in rows)
+
+
+def test_repeated_held_back_ids_count_once(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(1000)) < int(1000 * Q.Settings().held_back)
+    one = docs.join(labels.where(held).where("quality = 0").select("doc_id").limit(1), "doc_id").select(*docs.columns)
+    many = docs.unionByName(one.crossJoin(spark.range(300)).select(*docs.columns))
+    score = lambda df: {r.doc_id: r.p_bad for r in Q.classify(df, labels).collect()}
+    want, got = score(docs), score(many)
+    assert one.count() == 1 and want.keys() == got.keys() and max(abs(want[k] - got[k]) for k in want) < 1e-6

@@ -161,7 +161,8 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     if len(kinds) < 2:
         none = F.lit(None).cast("double")
         return features.select(F.col("key").alias(key or "doc_id"), none.alias("p_text"), none.alias("p_meta"), none.alias("p_bad"), F.lit(True).alias("keep"))
-    fold = features.where("train = false").select("seen", "meta", "bad").toArrow().combine_chunks()  # part of the bounded sample
+    # One row for each held-back id, the least: the sample bounds ids, and an id may have any number of rows.
+    fold = features.where("train = false").groupBy("doc_id").agg(F.min(F.struct("seen", "meta", "bad")).alias("of")).select("of.*").toArrow().combine_chunks()
     list_of = lambda name: fold.column(name).combine_chunks() if fold.num_rows else pa.array([], pa.list_(pa.int32()))
     y = fold.column("bad").to_numpy().astype(float)
 
