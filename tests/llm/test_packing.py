@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,6 +59,18 @@ def test_odd_rows(odd_docs, no_docs):
 
 @pytest.mark.parametrize("text", ["don't I'll 12ab 12 áb İstanbul", "<|endoftext|>x <|startoftext|>", "ΟΔΟΣ ΣΑΣ.", "a). É!! ab.'s x…. <|StartOfText|>. A.B. É... 5,5 5! *#* A\u0301. I\u0307! x=\u0338.", "a\x85b\xa0c d\x1fe", "''s 's'x it's\n's"])
 def test_words_alone_give_the_ids_of_the_text(text):
-    ids = packing.word_ids(packing.tokenizer_path())
     want = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(b"".join(ids[w] for w in text.encode().split()), "<u4").tolist() == want
+    others = ["", "a b, C", text[::-1]]
+    found = list(packing.WordIds(packing.tokenizer_path()).all(pa.array([text, *others, text])))
+    assert np.frombuffer(found[0], "<u4").tolist() == want == np.frombuffer(found[-1], "<u4").tolist()
+
+
+def test_small_caches_and_long_texts(spark, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += [" ".join(texts), "x" * 300 + " y", "\n" * 500 + "a"]
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    for name, value in (("REMEMBERED", 50), ("CALL", 3), ("TOGETHER", 200)):
+        monkeypatch.setattr(packing, name, value)
+    found = packing.WordIds(packing.tokenizer_path()).all(pa.array(texts))
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
