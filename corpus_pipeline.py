@@ -16,7 +16,7 @@ from tidewheel.llm.cotraining import classify
 from tidewheel.llm.decontamination import contaminated
 from tidewheel.llm.packing import pack
 from tidewheel.llm.secret_ledger import redacted, scan
-from tidewheel.llm.simhash_dedup import near_duplicates
+from tidewheel.llm.simhash_dedup import near_copies
 
 #: documents(doc_id, text, lang, source, n_chars)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _row_key() -> Column:
     """Rows that are alike in id and text share it; so decisions join back to rows with null or repeated ids too."""
-    return F.xxhash64("doc_id", "text")
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64("text")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +36,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays: one row. Rows without an id stay if their
-    group has no row with one; of those, and of rows that repeat the least id, the first in order of text."""
+    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the document with the least
+    id stays: one row. Rows without an id stay if their group has no row with one; of those, and of rows that repeat the
+    least id, the first in order of their keys. Null, empty and wordless texts are copies of each other. No rows give none."""
     release(shipped(spark))  # the stage before is stored
     key = fresh(docs, "key")
     rows = docs.withColumn(key, _row_key())
-    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), "doc_id", "text")
-    # component_id is the least key of the group: groups by key, members back to their ids.
-    members = found.select(F.col("doc_id").alias(key), F.col("component_id").alias("group")).distinct().join(rows.select(key, "doc_id").distinct(), key)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
-    stay = members.groupBy("group").agg(F.min(order)["key"].alias(key)).select(key)
+    found = near_copies(rows, key, "text")
+    known = F.split_part(key, F.lit(":"), F.lit(1)).try_cast("long")
+    order = F.struct(known.isNull().alias("none"), known.alias("doc_id"), F.col(key).alias("key"))
+    stay = found.groupBy("group").agg(F.min(order)["key"].alias(key)).select(key)
     return rows.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 

@@ -8,14 +8,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than one row in HOT_SHARE. At most HOT_SHARE keys can, so the hot side of a join
-#: has at most HOT_SHARE rows whatever the input, and may be broadcast.
-HOT_SHARE = 1000
+#: A key is hot when it holds more than half of the rows of a mean partition, and more than this many.
+HOT_LEAST = 1000
 
 _written: list[str] = []
 
@@ -94,11 +94,11 @@ def columns(df: DataFrame, **of: Column | str) -> DataFrame:
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
     """left joined to right, where right has one row a key and in `count` how many rows of left have that key.
 
-    Keys with more than total / HOT_SHARE rows (at most HOT_SHARE of them) are looked up in a broadcast table, and
+    Keys with more rows than half a mean partition (at most two a partition) are looked up in a broadcast table, and
     their rows, like those without a key, are dealt by all their columns in the join by shuffle that serves the other
     keys: so a key with a third of all rows never comes to one task. how: left, inner or left_semi.
     """
-    limit = max(1000, total // HOT_SHARE)
+    limit = max(HOT_LEAST, total // (2 * partitions(left.sparkSession)))
     own = [c for c in right.columns if c not in (key, count)]
     hot = right.where(F.col(count) > limit).select(key, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in own])
     cold = right.where(F.col(count) <= limit).select(key, F.lit(0).cast("long").alias("__salt"), F.lit(True).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in own])
@@ -141,3 +141,27 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     if nodes is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes
+
+
+def spanning(edges: DataFrame, label: str = "spanning") -> DataFrame:
+    """Of edges(a long, b long) those of a spanning forest: one fewer than nodes in each component.
+
+    Contracts the graph as components() does; every pointer to a least neighbour is an edge between two of the original
+    nodes, which is carried along.
+    """
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edges = written(edges.where("a <> b").select(low.alias("a"), high.alias("b"), low.alias("x"), high.alias("y")).distinct(), f"{label}-edges")
+    trees = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "x", "y"))
+        up = both.groupBy("a").agg(F.min(F.struct("b", "x", "y")).alias("to")).where("to.b < a")
+        up = written(up.select(F.col("a").alias("node"), F.col("to.b").alias("up"), "to.x", "to.y"), f"{label}-up")
+        trees.append(up.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        root = components(up.select(F.col("node").alias("a"), F.col("up").alias("b")), f"{label}-roots")
+        to = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))
+        left = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "x", "y").where("a <> b")
+        left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y").groupBy("a", "b").agg(F.min(F.struct("x", "y")).alias("of"))
+        edges = written(left.select("a", "b", "of.x", "of.y"), f"{label}-edges")
+    if not trees:
+        return edges.select("a", "b")
+    return reduce(DataFrame.unionByName, trees)

@@ -1,19 +1,26 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Distinct fingerprints are sorted by Gray rank, so that neighbours share long bit patterns. The order is cut into ranges
-(the top level of the index). Inside a range every FANOUT neighbours form a node, every FANOUT nodes a node above, and so
-on to a root; a node holds the bits on which all its fingerprints agree (its mask) and their value. A search goes down
-from the root and adds, at each node, the differences in the bits that this node fixes and its parents did not; once the
-sum exceeds the radius the whole group below is left out. Pairs of ranges whose shared patterns alone differ too much are
-never searched; the others are the units of work, so no task holds more than two ranges.
-
-Links found by a unit are not listed pair by pair: its groups are joined on the spot and given out as chains of at most
-as many edges as there are fingerprints. Connected components of the chains are then found by Spark joins.
+Two fingerprints within the radius agree on EQUAL of any radius + EQUAL parts that they are cut into. So each fingerprint
+goes into one bucket for every choice of EQUAL parts, by what these parts hold: links are found within buckets, and the
+number of copies depends on the radius alone. Rows are dealt in order of bucket and Gray rank, so that neighbours share
+long bit patterns and a large bucket fills several partitions of usual size.
+
+Inside a partition every FANOUT neighbours form a node, every FANOUT nodes a node above, and so on to a root; a node holds
+the bits on which all its fingerprints agree (its mask), their value, and its range of buckets. A search goes down from
+the root and adds, at each node, the differences in the bits that this node fixes and its parents did not; once the sum
+exceeds the radius, or the bucket is another, the whole group below is left out. A group that lies within the radius as a
+whole is taken as a whole. For buckets that several partitions share, pairs of partitions are searched whose shared
+patterns don't differ too much.
+
+Links found are not listed pair by pair: groups are joined on the spot and given out as chains of at most as many edges as
+there are fingerprints. Connected components of the chains are then found by Spark joins.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,13 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, components, lookup, table, written
+from .common import columns, components, lookup, partitions, spanning, table, written
 
 SHINGLE, SEED, RADIUS, FANOUT = 3, 42, 3, 8
-#: Ranges of the Gray order: at least MIN_RANGES, and so many that one has about RANGE_ROWS fingerprints.
-MIN_RANGES, RANGE_ROWS = 32, 250_000
-#: Queries that go down the index together; bounds the memory of a search.
-TOGETHER = 512
+#: Parts of a fingerprint that are equal in a bucket.
+EQUAL = 2
+#: Rows of buckets in a partition, about.
+PART_ROWS = 500_000
+#: Queries that go down the index together, and pairs of query and node, which bound the memory of a search.
+TOGETHER, FRONTIER = 16_384, 500_000
+#: near_copies: words of a shingle and the least similarity; words of the features that are hashed, and the radius.
+SIMILAR_SHINGLE, SIMILARITY, FEATURE, WIDE = 5, 0.8, 2, 8
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -68,13 +79,13 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The levels of the index over one range, leaves first: patterns, masks, and the bits new at that level."""
+    """The levels of the index, leaves first: patterns, the bits new at that level, bits left open, ranges of buckets."""
 
-    def __init__(self, fp: np.ndarray, fanout: int = FANOUT):
-        self.fanout = fanout
-        self.leaves = fp[np.argsort(gray_rank(fp), kind="stable")]
+    def __init__(self, bucket: np.ndarray, fp: np.ndarray, fanout: int = FANOUT):
+        self.fanout, self.order = fanout, np.lexsort((gray_rank(fp), bucket))
         every = np.uint64(0xFFFFFFFFFFFFFFFF)
-        values, masks = [self.leaves], [np.full(len(fp), every)]
+        values, masks = [fp[self.order]], [np.full(len(fp), every)]
+        self.first, self.last = [bucket[self.order]], [bucket[self.order]]
         while len(values[-1]) > 1:
             starts = np.arange(0, len(values[-1]), fanout)
             both = np.bitwise_and.reduceat(values[-1], starts)
@@ -82,23 +93,36 @@ class GrayIndex:
             mask = np.bitwise_and.reduceat(masks[-1], starts) & ~(both ^ any_)
             values.append(both & mask)
             masks.append(mask)
+            self.first.append(self.first[-1][starts])
+            self.last.append(self.last[-1][np.append(starts[1:], len(self.last[-1])) - 1])
         self.values = values
         self.new = [m & ~np.repeat(up, fanout)[: len(m)] for m, up in zip(masks, masks[1:])] + [masks[-1]]
-
-    def search(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (in fp, in self.leaves) of all pairs within the radius."""
-        query, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
-        spent = np.zeros(len(fp), np.uint8)
-        for level in range(len(self.values) - 1, -1, -1):
+        self.open = [np.bitwise_count(~m) for m in masks]
+
+    def search(self, bucket: np.ndarray, fp: np.ndarray, radius: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in fp, among the leaves) of all pairs of one bucket within the radius. whole: of a group that lies
+        within it as a whole just the first leaf, with which the group's own members are linked in turn."""
+        top = len(self.values) - 1
+        todo = [(top, q, np.zeros(len(q), np.int64), np.zeros(len(q), np.uint8)) for q in np.array_split(np.arange(len(fp)), -(-len(fp) // TOGETHER) or 1)]
+        while todo:
+            level, query, node, spent = todo.pop()
             spent = spent + np.bitwise_count((fp[query] ^ self.values[level][node]) & self.new[level][node])
-            near = spent <= radius
+            mine = bucket[query]
+            near = (spent <= radius) & (self.first[level][node] <= mine) & (mine <= self.last[level][node])
             query, node, spent = query[near], node[near], spent[near]
-            if level:
-                query, spent = np.repeat(query, self.fanout), np.repeat(spent, self.fanout)
-                node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-                real = node < len(self.values[level - 1])
-                query, node, spent = query[real], node[real], spent[real]
-        return query, node
+            if not level:
+                yield query, node
+                continue
+            if whole:
+                done = (spent + self.open[level][node] <= radius) & (self.first[level][node] == self.last[level][node])
+                yield query[done], node[done] * self.fanout**level
+                query, node, spent = query[~done], node[~done], spent[~done]
+            query, spent = np.repeat(query, self.fanout), np.repeat(spent, self.fanout)
+            node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+            real = node < len(self.values[level - 1])
+            query, node, spent = query[real], node[real], spent[real]
+            for some in np.array_split(np.arange(len(query)), -(-len(query) // FRONTIER) or 1):
+                todo.append((level - 1, query[some], node[some], spent[some]))
 
 
 def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,58 +141,91 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = over
 
 
-def chains(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join just what the links between left and right (or within left) join."""
-    index = GrayIndex(left)
-    nodes = index.leaves if right is None else np.concatenate([index.leaves, right])
-    queries = index.leaves if right is None else right
-    base, labels = (0 if right is None else len(left)), np.arange(len(nodes))
-    for at in range(0, len(queries), TOGETHER):
-        query, leaf = index.search(queries[at : at + TOGETHER], radius)
-        labels = joined(labels, query + (at + base), leaf)
-    order = np.argsort(labels, kind="stable")
-    same = labels[order][1:] == labels[order][:-1]
-    return nodes[order][:-1][same], nodes[order][1:][same]
-
-
-def links(fps: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
-    """Edges a, b between distinct fingerprints fps(fp) whose components are those of all links within the radius.
-
-    The ranges of the Gray order are cut at quantiles. A range's pattern takes two longs, and there are at most
-    max(MIN_RANGES, rows / RANGE_ROWS) of them: the pairs of ranges to search are found among these by the driver.
-    """
-    spark = fps.sparkSession
+class Rows:
+    """Rows of buckets: bucket, fp, node, and the label of a group that the node is known to be in."""
+
+    def __init__(self, part: pd.DataFrame | dict):
+        self.bucket, self.node, self.label = (np.asarray(part[c]) for c in ("bucket", "node", "label"))
+        self.fp = np.asarray(part["fp"]).view(np.uint64)
+
+    def found(self, others: Rows | None, radius: int, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes a, b of links within these rows, or with others: all that lie between different labels (pairs), or
+        chains that join just what the links join."""
+        index = GrayIndex(self.bucket, self.fp)
+        mine, theirs = index.order, None if others is None else np.arange(len(others.fp))
+        asked = self if others is None else others
+        order = mine if theirs is None else theirs
+        leaves = self.node[mine]
+        if pairs:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for query, leaf in index.search(asked.bucket[order], asked.fp[order], radius, False):
+                apart = asked.label[order[query]] != self.label[mine[leaf]]
+                a.append(asked.node[order[query[apart]]])
+                b.append(leaves[leaf[apart]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            return np.minimum(a, b), np.maximum(a, b)
+        nodes = leaves if others is None else np.concatenate([leaves, others.node])
+        base, labels = 0 if others is None else len(leaves), np.arange(len(nodes))
+        for query, leaf in index.search(asked.bucket[order], asked.fp[order], radius, True):
+            labels = joined(labels, query + base, leaf)
+        order = np.argsort(labels, kind="stable")
+        same = labels[order][1:] == labels[order][:-1]
+        return nodes[order][:-1][same], nodes[order][1:][same]
+
+
+def bucketed(items: DataFrame, radius: int) -> DataFrame:
+    """items(fp, node, label) in all their buckets, with the Gray rank as a signed long in unsigned order."""
+    n = radius + EQUAL
+    cuts = [64 * k // n for k in range(n + 1)]
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in some) for some in combinations(zip(cuts, cuts[1:]), EQUAL)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     rank = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    ranked = fps.select("fp", rank.bitwiseXOR(F.lit(-(2**63))).alias("rank"))  # the sign flipped: unsigned order
-    wanted = max(MIN_RANGES, -(-rows // RANGE_ROWS))
-    cuts = ranked.select(F.percentile_approx("rank", [i / wanted for i in range(1, wanted)], 50 * wanted).alias("x")).first().x or []
-    cuts = sorted({int(x) for x in cuts})
-
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        edges = np.array(cuts, np.int64)
-        for batch in batches:
-            yield pd.Series(np.searchsorted(edges, batch.to_numpy(), side="right").astype(np.int32))
-
-    placed = written(ranked.select("fp", F.pandas_udf(place, "int")("rank").alias("range")), "gray-ranges")
-    tops = placed.groupBy("range").agg(F.expr("bit_and(fp)").alias("v"), F.expr("bit_or(fp)").alias("o")).toPandas().sort_values("range")
-    ids, value = tops["range"].to_numpy(), tops["v"].to_numpy().view(np.uint64)
-    mask = ~(value ^ tops["o"].to_numpy().view(np.uint64))
-    units = []  # (range, unit, is the indexed side); a range with itself has just one side
-    for i in range(len(ids)):
-        near = np.bitwise_count((value[i] ^ value[i:]) & mask[i] & mask[i:]) <= radius
-        for j in np.flatnonzero(near) + i:
-            unit = int(i) * len(ids) + int(j)
-            units += [(int(ids[i]), unit, True)] + [(int(ids[j]), unit, False)] * bool(i != j)
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        fp, left = part["fp"].to_numpy().view(np.uint64), part["indexed"].to_numpy()
-        a, b = chains(fp[left], None if left.all() else fp[~left], radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    dealt = spark.createDataFrame(units, "range int, unit int, indexed boolean")
-    return placed.join(F.broadcast(dealt), "range").groupBy("unit").applyInPandas(search, "a long, b long")
+    each = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
+    rows = items.select("fp", "node", "label", rank.bitwiseXOR(F.lit(-(2**63))).alias("rank"))
+    return rows.select(F.explode(each).alias("bucket"), "rank", "fp", "node", "label")
+
+
+def links(items: DataFrame, rows: int, radius: int = RADIUS, pairs: bool = False) -> DataFrame:
+    """Edges a, b between nodes of items(fp, node, label): chains whose components are those of all links within the
+    radius, or (pairs) all links between nodes of different labels. rows: how many items there are."""
+    copies = (radius + EQUAL) * (radius + EQUAL - 1) // 2
+    n = max(partitions(items.sparkSession), -(-rows * copies // PART_ROWS))
+    names = ["bucket", "fp", "node", "label"]
+    given = pa.schema([(c, pa.int64()) for c in names])
+    made = pa.schema([(c, pa.int64()) for c in ("a", "b", *names)])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links of a partition, and the rows of its first and last buckets, which others may share."""
+        part = pa.Table.from_batches([x.cast(given) for x in batches], given)
+        if not part.num_rows:
+            return
+        rows = Rows({c: part[c].to_numpy() for c in names})
+        a, b = rows.found(None, radius, pairs)
+        border = np.flatnonzero((rows.bucket == rows.bucket.min()) | (rows.bucket == rows.bucket.max()))
+        none = lambda k: pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none(len(a)) for _ in names]], schema=made)
+        yield pa.RecordBatch.from_arrays([none(len(border)), none(len(border)), *[part[c].combine_chunks().take(pa.array(border)) for c in names]], schema=made)
+
+    dealt = bucketed(items, radius).repartitionByRange(n, "bucket", "rank").select(*names)
+    found = dealt.mapInArrow(inside, ", ".join(f"{f.name} long" for f in made)).withColumn("part", F.spark_partition_id())
+    found = written(found, "links")
+    border = found.where("bucket IS NOT NULL").select(*names, "part")
+    shared = border.groupBy("bucket", "part").agg(F.expr("bit_and(fp)").alias("v"), F.expr("bit_or(fp)").alias("o"))
+    shared = shared.groupBy("bucket").agg(F.collect_list(F.struct("part", "v", F.bitwise_not(F.col("v").bitwiseXOR(F.col("o"))).alias("mask"))).alias("parts")).where(F.size("parts") > 1)
+    own = F.element_at(F.filter("parts", lambda p: p["part"] == F.col("part")), 1)
+    near = lambda p: F.bit_count(p["v"].bitwiseXOR(own["v"]).bitwiseAND(p["mask"]).bitwiseAND(own["mask"])) <= radius
+    other = F.transform(F.filter("parts", lambda p: (p["part"] != F.col("part")) & near(p)), lambda p: p["part"])
+    units = border.join(shared, "bucket").select(*names, "part", F.explode(other).alias("other"))
+    units = units.select(*names, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") < F.col("other")).alias("indexed"))
+
+    def across(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = Rows(part[part["indexed"]]).found(Rows(part[~part["indexed"]]), radius, pairs)
+        return pd.DataFrame({"a": a, "b": b})
+
+    crossed = units.groupBy("bucket", "lo", "hi").applyInPandas(across, "a long, b long")
+    return found.where("a IS NOT NULL").select("a", "b").unionByName(crossed).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -176,18 +233,95 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     One row for each row of docs. Null texts, empty ones and those without words have fingerprint 0 and are linked like
     any other. A null doc_id is kept; it counts as no id, so that a component of such rows alone has a null
-    component_id. Repeated rows come out repeated. An empty table gives no rows; other columns are ignored.
+    component_id. Repeated rows come out repeated; equal fingerprints are one node. A very long text is hashed whole, its
+    shingles some thousands at a time. An empty table gives no rows; other columns are ignored.
     """
     docs = written(fingerprints(docs, doc_id, text, size), "fingerprints")
     known = written(docs.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
-    total, rows = docs.count(), known.count()
-    edges = written(links(known.select("fp"), rows, radius), "links") if rows else known.selectExpr("fp AS a", "fp AS b")
+    items = known.select("fp", F.col("fp").alias("node"), F.col("fp").alias("label"))
+    edges = written(links(items, known.count(), radius), "edges")
     roots = components(edges).withColumnRenamed("node", "fp")
     member = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = written(member, "members")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     found = written(member.join(least, "root").select("fp", "n", "component_id"), "labels")
-    return lookup(docs, found, "fp", "n", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return lookup(docs, found, "fp", "n", docs.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def prints(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """key, digest (of the words in lower case, 128 bits) and fp for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(1)]
+            digests = [hashlib.md5(b" ".join(x.lower().split()), usedforsecurity=False).digest() for x in texts]
+            fps = np.array([fingerprint(x, size) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps)], ["key", "digest", "fp"])
+
+    slim = columns(docs, key=key, text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, digest binary, fp long")
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """docs(node, text binary) to node and the sorted distinct hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, join = xxhash.xxh64_intdigest, b" ".join
+        for batch in batches:
+            sets = []
+            for x in batch.column(1):
+                words = x.as_py().lower().split()
+                sets.append(np.unique(np.array([h(join(g)) for g in zip(*(words[i:] for i in range(min(size, len(words) or 1))))] if words else [], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs(a, b) those whose shingle sets have that Jaccard similarity or more."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= (similarity - 1e-12) * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, feature: int = FEATURE, radius: int = WIDE) -> DataFrame:
+    """key and group for every row: rows of one group are linked by texts whose sets of word shingles have that Jaccard
+    similarity or more, among all pairs whose fingerprints differ in `radius` bits or fewer.
+
+    The fingerprint, over shingles of `feature` words, only finds the pairs; each that links is checked exactly, first
+    along a spanning forest of the pairs found, then between those parts of a tree that the check left apart: so no link
+    within the radius is lost, and the pairs of a group of copies are never all listed. Texts with equal words in lower
+    case are one node; texts without words are alike. A text of fewer words than a shingle is one shingle. A null text
+    is empty. Rows with one key must have one text; null keys are a key. A very long text is hashed whole. An empty table
+    gives no rows; other columns are ignored.
+    """
+    rows = written(prints(docs, key, text, feature), "prints")
+    nodes = rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), F.count("*").alias("n"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
+    edges = written(spanning(links(nodes.select("fp", "node", F.col("node").alias("label")), nodes.count(), radius), "tree"), "forest")
+    trees = components(edges, "trees")
+    slim = columns(docs, key=key, text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    ours = nodes.join(trees.select("node"), "node", "left_semi").select("key", "node")
+    texts = slim.join(ours, slim["key"].eqNullSafe(ours["key"])).select("node", "text").dropDuplicates(["node"])
+    sets = written(shingle_sets(texts, size), "shingles")
+    sure = written(verified(edges, sets, similarity), "sure")
+    label = trees.join(components(sure, "sure").withColumnRenamed("root", "label"), "node", "left").select("node", "root", F.coalesce("label", "node").alias("label"))
+    label = written(label, "parts")
+    apart = label.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
+    open_ = written(label.join(apart, "root").select("node", "label").join(nodes.select("node", "fp"), "node").select("fp", "node", "label"), "open")
+    more = written(verified(links(open_, open_.count(), radius, pairs=True), sets, similarity), "more")
+    roots = components(sure.unionByName(more), "copies")
+    group = nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("group"))
+    return lookup(rows.select("key", "digest"), written(group, "groups"), "digest", "n", rows.count()).select(F.col("key").alias(key), "group")
 
 
 def op5_simhash_gray_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
