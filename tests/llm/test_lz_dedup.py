@@ -51,7 +51,7 @@ def test_small_alphabet_and_overlaps(spark):
         check(df.collect(), L.dedup(df, window=window).collect(), window)
 
 
-def test_copies_that_begin_in_a_block_with_a_cut_of_its_own(spark):
+def test_copies_that_begin_in_a_slice_with_a_cut_of_its_own(spark):
     """Pairs end alike, a few words before a passage that other documents hold too."""
     rng = random.Random(5)
     some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
@@ -61,3 +61,53 @@ def test_copies_that_begin_in_a_block_with_a_cut_of_its_own(spark):
         rows += [some(50) + same + passage for _ in range(2)] + [some(50) + passage for _ in range(4)]
     df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
     check(df.collect(), L.dedup(df).collect())
+
+
+def plain_parse(docs, window):
+    """Slices of each document, a dictionary of their words, and a walk from left to right."""
+    where, parsed = {}, {}
+    for d in sorted(docs, key=lambda d: d.doc_id):
+        w = (d.text or "").encode().split()
+        if len(w) >= window:
+            s = L.Sliced(w, window)
+            parsed[d.doc_id] = [(int(a), tuple(w[a : b + window])) for a, b, real in zip(s.lo, s.hi, s.real) if real]
+            for k, (a, x) in enumerate(parsed[d.doc_id]):
+                where.setdefault(x, []).append((d.doc_id, k, a))
+    out = {}
+    for key, slices in parsed.items():
+        found, last = [], None
+        for a, x in slices:
+            here = min(where[x])
+            if len(where[x]) == 1:
+                last = None
+            elif last and here[0] == last[0] and here[1] == last[1] + 1:
+                found[-1][1] = a + len(x) - found[-1][0]
+                last = here
+            else:
+                found.append([a, len(x), here[0], here[2]])
+                last = here
+        out[key] = [tuple(f) for f in found]
+    return out
+
+
+def test_factors_are_those_of_a_plain_parse(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"])
+    rows, given = L.dedup(docs).collect(), docs.collect()
+    want, words = plain_parse(given, 35), {d.doc_id: (d.text or "").encode().split() for d in given}
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in rows}
+    assert got == {k: want.get(k, []) for k in got} and sum(map(len, got.values())) > 100
+    assert max(f[1] for x in got.values() for f in x) > 100
+    for key, found in got.items():
+        for start, length, source, at in found:
+            assert length >= 35 and words[key][start : start + length] == words[source][at : at + length]
+
+
+def test_a_forced_clash_of_hashes_removes_nothing(spark, monkeypatch):
+    """The first hash is the same for all slices and windows of one length: the second tells them apart."""
+    rolled = L.Sliced.rolled
+    monkeypatch.setattr(L.Sliced, "tiles", lambda self, which: rolled(self, *[x for x in (L.np.where(self.real, self.lo, 0), L.np.where(self.real, self.hi - self.lo + self.window, 0))], 1) % L.np.uint64(1 if which == 0 else 2**63))
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(10**9)}" for _ in range(80))) for k in range(20)]
+    rows += [(100 + k, rows[k][1]) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df.collect(), L.dedup(df).collect())
