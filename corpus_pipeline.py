@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import fresh, release, shared_dir, shipped, table
 from tidewheel.llm.cotraining import classify
-from tidewheel.llm.decontamination import contaminated
+from tidewheel.llm.decontamination import contaminated, place_of
 from tidewheel.llm.packing import pack
 from tidewheel.llm.secret_ledger import redacted, scan
 from tidewheel.llm.simhash_dedup import near_copies
@@ -54,7 +54,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     release(spark)
     key = fresh(docs, "key")
     hits = contaminated(docs, table(spark, sf_dir, "benchmark"), keep_place=True).select(F.col("place").alias(key)).distinct()
-    return docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(hits, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, place_of("doc_id", "text")).join(hits, key, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ to it: the weighted Jaccard similarity of their word shingles, weighed by how of
 1. Windows that share no shingle with any item have similarity 0. A similar window shares so many that one lies at a
    sampled place (every stride-th word of the document, the stride following from the items' sizes), so only windows
    around sampled shingles that an item has are fingerprinted: none that matters is lost.
-2. Each such window gets the SimHash of its weighted shingles. Fingerprints meet in a multi-index of eight blocks of
-   eight bits: two that differ in at most 8 * PROBE + 7 bits differ in at most PROBE bits of one block, so entering each
-   item under all block values within PROBE bits finds all of them.
+2. Each such window gets the SimHash of its weighted shingles. Fingerprints meet in a multi-index of eight parts of
+   eight bits: two that differ in at most 8 * PROBE + 7 bits differ in at most PROBE bits of one part, so entering each
+   item under all values of a part within PROBE bits finds all of them. A window looks up only items that it shares a
+   sampled shingle with, so the work follows the shared shingles and not the number of items.
 3. Pairs within that radius are verified by their exact similarity.
 """
 
@@ -22,16 +23,19 @@ from pyspark.sql import functions as F
 from .common import columns, table, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of a block that may differ; the radius is 23 of 64 bits. At similarity 0.8 fingerprints differ in 9.7 bits on
+#: Bits of a part that may differ; the radius is 23 of 64 bits. At similarity 0.8 fingerprints differ in 9.7 bits on
 #: average, with a standard deviation of 2.9.
-PROBE, BLOCKS = 2, 8
-RADIUS = BLOCKS * PROBE + BLOCKS - 1
+PROBE, PARTS = 2, 8
+RADIUS = PARTS * PROBE + PARTS - 1
 #: Item shingles, at most, that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Slots of the places of documents with anchors; as many rows, at most, are broadcast to keep other texts from the shuffle.
-FILTER = 1 << 20
-#: 21-bit counters in a long: so a window may have 2**21 - 1 shingles.
-LANE = (1 << 42) | (1 << 21) | 1
+#: Two 32-bit counters in a long: no text has 2**31 shingles.
+LANE = (1 << 32) | 1
+
+
+def place_of(doc_id: str, text: str) -> Column:
+    """128 bits that rows with equal id and text share; a null text counts as empty."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))))
 
 
 def words_of(text: Column) -> Column:
@@ -47,16 +51,16 @@ def shingles(words: Column, first: Column, last: Column, size: Column, step: int
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys and fp, from rows of keys and h: bit b is set if it is in over half of the h."""
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANE))).alias(f"s{j}") for j in range(21)]
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n_h"), *lanes, F.sum(F.shiftrightunsigned("h", 63)).alias("s63"))
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANE))).alias(f"s{j}") for j in range(32)]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n_h"), *lanes)
     fp = F.lit(0).cast("long")
     for b in range(64):
-        count = F.col("s63") if b == 63 else F.shiftrightunsigned(f"s{b % 21}", 21 * (b // 21)).bitwiseAND(F.lit((1 << 21) - 1))
+        count = F.shiftrightunsigned(f"s{b % 32}", 32 * (b // 32)).bitwiseAND(F.lit((1 << 32) - 1))
         fp = fp.bitwiseOR(F.when(count * 2 > F.col("n_h"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
     return sums.select(*keys, fp.alias("fp"))
 
 
-def block(fp: Column, j: int) -> Column:
+def part(fp: Column, j: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * j).bitwiseAND(F.lit(255)).cast("int")
 
 
@@ -75,19 +79,19 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     Words are runs of letters and digits in lower case. An item of fewer words than a shingle is one shingle; a document
     of fewer words than the item is one window. Null, empty and wordless texts and items match nothing. Repeated items
     count once; of items with one id the most similar counts. Repeated rows come out repeated; null ids are kept. Empty
-    tables give no rows; other columns are ignored. keep_place: add place, a hash that rows with equal id and text share.
+    tables give no rows; other columns are ignored. A very long text is looked up by single sampled shingles, and its
+    windows come one a row. keep_place: add place, as place_of gives it.
     """
     items = columns(items, item_id=item_id, words=words_of(F.col(item_text))).where(F.size("words") > 0).distinct()
-    items = items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(size)).alias("k"))
+    items = items.select(F.unhex(F.md5(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit(":"), F.array_join("words", " ")))).alias("item"), "item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(size)).alias("k"))
     items = written(items, "items")
     in_items = items.select("item", "n", "k", "words", F.explode(shingles(F.col("words"), F.lit(0), F.col("n") - F.col("k"), F.col("k"))).alias("s")).select("item", "n", "k", F.col("s.h").alias("h"))
     in_items = written(in_items, "item-shingles")
-    known = in_items.select("h", "k", "n").distinct()
+    known = in_items.select("h", "k", "n", "item").distinct()
     small = in_items.count() <= BROADCAST_ROWS
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    docs = columns(docs, doc_id=doc_id, text=F.coalesce(F.col(text), F.lit("")))
-    docs = docs.withColumn("place", F.xxhash64("doc_id", "text"))
+    docs = columns(docs, doc_id=doc_id, text=F.coalesce(F.col(text), F.lit(""))).withColumn("place", place_of("doc_id", "text"))
     anchors = None
     sizes: dict[int, list[int]] = {}
     for r in items.select("n", "k").distinct().collect():  # the sizes of items
@@ -98,37 +102,34 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         found = at.select("place", "n_words", F.col("s.at").alias("at"), F.col("s.h").alias("h")).join(near(known.where(F.col("k") == k)), "h")
         anchors = found if anchors is None else anchors.unionByName(found)
     if anchors is None:
-        anchors = docs.select("place", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(0).alias("n")).limit(0)
+        anchors = docs.select("place", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.col("place").alias("item")).limit(0)
     least, most = F.greatest(F.col("at") - F.col("n") + F.col("k"), F.lit(0)), F.least(F.col("at"), F.col("n_words") - F.col("n"))
     starts = F.when(F.col("n_words") <= F.col("n"), F.array(F.lit(0))).otherwise(F.sequence(least, F.greatest(most, least)))
-    anchors = written(anchors.distinct(), "anchors")
-    # A passage's anchors ask for many windows in common: one row a window.
-    windows = anchors.select("place", "n", "k", F.least("n", "n_words").alias("length"), F.explode(starts).alias("start")).distinct()
-    windows = written(windows.groupBy("place").agg(F.collect_list(F.struct("n", "k", "length", "start")).alias("windows")), "windows")
-
-    # Texts without anchors need not move: most drop out by a table of at most FILTER places, the rest in the join.
-    slot = lambda: F.pmod("place", F.lit(FILTER)).alias("slot")
-    near_slots = F.broadcast(windows.select(slot()).distinct())
-    texts = docs.withColumn("slot", slot()).join(near_slots, "slot", "left_semi").drop("slot")
-    one = texts.join(windows.select("place").hint("merge"), "place", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("row = 1")
+    anchors = written(anchors.drop("h").distinct(), "anchors")
+    # A passage's anchors ask for many windows in common: one row a window and item.
+    asked = anchors.select("place", "item", "n", "k", F.least("n", "n_words").alias("length"), F.explode(starts).alias("start")).distinct()
+    asked = written(asked, "asked")
+    windows = asked.drop("item").distinct()
+
+    one = docs.join(windows.select("place").hint("merge"), "place", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("row = 1")
     one = one.select("place", words_of(F.col("text")).alias("words"))
     every = lambda k: F.transform(shingles(F.col("words"), F.lit(0), F.size("words") - k, F.lit(k)), lambda s: s["h"])
     one = one.select("place", *[every(k).alias(f"h{k}") for k in sizes] or [F.expr("CAST(NULL AS ARRAY<BIGINT>)").alias("h0")])
-    # A document's shingles are hashed once, before it meets its windows; each window takes its part.
-    own = lambda w: F.slice(F.coalesce(*[F.when(w["k"] == k, F.col(f"h{k}")) for k in sizes] or [F.col("h0")]), w["start"] + 1, w["length"] - w["k"] + 1)
-    each = F.transform("windows", lambda w: F.struct(w["n"].alias("n"), w["length"].alias("length"), w["start"].alias("start"), own(w).alias("hashes")))
-    hashed = written(one.join(windows.hint("merge"), "place").select("place", F.explode(each).alias("w")).select("place", "w.*"), "window-shingles")
-    prints = written(simhash(hashed.select("place", "n", "start", F.explode("hashes").alias("h")), ["place", "n", "start"]), "window-fingerprints")
+    # A document's shingles are hashed once, before it meets its windows; each window, a row of its own, takes its part.
+    own = F.slice(F.coalesce(*[F.when(F.col("k") == k, F.col(f"h{k}")) for k in sizes] or [F.col("h0")]), F.col("start") + 1, F.col("length") - F.col("k") + 1)
+    hashed = written(windows.join(one.hint("merge"), "place").select("place", "n", "length", "start", own.alias("hashes")), "window-shingles")
+    prints = simhash(hashed.select("place", "n", "start", F.explode("hashes").alias("h")), ["place", "n", "start"])
+    prints = written(prints.join(asked.select("place", "n", "start", "item"), ["place", "n", "start"]), "window-fingerprints")
     targets = written(simhash(in_items, ["item", "n"]), "item-fingerprints")
 
     probes = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.value"))) <= PROBE)
-    blocks = lambda df: df.withColumn("b", F.explode(F.array(*[F.struct(F.lit(j).alias("no"), block(F.col("fp"), j).alias("value")) for j in range(BLOCKS)])))
-    index = blocks(targets).select("item", "n", F.col("fp").alias("item_fp"), F.col("b.no").alias("no"), F.explode(probes).alias("value"))
+    parts = lambda df: df.withColumn("b", F.explode(F.array(*[F.struct(F.lit(j).alias("no"), part(F.col("fp"), j).alias("value")) for j in range(PARTS)])))
+    index = parts(targets).select("item", "n", F.col("fp").alias("item_fp"), F.col("b.no").alias("no"), F.explode(probes).alias("value"))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    first = F.lit(True)  # a pair that meets in several blocks counts in the first
-    for j in range(BLOCKS):
-        first = first & ((F.col("no") <= j) | (F.bit_count(block(differ, j)) > PROBE))
-    met = blocks(prints).select("place", "n", "start", "fp", F.col("b.no").alias("no"), F.col("b.value").alias("value")).join(index, ["n", "no", "value"])
+    first = F.lit(True)  # a pair that meets in several parts counts in the first
+    for j in range(PARTS):
+        first = first & ((F.col("no") <= j) | (F.bit_count(part(differ, j)) > PROBE))
+    met = parts(prints).select("place", "n", "start", "item", "fp", F.col("b.no").alias("no"), F.col("b.value").alias("value")).join(index, ["item", "n", "no", "value"])
     pairs = written(met.where(first & (F.bit_count(differ) <= RADIUS)).select("place", "n", "start", "item"), "pairs")
 
     mine = pairs.join(hashed, ["place", "n", "start"]).select("place", "n", "length", "start", "item", F.size("hashes").alias("own"), F.explode("hashes").alias("h"))
@@ -144,6 +145,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with their best window; see contaminated for nulls, ties and empty tables."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
