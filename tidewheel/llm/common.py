@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: A key is hot when it holds more than half of the rows of a mean partition, and more than this many.
 HOT_LEAST = 1000
 
+#: Rows of a file of a scratch table, about, where their number is known.
+FILE_ROWS = 50_000
+
 _written: list[str] = []
 
 
@@ -58,11 +61,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later stages no longer depend on its lineage, and
-    lost executors cost nothing that was finished."""
+    lost executors cost nothing that was finished. rows: how many there are at most, for as many files as they need."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -119,25 +122,26 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     is the least node by signed order among those that became a root: an arbitrary but fixed member of the component.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
+    n = edges.count()
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges", n)
     nodes = None
     while not edges.isEmpty():
         up = both(edges).groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("up"))
-        up = written(up, f"{label}-up")
+        up = written(up, f"{label}-up", 2 * n)
         while True:
             over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = written(up.join(over, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), f"{label}-jump")
+            jumped = written(up.join(over, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), f"{label}-jump", 2 * n)
             up = jumped.select("node", "up")
             if jumped.where("moved").isEmpty():
                 break
         to = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}2"))
         left = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        edges = written(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
+        edges = written(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges", n)
         if nodes is None:
             nodes = up.select("node", F.col("up").alias("root"))
         else:
             over = up.select(F.col("node").alias("root"), "up")
-            nodes = written(nodes.join(over, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{label}-nodes")
+            nodes = written(nodes.join(over, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{label}-nodes", 2 * n)
     if nodes is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes
@@ -150,18 +154,19 @@ def spanning(edges: DataFrame, label: str = "spanning") -> DataFrame:
     nodes, which is carried along.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = written(edges.where("a <> b").select(low.alias("a"), high.alias("b"), low.alias("x"), high.alias("y")).distinct(), f"{label}-edges")
+    n = edges.count()
+    edges = written(edges.where("a <> b").select(low.alias("a"), high.alias("b"), low.alias("x"), high.alias("y")).distinct(), f"{label}-edges", n)
     trees = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "x", "y"))
         up = both.groupBy("a").agg(F.min(F.struct("b", "x", "y")).alias("to")).where("to.b < a")
-        up = written(up.select(F.col("a").alias("node"), F.col("to.b").alias("up"), "to.x", "to.y"), f"{label}-up")
+        up = written(up.select(F.col("a").alias("node"), F.col("to.b").alias("up"), "to.x", "to.y"), f"{label}-up", 2 * n)
         trees.append(up.select(F.col("x").alias("a"), F.col("y").alias("b")))
         root = components(up.select(F.col("node").alias("a"), F.col("up").alias("b")), f"{label}-roots")
         to = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))
         left = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "x", "y").where("a <> b")
         left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y").groupBy("a", "b").agg(F.min(F.struct("x", "y")).alias("of"))
-        edges = written(left.select("a", "b", "of.x", "of.y"), f"{label}-edges")
+        edges = written(left.select("a", "b", "of.x", "of.y"), f"{label}-edges", n)
     if not trees:
         return edges.select("a", "b")
     return reduce(DataFrame.unionByName, trees)

@@ -109,6 +109,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     # A passage's anchors ask for many windows in common: one row a window and item.
     asked = anchors.select("place", "item", "n", "k", F.least("n", "n_words").alias("length"), F.explode(starts).alias("start")).distinct()
     asked = written(asked, "asked")
+    n = asked.count()
     windows = asked.drop("item").distinct()
 
     one = docs.join(windows.select("place").hint("merge"), "place", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("row = 1")
@@ -117,9 +118,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     one = one.select("place", *[every(k).alias(f"h{k}") for k in sizes] or [F.expr("CAST(NULL AS ARRAY<BIGINT>)").alias("h0")])
     # A document's shingles are hashed once, before it meets its windows; each window, a row of its own, takes its part.
     own = F.slice(F.coalesce(*[F.when(F.col("k") == k, F.col(f"h{k}")) for k in sizes] or [F.col("h0")]), F.col("start") + 1, F.col("length") - F.col("k") + 1)
-    hashed = written(windows.join(one.hint("merge"), "place").select("place", "n", "length", "start", own.alias("hashes")), "window-shingles")
+    hashed = written(windows.join(one.hint("merge"), "place").select("place", "n", "length", "start", own.alias("hashes")), "window-shingles", n)
     prints = simhash(hashed.select("place", "n", "start", F.explode("hashes").alias("h")), ["place", "n", "start"])
-    prints = written(prints.join(asked.select("place", "n", "start", "item"), ["place", "n", "start"]), "window-fingerprints")
+    prints = written(prints.join(asked.select("place", "n", "start", "item"), ["place", "n", "start"]), "window-fingerprints", n)
     targets = written(simhash(in_items, ["item", "n"]), "item-fingerprints")
 
     probes = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.value"))) <= PROBE)
@@ -130,7 +131,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     for j in range(PARTS):
         first = first & ((F.col("no") <= j) | (F.bit_count(part(differ, j)) > PROBE))
     met = parts(prints).select("place", "n", "start", "item", "fp", F.col("b.no").alias("no"), F.col("b.value").alias("value")).join(index, ["item", "n", "no", "value"])
-    pairs = written(met.where(first & (F.bit_count(differ) <= RADIUS)).select("place", "n", "start", "item"), "pairs")
+    pairs = written(met.where(first & (F.bit_count(differ) <= RADIUS)).select("place", "n", "start", "item"), "pairs", n)
 
     mine = pairs.join(hashed, ["place", "n", "start"]).select("place", "n", "length", "start", "item", F.size("hashes").alias("own"), F.explode("hashes").alias("h"))
     mine = mine.groupBy("place", "n", "length", "start", "item", "own", "h").agg(F.count("*").alias("c"))
@@ -139,7 +140,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     total = items.select("item", "item_id", (F.col("n") - F.col("k") + 1).alias("size"))
     verified = shared.join(total, "item").withColumn("similarity", F.col("both") / (F.col("own") + F.col("size") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "length")).alias("best")
-    hits = written(verified.groupBy("place", "item_id").agg(best), "hits")
+    hits = written(verified.groupBy("place", "item_id").agg(best), "hits", n)
     out = docs.select("doc_id", "place").join(hits, "place")
     return out.select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).cast("long").alias("start_word"), F.col("best.length").cast("long").alias("n_words"), *["place"] * keep_place)
 

@@ -225,7 +225,9 @@ def links(items: DataFrame, rows: int, radius: int = RADIUS, pairs: bool = False
         return pd.DataFrame({"a": a, "b": b})
 
     crossed = units.groupBy("bucket", "lo", "hi").applyInPandas(across, "a long, b long")
-    return found.where("a IS NOT NULL").select("a", "b").unionByName(crossed).distinct()
+    crossed = written(crossed, "crossed", border.count())
+    edges = found.where("a IS NOT NULL").select("a", "b").unionByName(crossed)
+    return written(edges.distinct(), "edges", edges.count())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -239,12 +241,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = written(fingerprints(docs, doc_id, text, size), "fingerprints")
     known = written(docs.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
     items = known.select("fp", F.col("fp").alias("node"), F.col("fp").alias("label"))
-    edges = written(links(items, known.count(), radius), "edges")
+    edges = links(items, known.count(), radius)
     roots = components(edges).withColumnRenamed("node", "fp")
     member = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = written(member, "members")
+    member = written(member, "members", known.count())
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = written(member.join(least, "root").select("fp", "n", "component_id"), "labels")
+    found = written(member.join(least, "root").select("fp", "n", "component_id"), "labels", known.count())
     return lookup(docs, found, "fp", "n", docs.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -307,21 +309,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     rows = written(prints(docs, key, text, feature), "prints")
     nodes = rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), F.count("*").alias("n"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
-    edges = written(spanning(links(nodes.select("fp", "node", F.col("node").alias("label")), nodes.count(), radius), "tree"), "forest")
+    edges = links(nodes.select("fp", "node", F.col("node").alias("label")), nodes.count(), radius)
+    n = edges.count()
+    edges = written(spanning(edges, "tree"), "forest", n)
     trees = components(edges, "trees")
     slim = columns(docs, key=key, text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
     ours = nodes.join(trees.select("node"), "node", "left_semi").select("key", "node")
     texts = slim.join(ours, slim["key"].eqNullSafe(ours["key"])).select("node", "text").dropDuplicates(["node"])
     sets = written(shingle_sets(texts, size), "shingles")
-    sure = written(verified(edges, sets, similarity), "sure")
+    sure = written(verified(edges, sets, similarity), "sure", n)
     label = trees.join(components(sure, "sure").withColumnRenamed("root", "label"), "node", "left").select("node", "root", F.coalesce("label", "node").alias("label"))
-    label = written(label, "parts")
+    label = written(label, "parts", 2 * n)
     apart = label.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
-    open_ = written(label.join(apart, "root").select("node", "label").join(nodes.select("node", "fp"), "node").select("fp", "node", "label"), "open")
-    more = written(verified(links(open_, open_.count(), radius, pairs=True), sets, similarity), "more")
+    open_ = written(label.join(apart, "root").select("node", "label").join(nodes.select("node", "fp"), "node").select("fp", "node", "label"), "open", 2 * n)
+    more = links(open_, open_.count(), radius, pairs=True)
+    more = written(verified(more, sets, similarity), "more", more.count())
     roots = components(sure.unionByName(more), "copies")
     group = nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("group"))
-    return lookup(rows.select("key", "digest"), written(group, "groups"), "digest", "n", rows.count()).select(F.col("key").alias(key), "group")
+    return lookup(rows.select("key", "digest"), written(group, "groups", nodes.count()), "digest", "n", rows.count()).select(F.col("key").alias(key), "group")
 
 
 def op5_simhash_gray_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
