@@ -3,34 +3,63 @@ import json
 import random
 import threading
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewheel.functions import text as T
 from tidewheel.operators import graph, ingest, membership
+from tidewheel.plans import rules
 from tidewheel.sources import nodes
 from tidewheel.sources.store import EventLog, LatestTable
 
-EVENT = "snapshot_hash string, composite_hash string, gov_type string, k string, timestamp long"
-
-
-def replay(events, known):
-    """The definition: baseline links, overlaid by additions and removals in order."""
-    members = {(e[1], "m" + e[3]) for e in events if e[2] == "depends_on" and "m" + e[3] in known}
-    for e in sorted(events, key=lambda e: (e[4], e[0])):
-        if "m" + e[3] in known and e[2] != "depends_on":
-            (members.add if e[2] == "member_added" else members.discard)((e[1], "m" + e[3]))
+EVENT = "snapshot_hash string, model_hash string, event_type string, payload string, timestamp long"
+MODELS = [("m1", "one"), ("m2", "two"), ("m3", "m2x"), ("m4", "four")]
+
+
+def replay(events):
+    """The definition: links of relationship member_of, overlaid by additions and removals in order; references are names
+    first, then hashes."""
+    by_name, hashes = {n: h for h, n in MODELS}, {h for h, _ in MODELS}
+    get = lambda ref: by_name.get(ref) or (ref if ref in hashes else None)
+    members = set()
+    for _, group, kind, payload, _ in events:
+        p = json.loads(payload)
+        if kind == "depends_on" and p.get("relationship", "depends_on") == "member_of" and get(p["ref"]):
+            members.add((group, get(p["ref"])))
+    for _, group, kind, payload, _ in sorted(events, key=lambda e: (e[4], e[0])):
+        p = json.loads(payload)
+        if kind == "member_added" and (get(p["ref"]) or get(p["name"])):
+            members.add((group, p["ref"]))
+        elif kind == "member_removed":
+            members.discard((group, p["ref"]))
     return members
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from(["g1", "g2"]), st.sampled_from(["depends_on", "member_added", "member_removed"]), st.sampled_from("1234"), st.integers(0, 5)), min_size=1, max_size=25))
+@given(st.lists(st.tuples(st.sampled_from(["g1", "g2"]), st.sampled_from(["depends_on", "member_added", "member_removed"]), st.sampled_from(["m1", "m2", "one", "zzz"]), st.sampled_from(["two", "nobody"]), st.sampled_from(["member_of", "feeds", None]), st.integers(0, 5)), min_size=1, max_size=25))
 def test_membership_is_the_replay_of_the_log(spark, found):
-    events = [(f"s{i}", g, t, k, ts) for i, (g, t, k, ts) in enumerate(found)]
-    m = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "model_hash string")
-    got = {tuple(r) for r in membership.membership(spark.createDataFrame(events, EVENT), m).collect()}
-    assert got == replay(events, {"m1", "m2", "m3"})
+    events = []
+    for i, (g, t, ref, name, rel, ts) in enumerate(found):
+        plain = {"ref": ref, "name": name} | ({"relationship": rel} if rel else {})
+        events.append((f"s{i}", g, t, json.dumps(plain), ts))
+    given_ = [(s, g, t, json.dumps({**json.loads(p), "upstream_hash": json.loads(p)["ref"], "member_hash": json.loads(p)["ref"], "member_name": json.loads(p)["name"]}), ts) for s, g, t, p, ts in events]
+    m = spark.createDataFrame(MODELS, "model_hash string, name string")
+    got = {tuple(r) for r in membership.membership(spark.createDataFrame(given_, EVENT), m).collect()}
+    assert got == replay(events)
+
+
+def test_a_known_composite(spark):
+    """Three members, one of them removed; two observations, one resolved; one validation."""
+    link = lambda n: json.dumps({"upstream": n, "upstream_hash": "h" + n, "relationship": "member_of"})
+    of = lambda n: json.dumps({"member_hash": "h" + n, "member_name": n})
+    events = [("depends_on", link("feature_pipeline")), ("member_added", of("scoring_model")), ("member_added", of("alert_queue")), ("member_removed", of("alert_queue")),
+              ("observation_issued", '{"observation_id": "OBS-1"}'), ("observation_issued", '{"observation_id": "OBS-2"}'), ("observation_resolved", '{"observation_id": "OBS-1"}'), ("validated", "{}"), ("depends_on", '{"upstream_hash": "hother", "relationship": "feeds"}')]
+    s = spark.createDataFrame([(f"s{i}", "hgroup", t, p, i) for i, (t, p) in enumerate(events)], EVENT)
+    m = spark.createDataFrame([("h" + n, n, "o", "composite" if n in ("group", "empty") else "x", "high", "active", "{}") for n in ("group", "empty", "feature_pipeline", "scoring_model", "alert_queue", "other")], "model_hash string, name string, owner string, model_type string, tier string, status string, metadata string")
+    got = {r.name: (r.member_count, r.open_observation_count, r.last_validated) for r in membership.composite_summary(m, s).collect()}
+    assert got == {"group": (2, 1, 7), "empty": (0, 0, None)}
 
 
 def test_closure_with_cycles(spark):
@@ -49,6 +78,19 @@ def test_closure_with_cycles(spark):
     assert got == want
 
 
+def test_closure_has_no_end_but_the_graph_s(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(75)], "src string, dst string")
+    got = {r.node: r.hops for r in graph.closure(e, spark.createDataFrame([("n0",)], "root string")).collect()}
+    assert got == {f"n{i}": i for i in range(1, 76)}
+
+
+def test_trace_puts_sources_first(spark):
+    trace = lambda links, root: [(r.node, r.level) for r in graph.trace_order(spark.createDataFrame(links, "src string, dst string"), root).orderBy("position").collect()]
+    assert trace([("A", "root"), ("B", "A"), ("B", "root"), ("root", "later")], "root") == [("B", 0), ("A", 1), ("root", 2)]
+    cycle = trace([("a", "b"), ("b", "c"), ("c", "b"), ("c", "root"), ("z", "root")], "root")
+    assert sorted(x for x, _ in cycle) == ["a", "b", "c", "root", "z"] and [x for x, _ in cycle][:2] == ["a", "z"] and cycle[-1][0] == "root"
+
+
 def test_ports(spark):
     schema = "node string, identifier string, schema map<string,string>"
     out = spark.createDataFrame([("a", "X", {"model_name": "tm-%"}), ("b", "x", {}), ("c", "x", {"model_name": "tm_m2o"}), ("d", "y", {"p": "q"})], schema)
@@ -101,7 +143,34 @@ def test_texts(spark):
     assert [list(r) for r in got] == [[["a.b"], ["c.d.e", "f.g"], ["tm-%", "z"], "14 days"], [[], [], [], None], [[], [], [], None]]
 
 
-def test_content_hash_ignores_volatile_keys_and_order(spark):
-    df = spark.createDataFrame([('{"a": "1", "b": "2"}',), ('{"b": "2", "a": "1", "updated_at": "x"}',), ('{"a": "2", "b": "2"}',)], "p string")
-    a, b, c = [r[0] for r in df.select(ingest.content_hash(F.col("p"))).collect()]
-    assert a == b != c
+def test_content_hash_keeps_types_nulls_quotes_and_nesting(spark):
+    same = [('{"a": "1", "b": [1, {"d": 1, "c": 2}]}', '{"b":[1,{"c":2,"d":1}],"a":"1","updated_at":"x"}'), ('{"a": 1.0}', '{"a":1}'), ("[1, 2]", "[1,2]"), ('{"\\u00e9": "\\n"}', '{"é":"\\u000a"}')]
+    apart = ['{"a":1}', '{"a":"1"}', '{"a":null,"b":"1"}', '{"b":"1"}', '{"a":"x\\",\\"b\\":\\"y"}', '{"a":"x","b":"y"}', "{}", "[]", "bad", '{"a":true}', '{"a":"true"}', '{"a":{"b":1}}', '{"a":{"b":"1"}}', '{"a":[1,2]}', '{"a":[2,1]}']
+    df = spark.createDataFrame([(x,) for pair in same for x in pair] + [(x,) for x in apart] + [(None,)], "p string")
+    h = [r[0] for r in df.select(ingest.content_hash(F.col("p"))).collect()]
+    assert all(h[2 * i] == h[2 * i + 1] for i in range(len(same))) and len(set(h[2 * len(same) : -1])) == len(apart) and h[-1] is None
+
+
+def test_upsert_takes_the_last_of_equal_keys(spark):
+    old = spark.createDataFrame([("a", "x", 1), ("b", "x", 1)], "k string, v string, created_at long")
+    new = spark.createDataFrame([("a", "y", 5, 2), ("a", "z", 6, 1), ("c", "w", 7, 1)], "k string, v string, created_at long, at long")
+    assert sorted(map(tuple, ingest.upsert(old, new, "k", order="at").collect())) == [("a", "y", 1), ("b", "x", 1), ("c", "w", 7)]
+
+
+def test_comment_tags_and_templates(spark):
+    sql = "-- @owner:\n-- @tier: high\n  -- @Owner : b: c \n-- @tier: low\n--@no: x\n-- @bare\nselect {{a}}.{{ b }}"
+    df = spark.createDataFrame([(sql,), (None,), ("",)], "q string")
+    got = [(r[0], r[1]) for r in df.select(T.comment_tags(F.col("q")), T.strip_templates(F.col("q"))).collect()]
+    assert got[0] == ({"owner": "", "tier": "low", "Owner": "b: c"}, sql.replace("{{a}}", "a")) and got[1:] == [({}, ""), ({}, "")]
+    assert df.select(T.tag_pairs(F.array(F.lit("a:b:c"), F.lit("d"), F.lit("a:e")))).first()[0] == {"d": "", "a": "e"}
+
+
+def test_versions_of_equal_age_have_one_winner(spark, tmp_path):
+    tags = LatestTable(spark, f"{tmp_path}/t", ["k"], "v")
+    tags.put(spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 0, "z")], "k string, v long, s string"))
+    assert [tuple(r) for r in tags.read().collect()] == [("a", 1, "y")]
+
+
+def test_an_unknown_profile(spark):
+    with pytest.raises(ValueError, match="unknown profile"):
+        rules.violations(spark.range(1), "none")

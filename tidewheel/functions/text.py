@@ -16,7 +16,7 @@ WRITES = (
 FILTERS = (r"(?i)model_name\s*=\s*'([^']+)'", r"(?i)model_name\s+LIKE\s+'([^']+)'", r"(?i)'([^']+)'\s+AS\s+model_name")
 IN_LIST = r"(?i)model_name\s+IN\s*\(([^)]+)\)"
 LOOKBACK = (r"(?i)lookback\s*=\s*(\d+)", r"(?i)DATEADD\s*\(\s*day\s*,\s*-(\d+)", r"(?i)INTERVAL\s+'?(\d+)\s*(?:days?)'?")
-TEMPLATE = r"\{\{\s*(\w+)\s*\}\}"
+TEMPLATE = r"\{\{(\w+)\}\}"
 WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
@@ -49,13 +49,27 @@ def lookback(sql: Column) -> Column:
 
 
 def strip_templates(sql: Column) -> Column:
-    return F.regexp_replace(sql, TEMPLATE, "$1")
-
-
-def comment_tag(sql: Column, tag: str) -> Column:
-    """The value of the last `-- @tag: value` line."""
-    lines = F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit(rf"(?m)^\s*--\s*@{tag}:\s*(.*?)\s*$"), F.lit(1))
-    return F.try_element_at(lines, F.lit(-1))
+    """{{name}} becomes name; blanks inside the braces are left as they are, and null is an empty text."""
+    return F.regexp_replace(F.coalesce(sql, F.lit("")), TEMPLATE, "$1")
+
+
+def comment_tags(sql: Column, prefix: str = "@") -> Column:
+    """The map of the `-- @tag: value` lines, by tag; of equal tags the last line wins, and an empty value counts."""
+    start = f"-- {prefix}"
+    lines = F.transform(F.split(F.coalesce(sql, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.filter(lines, lambda x: F.startswith(x, F.lit(start)) & F.contains(F.substr(x, F.lit(len(start) + 1)), F.lit(":")))
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    pair = lambda x: F.split(F.substr(x, F.lit(len(start) + 1)), ":", 2)
+    each = F.transform(lines, lambda x: F.struct(trim(F.get(pair(x), 0)).alias("key"), trim(F.get(pair(x), 1)).alias("value")))
+    last = F.filter(each, lambda e, i: ~F.exists(F.slice(each, i + 2, F.size(each) + 1), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def tag_pairs(tags: Column) -> Column:
+    """The map of k:v tags; a tag without a colon has an empty value, and the last of equal keys wins."""
+    each = F.transform(tags, lambda x: F.struct(F.regexp_extract(x, r"(?s)^([^:]*)", 1).alias("key"), F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1).alias("value")))
+    last = F.filter(each, lambda e, i: ~F.exists(F.slice(each, i + 2, F.size(each) + 1), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
 
 
 def ordinal(day: Column) -> Column:

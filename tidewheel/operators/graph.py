@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import numbered, stored
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_hops: int = 64) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, node, hops: all that roots(root) reach along edges(src, dst), with the fewest hops; a root isn't in its own.
 
-    A frontier joins the edges, what was reached before drops out, and each round is written to the shared folder.
+    A frontier joins the edges, which are stored once; what was reached before drops out, and each round is written to the
+    shared folder. It ends when nothing new is reached, however long the paths.
     """
+    edges = stored(edges.select("src", "dst"), "edges")
     found = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct(), "reach")
     frontier, hops = found, 0
-    while hops < max_hops:
+    while True:
         hops += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(hops).alias("hops")).distinct()
-        frontier = stored(step.join(found, ["root", "node"], "left_anti"), "reach")
+        step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        frontier = stored(step.join(found, ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)), "reach")
         if frontier.isEmpty():
-            break
+            return found.where("hops > 0")
         found = found.unionByName(frontier)
-    return found.where("hops > 0")
-
-
-def escaped(pattern: Column) -> Column:
-    """A pattern in which only % is a wildcard, for ILIKE with the escape character !."""
-    return F.replace(F.replace(pattern, F.lit("!"), F.lit("!!")), F.lit("_"), F.lit("!_"))
+        if hops % 8 == 0:  # else a long walk reads ever more tables
+            found = stored(found, "reach")
 
 
 def value_matches(a: str, b: str) -> str:
@@ -49,10 +47,54 @@ def port_matches(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     return met.groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"))
 
 
-def trace_order(edges: DataFrame, root: str, max_hops: int = 64) -> DataFrame:
-    """node, position, hops: what `root` depends on, sources first (by most hops, then by name), root last."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+def connect(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new, counts) from nodes(name, inputs, outputs) and the edges(src, dst) that are known: the links to write, as
+    upstream, downstream, identifier, and one row of links_created, links_skipped."""
+    ports = lambda side: nodes.select(F.col("name").alias("node"), F.explode(side).alias("p")).select("node", "p.identifier", "p.schema")
+    old = edges.select(F.col("src").alias("upstream"), F.col("dst").alias("downstream"), F.lit(True).alias("known")).distinct()
+    met = port_matches(ports("outputs"), ports("inputs")).join(old, ["upstream", "downstream"], "left")
+    counts = met.agg(F.count_if(F.col("known").isNull()).alias("links_created"), F.count_if(F.col("known")).alias("links_skipped"))
+    return met.where("known IS NULL").drop("known"), counts
+
+
+def dependencies(s: DataFrame, m: DataFrame, known: DataFrame) -> DataFrame:
+    """model_hash, direction, relationship, other_hash, other_name for each link event whose target a model is (by name,
+    else by hash). s: model_hash, event_type, payload; known: names(m)."""
+    of = s.where(F.col("event_type").isin("depends_on", "has_dependent")).select("model_hash", "event_type", F.from_json("payload", "relationship string, upstream_hash string, downstream_hash string").alias("p"))
+    up = F.col("event_type") == "depends_on"
+    target = F.when(up, F.col("p.upstream_hash")).otherwise(F.col("p.downstream_hash"))
+    of = of.select("model_hash", F.when(up, "upstream").otherwise("downstream").alias("direction"), F.coalesce("p.relationship", F.lit("depends_on")).alias("relationship"), target.alias("key"))
+    found = of.where("key <> ''").join(known, "key").withColumnRenamed("found", "other_hash")
+    return found.join(m.select(F.col("model_hash").alias("other_hash"), F.col("name").alias("other_name")), "other_hash").select("model_hash", "direction", "relationship", "other_hash", "other_name")
+
+
+def trace_order(edges: DataFrame, root: str) -> DataFrame:
+    """node, position, level, hops: what `root` depends on, each after all that it depends on itself, root last.
+
+    level is the length of the longest path that leads to a node; within a level nodes are in order of name. Nodes that lie
+    on, or behind, a cycle can't all come after their sources: when no other node is left, those farthest from the root
+    (by fewest hops) are taken next.
+    """
     spark = edges.sparkSession
-    found = closure(back, spark.createDataFrame([(root,)], "root string"), max_hops).select("node", "hops")
-    found = found.unionByName(spark.createDataFrame([(root, 0)], "node string, hops int"))
-    return found.withColumn("position", F.row_number().over(Window.orderBy(F.desc("hops"), "node")))
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    one = spark.createDataFrame([(root,)], "root string")
+    hops = stored(closure(back, one).select("node", "hops").unionByName(one.select(F.col("root").alias("node"), F.lit(0).alias("hops"))), "hops")
+    inside = edges.where("src <> dst").join(hops.select(F.col("node").alias("src")), "src", "left_semi").join(hops.select(F.col("node").alias("dst")), "dst", "left_semi")
+    links = stored(inside.select("src", "dst"), "links")
+    left, done, level = hops, [], 0
+    while True:
+        ready = left.join(links.select(F.col("dst").alias("node")), "node", "left_anti")
+        if ready.isEmpty():
+            if (most := left.agg(F.max("hops")).first()[0]) is None:
+                break
+            ready = left.where(F.col("hops") == most)
+        ready = stored(ready.withColumn("level", F.lit(level)), "level")
+        done.append(ready)
+        left = stored(left.join(ready.select("node"), "node", "left_anti"), "left")
+        links = stored(links.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "links")
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return numbered(out, "position", "level", "node").select("node", "position", "level", "hops")

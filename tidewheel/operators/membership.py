@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MEMBERS = ("depends_on", "member_added", "member_removed")
+OBSERVATIONS = ("observation_issued", "observation_resolved")
+#: The keys of payloads that governance reads.
+KEYS = "relationship string, upstream_hash string, downstream_hash string, member_hash string, member_name string, observation_id string"
+
 
 def latest(df: DataFrame, *keys: str) -> DataFrame:
     """The newest row of each key, ties by snapshot_hash. Spark keeps one row a key before the shuffle too."""
@@ -12,52 +17,84 @@ def latest(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def member_events(s: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(baseline, operations): the group, member pairs linked at first, and the later additions and removals. Members
-    that no model has are left out before anything is ranked."""
-    known = m.select(F.col("model_hash").alias("member_hash"))
-    of = s.where(F.col("gov_type").isin("depends_on", "member_added", "member_removed")).select(
-        F.col("composite_hash").alias("group_hash"), F.concat(F.lit("m"), "k").alias("member_hash"), "gov_type", "timestamp", "snapshot_hash"
-    )
-    of = of.join(known, "member_hash", "left_semi")
-    return of.where("gov_type = 'depends_on'"), of.where("gov_type <> 'depends_on'")
+def names(m: DataFrame) -> DataFrame:
+    """key, found: the model that a reference means, by name if one has it, else by hash."""
+    by = lambda c, order: m.select(F.col(c).alias("key"), F.lit(order).alias("by"), "model_hash")
+    both = by("name", 0).unionByName(by("model_hash", 1)).where("key IS NOT NULL")
+    return both.groupBy("key").agg(F.min(F.struct("by", "model_hash"))["model_hash"].alias("found"))
 
 
-def membership(s: DataFrame, m: DataFrame, until: Column | None = None) -> DataFrame:
-    """group_hash, member_hash: who is a member now, or was at `until` (inclusive)."""
+def facts(s: DataFrame, m: DataFrame, until: Column | None = None, types: tuple[str, ...] = (*MEMBERS, *OBSERVATIONS, "validated")) -> DataFrame:
+    """One row for each group and member, observation, or (key "") its validations: group_hash, kind, key, linked, added
+    (null without such events, else whether the last one added), issued, resolved, at. One pass over the log.
+
+    s: snapshot_hash, model_hash, timestamp, event_type, payload. A link counts if its relationship is member_of and a model
+    has its upstream_hash as name or hash; an addition if a model has its member_hash or member_name as name or hash; a
+    removal always. Observations without an id don't count.
+    """
+    kind = F.col("event_type")
+    s = s.where(kind.isin(*types))
     if until is not None:
         s = s.where(F.col("timestamp") <= until)
-    baseline, operations = member_events(s, m)
-    last = latest(operations, "group_hash", "member_hash")
-    pair = ["group_hash", "member_hash"]
-    added, removed = (last.where(F.col("gov_type") == t).select(*pair) for t in ("member_added", "member_removed"))
-    return baseline.select(*pair).unionByName(added).distinct().join(removed, pair, "left_anti")
+    rows = s.select("snapshot_hash", F.col("model_hash").alias("group_hash"), "event_type", "timestamp", F.from_json("payload", KEYS).alias("p"))
+    rows = rows.where((kind != "depends_on") | (F.col("p.relationship") == "member_of"))
+    # References are looked up; other rows get a key that no model has, all of them different, so that none is hot.
+    none = F.concat(F.lit("\0"), "snapshot_hash")
+    keys = F.when(kind == "depends_on", F.array("p.upstream_hash")).when(kind == "member_added", F.array("p.member_hash", "p.member_name"))
+    rows = rows.withColumn("key", F.explode(F.coalesce(keys, F.array(none)))).withColumn("key", F.coalesce("key", none))
+    rows = rows.join(names(m), "key", "left")
+    looked = kind.isin("depends_on", "member_added")
+    observed = kind.isin(*OBSERVATIONS)
+    rows = rows.where((~looked | F.col("found").isNotNull()) & (~observed | (F.coalesce("p.observation_id", F.lit("")) != "")))
+    what = F.when(kind == "depends_on", F.col("found")).when(observed, F.col("p.observation_id")).when(kind == "validated", "").otherwise(F.coalesce("p.member_hash", F.lit("")))
+    rows = rows.select("group_hash", F.when(observed, "observation").when(kind == "validated", "validated").otherwise("member").alias("kind"), what.alias("key"), "event_type", "timestamp", "snapshot_hash")
+    changed = kind.isin("member_added", "member_removed")
+    return rows.groupBy("group_hash", "kind", "key").agg(
+        F.max(kind == "depends_on").alias("linked"),
+        F.max(F.when(changed, F.struct("timestamp", "snapshot_hash", (kind == "member_added").alias("added"))))["added"].alias("added"),
+        F.max(kind == "observation_issued").alias("issued"), F.max(kind == "observation_resolved").alias("resolved"), F.max("timestamp").alias("at"),
+    )
+
+
+MEMBER = "kind = 'member' AND coalesce(added, linked)"
+OPEN = "kind = 'observation' AND issued AND NOT resolved"
+
+
+def membership(s: DataFrame, m: DataFrame, until: Column | None = None) -> DataFrame:
+    """group_hash, member_hash: who is a member now, or was at `until` (inclusive)."""
+    return facts(s, m, until, MEMBERS).where(MEMBER).select("group_hash", F.col("key").alias("member_hash"))
 
 
 def open_observations(s: DataFrame) -> DataFrame:
     """group_hash, observation_id: issued and never resolved; blank ids don't count."""
-    of = s.where(F.col("gov_type").isin("observation_issued", "observation_resolved") & (F.coalesce("k", F.lit("")) != ""))
-    by = of.groupBy(F.col("composite_hash").alias("group_hash"), F.col("k").alias("observation_id"))
-    count = lambda t: F.count_if(F.col("gov_type") == t)
+    of = s.where(F.col("event_type").isin(*OBSERVATIONS)).select("model_hash", "event_type", F.get_json_object("payload", "$.observation_id").alias("id"))
+    by = of.where("id <> ''").groupBy(F.col("model_hash").alias("group_hash"), F.col("id").alias("observation_id"))
+    count = lambda t: F.count_if(F.col("event_type") == t)
     return by.agg(count("observation_issued").alias("i"), count("observation_resolved").alias("r")).where("i > 0 AND r = 0").select("group_hash", "observation_id")
 
 
 def last_validated(s: DataFrame) -> DataFrame:
-    return s.where("gov_type = 'validated'").groupBy(F.col("composite_hash").alias("group_hash")).agg(F.max("timestamp").alias("last_validated"))
+    return s.where("event_type = 'validated'").groupBy(F.col("model_hash").alias("group_hash")).agg(F.max("timestamp").alias("last_validated"))
 
 
 def composite_summary(m: DataFrame, s: DataFrame, model_types: tuple[str, ...] = ("composite",)) -> DataFrame:
-    """One row for each group: identity, member count, last validation, open observations."""
+    """One row for each group: identity, member count, last validation, open observations, metadata."""
     groups = m.where(F.col("model_type").isin(*model_types))
-    mine = s.where(F.col("gov_type").isin("depends_on", "member_added", "member_removed", "observation_issued", "observation_resolved", "validated"))
-    mine = mine.join(groups.select(F.col("model_hash").alias("composite_hash")), "composite_hash", "left_semi")
-    counts = membership(mine, m).groupBy("group_hash").agg(F.count("*").alias("members"))
-    opened = open_observations(mine).groupBy("group_hash").agg(F.count("*").alias("opened"))
-    out = groups.withColumn("group_hash", F.col("model_hash"))
-    for part in (counts, last_validated(mine), opened):
-        out = out.join(part, "group_hash", "left")
+    mine = s.join(groups.select("model_hash"), "model_hash", "left_semi")
+    by = facts(mine, m).groupBy(F.col("group_hash").alias("model_hash")).agg(
+        F.count_if(F.expr(MEMBER)).alias("members"), F.count_if(F.expr(OPEN)).alias("opened"), F.max(F.when(F.col("kind") == "validated", F.col("at"))).alias("last_validated")
+    )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select("model_hash", "name", "owner", "model_type", "tier", "status", zero("members").alias("member_count"), zero("opened").alias("open_observation_count"), "last_validated")
+    out = groups.join(by, "model_hash", "left")
+    return out.select("model_hash", "name", "owner", "model_type", "tier", "status", zero("members").alias("member_count"), "last_validated", zero("opened").alias("open_observation_count"), "metadata")
+
+
+def group_events(of: DataFrame, m: DataFrame, event_type: str) -> DataFrame:
+    """The member_added or member_removed events for of(group_hash, member): model_hash, event_type, payload. member is a
+    name or a hash; unknown members give no event."""
+    found = of.join(names(m).withColumnRenamed("key", "member"), "member").join(m.select(F.col("model_hash").alias("found"), "name"), "found")
+    payload = F.to_json(F.struct(F.col("name").alias("member_name"), F.col("found").alias("member_hash")))
+    return found.select(F.col("group_hash").alias("model_hash"), F.lit(event_type).alias("event_type"), payload.alias("payload"))
 
 
 def member_changed(s: DataFrame, member: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ from ..functions import text as T
 from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import membership as B
+from ..operators import records as K
 from ..operators import timeline as L
 from ..sources import nodes as N
-from ..tables import INTERNAL_EVENTS, E, M, S, edges, models, read, snapshots
+from ..tables import INTERNAL_EVENTS, E, M, S, V, edges, ledger, models, read, snapshots
 from . import rules as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,23 +36,28 @@ def ntz(text: str):
 
 
 def membership_sql(until: str = "", name: str = "member") -> str:
-    """CTEs over s and m that give group_hash, member_hash."""
-    where = f"""WHERE "timestamp" <= TIMESTAMP '{until}'""" if until else ""
-    return f"""ev AS (SELECT composite_hash AS group_hash, 'm' || k AS member_hash, gov_type, "timestamp", snapshot_hash FROM (SELECT * FROM s {where}) x
-      WHERE gov_type IN ('depends_on', 'member_added', 'member_removed') AND 'm' || k IN (SELECT model_hash FROM m)),
-    lastop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_hash, member_hash ORDER BY "timestamp" DESC, snapshot_hash DESC) AS rn FROM ev WHERE gov_type <> 'depends_on') WHERE rn = 1),
-    {name} AS (SELECT group_hash, member_hash FROM ev WHERE gov_type = 'depends_on' UNION SELECT group_hash, member_hash FROM lastop WHERE gov_type = 'member_added'
-      EXCEPT SELECT group_hash, member_hash FROM lastop WHERE gov_type = 'member_removed')"""
+    """CTEs over g and m that give group_hash, member_hash: baseline links by name, else hash; the last operation wins."""
+    where = f"""AND "timestamp" <= TIMESTAMP '{until}'""" if until else ""
+    get = lambda key: f"json_extract_string(payload, '$.{key}')"
+    return f"""base AS (SELECT DISTINCT l.group_hash, coalesce(a.model_hash, b.model_hash) AS member_hash FROM
+      (SELECT model_hash AS group_hash, {get("upstream_hash")} AS ref FROM g WHERE event_type = 'depends_on' AND coalesce({get("relationship")}, 'depends_on') = 'member_of' {where}) l
+      LEFT JOIN m a ON a.name = ref LEFT JOIN m b ON b.model_hash = ref WHERE coalesce(a.model_hash, b.model_hash) IS NOT NULL),
+    ev AS (SELECT model_hash AS group_hash, coalesce({get("member_hash")}, '') AS member_hash, {get("member_name")} AS mn, event_type, "timestamp", snapshot_hash FROM g WHERE event_type IN ('member_added', 'member_removed') {where}),
+    eff AS (SELECT * FROM ev WHERE event_type = 'member_removed' OR member_hash IN (SELECT name FROM m UNION ALL SELECT model_hash FROM m) OR mn IN (SELECT name FROM m UNION ALL SELECT model_hash FROM m)),
+    lastop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_hash, member_hash ORDER BY "timestamp" DESC, snapshot_hash DESC) AS rn FROM eff) WHERE rn = 1),
+    {name} AS ((SELECT group_hash, member_hash FROM base UNION SELECT group_hash, member_hash FROM lastop WHERE event_type = 'member_added')
+      EXCEPT SELECT group_hash, member_hash FROM lastop WHERE event_type = 'member_removed')"""
 
 
-OPENED = """opened AS (SELECT composite_hash AS group_hash, k AS observation_id FROM s WHERE gov_type IN ('observation_issued', 'observation_resolved') AND coalesce(k, '') <> ''
-  GROUP BY ALL HAVING count(*) FILTER (gov_type = 'observation_issued') > 0 AND count(*) FILTER (gov_type = 'observation_resolved') = 0)"""
-VALIDATED = """validated AS (SELECT composite_hash AS group_hash, max("timestamp") AS last_validated FROM s WHERE gov_type = 'validated' GROUP BY 1)"""
+OPENED = """opened AS (SELECT model_hash AS group_hash, json_extract_string(payload, '$.observation_id') AS observation_id FROM g WHERE event_type IN ('observation_issued', 'observation_resolved') AND coalesce(json_extract_string(payload, '$.observation_id'), '') <> ''
+  GROUP BY ALL HAVING count(*) FILTER (event_type = 'observation_issued') > 0 AND count(*) FILTER (event_type = 'observation_resolved') = 0)"""
+VALIDATED = """validated AS (SELECT model_hash AS group_hash, max("timestamp") AS last_validated FROM g WHERE event_type = 'validated' GROUP BY 1)"""
+G_ = f"{S}, {V}"
 
 
 def summary_sql(types: str) -> str:
-    return f"""WITH {M}, {S}, {membership_sql()}, {OPENED}, {VALIDATED}
-    SELECT m.model_hash, name, owner, model_type, tier, status, coalesce(c.n, 0) AS member_count, coalesce(o.n, 0) AS open_observation_count, last_validated
+    return f"""WITH {M}, {G_}, {membership_sql()}, {OPENED}, {VALIDATED}
+    SELECT m.model_hash, name, owner, model_type, tier, status, coalesce(c.n, 0) AS member_count, coalesce(o.n, 0) AS open_observation_count, last_validated, metadata
     FROM m LEFT JOIN (SELECT group_hash, count(*) AS n FROM member GROUP BY 1) c ON c.group_hash = model_hash
     LEFT JOIN (SELECT group_hash, count(*) AS n FROM opened GROUP BY 1) o ON o.group_hash = model_hash
     LEFT JOIN validated v ON v.group_hash = model_hash WHERE model_type IN ({types})"""
@@ -59,40 +65,40 @@ def summary_sql(types: str) -> str:
 
 @query(summary_sql("'composite'"))
 def composite_summary(spark, d):
-    return B.composite_summary(models(spark, d), snapshots(spark, d))
+    return B.composite_summary(models(spark, d), ledger(spark, d))
 
 
 @query(summary_sql("'composite', 'building'"))
 def composite_summary_custom_types(spark, d):
-    return B.composite_summary(models(spark, d), snapshots(spark, d), ("composite", "building"))
+    return B.composite_summary(models(spark, d), ledger(spark, d), ("composite", "building"))
 
 
-@query(f"WITH {M}, {S}, {membership_sql()} SELECT * FROM member")
+@query(f"WITH {M}, {G_}, {membership_sql()} SELECT * FROM member")
 def current_membership(spark, d):
-    return B.membership(snapshots(spark, d), models(spark, d))
+    return B.membership(ledger(spark, d), models(spark, d))
 
 
 WHEN = "2024-01-12 00:00:00"
 
 
-@query(f"WITH {M}, {S}, {membership_sql(WHEN)} SELECT * FROM member")
+@query(f"WITH {M}, {G_}, {membership_sql(WHEN)} SELECT * FROM member")
 def membership_at(spark, d):
-    return B.membership(snapshots(spark, d), models(spark, d), ntz(WHEN))
+    return B.membership(ledger(spark, d), models(spark, d), ntz(WHEN))
 
 
-@query(f"WITH {M}, {S}, {membership_sql()} SELECT member_hash, count(*) AS n_groups, min(group_hash) AS first_group FROM member GROUP BY 1")
+@query(f"WITH {M}, {G_}, {membership_sql()} SELECT member_hash, count(*) AS n_groups, min(group_hash) AS first_group FROM member GROUP BY 1")
 def groups_of_model(spark, d):
-    return B.membership(snapshots(spark, d), models(spark, d)).groupBy("member_hash").agg(F.count("*").alias("n_groups"), F.min("group_hash").alias("first_group"))
+    return B.membership(ledger(spark, d), models(spark, d)).groupBy("member_hash").agg(F.count("*").alias("n_groups"), F.min("group_hash").alias("first_group"))
 
 
-@query(f"WITH {S}, {OPENED} SELECT * FROM opened")
+@query(f"WITH {G_}, {OPENED} SELECT * FROM opened")
 def open_observations(spark, d):
-    return B.open_observations(snapshots(spark, d))
+    return B.open_observations(ledger(spark, d))
 
 
-@query(f"WITH {S}, {VALIDATED} SELECT * FROM validated")
+@query(f"WITH {G_}, {VALIDATED} SELECT * FROM validated")
 def last_validated(spark, d):
-    return B.last_validated(snapshots(spark, d))
+    return B.last_validated(ledger(spark, d))
 
 
 def inventory_sql(extra: str = "") -> str:
@@ -123,17 +129,29 @@ def latest_snapshot(spark, d):
     return B.latest(snapshots(spark, d), "model_hash")
 
 
-@query(f"""WITH {M}, {S} SELECT snapshot_hash, "timestamp", event_type, actor, coalesce(name, s.model_hash) AS model_name FROM s LEFT JOIN m USING (model_hash)
-  WHERE "timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" <= TIMESTAMP '2024-02-20' ORDER BY "timestamp" DESC, snapshot_hash DESC LIMIT 50 OFFSET 20""")
+SINCE, UNTIL = "2024-01-05 00:00:00", "2024-02-20 00:00:00"
+
+
+@query(f"""WITH {M}, {S} SELECT snapshot_hash, "timestamp", event_type, actor, coalesce(name, s.model_hash) AS model_name, json_extract_string(payload, '$.summary') AS summary FROM s LEFT JOIN m USING (model_hash)
+  WHERE "timestamp" >= TIMESTAMP '{SINCE}' AND "timestamp" <= TIMESTAMP '{UNTIL}' ORDER BY "timestamp" DESC, snapshot_hash DESC LIMIT 50 OFFSET 20""")
 def changelog_page(spark, d):
-    found = L.changelog(snapshots(spark, d), models(spark, d), ntz("2024-01-05 00:00:00"), ntz("2024-02-20 00:00:00"))
-    return L.page(found, 20, 50, F.desc("timestamp"), F.desc("snapshot_hash"))
+    return L.changelog(snapshots(spark, d), models(spark, d), 20, 50, ntz(SINCE), ntz(UNTIL))
+
+
+@query(f"""WITH {M}, {S} SELECT snapshot_hash, "timestamp", event_type, actor, name AS model_name, json_extract_string(payload, '$.summary') AS summary FROM s JOIN m USING (model_hash)
+  WHERE name = 'Customer#000000007' AND "timestamp" <= TIMESTAMP '{UNTIL}' ORDER BY "timestamp" DESC, snapshot_hash DESC LIMIT 20""")
+def changelog_of_model(spark, d):
+    return L.changelog(snapshots(spark, d), models(spark, d), 0, 20, None, ntz(UNTIL), None, "m7")
+
 
+@query(f"""WITH {S} SELECT count(*) AS total, count(*) > 70 AS has_more, '2024-01-05 to 2024-02-20' AS period FROM s WHERE "timestamp" BETWEEN TIMESTAMP '{SINCE}' AND TIMESTAMP '{UNTIL}'""")
+def changelog_report(spark, d):
+    return L.changelog_report(snapshots(spark, d), 20, 50, ntz(SINCE), ntz(UNTIL))
 
-@query(f"""WITH {S} SELECT event_type, count(*) AS total FROM s WHERE "timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" <= TIMESTAMP '2024-02-20' GROUP BY 1""")
+
+@query(f"""WITH {S} SELECT event_type, count(*) AS total FROM s WHERE "timestamp" >= TIMESTAMP '{SINCE}' AND "timestamp" <= TIMESTAMP '{UNTIL}' GROUP BY 1""")
 def changelog_total(spark, d):
-    found = L.changelog(snapshots(spark, d), models(spark, d), ntz("2024-01-05 00:00:00"), ntz("2024-02-20 00:00:00"))
-    return found.groupBy("event_type").agg(F.count("*").alias("total"))
+    return L.between(snapshots(spark, d), ntz(SINCE), ntz(UNTIL)).groupBy("event_type").agg(F.count("*").alias("total"))
 
 
 @query(f"WITH {M} SELECT * FROM m WHERE contains(lower(name), 'mach') OR contains(lower(purpose), 'mach')")
@@ -166,12 +184,21 @@ def platform_resolution(spark, d):
     return L.platforms(snapshots(spark, d))
 
 
-HASHED = """h AS (SELECT *, sha256('{"k":"' || k || '"}') AS h FROM s)"""
+#: Payloads of mixed types with keys in any order, and the canonical form that each must have: written apart.
+MIXED = """CASE CAST(k AS INTEGER) % 6 WHEN 0 THEN '{"b":' || k || ',"a":"' || k || '","updated_at":"' || snapshot_hash || '"}' WHEN 1 THEN '{"a":' || k || ', "b" : "' || k || '"}' WHEN 2 THEN '{"a":null,"b":[3,{"z":true,"y":null}]}'
+  WHEN 3 THEN '{"z":{"d":"x","c":' || k || '},"_content_hash":"q","a":"say ' || chr(92) || '"hi' || chr(92) || '"' || chr(92) || 'n"}' WHEN 4 THEN '{"b":"x"}' ELSE '{"change_detected":' || substr(snapshot_hash, 2) || ',"b":"x"}' END"""
+CANONICAL = """CASE CAST(k AS INTEGER) % 6 WHEN 0 THEN '{"a":"' || k || '","b":' || k || '}' WHEN 1 THEN '{"a":' || k || ',"b":"' || k || '"}' WHEN 2 THEN '{"a":null,"b":[3,{"y":null,"z":true}]}'
+  WHEN 3 THEN '{"a":"say ' || chr(92) || '"hi' || chr(92) || '"' || chr(92) || 'n","z":{"c":' || k || ',"d":"x"}}' ELSE '{"b":"x"}' END"""
+HASHED = f"h AS (SELECT *, sha256({CANONICAL}) AS h FROM s)"
+
+
+def mixed(spark, d) -> DataFrame:
+    return snapshots(spark, d).withColumn("payload", F.expr(MIXED))
 
 
 @query(f"""WITH {S}, {HASHED} SELECT model_hash, arg_max(h, ("timestamp", snapshot_hash)) AS content_hash FROM h GROUP BY 1""")
 def content_hash_latest(spark, d):
-    s = snapshots(spark, d).withColumn("h", I.content_hash(F.col("payload")))
+    s = mixed(spark, d).withColumn("h", I.content_hash(F.col("payload")))
     return s.groupBy("model_hash").agg(F.max_by("h", F.struct("timestamp", "snapshot_hash")).alias("content_hash"))
 
 
@@ -179,7 +206,7 @@ def content_hash_latest(spark, d):
   b AS (SELECT h.model_hash, h, coalesce(lag(h) OVER (PARTITION BY h.model_hash ORDER BY "timestamp", snapshot_hash), before) AS previous FROM h LEFT JOIN old USING (model_hash) WHERE "timestamp" >= TIMESTAMP '{WHEN}')
   SELECT model_hash, count(*) FILTER (h IS DISTINCT FROM previous) AS added, count(*) FILTER (h IS NOT DISTINCT FROM previous) AS skipped FROM b GROUP BY 1""")
 def add_dedup(spark, d):
-    s = snapshots(spark, d).select("model_hash", "snapshot_hash", "timestamp", "payload")
+    s = mixed(spark, d).select("model_hash", "snapshot_hash", "timestamp", "payload")
     found = I.add(s.where(F.col("timestamp") < ntz(WHEN)), s.where(F.col("timestamp") >= ntz(WHEN)))
     return found.groupBy("model_hash").agg(F.count_if("is_new").alias("added"), F.count_if(~F.col("is_new")).alias("skipped"))
 
@@ -194,19 +221,19 @@ def status_propagation(spark, d):
 
 
 def ports(spark, d, schema: bool):
-    """Outputs and inputs of the supplier and part nodes: 'part' ports tell themselves apart by their schema."""
+    """Outputs of every supplier and inputs of a node a part, each part a table of its own; schemas tell parts apart too."""
     e = edges(spark, d).where("src LIKE 'u%'")
     part = F.substr("dst", F.lit(2)).cast("int")
     of = F.create_map(F.lit("part"), F.concat(F.lit("P"), part.cast("string"))) if schema else F.expr("CAST(map() AS MAP<STRING,STRING>)")
-    wild = F.create_map(F.lit("part"), F.concat(F.lit("p"), (F.floor(part / 10)).cast("string"), F.lit("%"))) if schema else of
-    port = F.concat(F.lit("Items:"), (part % 100).cast("string"))
-    out = e.where("src IN ('u1', 'u2', 'u3')").select(F.col("src").alias("node"), port.alias("identifier"), wild.alias("schema"))
+    wild = F.create_map(F.lit("part"), F.concat(F.lit("p"), (part - part % 2).cast("string"), F.lit("%"))) if schema else of
+    port = F.concat(F.lit("Items:"), part.cast("string"))
+    out = e.select(F.col("src").alias("node"), port.alias("identifier"), wild.alias("schema"))
     return out, e.select(F.concat(F.lit("n"), "dst").alias("node"), F.upper(port).alias("identifier"), of.alias("schema")).dropDuplicates(["node", "identifier"])
 
 
 PORTS = f"""WITH {E}, p AS (SELECT *, CAST(substr(dst, 2) AS INTEGER) AS part FROM e WHERE src LIKE 'u%'),
-  o AS (SELECT src AS upstream, 'items:' || (part % 100) AS identifier, 'p' || (part // 10) AS prefix FROM p WHERE src IN ('u1', 'u2', 'u3')),
-  i AS (SELECT DISTINCT 'n' || dst AS downstream, 'items:' || (part % 100) AS identifier, 'p' || part AS v FROM p)
+  o AS (SELECT src AS upstream, 'items:' || part AS identifier, 'p' || (part - part % 2) AS prefix FROM p),
+  i AS (SELECT DISTINCT 'n' || dst AS downstream, 'items:' || part AS identifier, 'p' || part AS v FROM p)
   SELECT upstream, downstream, min(identifier) AS identifier FROM o JOIN i USING (identifier)"""
 
 
@@ -220,10 +247,10 @@ def port_connect_discriminated(spark, d):
     return G.port_matches(*ports(spark, d, True))
 
 
-@query(PORTS + " WHERE starts_with(v, prefix) AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = upstream AND e.dst = substr(downstream, 2)) GROUP BY 1, 2")
+@query(PORTS + " WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = upstream AND e.dst = substr(downstream, 2) AND CAST(substr(e.dst, 2) AS INTEGER) % 3 = 0) GROUP BY 1, 2")
 def connect_new_edges(spark, d):
-    old = edges(spark, d).select(F.col("src").alias("upstream"), F.concat(F.lit("n"), "dst").alias("downstream"))
-    return G.port_matches(*ports(spark, d, True)).join(old, ["upstream", "downstream"], "left_anti")
+    old = edges(spark, d).where("src LIKE 'u%'").where(F.substr("dst", F.lit(2)).cast("int") % 3 == 0).select(F.col("src").alias("upstream"), F.concat(F.lit("n"), "dst").alias("downstream"))
+    return G.port_matches(*ports(spark, d, False)).join(old, ["upstream", "downstream"], "left_anti")
 
 
 def all_ports(spark, d, schema: bool):
@@ -259,9 +286,15 @@ def connect_new_edges_all(spark, d):
     return G.port_matches(*all_ports(spark, d, True)).join(old, ["upstream", "downstream"], "left_anti")
 
 
-@query(f"WITH {E} SELECT dst AS model_hash, src AS upstream FROM e WHERE dst LIKE 'u%'")
+DEPENDENCIES = """deps AS (SELECT l.model_hash, 'upstream' AS direction, relationship, coalesce(a.model_hash, b.model_hash) AS other_hash, coalesce(a.name, b.name) AS other_name FROM
+  (SELECT model_hash, json_extract_string(payload, '$.upstream_hash') AS ref, coalesce(json_extract_string(payload, '$.relationship'), 'depends_on') AS relationship FROM g WHERE event_type = 'depends_on') l
+  LEFT JOIN m a ON a.name = ref LEFT JOIN m b ON b.model_hash = ref WHERE coalesce(a.model_hash, b.model_hash) IS NOT NULL)"""
+
+
+@query(f"WITH {M}, {G_}, {DEPENDENCIES} SELECT * FROM deps")
 def dependencies_direct(spark, d):
-    return edges(spark, d).where("dst LIKE 'u%'").select(F.col("dst").alias("model_hash"), F.col("src").alias("upstream"))
+    m = models(spark, d)
+    return G.dependencies(ledger(spark, d), m, B.names(m))
 
 
 @query(f"WITH {E} SELECT dst AS model_hash, src AS upstream FROM e")
@@ -292,14 +325,14 @@ def reach(spark, d, roots: str, up: bool = False) -> DataFrame:
     return G.closure(e, e.where(roots.replace("dst", "src") if up else roots).select(F.col("src").alias("root")))
 
 
-@query(closure_sql("dst IN ('p1', 'p2', 'p3', 'p50')", "dst", "src") + " SELECT root, node FROM reach")
+@query(closure_sql("dst LIKE 'u%'", "dst", "src") + " SELECT root, node FROM reach")
 def upstream_closure(spark, d):
-    return reach(spark, d, "dst IN ('p1', 'p2', 'p3', 'p50')", True).select("root", "node")
+    return reach(spark, d, "dst LIKE 'u%'", True).select("root", "node")
 
 
-@query(closure_sql("src IN ('n1', 'n2')") + " SELECT root, node FROM reach")
+@query(closure_sql("src LIKE 'u%'") + " SELECT root, node FROM reach")
 def downstream_closure(spark, d):
-    return reach(spark, d, "src IN ('n1', 'n2')").select("root", "node")
+    return reach(spark, d, "src LIKE 'u%'").select("root", "node")
 
 
 @query(closure_sql("dst LIKE 'p%'", "dst", "src") + " SELECT root, node FROM reach")
@@ -322,17 +355,31 @@ def impact_counts(spark, d):
     return reach(spark, d, "src LIKE 'r%'").groupBy("root", "hops").agg(F.count("*").alias("n"))
 
 
-@query(closure_sql("dst = 'p7'", "dst", "src") + " SELECT node, hops, row_number() OVER (ORDER BY hops DESC, node) AS position FROM (SELECT node, hops FROM reach UNION ALL SELECT 'p7', 0)")
+#: A graph with diamonds and shortcuts: the edges, a link from each part to the next two of its ten, and one past them.
+DIAMONDS = """d AS (SELECT * FROM e UNION ALL SELECT DISTINCT 'p' || p_partkey, 'p' || (p_partkey + j) FROM part, (SELECT unnest([1, 2, 5]) AS j) WHERE p_partkey % 10 + j < 10)"""
+
+
+def diamonds(spark, d) -> DataFrame:
+    key = F.col("p_partkey")
+    more = read(spark, d, "part").select(key, F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("j")).where(key % 10 + F.col("j") < 10)
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    return edges(spark, d).unionByName(more.select(name(key).alias("src"), name(key + F.col("j")).alias("dst")).distinct())
+
+
+@query(f"""WITH RECURSIVE {E}, {DIAMONDS}, up AS (SELECT 'p17' AS node, 0 AS hops UNION SELECT src, hops + 1 FROM up JOIN d ON dst = node),
+  down AS (SELECT node, 0 AS level FROM (SELECT DISTINCT node FROM up) u WHERE node NOT IN (SELECT dst FROM d) UNION SELECT dst, level + 1 FROM down JOIN d ON src = node WHERE dst IN (SELECT node FROM up)),
+  l AS (SELECT node, max(level) AS level FROM down GROUP BY 1)
+  SELECT node, CAST(level AS INTEGER) AS level, CAST(min(hops) AS INTEGER) AS hops, row_number() OVER (ORDER BY level, node) AS position FROM l JOIN up USING (node) GROUP BY node, level""")
 def trace_order(spark, d):
-    return G.trace_order(edges(spark, d), "p7")
+    return G.trace_order(diamonds(spark, d), "p17")
 
 
-@query(f"""WITH {M}, {S}, {membership_sql()} SELECT group_hash, s.model_hash AS member_hash, 'member_changed' AS event_type, event_type AS cause, snapshot_hash AS cause_hash, "timestamp"
+@query(f"""WITH {M}, {G_}, {membership_sql()} SELECT group_hash, s.model_hash AS member_hash, 'member_changed' AS event_type, event_type AS cause, snapshot_hash AS cause_hash, "timestamp"
   FROM s JOIN member ON member_hash = s.model_hash WHERE event_type NOT IN {INTERNAL_EVENTS} AND "timestamp" >= TIMESTAMP '{WHEN}'""")
 def member_changed_fanout(spark, d):
     s = snapshots(spark, d)
     own = s.where(~F.col("event_type").isin(*INTERNAL_EVENTS) & (F.col("timestamp") >= ntz(WHEN)))
-    return B.member_changed(own, B.membership(s, models(spark, d)))
+    return B.member_changed(own, B.membership(ledger(spark, d), models(spark, d)))
 
 
 @query(f"WITH {E} SELECT src AS model_hash, 'has_dependent' AS event_type, dst AS other_hash FROM e UNION ALL SELECT dst, 'depends_on', src FROM e")
@@ -352,11 +399,37 @@ def pipelines_from_table(spark, d):
     return N.pipelines(read(spark, d, "events"), "event_type", "ts")
 
 
-@query(f"""WITH {S}, a AS (SELECT DISTINCT model_hash FROM s WHERE "timestamp" < TIMESTAMP '{WHEN}' AND CAST(k AS INTEGER) < 20), b AS (SELECT DISTINCT model_hash FROM s WHERE "timestamp" >= TIMESTAMP '{WHEN}' AND CAST(k AS INTEGER) > 80)
-  SELECT coalesce(a.model_hash, b.model_hash) AS model_hash, CASE WHEN a.model_hash IS NULL THEN 'discovered' WHEN b.model_hash IS NULL THEN 'not_found' ELSE 'scan_confirmed' END AS outcome FROM a FULL JOIN b USING (model_hash)""")
+#: A scan by etl: what has an event after WHEN, and as many names that no model has, some with an enrichment.
+SCAN = f"""c AS (SELECT name, CASE WHEN length(name) > 5 AND CAST(substr(model_hash, 2) AS BIGINT) % 4 = 0 THEN 'x' END AS more FROM m WHERE model_hash IN (SELECT model_hash FROM s WHERE "timestamp" >= TIMESTAMP '{WHEN}' AND source = 'etl')
+    UNION ALL SELECT 'new' || n_nationkey, NULL FROM nation),
+  ours AS (SELECT DISTINCT model_hash FROM s WHERE source = 'etl' AND event_type IN ('discovered', 'scan_confirmed')),
+  ev AS (SELECT name, CASE WHEN name IN (SELECT name FROM m) THEN 'scan_confirmed' ELSE 'discovered' END AS event_type FROM c UNION ALL SELECT name, 'enriched' FROM c WHERE more IS NOT NULL
+    UNION ALL SELECT name, 'not_found' FROM m JOIN ours USING (model_hash) WHERE name NOT IN (SELECT name FROM c))"""
+
+
+def scanned(spark, d):
+    m, s = models(spark, d), snapshots(spark, d)
+    now = s.where((F.col("timestamp") >= ntz(WHEN)) & (F.col("source") == "etl")).select("model_hash").distinct()
+    more = F.when(F.substr("model_hash", F.lit(2)).cast("long") % 4 == 0, '{"team":"x"}')
+    found = m.join(now, "model_hash").select("name", more.alias("enrichment"))
+    new = read(spark, d, "nation").select(F.concat(F.lit("new"), "n_nationkey").alias("name"), F.lit("{}").alias("enrichment"))
+    return I.scan(m, s, found.unionByName(new), "etl")
+
+
+@query(f"WITH {M}, {S}, {SCAN} SELECT * FROM ev")
 def scan_reconcile(spark, d):
-    s = snapshots(spark, d)
-    return I.reconcile(s.where((F.col("timestamp") < ntz(WHEN)) & (F.col("k").cast("int") < 20)), s.where((F.col("timestamp") >= ntz(WHEN)) & (F.col("k").cast("int") > 80)))
+    return scanned(spark, d)[0]
+
+
+@query(f"""WITH {M}, {S}, {SCAN} SELECT count(*) FILTER (event_type IN ('discovered', 'scan_confirmed')) AS total_found, count(*) FILTER (event_type = 'discovered') AS new_models,
+  count(*) FILTER (event_type = 'scan_confirmed') AS updated_models, count(*) FILTER (event_type = 'not_found') AS not_found_models FROM ev""")
+def scan_report(spark, d):
+    return scanned(spark, d)[1]
+
+
+@query(f"""WITH {S} SELECT max("timestamp") AS at FROM s WHERE source = 'ml'""")
+def last_scan(spark, d):
+    return I.last_scan(snapshots(spark, d), "ml")
 
 
 @query(f"""WITH {S}, a AS (SELECT DISTINCT model_hash FROM s WHERE "timestamp" < TIMESTAMP '{WHEN}'), b AS (SELECT DISTINCT model_hash FROM s WHERE "timestamp" >= TIMESTAMP '{WHEN}')
@@ -367,8 +440,8 @@ def scan_reconcile_all(spark, d):
 
 
 #: A text with every feature, made from columns; ~ stands for a quotation mark.
-TEXT_SQL = """replace('-- @owner: ' || o_orderpriority || chr(10) || 'INSERT INTO out.t' || o_custkey || ' SELECT * FROM raw.a.t' || (o_orderkey % 7) || ' x JOIN Raw.A.T' || (o_orderkey % 5)
-  || ' y WHERE model_name = ~m' || o_custkey || '~ AND model_name IN (~a~, ~b' || (o_orderkey % 3) || '~) AND d > INTERVAL ~' || (o_orderkey % 30) || ' days~ {{ run_' || o_orderstatus || ' }}', '~', chr(39))"""
+TEXT_SQL = """replace('-- @owner: ' || o_orderpriority || chr(10) || '  -- @note:' || chr(10) || '-- @tier: a:b ' || chr(10) || '--@x: no' || chr(10) || 'INSERT INTO out.t' || o_custkey || ' SELECT * FROM raw.a.t' || (o_orderkey % 7) || ' x JOIN Raw.A.T' || (o_orderkey % 5)
+  || ' y WHERE model_name = ~m' || o_custkey || '~ AND model_name IN (~a~, ~b' || (o_orderkey % 3) || '~) AND d > INTERVAL ~' || (o_orderkey % 30) || ' days~ {{run_' || o_orderstatus || '}}.{{ t }}', '~', chr(39))"""
 
 
 def sql_texts(spark, d) -> DataFrame:
@@ -397,10 +470,11 @@ def sql_model_filters(spark, d):
     return sql_texts(spark, d).select("o_orderkey", listed(T.model_filters(F.col("sql"))).alias("models"))
 
 
-@query("SELECT o_orderkey, (o_orderkey % 30) || ' days' AS lookback, o_orderpriority AS owner, 'run_' || o_orderstatus AS template FROM orders")
+@query("SELECT o_orderkey, (o_orderkey % 30) || ' days' AS lookback, 'note=|owner=' || o_orderpriority || '|tier=a:b' AS tags, 'run_' || o_orderstatus || '.{{ t }}' AS template FROM orders")
 def sql_lookback_tags_templates(spark, d):
     q = sql_texts(spark, d)
-    return q.select("o_orderkey", T.lookback(F.col("sql")).alias("lookback"), T.comment_tag(F.col("sql"), "owner").alias("owner"), F.regexp_extract(T.strip_templates(F.col("sql")), r"(run_\w)$", 1).alias("template"))
+    tags = F.array_join(F.transform(F.array_sort(F.map_entries(T.comment_tags(F.col("sql")))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return q.select("o_orderkey", T.lookback(F.col("sql")).alias("lookback"), tags.alias("tags"), F.regexp_extract(T.strip_templates(F.col("sql")), r"(\S+ \{\{ t \}\}|\S+\.\{\{ t \}\})$", 1).alias("template"))
 
 
 CRON = "CASE o_orderkey % 7 WHEN 0 THEN (o_orderkey % 60) || ' ' || (o_custkey % 24) || ' * * *' WHEN 1 THEN '0 */' || (1 + o_custkey % 12) || ' * * *' WHEN 2 THEN '5 ' || (o_custkey % 24) || ' ' || (1 + o_orderkey % 31) || ' * *' WHEN 3 THEN '0 9 * * ' || (o_custkey % 7) WHEN 4 THEN 'x y' WHEN 5 THEN '' ELSE '30 0 1,' || (2 + o_orderkey % 29) || ' * *' END"
@@ -430,16 +504,52 @@ def type_histogram(spark, d):
     return models(spark, d).groupBy(F.coalesce(F.nullif("model_type", F.lit("")), F.lit("unknown")).alias("model_type")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CASE WHEN grouping(event_type) = 0 THEN 'verdict' WHEN grouping(reason) = 0 THEN 'reason' ELSE 'total' END AS facet, coalesce(event_type, reason) AS value, count(*) AS n
-  FROM (SELECT event_type, 'r' || (user_id % 4) AS reason FROM events) GROUP BY GROUPING SETS ((event_type), (reason), ())""")
-def feedback_stats(spark, d):
-    f = read(spark, d, "events").select("event_type", F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("reason"))
-    sets = f.groupingSets([["event_type"], ["reason"], []], "event_type", "reason")
-    facet = F.when(F.grouping("event_type") == 0, "verdict").when(F.grouping("reason") == 0, "reason").otherwise("total")
-    return sets.agg(facet.alias("facet"), F.count("*").alias("n")).select("facet", F.coalesce("event_type", "reason").alias("value"), "n")
+FEEDBACK = "f AS (SELECT event_type AS verdict, 'r' || (user_id % 4) AS reason_code, 'stage' || (event_id % 3) AS stage FROM events)"
 
 
-for _profile in R.PROFILES:
+def feedback(spark, d) -> DataFrame:
+    e = read(spark, d, "events")
+    code = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    return e.select("event_id", F.col("event_type").alias("verdict"), code("r", "user_id", 4).alias("reason_code"), code("stage", "event_id", 3).alias("stage"))
+
+
+@query(f"""WITH {FEEDBACK} SELECT 'total' AS facet, NULL AS value, count(*) AS n FROM f UNION ALL SELECT 'verdict', verdict, count(*) FROM f GROUP BY 2
+  UNION ALL SELECT 'reason_code', reason_code, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'stage', stage, count(*) FROM f GROUP BY 2""")
+def feedback_stats(spark, d):
+    return K.feedback_stats(feedback(spark, d))
+
+
+@query("SELECT event_id, 'stage' || (event_id % 3) AS stage FROM events WHERE event_type = 'click' AND user_id % 4 = 2")
+def feedback_query(spark, d):
+    return K.matching(feedback(spark, d), verdict="click", reason_code="r2", stage=None).select("event_id", "stage")
+
+
+#: The rules once more, over the fields as texts: no text is shared with the rules of the profiles.
+CONDITIONS = {
+    "sr_11_7": [
+        ("has_developers", "developers = ''", "'error'"), ("has_validator", "validator = ''", "'error'"),
+        ("validator_independence", "validator <> '' AND ',' || developers || ',' LIKE '%,' || validator || ',%'", "'error'"),
+        ("has_ipo_structure", "NOT list_has_all(string_split(sections, ','), ['Processing', 'Inputs', 'Outputs'])", "'error'"),
+        ("has_governance_document", "documents = ''", "'error'"), ("has_validation_schedule", "next_validation_due IS NULL", "CASE tier WHEN 'high' THEN 'error' ELSE 'warning' END"),
+    ],
+    "eu_ai_act": [
+        ("eu_intended_purpose", "coalesce(strlen(intended_purpose), 0) < 20", "'error'"), ("eu_risk_assessment", "risk_rating IS NULL", "'error'"),
+        ("eu_affected_populations", "populations = ''", "CASE tier WHEN 'high' THEN 'error' ELSE 'warning' END"), ("eu_data_governance", "nullif(training_data, '') IS NULL", "'error'"),
+        ("eu_transparency_docs", "documents = ''", "'error'"), ("eu_transparency_description", "description IS NULL", "'warning'"), ("eu_human_oversight", "stakeholders = ''", "'warning'"),
+        ("eu_accuracy_metrics", "leaf = 'dataset' AND evidence NOT LIKE '%performance_report%'", "'warning'"), ("eu_limitations", "limitations = ''", "'warning'"), ("eu_operating_boundaries", "boundaries IS NULL", "'warning'"),
+    ],
+    "nist_ai_rmf": [
+        ("nist_govern_accountability", "owner IS NULL", "'error'"), ("nist_govern_developers", "developers = ''", "'error'"), ("nist_govern_documentation", "documents = ''", "'error'"),
+        ("nist_map_intended_use", "nullif(intended_purpose, '') IS NULL", "'error'"), ("nist_map_restrictions", "restrictions = ''", "'warning'"), ("nist_map_risk_id", "risk_rating IS NULL AND tier = 'high'", "'error'"),
+        ("nist_map_harms", "harms = ''", "'warning'"), ("nist_map_stakeholders", "populations = ''", "'warning'"), ("nist_measure_performance", "evidence = '' AND leaf = 'dataset'", "'error'"),
+        ("nist_measure_bias", "tier = 'high' AND NOT regexp_matches(lower(evidence), 'bias|fairness') AND NOT regexp_matches(lower(documents), ':[^,]*(bias|fairness)|fair_lending')", "'warning'"),
+        ("nist_manage_monitoring", "monitoring_frequency IS NULL AND coalesce(monitoring_status, '') = ''", "'warning'"), ("nist_manage_validation_schedule", "next_validation_due IS NULL", "'warning'"),
+        ("nist_manage_incident_response", "tier = 'high' AND documents NOT LIKE '%runbook:%' AND documents NOT LIKE '%escalation_plan:%'", "'warning'"),
+    ],
+}
+
+
+for _profile in CONDITIONS:
 
     def _violations(spark, d, profile=_profile):
         return R.violations(R.governed(models(spark, d)), profile)
@@ -448,10 +558,11 @@ for _profile in R.PROFILES:
         return R.verdicts(R.governed(models(spark, d)), profile)
 
     QUERIES[f"validate_{_profile}"], QUERIES[f"verdict_{_profile}"] = _violations, _verdicts
-    _governed = f"WITH {M}, g AS ({R.GOVERNED}), v AS ({R.violations_sql(_profile)})"
+    _each = " UNION ALL ".join(f"SELECT model_hash, '{rule}' AS rule_id, {severity} AS severity FROM f WHERE {test}" for rule, test, severity in CONDITIONS[_profile])
+    _governed = f"WITH {M}, f AS ({R.FIELDS}), v AS ({_each})"
     SQL[f"validate_{_profile}"] = f"{_governed} SELECT * FROM v"
-    SQL[f"verdict_{_profile}"] = f"""{_governed} SELECT g.model_hash, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS passed
-      FROM g LEFT JOIN v USING (model_hash) GROUP BY 1"""
+    SQL[f"verdict_{_profile}"] = f"""{_governed} SELECT f.model_hash, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS passed
+      FROM f LEFT JOIN v USING (model_hash) GROUP BY 1"""
 
 
 @query(f"""WITH {M}, x AS (SELECT model_hash, CAST(substr(model_hash, 2) AS BIGINT) AS i FROM m), y AS (SELECT model_hash, (i % 3 + 1) + (i % 2 + 1) AS a, (i // 3 % 3 + 1) + (i // 5 % 3 + 1) AS b FROM x)
@@ -476,18 +587,8 @@ def model_upsert(spark, d):
     old = models(spark, d).select("model_hash", "owner", "status", "created_at")
     row = lambda df: df.select("model_hash", F.lit("moved").alias("owner"), F.lit("new").alias("status"), ntz("2025-01-01 00:00:00").alias("created_at"))
     new = row(old.where(F.substr("model_hash", F.lit(2)).cast("long") % 2 == 0)).unionAll(row(spark.range(1).select(F.lit("m_new").alias("model_hash"))))
-    return I.upsert(old, new, "model_hash")
+    again = new.withColumns({"owner": F.lit("first"), "status": F.lit("new")})  # of two rows with one key the greater wins
+    return I.upsert(old, new.unionByName(again), "model_hash")
 
 
-@query(f"""WITH {M}, {S}, {membership_sql()} SELECT model_hash, name, owner, status, tier, last_event, event_count, coalesce(n_groups, 0) AS n_groups, coalesce(n_members, 0) AS n_members FROM m
-  LEFT JOIN (SELECT model_hash, max("timestamp") AS last_event, count(*) AS event_count FROM s GROUP BY 1) USING (model_hash)
-  LEFT JOIN (SELECT member_hash AS model_hash, count(*) AS n_groups FROM member GROUP BY 1) USING (model_hash) LEFT JOIN (SELECT group_hash AS model_hash, count(*) AS n_members FROM member GROUP BY 1) USING (model_hash)
-  WHERE event_count IS NOT NULL""")
-def investigate(spark, d):
-    m, s = models(spark, d), snapshots(spark, d)
-    pairs = B.membership(s, m)
-    count = lambda c, n: pairs.groupBy(F.col(c).alias("model_hash")).agg(F.count("*").alias(n))
-    seen = s.groupBy("model_hash").agg(F.max("timestamp").alias("last_event"), F.count("*").alias("event_count"))
-    out = m.join(seen, "model_hash").join(count("member_hash", "n_groups"), "model_hash", "left").join(count("group_hash", "n_members"), "model_hash", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("model_hash", "name", "owner", "status", "tier", "last_event", "event_count", zero("n_groups"), zero("n_members"))
+from . import tools  # noqa: E402, F401  it adds its queries

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import text as T
+
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
     """A file that holds one JSON array of objects."""
@@ -41,6 +43,72 @@ def rows_to_nodes(df: DataFrame, name: str, platform: str, prefix: str = "", inp
     return df.select(F.concat(F.lit(prefix), F.col(name)).alias("name"), F.lit(platform).alias("platform"), ports(inputs).alias("inputs"), ports(outputs).alias("outputs"), meta.alias("metadata"))
 
 
+NO_SCHEMA = "CAST(map() AS MAP<STRING,STRING>)"
+NO_PORTS = "CAST(array() AS ARRAY<STRUCT<identifier:STRING,schema:MAP<STRING,STRING>>>)"
+#: Parts of names of tables that many models write to; there, ports are told apart by model name.
+SHARED = ("scores", "alert")
+
+
+def one_port(identifier: Column, schema: Column) -> Column:
+    return F.struct(F.lower(identifier).alias("identifier"), schema.alias("schema"))
+
+
+def sql_nodes(
+    df: DataFrame, platform: str, name: str, prefix: str = "", inputs: tuple[str, ...] = (), outputs: tuple[str, ...] = (), sql: str | None = None,
+    preprocess: Callable[[Column], Column] | None = T.strip_templates, shared: tuple[str, ...] = SHARED, fallback: str | None = None, strip_prefix: str = "",
+    cron: str | None = None, input_port: dict[str, str] | None = None, output_port: dict[str, str] | None = None, metadata: dict[str, str] | None = None,
+) -> DataFrame:
+    """name, platform, inputs, outputs, metadata: one node a row of a job table.
+
+    inputs and outputs: columns that name ports; empty and null ones give none. sql: a column of SQL text, whose tables
+    become ports; on shared tables (names that contain one of `shared`) with the models that the text filters by, or, for
+    written ones, the column `fallback` without strip_prefix (a pattern). input_port, output_port: {"column", "fallback",
+    and constant schema entries}. cron: a column that is put into words. metadata: {key: column}; without it all columns
+    that serve nothing else. Null values are left out; node_type is the platform unless given.
+    """
+    plain = lambda cols: F.filter(F.array(*[F.when(F.col(c).cast("string") != "", one_port(F.col(c).cast("string"), F.expr(NO_SCHEMA))) for c in cols]), lambda p: p.isNotNull()) if cols else F.expr(NO_PORTS)
+    into, out = [plain(inputs)], [plain(outputs)]
+    if sql:
+        text = F.coalesce(F.col(sql), F.lit(""))
+        text = preprocess(text) if preprocess else text
+        df = df.withColumns({"__reads": T.read_tables(text), "__writes": T.write_tables(text), "__models": T.model_filters(text)})
+        is_shared = lambda t: F.exists(F.array(*[F.lit(x) for x in shared]), lambda x: F.contains(F.lower(t), x)) if shared else F.lit(False)
+        by_model = lambda v: F.create_map(F.lit("model_name"), v)
+        filtered = F.size("__models") > 0
+        into.append(F.flatten(F.transform("__reads", lambda t: F.when(filtered & is_shared(t), F.transform("__models", lambda v: one_port(t, by_model(v)))).otherwise(F.array(one_port(t, F.expr(NO_SCHEMA)))))))
+        schema = lambda t: F.when(filtered, by_model(F.get("__models", F.lit(0))))
+        if fallback:
+            own = F.regexp_replace(F.coalesce(F.col(fallback).cast("string"), F.lit("")), f"^(?:{strip_prefix})", "") if strip_prefix else F.coalesce(F.col(fallback).cast("string"), F.lit(""))
+            out.append(F.transform("__writes", lambda t: one_port(t, F.coalesce(schema(t), F.when(is_shared(t), by_model(own)), F.expr(NO_SCHEMA)))))
+        else:
+            out.append(F.transform("__writes", lambda t: one_port(t, F.coalesce(schema(t), F.expr(NO_SCHEMA)))))
+    used = {name, *inputs, *outputs, *[c for c in (sql, cron) if c], "__reads", "__writes", "__models"}
+    for config, ports in ((input_port, into), (output_port, out)):
+        if config:
+            columns = [config[k] for k in ("column", "fallback") if k in config]
+            used.update(columns)
+            value = F.coalesce(*[F.col(c).cast("string") for c in columns])
+            constant = [F.lit(x) for k, v in config.items() if k not in ("column", "fallback") for x in (k, v)]
+            schema = F.create_map(*constant) if constant else F.expr(NO_SCHEMA)
+            ports.append(F.when(value.isNotNull(), F.array(one_port(value, schema))).otherwise(F.expr(NO_PORTS)))
+    given = metadata if metadata is not None else {c: c for c in df.columns if c not in used}
+    meta = {k: F.col(c).cast("string") for k, c in given.items()}
+    if cron:
+        has = F.coalesce(cron, F.lit("")) != ""
+        meta |= {"cron": F.when(has, F.col(cron)), "run_frequency": F.when(has, T.cron_in_english(F.col(cron)))}
+    meta["node_type"] = F.coalesce(meta.get("node_type", F.lit(None)), F.lit(platform))
+    entries = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v)])
+    return df.select(F.concat(F.lit(prefix), F.col(name).cast("string")).alias("name"), F.lit(platform).alias("platform"), F.concat(*into).alias("inputs"), F.concat(*out).alias("outputs"), F.map_filter(entries, lambda k, v: v.isNotNull()).alias("metadata"))
+
+
+def logged_nodes(s: DataFrame, m: DataFrame) -> DataFrame:
+    """name, platform, inputs, outputs: the nodes that the latest discovered event of each model describes."""
+    of = s.where("event_type = 'discovered'").groupBy("model_hash").agg(F.max_by("payload", F.struct("timestamp", "snapshot_hash")).alias("payload"))
+    rows = of.join(m.select("model_hash", "name"), "model_hash").withColumn("p", F.from_json("payload", "platform string, inputs array<map<string,string>>, outputs array<map<string,string>>"))
+    ports = lambda side: F.transform(F.coalesce(f"p.{side}", F.expr("CAST(array() AS ARRAY<MAP<STRING,STRING>>)")), lambda x: one_port(x["identifier"], F.map_filter(x, lambda k, v: k != "identifier")))
+    return rows.select("name", "p.platform", ports("inputs").alias("inputs"), ports("outputs").alias("outputs"))
+
+
 class PagedJson(DataSource):
     """spark.read.format("paged_json"): JSON pages linked by a token. Options: url, items (dotted path), token (dotted
     path to the next page's token), param (query parameter). One row an item, as JSON text. Pages follow each other, so

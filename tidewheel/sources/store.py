@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, one for this session."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one for this session, if all of it runs on one machine."""
     if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tidewheel-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -28,6 +30,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its row numbers in that order, from 1: numbers within the ranges of a distributed sort, after the counts of
+    the ranges before (one row a partition)."""
+    rows = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.withColumn(name, within).join(F.broadcast(before), "__part").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__before")
+
+
 class EventLog:
     """Events as Parquet, by event_type, so that queries about a few types read just these."""
 
@@ -42,16 +54,19 @@ class EventLog:
         return self.spark.read.parquet(self.path)
 
     def append(self, events: DataFrame) -> None:
-        """Events whose (snapshot_hash, event_type) the log has, or that repeat one of this batch, are left out."""
+        """Events whose (snapshot_hash, event_type) the log has, or that repeat one of this batch, are left out. Only
+        partitions of the batch's event types are looked at."""
         keys = ["snapshot_hash", "event_type"]
-        new = events.dropDuplicates(keys)
+        new = stored(events.dropDuplicates(keys), "batch")
         if self.exists():
-            new = stored(new.join(self.read().select(*keys), keys, "left_anti"), "append")
+            types = [r.event_type for r in new.select("event_type").distinct().collect()]  # few, or the log had too many partitions
+            new = stored(new.join(self.read().where(F.col("event_type").isin(types)).select(*keys), keys, "left_anti"), "append")
         new.sortWithinPartitions("event_type", "model_hash", "timestamp").write.mode("append").partitionBy("event_type").parquet(self.path)
 
 
 class LatestTable:
-    """Mutable rows as an append log: the current row of a key is the one appended last by `version`."""
+    """Mutable rows as an append log: the current row of a key is the one with the greatest `version`; of equal versions
+    the one with the greatest other columns, in their order."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], version: str):
         self.spark, self.path, self.keys, self.version = spark, path, keys, version
@@ -60,5 +75,7 @@ class LatestTable:
         rows.write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
-        w = Window.partitionBy(*self.keys).orderBy(F.desc(self.version))
-        return self.spark.read.parquet(self.path).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+        rows = self.spark.read.parquet(self.path)
+        rest = [c for c, kind in rows.dtypes if c not in (*self.keys, self.version) and not kind.startswith(("map", "variant"))]
+        w = Window.partitionBy(*self.keys).orderBy(F.desc(self.version), *[F.desc(c) for c in rest])
+        return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

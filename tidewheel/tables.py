@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Events that describe the log itself and never propagate to groups.
-INTERNAL_EVENTS = ("depends_on", "has_dependent", "member_added", "member_removed", "member_changed", "observation_issued", "observation_resolved", "validated", "registered")
+# Events that describe the log itself and never propagate to groups.
+INTERNAL_EVENTS = ("registered", "has_dependent", "depends_on", "member_added", "member_removed", "member_changed", "observation_issued", "observation_resolved", "validated")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def case(value: Column, cases: dict[object, str], other: str | None = None) -> C
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model_hash, name, owner, model_type, tier, purpose, status, created_at."""
+    """model_hash, name, owner, model_type, tier, purpose, status, created_at, metadata (JSON)."""
     c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     segment = F.lower("c_mktsegment")
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -37,6 +37,7 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("serves "), segment, F.lit(" in "), "n_name").alias("purpose"),
         case(F.col("c_custkey") % 5, {0: "retired", 1: "deprecated"}, "active").alias("status"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(hours=F.col("c_custkey").cast("int"))).alias("created_at"),
+        F.concat(F.lit('{"segment":"'), segment, F.lit('"}')).alias("metadata"),
     )
 
 
@@ -61,6 +62,23 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The governance events of groups: snapshot_hash, model_hash (the group), timestamp, actor, event_type, payload (JSON)."""
+    s = snapshots(spark, sf_dir).withColumn("i", F.substr("snapshot_hash", F.lit(2)).cast("long"))
+    named = s.withColumns({"mh": F.expr(MEMBER_HASH), "nm": F.expr(MEMBER_NAME)})
+    return named.select("snapshot_hash", F.col("composite_hash").alias("model_hash"), "timestamp", "actor", F.col("gov_type").alias("event_type"), F.expr(PAYLOAD).alias("payload"))
+
+
+# What the ledger's payloads are made of, in SQL for both engines: members known by hash, by name, by both or by neither;
+# links of several relationships; observations with, without and with blank ids.
+MEMBER_HASH = "CASE WHEN i % 7 = 0 THEN 'm9999999' || k ELSE 'm' || k END"
+MEMBER_NAME = "CASE WHEN i % 5 = 0 THEN 'nobody' ELSE 'Customer#' || lpad(k, 9, '0') END"
+OBSERVATION = """CASE WHEN i % 10 < 1 THEN '{}' WHEN i % 10 < 2 THEN '{"observation_id":""}' ELSE '{"observation_id":"OBS-' || k || '"}' END"""
+PAYLOAD = f"""CASE WHEN gov_type = 'depends_on' THEN '{{"upstream":"' || nm || '","upstream_hash":"' || CASE WHEN i % 3 = 0 THEN nm ELSE mh END || '"' || CASE WHEN i % 8 < 4 THEN ',"relationship":"member_of"' WHEN i % 8 = 4 THEN ',"relationship":"feeds"' ELSE '' END || '}}'
+  WHEN gov_type IN ('member_added', 'member_removed') THEN '{{"member_hash":"' || mh || '","member_name":"' || nm || '"}}'
+  WHEN gov_type IN ('observation_issued', 'observation_resolved') THEN {OBSERVATION} ELSE '{{}}' END"""
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: a graph of three hops, region to nation to supplier to part."""
     r, n, s, li = (read(spark, sf_dir, x) for x in ("region", "nation", "supplier", "lineitem"))
@@ -78,7 +96,8 @@ M = """m AS (SELECT 'm' || c_custkey AS model_hash, c_name AS name, n_name AS ow
   CASE WHEN c_acctbal < 0 THEN 'low' WHEN c_acctbal < 5000 THEN 'medium' ELSE 'high' END AS tier,
   'serves ' || lower(c_mktsegment) || ' in ' || n_name AS purpose,
   CASE c_custkey % 5 WHEN 0 THEN 'retired' WHEN 1 THEN 'deprecated' ELSE 'active' END AS status,
-  TIMESTAMP '2024-01-01 00:00:00' + c_custkey * INTERVAL '1' HOUR AS created_at
+  TIMESTAMP '2024-01-01 00:00:00' + c_custkey * INTERVAL '1' HOUR AS created_at,
+  '{"segment":"' || lower(c_mktsegment) || '"}' AS metadata
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 S = """s AS (SELECT 's' || event_id AS snapshot_hash, 'm' || user_id AS model_hash, 'm' || (user_id - user_id % 10) AS composite_hash,
   ts AS "timestamp", 'actor' || (event_id % 7) AS actor,
@@ -87,6 +106,8 @@ S = """s AS (SELECT 's' || event_id AS snapshot_hash, 'm' || user_id AS model_ha
     WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'observation_issued' WHEN event_type = 'view' THEN 'validated' WHEN event_type = 'purchase' THEN 'observation_resolved' ELSE 'registered' END AS gov_type,
   CASE event_id % 3 WHEN 0 THEN 'etl' WHEN 1 THEN 'ml' END AS source, props AS payload, json_extract_string(props, '$.k') AS k
   FROM events)"""
+V = f"""g AS (SELECT snapshot_hash, composite_hash AS model_hash, "timestamp", actor, gov_type AS event_type, {PAYLOAD} AS payload
+  FROM (SELECT *, {MEMBER_HASH} AS mh, {MEMBER_NAME} AS nm FROM (SELECT *, CAST(substr(snapshot_hash, 2) AS BIGINT) AS i FROM s) a) b)"""
 E = """e AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON r_regionkey = n_regionkey
   UNION ALL SELECT 'n' || n_nationkey, 'u' || s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey
   UNION ALL SELECT DISTINCT 'u' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
