@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from tests.llm import test_decontamination, test_packing, test_simhash_dedup
-from tidewheel.llm import cotraining, secret_ledger, simhash_dedup
+from tidewheel.llm import cotraining, secret_ledger
 
 SF = "/root/testdata/sf0.01"
 
@@ -39,10 +39,8 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
             keep = {r.doc_id for r in cotraining.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
             assert rows(out) == rows(docs.where(F.col("doc_id").isin(list(keep)))) and 0.6 * len(given) < len(keep) < len(given)
         elif k == 1:
-            prints = [simhash_dedup.fingerprint((d.text or "").encode(), simhash_dedup.FEATURE) for d in given]
-            near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= simhash_dedup.WIDE
             least = {}
-            for d, group in zip(given, test_simhash_dedup.jaccard_groups([d.text or "" for d in given], near)):
+            for d, group in zip(given, test_simhash_dedup.jaccard_groups([d.text for d in given])):
                 least[group] = min(d.doc_id, least.get(group, d.doc_id))
             assert rows(out) == rows(docs.where(F.col("doc_id").isin(list(least.values())))) and len(least) < len(given)
         elif k == 2:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,8 +64,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert S.near_duplicates(no_docs).collect() == []
 
 
-def jaccard_groups(texts, near, size=5, similarity=0.8):
-    """Groups of texts by links that are similar and near."""
+def jaccard_groups(texts, feature=S.FEATURE, radius=S.WIDE, size=5, similarity=0.8):
+    """Groups of texts by links that are similar, among texts of one component of fingerprints."""
+    prints = [S.fingerprint((t or "").encode(), feature) for t in texts]
+    label = slow_groups(prints, radius)
+    texts = [t or "" for t in texts]
+    near = lambda i, j: label[prints[i]] == label[prints[j]]
     split = [tuple(re.findall(r"[^\x20\x09-\x0D]+", low(t))) for t in texts]
     sets = [{w[i : i + size] for i in range(max(1, len(w) - size + 1))} if w else set() for w in split]
     group = list(range(len(texts)))
@@ -81,7 +86,9 @@ def same_groups(a, b):
     return by(a) == by(b)
 
 
-def test_near_copies_lose_no_link_within_the_radius(spark):
+@pytest.mark.parametrize("unit", [S.UNIT_SHINGLES, 150])
+def test_near_copies_lose_no_link(spark, monkeypatch, unit):
+    monkeypatch.setattr(S, "UNIT_SHINGLES", unit)
     rng, texts = random.Random(4), ["", None, " ", "one", "One"]
     for k in range(40):
         base = [f"w{rng.randrange(900)}" for _ in range(rng.choice([30, 60, 150]))]
@@ -91,8 +98,7 @@ def test_near_copies_lose_no_link_within_the_radius(spark):
                 copy[rng.randrange(len(copy))] = f"w{rng.randrange(900)}"
             texts.append(" ".join(copy).replace("w1", rng.choice(["w1", "W1"])))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    prints = [S.fingerprint((t or "").encode(), S.FEATURE) for t in texts]
-    want = jaccard_groups([t or "" for t in texts], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= S.WIDE)
+    want = jaccard_groups(texts)
     got = {r.doc_id: r.group for r in S.near_copies(df).collect()}
     assert same_groups([got[i] for i in range(len(texts))], want) and len(set(want)) < 0.7 * len(texts)
 
@@ -110,7 +116,7 @@ def test_a_bucket_over_many_partitions(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 2**63))
     fps = np.unique(np.array([base ^ sum(1 << int(b) for b in set(rng.integers(0, 64, 6))) for _ in range(3000)], np.uint64))
-    df = spark.createDataFrame([(int(x),) * 3 for x in fps.view(np.int64)], "fp long, node long, label long")
+    df = spark.createDataFrame([(int(x),) * 2 for x in fps.view(np.int64)], "fp long, node long")
     roots = {r.node: r.root for r in S.components(S.links(df, len(fps))).collect()}
     want = slow_groups([int(x) for x in fps])
     nodes = [int(x) for x in fps.view(np.int64)]
@@ -124,7 +130,7 @@ def test_chain_longer_than_a_range(spark):
         at = at ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3, dtype=np.uint64))
         fps.append(at)
     fps = np.unique(np.concatenate([np.array(fps), rng.integers(0, 2**64, 2000, dtype=np.uint64)]))
-    df = spark.createDataFrame([(int(x),) * 3 for x in fps.view(np.int64)], "fp long, node long, label long")
+    df = spark.createDataFrame([(int(x),) * 2 for x in fps.view(np.int64)], "fp long, node long")
     roots = {r.node: r.root for r in S.components(S.links(df, len(fps))).collect()}
     groups = lambda d: sorted(sorted(k for k in d if d[k] == v) for v in set(d.values()))
     want = {int(np.uint64(k).view(np.int64)): v for k, v in slow_groups([int(x) for x in fps]).items()}
@@ -145,8 +151,8 @@ def test_search_finds_all_pairs(base, flips, radius):
     index = S.GrayIndex(bucket, fps, 3)
     got = {(int(fps[i]), int(index.values[0][j])) for q, leaf in index.search(bucket, fps, radius, False) for i, j in zip(q, leaf)}
     assert got == {(int(x), int(y)) for x in fps for y in fps if (int(x) ^ int(y)).bit_count() <= radius and int(x) % 3 == int(y) % 3}
-    rows = S.Rows({"bucket": np.zeros(len(fps), np.int64), "fp": fps.view(np.int64), "node": np.arange(len(fps)), "label": np.arange(len(fps))})
-    a, b = rows.found(None, radius, False)
+    rows = S.Rows({"bucket": np.zeros(len(fps), np.int64), "fp": fps.view(np.int64), "node": np.arange(len(fps))})
+    a, b = rows.found(None, radius)
     group = {int(x): {int(x)} for x in fps}
     for x, y in zip(fps[a].tolist(), fps[b].tolist()):
         both = group[x] | group[y]

@@ -8,7 +8,6 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,27 +145,3 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes
 
-
-def spanning(edges: DataFrame, label: str = "spanning") -> DataFrame:
-    """Of edges(a long, b long) those of a spanning forest: one fewer than nodes in each component.
-
-    Contracts the graph as components() does; every pointer to a least neighbour is an edge between two of the original
-    nodes, which is carried along.
-    """
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    n = edges.count()
-    edges = written(edges.where("a <> b").select(low.alias("a"), high.alias("b"), low.alias("x"), high.alias("y")).distinct(), f"{label}-edges", n)
-    trees = []
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "x", "y"))
-        up = both.groupBy("a").agg(F.min(F.struct("b", "x", "y")).alias("to")).where("to.b < a")
-        up = written(up.select(F.col("a").alias("node"), F.col("to.b").alias("up"), "to.x", "to.y"), f"{label}-up", 2 * n)
-        trees.append(up.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        root = components(up.select(F.col("node").alias("a"), F.col("up").alias("b")), f"{label}-roots")
-        to = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))
-        left = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "x", "y").where("a <> b")
-        left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y").groupBy("a", "b").agg(F.min(F.struct("x", "y")).alias("of"))
-        edges = written(left.select("a", "b", "of.x", "of.y"), f"{label}-edges", n)
-    if not trees:
-        return edges.select("a", "b")
-    return reduce(DataFrame.unionByName, trees)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, components, lookup, partitions, spanning, table, written
+from .common import columns, components, lookup, partitions, table, written
 
 SHINGLE, SEED, RADIUS, FANOUT = 3, 42, 3, 8
 #: Parts of a fingerprint that are equal in a bucket.
@@ -40,6 +40,8 @@ PART_ROWS = 500_000
 TOGETHER, FRONTIER = 16_384, 500_000
 #: near_copies: words of a shingle and the least similarity; words of the features that are hashed, and the radius.
 SIMILAR_SHINGLE, SIMILARITY, FEATURE, WIDE = 5, 0.8, 2, 8
+#: Shingles of a part of a component of near copies, about.
+UNIT_SHINGLES = 2_000_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -99,7 +101,7 @@ class GrayIndex:
         self.new = [m & ~np.repeat(up, fanout)[: len(m)] for m, up in zip(masks, masks[1:])] + [masks[-1]]
         self.open = [np.bitwise_count(~m) for m in masks]
 
-    def search(self, bucket: np.ndarray, fp: np.ndarray, radius: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, bucket: np.ndarray, fp: np.ndarray, radius: int, whole: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions (in fp, among the leaves) of all pairs of one bucket within the radius. whole: of a group that lies
         within it as a whole just the first leaf, with which the group's own members are linked in turn."""
         top = len(self.values) - 1
@@ -142,31 +144,20 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Rows of buckets: bucket, fp, node, and the label of a group that the node is known to be in."""
+    """Rows of buckets: bucket, fp, node."""
 
     def __init__(self, part: pd.DataFrame | dict):
-        self.bucket, self.node, self.label = (np.asarray(part[c]) for c in ("bucket", "node", "label"))
+        self.bucket, self.node = np.asarray(part["bucket"]), np.asarray(part["node"])
         self.fp = np.asarray(part["fp"]).view(np.uint64)
 
-    def found(self, others: Rows | None, radius: int, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes a, b of links within these rows, or with others: all that lie between different labels (pairs), or
-        chains that join just what the links join."""
+    def found(self, others: Rows | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes a, b of chains that join just what the links within these rows, or with others, join."""
         index = GrayIndex(self.bucket, self.fp)
-        mine, theirs = index.order, None if others is None else np.arange(len(others.fp))
-        asked = self if others is None else others
-        order = mine if theirs is None else theirs
-        leaves = self.node[mine]
-        if pairs:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for query, leaf in index.search(asked.bucket[order], asked.fp[order], radius, False):
-                apart = asked.label[order[query]] != self.label[mine[leaf]]
-                a.append(asked.node[order[query[apart]]])
-                b.append(leaves[leaf[apart]])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return np.minimum(a, b), np.maximum(a, b)
+        asked, order = (self, index.order) if others is None else (others, np.arange(len(others.fp)))
+        leaves = self.node[index.order]
         nodes = leaves if others is None else np.concatenate([leaves, others.node])
         base, labels = 0 if others is None else len(leaves), np.arange(len(nodes))
-        for query, leaf in index.search(asked.bucket[order], asked.fp[order], radius, True):
+        for query, leaf in index.search(asked.bucket[order], asked.fp[order], radius):
             labels = joined(labels, query + base, leaf)
         order = np.argsort(labels, kind="stable")
         same = labels[order][1:] == labels[order][:-1]
@@ -174,7 +165,7 @@ class Rows:
 
 
 def bucketed(items: DataFrame, radius: int) -> DataFrame:
-    """items(fp, node, label) in all their buckets, with the Gray rank as a signed long in unsigned order."""
+    """items(fp, node) in all their buckets, with the Gray rank as a signed long in unsigned order."""
     n = radius + EQUAL
     cuts = [64 * k // n for k in range(n + 1)]
     masks = [sum((1 << hi) - (1 << lo) for lo, hi in some) for some in combinations(zip(cuts, cuts[1:]), EQUAL)]
@@ -183,16 +174,16 @@ def bucketed(items: DataFrame, radius: int) -> DataFrame:
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
     each = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
-    rows = items.select("fp", "node", "label", rank.bitwiseXOR(F.lit(-(2**63))).alias("rank"))
-    return rows.select(F.explode(each).alias("bucket"), "rank", "fp", "node", "label")
+    rows = items.select("fp", "node", rank.bitwiseXOR(F.lit(-(2**63))).alias("rank"))
+    return rows.select(F.explode(each).alias("bucket"), "rank", "fp", "node")
 
 
-def links(items: DataFrame, rows: int, radius: int = RADIUS, pairs: bool = False) -> DataFrame:
-    """Edges a, b between nodes of items(fp, node, label): chains whose components are those of all links within the
-    radius, or (pairs) all links between nodes of different labels. rows: how many items there are."""
+def links(items: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
+    """Edges a, b between nodes of items(fp, node): chains whose components are those of all links within the radius.
+    rows: how many items there are."""
     copies = (radius + EQUAL) * (radius + EQUAL - 1) // 2
     n = max(partitions(items.sparkSession), -(-rows * copies // PART_ROWS))
-    names = ["bucket", "fp", "node", "label"]
+    names = ["bucket", "fp", "node"]
     given = pa.schema([(c, pa.int64()) for c in names])
     made = pa.schema([(c, pa.int64()) for c in ("a", "b", *names)])
 
@@ -202,7 +193,7 @@ def links(items: DataFrame, rows: int, radius: int = RADIUS, pairs: bool = False
         if not part.num_rows:
             return
         rows = Rows({c: part[c].to_numpy() for c in names})
-        a, b = rows.found(None, radius, pairs)
+        a, b = rows.found(None, radius)
         border = np.flatnonzero((rows.bucket == rows.bucket.min()) | (rows.bucket == rows.bucket.max()))
         none = lambda k: pa.nulls(k, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none(len(a)) for _ in names]], schema=made)
@@ -221,7 +212,7 @@ def links(items: DataFrame, rows: int, radius: int = RADIUS, pairs: bool = False
     units = units.select(*names, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") < F.col("other")).alias("indexed"))
 
     def across(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = Rows(part[part["indexed"]]).found(Rows(part[~part["indexed"]]), radius, pairs)
+        a, b = Rows(part[part["indexed"]]).found(Rows(part[~part["indexed"]]), radius)
         return pd.DataFrame({"a": a, "b": b})
 
     crossed = units.groupBy("bucket", "lo", "hi").applyInPandas(across, "a long, b long")
@@ -240,8 +231,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = written(fingerprints(docs, doc_id, text, size), "fingerprints")
     known = written(docs.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
-    items = known.select("fp", F.col("fp").alias("node"), F.col("fp").alias("label"))
-    edges = links(items, known.count(), radius)
+    edges = links(known.select("fp", F.col("fp").alias("node")), known.count(), radius)
     roots = components(edges).withColumnRenamed("node", "fp")
     member = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = written(member, "members", known.count())
@@ -279,55 +269,74 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs(a, b) those whose shingle sets have that Jaccard similarity or more."""
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+def similar(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join just what the pairs of sets with that Jaccard similarity or more join.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= (similarity - 1e-12) * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    Two such sets share one of the least common shingles of both, as many as may be missing and one. Sets that are known
+    to be joined are not compared.
+    """
+    sizes = np.array([len(x) for x in sets])
+    known, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rare = np.lexsort((known, often)).argsort()[place]  # each shingle's rank, the rarest first
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    labels = np.arange(len(sets))
+    holders: dict[int, list[int]] = {}
+    a, b = [], []
+    for i in np.argsort(sizes, kind="stable").tolist():
+        mine = np.sort(rare[starts[i] : starts[i + 1]])
+        first = mine[: sizes[i] - int(np.ceil(similarity * sizes[i] - 1e-9)) + 1].tolist()
+        met = [holders.setdefault(x, []) for x in first]
+        others = np.unique(np.array([j for x in met for j in x], np.int64))
+        others = others[sizes[others] >= similarity * sizes[i] - 1e-9]
+        while len(others := others[labels[others] != labels[i]]):
+            j, others = int(others[-1]), others[:-1]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= (similarity - 1e-12) * (sizes[i] + sizes[j] - both):
+                labels[labels == labels[i]] = labels[j]
+                a.append(j)
+                b.append(i)
+        for x in met:
+            x.append(i)
+    return nodes[a], nodes[b]
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, feature: int = FEATURE, radius: int = WIDE) -> DataFrame:
     """key and group for every row: rows of one group are linked by texts whose sets of word shingles have that Jaccard
-    similarity or more, among all pairs whose fingerprints differ in `radius` bits or fewer.
-
-    The fingerprint, over shingles of `feature` words, only finds the pairs; each that links is checked exactly, first
-    along a spanning forest of the pairs found, then between those parts of a tree that the check left apart: so no link
-    within the radius is lost, and the pairs of a group of copies are never all listed. Texts with equal words in lower
-    case are one node; texts without words are alike. A text of fewer words than a shingle is one shingle. A null text
-    is empty. Rows with one key must have one text; null keys are a key. A very long text is hashed whole. An empty table
-    gives no rows; other columns are ignored.
+    similarity or more, among texts whose fingerprints are linked by `radius` bits or fewer, at once or by way of others.
+
+    The fingerprint, over shingles of `feature` words, only finds the components; within them every link is checked
+    exactly. A component of more than UNIT_SHINGLES shingles is cut by hash into parts, and each pair of parts is a unit
+    of its own: so no task holds more than two parts, and no link is lost. Texts with equal words in lower case are one
+    node; texts without words are alike. A text of fewer words than a shingle is one shingle. A null text is empty. Rows
+    with one key must have one text; null keys are a key. A very long text is hashed whole. An empty table gives no rows;
+    other columns are ignored.
     """
     rows = written(prints(docs, key, text, feature), "prints")
     nodes = rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), F.count("*").alias("n"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
-    edges = links(nodes.select("fp", "node", F.col("node").alias("label")), nodes.count(), radius)
-    n = edges.count()
-    edges = written(spanning(edges, "tree"), "forest", n)
-    trees = components(edges, "trees")
+    edges = links(nodes.select("fp", "node"), nodes.count(), radius)
+    roots = components(edges, "candidates")
+    n = roots.count()
     slim = columns(docs, key=key, text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    ours = nodes.join(trees.select("node"), "node", "left_semi").select("key", "node")
-    texts = slim.join(ours, slim["key"].eqNullSafe(ours["key"])).select("node", "text").dropDuplicates(["node"])
-    sets = written(shingle_sets(texts, size), "shingles")
-    sure = written(verified(edges, sets, similarity), "sure", n)
-    label = trees.join(components(sure, "sure").withColumnRenamed("root", "label"), "node", "left").select("node", "root", F.coalesce("label", "node").alias("label"))
-    label = written(label, "parts", 2 * n)
-    apart = label.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
-    open_ = written(label.join(apart, "root").select("node", "label").join(nodes.select("node", "fp"), "node").select("fp", "node", "label"), "open", 2 * n)
-    more = links(open_, open_.count(), radius, pairs=True)
-    more = written(verified(more, sets, similarity), "more", more.count())
-    roots = components(sure.unionByName(more), "copies")
-    group = nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("group"))
+    ours = nodes.join(roots, "node").select("key", "node")
+    texts = slim.join(ours, slim["key"].eqNullSafe(ours["key"])).select("node", "text")
+    sets = written(shingle_sets(texts, size).dropDuplicates(["node"]).join(roots, "node"), "shingles", n)
+    whole = sets.groupBy("root").agg((F.floor(F.sum(F.size("shingles")) / UNIT_SHINGLES) + 1).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    units = sets.join(whole, "root").withColumn("own", mine).select("root", "node", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "shingles")
+
+    def checked(part: pa.Table) -> pa.Table:
+        lists = part["shingles"].combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        a, b = similar(part["node"].to_numpy(), [flat[x:y] for x, y in zip(at, at[1:])], similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = written(units.groupBy("root", "lo", "hi").applyInArrow(checked, "a long, b long"), "similar", n)
+    group = nodes.join(components(found, "copies"), "node", "left").select("digest", "n", F.coalesce("root", "node").alias("group"))
     return lookup(rows.select("key", "digest"), written(group, "groups", nodes.count()), "digest", "n", rows.count()).select(F.col("key").alias(key), "group")
 
 
 def op5_simhash_gray_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component; see near_duplicates for nulls, ties, repeated rows and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))
