@@ -82,3 +82,20 @@ def test_against_the_definition(spark):
 def test_beats_the_base_on_held_out_text(spark):
     rows = [r for r in C.op7_context_tree_scores(spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_counts_past_32_bits_are_kept():
+    few, many = np.array([0, 5, 2**31 - 1]), np.array([1, 3_000_000_000])
+    assert C.unpacked(C.packed(few), 3).tolist() == few.tolist() and len(C.packed(few)) == 12
+    assert C.unpacked(C.packed(many), 2).tolist() == many.tolist()
+    keys, counts = C.merged([np.array([1, 2], np.uint64)] * 2, [C.unpacked(C.packed(many), 2)] * 2)
+    assert counts.tolist() == [2, 6_000_000_000] and len(C.unpacked(C.packed(np.zeros(0, np.int64)), 0)) == 0
+
+
+def test_many_groups_and_buckets(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1200")
+    one = {r.doc_id: r.score for r in C.score(docs, depth=4).collect()}
+    for name, value in (("GROUP_BYTES", 5000), ("LEAST_BUCKETS", 7)):
+        monkeypatch.setattr(C, name, value)
+    many = {r.doc_id: r.score for r in C.score(docs, depth=4).collect()}
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-6) for k in one)

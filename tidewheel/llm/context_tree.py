@@ -8,8 +8,9 @@ had a longer context, the deepest node that it had takes the rest.
 
 All of it follows from the counts of byte strings of DEPTH + 1 bytes. Documents are dealt to groups by hash. Each group
 counts its own strings and words once, as sorted arrays cut into buckets; buckets merge the counts of all groups, build
-the trees below the last two bytes, and send each group the values of just the strings and words that it has. Nothing
-that grows with the corpus is broadcast: the two upper levels, which are (at most 256 x 256 nodes of a fixed size), are.
+the trees below the last three bytes, and send each group the values of just the strings and words that it has. Nothing
+that grows with the corpus is broadcast: the three upper levels, which are, have 2**24 nodes at most, however large the
+corpus; of text they have some hundred thousand. The numbers of groups and buckets follow the bytes of text.
 """
 
 from __future__ import annotations
@@ -24,18 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, table, written
+from .common import columns, table, written
 from .iblt_fingerprints import mixed
 
 DEPTH = 5
 #: Text ends with this byte, which UTF-8 never has; it also stands before the text's first byte.
 EDGE = b"\xff"
-#: Shuffle partitions for each group of documents.
-PER_GROUP = 2
+#: Bytes of text in a group of documents, about; groups and buckets at least.
+GROUP_BYTES, LEAST_GROUPS, LEAST_BUCKETS = 32 << 20, 6, 64
 #: A group's counts are merged when so many strings wait.
 WAITING = 1_000_000
-#: Buckets of strings and words for each shuffle partition.
-BUCKETS = 4
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
@@ -74,6 +73,16 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in 32 bits each where all fit, else in 64."""
+    return counts.astype(np.int32 if not len(counts) or counts.max() < 2**31 else np.int64).tobytes()
+
+
+def unpacked(counts: bytes, n: int) -> np.ndarray:
+    """The n counts that packed() gave."""
+    return np.frombuffer(counts, np.int64 if len(counts) > 4 * n else np.int32)
+
+
 class Counts:
     """Sorted keys with how often training documents have them; 0 for keys that only other documents have."""
 
@@ -131,14 +140,17 @@ class Level:
 
 
 class Top:
-    """Depths 0 and 1 as arrays over all their nodes: mass of a 1 so far, what is left to deeper nodes, and the
-    probability of a 1 if nothing deeper is known."""
+    """Depths 0 to 2: mass of a 1 so far, what is left to deeper nodes, and the probability of a 1 if nothing deeper is
+    known. Depth 1 as arrays over all its nodes, depth 2 for the nodes that training has, in order."""
 
     def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
-        a, b, deep = (np.zeros(65536) for _ in range(3))
-        a[node], b[node], deep[node] = zeros, ones, below
-        seen = np.zeros(65536, bool)
-        seen[node] = True
+        order = np.argsort(node)
+        self.nodes, zeros, ones, below = node[order].astype(np.uint64), zeros[order], ones[order], below[order]
+        own2 = log_kt(zeros, ones)
+        weighted2 = np.logaddexp(own2, below) - np.log(2)
+        up = (self.nodes & np.uint64(0xFFFF)).astype(np.int64)
+        a, b, deep = (np.bincount(up, x, 65536) for x in (zeros, ones, weighted2))
+        seen = np.bincount(up, minlength=65536) > 0
         own = log_kt(a, b)
         weighted = np.where(seen, np.logaddexp(own, deep) - np.log(2), 0.0)
         share = np.exp(own - np.log(2) - np.where(seen, weighted, 0.0))
@@ -147,14 +159,16 @@ class Top:
         share0 = np.exp(own0 - np.logaddexp(own0, weighted.reshape(256, 256).sum(0)))
         kt, kt0 = (b + 0.5) / (a + b + 1), (b0 + 0.5) / (a0 + b0 + 1)
         mass0, left0 = np.tile(share0 * kt0, 256), np.tile(1 - share0, 256)
-        self.mass, self.left = mass0 + left0 * share * kt, left0 * (1 - share)
-        self.stop = np.where(seen, mass0 + left0 * kt, np.tile(kt0, 256))
+        mass, left = mass0 + left0 * share * kt, left0 * (1 - share)
+        self.stop1 = np.where(seen, mass0 + left0 * kt, np.tile(kt0, 256))
+        share2, kt2 = np.exp(own2 - np.log(2) - weighted2), (ones + 0.5) / (zeros + ones + 1)
+        self.mass, self.left, self.stop = mass[up] + left[up] * share2 * kt2, left[up] * (1 - share2), mass[up] + left[up] * kt2
 
 
 def trees(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[Level]:
-    """Levels 2 .. depth over the strings that training has."""
+    """Levels 3 .. depth over the strings that training has."""
     keys, counts = keys[counts > 0], counts[counts > 0]
-    levels = [Level(keys, counts, d) for d in range(2, depth + 1)]
+    levels = [Level(keys, counts, d) for d in range(3, depth + 1)]
     for up, low in zip(levels[-2::-1], levels[:0:-1]):
         up.above(low)
     return levels
@@ -162,27 +176,23 @@ def trees(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[Level]:
 
 def log10_probabilities(keys: np.ndarray, levels: list[Level], top: Top) -> np.ndarray:
     """Of each string's last byte, given the others."""
-    mass = []
+    above, so_far, left = top.nodes, top.mass, top.left
+    known = [(2, top.nodes, top.stop)]
     for level in levels:
         kt = (level.ones + 0.5) / (level.zeros + level.ones + 1)
-        if level.depth == 2:
-            up = (level.nodes & np.uint64(0xFFFF)).astype(np.int64)
-            so_far, left = top.mass[up], top.left[up]
-        else:
-            up = np.searchsorted(above.nodes, level.nodes & np.uint64((1 << 8 * level.depth) - 1))
-            so_far, left = mass[-1][0][up], mass[-1][1][up]
-        mass.append((so_far + left * level.share * kt, left * (1 - level.share), so_far + left * kt))
-        above = level
+        up = np.searchsorted(above, level.nodes & np.uint64((1 << 8 * level.depth) - 1))
+        known.append((level.depth, level.nodes, so_far[up] + left[up] * kt))
+        above, so_far, left = level.nodes, so_far[up] + left[up] * level.share * kt, left[up] * (1 - level.share)
     total = np.zeros(len(keys))
     for j in range(8):
         node, bit = Level.at(keys, 1, j)
-        one = top.stop[node.astype(np.int64)]
-        for level, (_, _, stop) in zip(levels, mass):
-            if not len(level.nodes):
+        one = top.stop1[node.astype(np.int64)]
+        for depth, nodes, stop in known:
+            if not len(nodes):
                 break
-            node, _ = Level.at(keys, level.depth, j)
-            at = np.minimum(np.searchsorted(level.nodes, node), len(level.nodes) - 1)
-            one = np.where(level.nodes[at] == node, stop[at], one)
+            node, _ = Level.at(keys, depth, j)
+            at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+            one = np.where(nodes[at] == node, stop[at], one)
         total += np.log10(np.where(bit == 1, one, 1 - one))
     return total
 
@@ -220,13 +230,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     score is log10 of the model's probability of the text (A-Z lower-cased) and its end; bits_per_byte is the code length
     that follows. base_score is that of a unigram model over words and an end token. A null text is empty: just its
     end. A row with a null doc_id is a training row. Repeated rows count, and are scored, as often as they occur. With no
-    training rows every byte costs eight bits. An empty table gives no rows; other columns are ignored. Words are
-    counted by 64-bit hashes.
+    training rows every byte costs eight bits. An empty table gives no rows; other columns are ignored. A very long text
+    is scored whole, by one task. Words are counted by 64-bit hashes, and all counts are 64 bits wide. depth: 3 or more.
     """
-    spark = docs.sparkSession
-    n_groups, n_buckets = max(6, partitions(spark) // PER_GROUP), BUCKETS * partitions(spark)
+    if depth < 3:
+        raise ValueError("a depth of 3 bytes or more is needed")
     rows = columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+    n_groups = max(LEAST_GROUPS, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
+    n_buckets = max(LEAST_BUCKETS, n_groups)
     rows = rows.select("doc_id", "text", held.alias("held"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("gid"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,39 +252,45 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         for gid, both in found.items():
             for kind, c in enumerate(both):
                 c.settle()
-                # Strings by their last two context bytes, so that a bucket has whole trees; words by hash.
-                bucket = (mixed((c.keys >> np.uint64(8)) & np.uint64(0xFFFF), 5) if kind == 0 else c.keys) % np.uint64(n_buckets)
+                # Strings by their last three context bytes, so that a bucket has whole trees; words by hash.
+                bucket = (mixed((c.keys >> np.uint64(8)) & np.uint64(0xFFFFFF), 5) if kind == 0 else c.keys) % np.uint64(n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
                 parts = [order[a:b] for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([gid] * n_buckets, pa.int32()), pa.array([kind] * n_buckets, pa.int32()), pa.array(range(n_buckets), pa.int32()),
-                     pa.array([c.keys[p].tobytes() for p in parts]), pa.array([c.counts[p].astype(np.int32).tobytes() for p in parts])],
+                     pa.array([c.keys[p].tobytes() for p in parts]), pa.array([packed(c.counts[p]) for p in parts])],
                     ["gid", "kind", "bucket", "keys", "counts"],
                 )
 
-    counted = rows.select("gid", "held", "text").repartition(n_groups, "gid").mapInArrow(count, "gid int, kind int, bucket int, keys binary, counts binary")
+    counted = rows.select("gid", "held", "text").repartitionById(n_groups, F.col("gid")).mapInArrow(count, "gid int, kind int, bucket int, keys binary, counts binary")
     counted = written(counted, "counts")
-    read = lambda x, kind: [np.frombuffer(b, kind) for b in x]
+
+    def read(part: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        keys = [np.frombuffer(b, np.uint64) for b in part["keys"]]
+        return keys, [unpacked(b, len(k)) for b, k in zip(part["counts"], keys)]
 
     def subtrees(part: pd.DataFrame) -> pd.DataFrame:
-        low = trees(*merged(read(part["keys"], np.uint64), read(part["counts"], np.int32)), depth)[0]
-        return pd.DataFrame({"node": (low.nodes & np.uint64(0xFFFF)).astype(np.int64), "zeros": low.zeros, "ones": low.ones, "below": low.weighted})
+        low = trees(*merged(*read(part)), depth)[0]
+        node, place = np.unique(low.nodes & np.uint64(0xFFFFFF), return_inverse=True)
+        total = lambda x: np.bincount(place, x, len(node)) if len(node) else np.zeros(0)
+        return pd.DataFrame({"node": node.astype(np.int64), "zeros": total(low.zeros), "ones": total(low.ones), "below": total(low.weighted)})
 
     below = counted.where("kind = 0").groupBy("bucket").applyInPandas(subtrees, "node long, zeros double, ones double, below double")
-    upper = below.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()  # 256 x 256 at most
+    upper = below.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()  # 2**24 at most
     top = Top(*(upper[c].to_numpy() for c in ("node", "zeros", "ones", "below")))
 
     def valued(part: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = merged(read(part["keys"], np.uint64), read(part["counts"], np.int32))
+        own, counts = read(part)
+        keys, counts = merged(own, counts)
         vocabulary, tokens = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         if part["kind"].iloc[0] == 0:
             values = log10_probabilities(keys, trees(keys, counts, depth), top)
         else:
             values = counts
             vocabulary[:1], tokens[:1] = (counts > 0).sum(), counts.sum()
-        kind = np.float32 if part["kind"].iloc[0] == 0 else np.int32
-        out = [values[np.searchsorted(keys, k)].astype(kind).tobytes() for k in read(part["keys"], np.uint64)]
+        coded = (lambda x: x.astype(np.float32).tobytes()) if part["kind"].iloc[0] == 0 else packed
+        out = [coded(values[np.searchsorted(keys, k)]) for k in own]
         return pd.DataFrame({"gid": part["gid"], "kind": part["kind"], "keys": part["keys"], "values": out, "vocabulary": vocabulary, "tokens": tokens})
 
     values = counted.groupBy("kind", "bucket").applyInPandas(valued, "gid int, kind int, keys binary, values binary, vocabulary long, tokens long")
@@ -291,7 +309,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                     now, parts, tables = gid, ([], [], [], []), []
                 if kind < 2:
                     parts[2 * kind].append(np.frombuffer(keys.as_py(), np.uint64))
-                    parts[2 * kind + 1].append(np.frombuffer(found.as_py(), np.float32 if kind == 0 else np.int32))
+                    parts[2 * kind + 1].append(np.frombuffer(found.as_py(), np.float32) if kind == 0 else unpacked(found.as_py(), len(parts[2][-1])))
                     continue
                 if not tables:
                     tables = [Values(np.concatenate(parts[k]), np.concatenate(parts[k + 1])) for k in (0, 2)]
@@ -308,8 +326,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     none = lambda kind: F.lit(None).cast(kind)
     given = values.select("gid", "kind", none("long").alias("doc_id"), none("boolean").alias("held"), none("binary").alias("text"), "keys", "values")
     asked = rows.select("gid", F.lit(2).alias("kind"), "doc_id", "held", "text", none("binary").alias("keys"), none("binary").alias("values"))
-    return given.unionByName(asked).repartition(n_groups, "gid").sortWithinPartitions("gid", "kind").mapInArrow(scored, SCHEMA)
+    return given.unionByName(asked).repartitionById(n_groups, F.col("gid")).sortWithinPartitions("gid", "kind").mapInArrow(scored, SCHEMA)
 
 
 def op7_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; see score for nulls, ties, repeated rows and empty tables."""
     return score(table(spark, sf_dir, "documents"))
