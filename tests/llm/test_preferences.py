@@ -47,6 +47,8 @@ def test_whole_table(spark):
     chosen, rejected = P.stale_replies(turns)
     want = slow(chosen.collect(), rejected.collect())
     assert got(P.format_pairs(chosen, rejected).collect()) == want
+    one = sorted((str(r.conv_id), r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in P.op6_preference_pairs(spark, "/root/testdata/sf0.01").collect())
+    assert one == [w[:5] for w in want]
     assert len(want) == turns.where("role = 'assistant'").select("conv_id").distinct().count() and any(w[2] for w in want)
 
 

@@ -50,12 +50,18 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pair_id
     One row for each pair_id that either side has; a side without turns has an empty completion. Null roles and texts
     count as empty, turns with a null number come last, turns of one number follow in order of role and text; repeated
     rows are turns of their own. A null pair_id is a pair like any other. If one conversation begins with all of the
-    other, the shorter has an empty completion. Empty tables give no rows; other columns are ignored.
+    other, the shorter has an empty completion. Very long texts are kept whole. Empty tables give no rows; other columns
+    are ignored.
     """
     a = turns_of(chosen, pair_id, turn, role, text).select(F.col("pair_id"), F.col("turns").alias("a"))
     b = turns_of(rejected, pair_id, turn, role, text).select(F.col("pair_id").alias("other"), F.col("turns").alias("b"))
     none = F.expr(f"CAST(array() AS ARRAY<{_TURN}>)")
     both = a.join(b, F.col("pair_id").eqNullSafe(F.col("other")), "full").select(F.coalesce("pair_id", "other").alias("pair_id"), F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    return formatted(both)
+
+
+def formatted(both: DataFrame) -> DataFrame:
+    """As format_pairs, from pair_id and the two conversations a and b as arrays of turns (role, text) in order."""
     shorter = F.least(F.size("a"), F.size("b"))
     differs = F.filter(F.sequence(F.lit(0), shorter), lambda i: (i == shorter) | (F.get("a", i) != F.get("b", i)))
     both = both.withColumn("n", F.element_at(differs, 1))
@@ -64,28 +70,39 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pair_id
     return both.select("pair_id", F.col("n").alias("n_prompt_turns"), rendered(F.col("p")).alias("prompt"), rendered(F.col("a")).alias("chosen"), rendered(F.col("b")).alias("rejected"), trained(F.col("a")).alias("chosen_mask"), trained(F.col("b")).alias("rejected_mask"))
 
 
+def stale_pairs(conversations: DataFrame) -> DataFrame:
+    """pair_id, a, b: pairs from plain conversations, as arrays of turns (turn, role, text). a, the chosen one, is the
+    conversation up to its last assistant turn; b, the rejected one, has there the assistant turn before (a stale reply),
+    or the turn before if there is none. One shuffle: a conversation is one row.
+
+    Conversations that the assistant never spoke in give no pair. Turns with a null number are left out: they have no
+    place before or after the last one, so a conversation of only such turns gives no pair. Null roles and texts are
+    empty; turns of one number follow in order of role and text; repeated rows are turns of their own; rows without a
+    conv_id are one conversation. An empty table gives no rows; other columns are ignored.
+    """
+    turns = columns(conversations, pair_id="conv_id", turn="turn", role=F.coalesce(F.col("role"), F.lit("")), text=F.coalesce(F.col("text"), F.lit(""))).where("turn IS NOT NULL")
+    rows = turns.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    spoken = lambda x: x["role"] == TRAINED
+    rows = rows.withColumn("last", F.array_max(F.transform(F.filter("t", spoken), lambda x: x["turn"]))).where("last IS NOT NULL")
+    rows = rows.withColumn("a", F.filter("t", lambda x: x["turn"] <= F.col("last")))
+    earlier = F.transform(F.filter("a", lambda x: x["turn"] < F.col("last")), lambda x: F.struct(spoken(x).alias("own"), x["turn"].alias("turn"), x["text"].alias("text")))
+    rows = rows.withColumn("stale", F.coalesce(F.array_max(earlier)["text"], F.lit("")))
+    swap = lambda x: F.when((x["turn"] == F.col("last")) & spoken(x), F.col("stale")).otherwise(x["text"])
+    return rows.select("pair_id", "a", F.sort_array(F.transform("a", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), swap(x).alias("text")))).alias("b"))
+
+
 def stale_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs from plain conversations: chosen is the conversation up to its last assistant turn; rejected has there the
-    assistant turn before (a stale reply), or the turn before if there is none. Conversations that the assistant never
-    spoke in give no pair. Turns with a null number are dropped first, as in the SQL: they have no place before or after
-    the last one (format_pairs keeps such turns, last), so a conversation of only such turns gives no pair."""
-    turns = columns(conversations, pair_id="conv_id", turn="turn", role="role", text="text").where("turn IS NOT NULL")
-    spoken = turns.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max("turn").alias("last"))
-    chosen = turns.join(spoken.withColumnRenamed("pair_id", "of"), F.col("pair_id").eqNullSafe(F.col("of"))).where("turn <= last")
-    # Of the turns before the last: the assistant's latest, else the latest.
-    earlier = chosen.where("turn < last").groupBy("pair_id").agg(
-        F.max(F.struct((F.col("role") == TRAINED).alias("own"), "turn", F.coalesce("text", F.lit("")).alias("text")))["text"].alias("stale")
-    )
-    earlier = earlier.withColumnRenamed("pair_id", "of2")
-    rejected = chosen.join(earlier, F.col("pair_id").eqNullSafe(F.col("of2")), "left")
-    swapped = (F.col("turn") == F.col("last")) & (F.col("role") == TRAINED)
-    rejected = rejected.select("pair_id", "turn", "role", F.when(swapped, F.coalesce("stale", F.lit(""))).otherwise(F.col("text")).alias("text"))
-    return chosen.select("pair_id", "turn", "role", "text"), rejected
+    """The sides of stale_pairs as tables of turns: chosen and rejected, each pair_id, turn, role, text."""
+    pairs = stale_pairs(conversations)
+    side = lambda c: pairs.select("pair_id", F.explode(c).alias("t")).select("pair_id", "t.*")
+    return side("a"), side("b")
 
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with a reply as a pair; see stale_pairs for nulls, ties, repeated rows and empty tables."""
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
-    found = format_pairs(*stale_replies(table(spark, sf_dir, "conversations")))
+    said = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(c)
+    found = formatted(stale_pairs(table(spark, sf_dir, "conversations")).select("pair_id", said("a"), said("b")))
     return found.select(F.col("pair_id").alias("conv_id"), "n_prompt_turns", "prompt", "chosen", "rejected", listed("chosen_mask"), listed("rejected_mask"))
 
 
