@@ -31,13 +31,15 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", 1, r"[0-9a-f]{24,}", base=True),
 )
-#: What the ledger's rules add: key blocks, signed web tokens and prefixed service tokens.
+#: What the ledger's rules add: private keys, signed web tokens and prefixed service tokens.
 RULES = (
     *BASE_RULES,
     Rule("keyblock", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("webtoken", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("prefixed", 1, r"(?:ghp|gho|glpat|xoxb|sk_live)[_-][A-Za-z0-9_-]{16,}"),
 )
+#: Matches that are folded together: a text with very many has a list of such lists, so that no list is copied too often.
+FOLDED = 256
 LEDGER = "digest string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -59,7 +61,10 @@ def spans_of(text: Column, rule: Rule) -> Column:
         more = F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"))))
         return F.struct(end.alias("at"), F.when(x["checked"] >= rule.least, more).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(steps, zero, step)["found"]
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / FOLDED).cast("int")), lambda k: F.slice(steps, k * FOLDED + 1, FOLDED))
+    last = lambda states: F.element_at(states, -1)
+    folded = F.aggregate(parts, F.array(zero), lambda states, part: F.concat(states, F.array(F.aggregate(part, F.struct(last(states)["at"].alias("at"), zero["found"].alias("found")), step))))
+    found = F.flatten(F.transform(folded, lambda s: s["found"]))
     return F.when(text.rlike(rule.pattern), found).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<start:INT,end:INT>>)"))
 
 
@@ -70,7 +75,8 @@ def scan(versions: DataFrame, path: str = "path", version: str | None = None, co
     rules; one row for each row of versions, with an empty array where nothing is found. additions has the columns of
     LEDGER, one row for each pair of blob and rule version that was not in the ledger, found or not, to be appended.
     A null or empty content is a blob like any other: the empty one. Repeated rows and equal contents share one scan. A
-    null path is kept. An empty table gives empty results. Other columns are ignored.
+    null path is kept. A very long text is scanned whole. Matches that begin at one place follow in order of the rules.
+    An empty table gives empty results. Other columns are ignored.
     """
     rows = columns(versions, path=path, version=F.lit(None).cast("long") if version is None else version, content=F.coalesce(F.col(content), F.lit("")))
     if dict(rows.dtypes)["path"] == "void":
@@ -122,6 +128,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op10_secret_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets; see scan for nulls, ties, repeated rows and empty tables."""
     found, _ = scan(table(spark, sf_dir, "documents"), "doc_id", None, "text")
     base = [r.kind for r in BASE_RULES]
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
