@@ -48,3 +48,8 @@ def test_likeness_is_exact(cases):
     b = [np.array(sorted(y | c), np.uint64) for _, y, c in cases]
     want = [len(set(x.tolist()) & set(y.tolist())) / max(1, len(set(x.tolist()) | set(y.tolist()))) if len(x) + len(y) else 1.0 for x, y in zip(a, b)]
     assert np.allclose(I.likeness(a, b), want)
+
+
+def test_a_pair_that_never_peels_is_compared_exactly():
+    a, b = np.array([7, 7, 8, 9], np.uint64), np.array([9, 10], np.uint64)
+    assert I.likeness([a, a], [b, a]).tolist() == [1 / 4, 1.0]

@@ -4,7 +4,7 @@ A document is cut into paragraphs; each is hashed, with its number among equal o
 put into one cell of each of three parts of the sketch. A cell holds a count, the sum of its digests and the sum of their
 check sums. Two versions' sketches subtract cell by cell: what both have cancels, and peeling recovers the digests that
 differ. When peeling gets stuck, because more differ than the cells can hold, both versions are sketched anew with twice
-the cells (from a quarter of their paragraphs on), until it succeeds. Likeness is common digests over all digests.
+the cells (from a quarter of their paragraphs on), TRIES times at most. Likeness is common digests over all digests.
 
 Sketches, subtraction and peeling run on flat arrays for many documents at a time.
 """
@@ -32,6 +32,8 @@ CELLS = 4
 CUT, LONG = r"[^\n.,;:!?|]*[\n.,;:!?|]+|[^\n.,;:!?|]+", 20
 #: Documents, paragraphs, and cells of larger sketches that are worked on together.
 TOGETHER, MANY, MOST_CELLS = 256, 50_000, 100_000
+#: Sketches that a pair gets at most; after the last its digests are compared one by one.
+TRIES = 6
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -131,7 +133,13 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], first: Sketches | None =
     both = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
     parts, todo = np.full(len(a), CELLS), np.arange(len(a))
     differ = np.zeros(len(a), np.int64)
+    tries = 0
     while len(todo):
+        if (tries := tries + 1) > TRIES:  # equal digests within one text never peel, whatever the size
+            for i in todo:
+                x, y = np.unique(a[i]), np.unique(b[i])
+                both[i], differ[i] = len(x) + len(y), len(np.setxor1d(x, y, assume_unique=True))
+            break
         failed = []
         for some in np.split(todo, np.flatnonzero(np.diff(np.cumsum(3 * parts[todo]) // MOST_CELLS)) + 1):
             if first is None:
@@ -187,7 +195,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The edited text has its last half of code points replaced by the first as many (or all) of the next document in
     descending doc_id; after the last comes the first. Null ids come last, equal ids follow each other in order of text,
     repeated rows are documents of their own. A null text is empty; two texts without paragraphs have likeness 1. Equal
-    texts have equal fingerprints. An empty table gives no rows; other columns are ignored.
+    texts have equal fingerprints. A very long text is sketched whole, by one task. An empty table gives no rows; other columns are ignored.
     """
     slim = columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.coalesce(F.col(text), F.lit("")))
     n = partitions(docs.sparkSession)
@@ -218,4 +226,5 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def op3_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprints; see fingerprint_edits for nulls, ties, repeated rows and empty tables."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
