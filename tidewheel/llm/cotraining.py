@@ -1,7 +1,7 @@
 """A quality classifier by co-training of two views of a document.
 
-The text view sees which words, beginnings of words and runs of symbols a text has; the metadata view sees its language, source, size and
-layout, but no words. Both are Bernoulli naive Bayes models, so that a round of training is one pass over the documents'
+The text view sees which words, beginnings of words and runs of symbols a text has; the metadata view sees its language,
+source, size and layout, and how much its words repeat, but no words. Both are Bernoulli naive Bayes models, so that a round of training is one pass over the documents'
 features that adds up counts. After each round both views are calibrated on labelled documents that they were not trained
 on; documents without a label for which one view is confident then become training documents of the other view. At the
 end the calibrated views are combined, by a logistic model on the same held-back documents, and score every document.
@@ -111,7 +111,8 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     labels(doc_id, quality, toxic): a document is bad if its quality is 0 or its toxic is 1; of several rows for one
     document the worst counts, and a row with both null counts for none. A null text is empty, other nulls are a value of
     their own; a row with a null doc_id has no label. Repeated rows are scored alike. Without labels of both kinds there
-    is nothing to learn: all rows are kept and p_* are null. An empty table gives no rows. Other columns are ignored.
+    is nothing to learn: all rows are kept and p_* are null. Equal scores are decided alike: below the threshold a row is
+    kept. A very long text is read whole. An empty table gives no rows. Other columns are ignored.
     key: a column of docs to carry along in place of doc_id.
     """
     s, spark = settings, docs.sparkSession
@@ -218,4 +219,5 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 
 def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores; see classify for nulls, ties, repeated rows and empty tables."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
