@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from tests.llm import test_decontamination, test_packing, test_simhash_dedup
-from tidewheel.llm import cotraining, secret_ledger
+from tidewheel.llm import cotraining, secret_ledger, simhash_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -61,3 +61,26 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
             stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}{k}")
             docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
         assert (docs.count() > 0) == (name == "odd")
+
+
+def test_run_is_the_stages_in_turn_and_leaves_others_results(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    other = simhash_dedup.near_duplicates(docs)
+    got = P.run(spark, sf)
+    assert other.count() == docs.count()  # its scratch tables are still there
+    for k, (_, stage) in enumerate(P.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    tokens = lambda df: sorted((r.doc_id, r.start_tokens) for r in df.groupBy("doc_id").agg(F.sum("length").alias("start_tokens")).collect())
+    assert tokens(got) == tokens(docs) and got.columns == docs.columns
+
+
+def test_odd_rows_stage_by_stage(spark, odd_docs):
+    """Which rows each stage leaves, with columns whose names clash."""
+    kept = lambda k: sorted((str(r.doc_id), (r.text or "")[:9]) for r in P.STAGES[k][1](spark, odd_docs, SF).collect())
+    every = sorted((str(r.doc_id), (r.text or "")[:9]) for r in odd_docs.collect())
+    assert kept(2) == every and kept(3) == every
+    ids = [x for x, _ in kept(1)]
+    assert len(ids) == len(set(ids)) and "1" in ids and "2" not in ids and "3" not in ids and "5" not in ids and {"-3", "4", "6", "8", "9", "None"} <= set(ids)
+    assert P.simhash_near_dedup(spark, odd_docs, SF).columns == odd_docs.columns

@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +22,8 @@ HOT_LEAST = 1000
 #: Rows of a file of a scratch table, about, where their number is known.
 FILE_ROWS = 50_000
 
-_written: list[str] = []
+#: Where the paths of scratch tables are noted down, if anybody wants to delete them; see collecting().
+_noted: ContextVar[list[str] | None] = ContextVar("_noted", default=None)
 
 
 def shipped(spark: SparkSession) -> SparkSession:
@@ -41,11 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset (tests, one machine), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset and all runs on one machine, a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not (now := context.getCheckpointDir()):
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             made = tempfile.mkdtemp(prefix="tidewheel-")
             atexit.register(shutil.rmtree, made, ignore_errors=True)
             context.setCheckpointDir(f"file://{made}")
@@ -56,7 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tidewheel/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     return path
 
 
@@ -68,11 +75,21 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what written() made so far. Only for callers that know that every result was stored elsewhere."""
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Scratch tables that are written meanwhile are noted in paths, for release()."""
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables, for a caller that has stored what was made of them; others' tables are left alone."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(hadoop).delete(path, True)
 
 
