@@ -174,3 +174,15 @@ def test_versions_of_equal_age_have_one_winner(spark, tmp_path):
 def test_an_unknown_profile(spark):
     with pytest.raises(ValueError, match="unknown profile"):
         rules.violations(spark.range(1), "none")
+
+
+def test_inline_nodes_deployments_and_files(spark):
+    items = spark.createDataFrame([('{"name": "a", "inputs": ["X"], "owner": "o", "n": 1}',), ('{"name": "b", "platform": "p", "outputs": ["x", "Y"]}',)], "item string")
+    got = {r.name: (r.platform, [p.identifier for p in r.inputs], [p.identifier for p in r.outputs], r.metadata) for r in nodes.inline_nodes(items).collect()}
+    assert got == {"a": ("", ["x"], [], {"owner": "o", "n": "1"}), "b": ("p", [], ["x", "y"], {})}
+    schema = "name string, tags array<string>, cron string, entrypoint string, version string, updated timestamp_ntz"
+    rows = [("d", ["author:ann", "repo:r:1", "main"], "0 1 * * *", "f", "1", None), ("d", ["main"], None, None, None, None), ("e", ["x"], None, "g", None, None)]
+    made = {r.name: r.metadata for r in nodes.deployment_nodes(spark.createDataFrame(rows, schema), "flow", ("main",)).collect()}
+    assert made == {"d": {"node_type": "deployment", "owner": "ann", "repo": "r:1", "schedule": "0 1 * * *", "has_schedule": "true", "entrypoint": "f", "version": "1"}}
+    files = spark.createDataFrame([("p", "w6k="), ("q", "?"), ("r", None)], "project string, content string")
+    assert [tuple(r) for r in nodes.config_files(files).collect()] == [("p", "é")]

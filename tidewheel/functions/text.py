@@ -72,6 +72,18 @@ def tag_pairs(tags: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def file_name(name: Column) -> Column:
+    """A name that is safe for files: slashes, backslashes and white space become underscores."""
+    return F.regexp_replace(name, r"[/\\\s]", "_")
+
+
+def next_version(version: Column) -> Column:
+    """The next minor version: 1.2.3 becomes 1.3.0; null for what isn't a version of three numbers or more parts."""
+    parts = F.split(version, r"\.")
+    minor = F.get(parts, 1).try_cast("int") + 1
+    return F.when((F.size(parts) >= 3) & minor.isNotNull(), F.array_join(F.concat(F.array(F.get(parts, 0), minor.cast("string"), F.lit("0")), F.slice(parts, 4, F.size(parts) + 1)), "."))
+
+
 def ordinal(day: Column) -> Column:
     """A day of the month with its ending; text that isn't a number gets th."""
     n = day.try_cast("int")

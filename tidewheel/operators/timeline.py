@@ -69,6 +69,19 @@ def platforms(s: DataFrame) -> DataFrame:
     return by.select("model_hash", F.coalesce("a", "b").alias("platform"))
 
 
+def models_in(m: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The models whose hash is in wanted(model_hash), each once; blanks and unknown hashes are left out."""
+    return m.join(wanted.where("model_hash <> ''").select("model_hash").distinct(), "model_hash", "left_semi")
+
+
+def tags_of(tags: DataFrame, s: DataFrame, model_hash: str) -> DataFrame:
+    """A model's current tags in order of name, each with the event that it points to. tags: model_hash, name,
+    snapshot_hash, updated_at, where of equal names the latest counts."""
+    own = tags.where(F.col("model_hash") == model_hash)
+    last = own.groupBy("name").agg(F.max(F.struct("updated_at", "snapshot_hash")).alias("t")).select("name", "t.*")
+    return last.join(s.select("snapshot_hash", "event_type", "timestamp"), "snapshot_hash").orderBy("name").select("name", "snapshot_hash", "updated_at", "event_type", "timestamp")
+
+
 def model_summaries(m: DataFrame, s: DataFrame) -> DataFrame:
     """Every model with its last event, event count and platform; models without events have null and 0. One pass over
     the log."""

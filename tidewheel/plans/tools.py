@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import membership as B
@@ -130,6 +131,49 @@ def sql_nodes(spark, d):
     return n.select("name", ports("inputs", True), ports("outputs", True), meta.alias("metadata"))
 
 
+#: Items as an API gives them: nested names, an empty port, a null, and numbers.
+ITEMS = """'{"info":{"name":"S' || s_suppkey || '","feed":"In.' || s_nationkey || '"},"out":' || CASE s_suppkey % 3 WHEN 0 THEN '""' WHEN 1 THEN 'null' ELSE '"T' || s_suppkey || '"' END || ',"nation":' || s_nationkey || ',"none":null}'"""
+ITEM_SQL = "SELECT 'S' || s_suppkey AS name, 'in.' || s_nationkey AS inputs, CASE WHEN s_suppkey % 3 = 2 THEN 't' || s_suppkey ELSE '' END AS outputs, {} AS metadata FROM supplier"
+
+
+def item_nodes(spark, d, metadata) -> DataFrame:
+    items = read(spark, d, "supplier").select(F.expr(ITEMS).alias("item"))
+    n = N.json_nodes(items, "api", "info.name", ("info.feed",), ("out",), metadata)
+    ids = lambda c: F.array_join(F.transform(c, lambda p: p["identifier"]), "|").alias(c)
+    meta = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("metadata", lambda k, v: k != "info"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return n.select("name", ids("inputs"), ids("outputs"), meta.alias("metadata"))
+
+
+@query(ITEM_SQL.format("'nation=' || s_nationkey || '|node_type=api'"))
+def json_nodes(spark, d):
+    return item_nodes(spark, d, None)
+
+
+@query(ITEM_SQL.format("'feed=In.' || s_nationkey || '|node_type=' || s_nationkey"))
+def json_nodes_mapped(spark, d):
+    return item_nodes(spark, d, {"feed": "info.feed", "node_type": "nation", "gone": "none"})
+
+
+@query(f"WITH {M}, w AS (SELECT DISTINCT 'm' || (user_id * 3) AS model_hash FROM events UNION ALL SELECT '') SELECT m.model_hash, name FROM m WHERE model_hash IN (SELECT model_hash FROM w)")
+def models_in_list(spark, d):
+    wanted = read(spark, d, "events").select(F.concat(F.lit("m"), (F.col("user_id") * 3).cast("string")).alias("model_hash"))
+    return L.models_in(models(spark, d), wanted.unionByName(spark.createDataFrame([("",), (None,)], "model_hash string"))).select("model_hash", "name")
+
+
+@query(f"""WITH {S}, t AS (SELECT 'tag' || (CAST(k AS INTEGER) % 5) AS name, "timestamp" AS updated_at, snapshot_hash FROM s WHERE model_hash = 'm7'),
+  l AS (SELECT name, arg_max(snapshot_hash, (updated_at, snapshot_hash)) AS snapshot_hash, max(updated_at) AS updated_at FROM t GROUP BY 1) SELECT name, snapshot_hash, updated_at, event_type, "timestamp" FROM l JOIN s USING (snapshot_hash)""")
+def list_tags(spark, d):
+    s = snapshots(spark, d)
+    tags = s.select("model_hash", F.concat(F.lit("tag"), (F.col("k").cast("int") % 5).cast("string")).alias("name"), F.col("timestamp").alias("updated_at"), "snapshot_hash")
+    return L.tags_of(tags, s, "m7")
+
+
+@query("SELECT o_orderkey, replace(replace('a/b ' || o_clerk, '/', '_'), ' ', '_') AS file, '1.' || (o_orderkey % 12 + 1) || '.0' AS version FROM (SELECT o_orderkey, o_orderpriority AS o_clerk FROM orders)")
+def file_names_and_versions(spark, d):
+    o = read(spark, d, "orders")
+    return o.select("o_orderkey", T.file_name(F.concat(F.lit("a/b "), "o_orderpriority")).alias("file"), T.next_version(F.concat(F.lit("1."), (F.col("o_orderkey") % 12).cast("string"), F.lit(".7"))).alias("version"))
+
+
 def graph_nodes(spark, d) -> DataFrame:
     """A node a supplier, whose outputs are its parts, and one a part; their discovered events, read back from the log."""
     li = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()

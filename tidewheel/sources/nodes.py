@@ -109,9 +109,51 @@ def logged_nodes(s: DataFrame, m: DataFrame) -> DataFrame:
     return rows.select("name", "p.platform", ports("inputs").alias("inputs"), ports("outputs").alias("outputs"))
 
 
+def json_nodes(items: DataFrame, platform: str, name: str, inputs: tuple[str, ...] = (), outputs: tuple[str, ...] = (), metadata: dict[str, str] | None = None) -> DataFrame:
+    """name, platform, inputs, outputs, metadata: one node a row of items(item), JSON objects.
+
+    name, inputs, outputs and the values of metadata are dotted paths. Missing and empty values give no port; without a
+    list of metadata, all top-level keys that serve nothing else and aren't null do. node_type is the platform unless
+    given. An item without a name has an empty one.
+    """
+    at = lambda path: F.get_json_object("item", f"$.{path}")
+    ports = lambda paths: F.filter(F.array(*[F.when(at(x) != "", one_port(at(x), F.expr(NO_SCHEMA))) for x in paths]), lambda p: p.isNotNull()) if paths else F.expr(NO_PORTS)
+    if metadata is None:
+        used = (name, *inputs, *outputs)
+        entries = F.map_filter(F.from_json("item", "map<string,string>"), lambda k, v: v.isNotNull() & ~k.isin(*used))
+    else:
+        entries = F.map_filter(F.create_map(*[x for k, path in metadata.items() for x in (F.lit(k), at(path))]), lambda k, v: v.isNotNull())
+    typed = F.when(F.map_contains_key(entries, "node_type"), entries).otherwise(F.map_concat(entries, F.create_map(F.lit("node_type"), F.lit(platform))))
+    return items.select(F.coalesce(at(name), F.lit("")).alias("name"), F.lit(platform).alias("platform"), ports(inputs).alias("inputs"), ports(outputs).alias("outputs"), typed.alias("metadata"))
+
+
+def inline_nodes(items: DataFrame) -> DataFrame:
+    """The nodes that items(item) spell out as JSON objects: name, platform, inputs and outputs (lists of identifiers); all
+    other keys are metadata. Of a file of such objects, json_array gives the rows."""
+    own = ("name", "platform", "inputs", "outputs")
+    ports = lambda side: F.transform(F.coalesce(F.from_json(F.get_json_object("item", f"$.{side}"), "array<string>"), F.expr("CAST(array() AS ARRAY<STRING>)")), lambda x: one_port(x, F.expr(NO_SCHEMA)))
+    meta = F.map_filter(F.from_json("item", "map<string,string>"), lambda k, v: ~k.isin(*own))
+    return items.select(F.get_json_object("item", "$.name").alias("name"), F.coalesce(F.get_json_object("item", "$.platform"), F.lit("")).alias("platform"), ports("inputs").alias("inputs"), ports("outputs").alias("outputs"), meta.alias("metadata"))
+
+
+def deployment_nodes(df: DataFrame, platform: str, tags: tuple[str, ...] = ()) -> DataFrame:
+    """name, platform, metadata of deployments(name, tags, cron, entrypoint, version, updated), those with all of `tags`;
+    each name once, that updated last. Tags of the form k:v give application, repo and owner (from author)."""
+    rows = df.where(F.forall(F.array(*[F.lit(t) for t in tags]), lambda t: F.array_contains("tags", t))) if tags else df
+    rows = rows.groupBy("name").agg(F.max(F.struct("updated", "cron", "entrypoint", "version", "tags")).alias("d")).select("name", "d.*")
+    of = T.tag_pairs(F.filter(F.coalesce("tags", F.expr("CAST(array() AS ARRAY<STRING>)")), lambda t: F.contains(t, F.lit(":"))))
+    meta = {"node_type": F.lit("deployment"), "application": of["application"], "repo": of["repo"], "owner": of["author"], "schedule": F.col("cron"), "has_schedule": F.col("cron").isNotNull().cast("string"), "entrypoint": F.col("entrypoint"), "version": F.col("version"), "source_updated_at": F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss")}
+    return rows.select("name", F.lit(platform).alias("platform"), F.map_filter(F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull()).alias("metadata"))
+
+
+def config_files(df: DataFrame) -> DataFrame:
+    """project, content: files that an API gives in base64, as text; what can't be decoded is left out."""
+    return df.select("project", F.try_to_binary("content", F.lit("base64")).cast("string").alias("content")).where("content IS NOT NULL")
+
+
 class PagedJson(DataSource):
     """spark.read.format("paged_json"): JSON pages linked by a token. Options: url, items (dotted path), token (dotted
-    path to the next page's token), param (query parameter). One row an item, as JSON text. Pages follow each other, so
+    path to the next page's token), param (query parameter), headers (a JSON object). One row an item, as JSON text. Pages follow each other, so
     one URL is one partition; several URLs, separated by blanks, are read side by side."""
 
     @classmethod
@@ -144,7 +186,8 @@ class PagedJsonReader(DataSourceReader):
             url = partition.value
             if token:
                 url += f"{'&' if '?' in url else '?'}{self.options.get('param', 'page_token')}={token}"
-            with urllib.request.urlopen(url) as answer:
+            asked = urllib.request.Request(url, headers=json.loads(self.options.get("headers", "{}")))
+            with urllib.request.urlopen(asked, timeout=30) as answer:
                 page = json.load(answer)
             for item in at(page, self.options.get("items", "items")) or []:
                 yield (json.dumps(item),)
