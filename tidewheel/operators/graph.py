@@ -82,18 +82,16 @@ def trace_order(edges: DataFrame, root: str) -> DataFrame:
     hops = stored(closure(back, one).select("node", "hops").unionByName(one.select(F.col("root").alias("node"), F.lit(0).alias("hops"))), "hops")
     inside = edges.where("src <> dst").join(hops.select(F.col("node").alias("src")), "src", "left_semi").join(hops.select(F.col("node").alias("dst")), "dst", "left_semi")
     links = stored(inside.select("src", "dst"), "links")
-    left, done, level = hops, [], 0
+    left, done = hops, []
     while True:
-        ready = left.join(links.select(F.col("dst").alias("node")), "node", "left_anti")
-        if ready.isEmpty():
-            if (most := left.agg(F.max("hops")).first()[0]) is None:
-                break
-            ready = left.where(F.col("hops") == most)
-        ready = stored(ready.withColumn("level", F.lit(level)), "level")
-        done.append(ready)
-        left = stored(left.join(ready.select("node"), "node", "left_anti"), "left")
-        links = stored(links.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "links")
-        level += 1
+        waiting = links.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"), F.lit(True).alias("w")).distinct()
+        state = stored(left.join(waiting, "node", "left").select("node", "hops", F.coalesce("w", F.lit(False)).alias("waits")), "trace")
+        most = {r.waits: r.most for r in state.groupBy("waits").agg(F.max("hops").alias("most")).collect()}
+        if not most:
+            break
+        now = ~F.col("waits") if False in most else F.col("hops") == most[True]
+        done.append(state.where(now).select("node", "hops", F.lit(len(done)).alias("level")))
+        left = state.where(~now).select("node", "hops")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
