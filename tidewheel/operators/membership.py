@@ -97,6 +97,19 @@ def group_events(of: DataFrame, m: DataFrame, event_type: str) -> DataFrame:
     return found.select(F.col("group_hash").alias("model_hash"), F.lit(event_type).alias("event_type"), payload.alias("payload"))
 
 
+def link_events(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on") -> DataFrame:
+    """Both events of each link in pairs(upstream, downstream), names or hashes: has_dependent on the upstream model and
+    depends_on on the downstream one, with the other's name and hash. A link to an unknown model gives none. A group's
+    members are its upstreams, by the relationship member_of."""
+    known = names(m).join(m.select(F.col("model_hash").alias("found"), "name"), "found")
+    end = lambda side: known.select(F.col("key").alias(side), F.struct(F.col("found").alias("hash"), "name").alias(side[0]))
+    both = pairs.select("upstream", "downstream").join(end("upstream"), "upstream").join(end("downstream"), "downstream")
+    kind = F.lit(relationship).alias("relationship")
+    event = lambda own, name, **other: F.struct(F.col(f"{own}.hash").alias("model_hash"), F.lit(name).alias("event_type"), F.to_json(F.struct(*[F.col(v).alias(k) for k, v in other.items()], kind)).alias("payload"))
+    up, down = event("u", "has_dependent", downstream="d.name", downstream_hash="d.hash"), event("d", "depends_on", upstream="u.name", upstream_hash="u.hash")
+    return both.select(F.explode(F.array(up, down)).alias("e")).select("e.*")
+
+
 def member_changed(s: DataFrame, member: DataFrame) -> DataFrame:
     """The member_changed events that a model's own (not internal) events raise in each group it is in: one level up."""
     return s.join(member.withColumnRenamed("member_hash", "model_hash"), "model_hash").select(

@@ -110,8 +110,7 @@ def query(m: DataFrame, s: DataFrame, offset: int, limit: int, text: str | None
         m = text_search(m, text)
     rows = page(m, offset, limit, F.col("name"), F.col("model_hash"))
     found = model_summaries(rows, s.join(F.broadcast(rows.select("model_hash")), "model_hash", "left_semi"))
-    total = m.agg(F.count("*").alias("total"))
-    return found.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
+    return found.withColumn("total", m.agg(F.count("*")).scalar()).withColumn("has_more", F.col("total") > offset + limit)
 
 
 # Events and keys that a model's merged metadata leaves out.

@@ -203,6 +203,28 @@ def connect_counts(spark, d):
     return connected(spark, d)[1]
 
 
+@query(CONNECTED + f", {M}, n AS (SELECT CAST(substr(model_hash, 2) AS BIGINT) AS i FROM m WHERE CAST(substr(model_hash, 2) AS BIGINT) % 3 = 0), a AS (SELECT count(*) FILTER (NOT (i % 2 = 0 AND i % 5 = 2)) AS models_added, count(*) FILTER (i % 2 = 0 AND i % 5 = 2) AS models_skipped FROM n) "
+       "SELECT models_added, models_skipped, CASE WHEN models_added > 0 THEN (SELECT count(*) FROM l WHERE NOT known) ELSE 0 END AS links_created FROM a")
+def discover_report(spark, d):
+    """What an import reports: models added and skipped, and the links that connecting creates if any was added."""
+    links = connected(spark, d)[1].select("links_created").scalar()
+    return added(spark, d)[2].select(F.col("added").alias("models_added"), F.col("skipped").alias("models_skipped"), F.when(F.col("added") > 0, links).otherwise(F.lit(0).cast("long")).alias("links_created"))
+
+
+GROUPED = "p AS (SELECT m.name AS upstream, 'm' || (CAST(substr(model_hash, 2) AS BIGINT) // 10 * 10) AS downstream, model_hash AS uh FROM m)"
+
+
+@query(f"""WITH {M}, {GROUPED}, b AS (SELECT p.*, d.name AS dn FROM p JOIN m d ON d.model_hash = downstream)
+  SELECT uh AS model_hash, 'has_dependent' AS event_type, '{{"downstream":"' || dn || '","downstream_hash":"' || downstream || '","relationship":"member_of"}}' AS payload FROM b
+  UNION ALL SELECT downstream, 'depends_on', '{{"upstream":"' || upstream || '","upstream_hash":"' || uh || '","relationship":"member_of"}}' FROM b""")
+def register_group_events(spark, d):
+    """The events that put every model into the group of its ten, by name; and links to nobody, which give none."""
+    m = models(spark, d)
+    group = F.concat(F.lit("m"), (F.floor(F.substr("model_hash", F.lit(2)).cast("long") / 10) * 10).cast("string"))
+    pairs = m.select(F.col("name").alias("upstream"), group.alias("downstream"))
+    return B.link_events(pairs.unionByName(pairs.withColumn("upstream", F.lit("nobody"))), m, "member_of")
+
+
 VERSIONS = "SELECT 'm' || (c_custkey // 3) AS model_name, 'v' || (c_custkey % 3) AS version, c_custkey % 4 = 0 AS frozen, 'old' AS note FROM customer"
 
 
