@@ -19,9 +19,8 @@ def latest(df: DataFrame, *keys: str) -> DataFrame:
 
 def names(m: DataFrame) -> DataFrame:
     """key, found: the model that a reference means, by name if one has it, else by hash."""
-    by = lambda c, order: m.select(F.col(c).alias("key"), F.lit(order).alias("by"), "model_hash")
-    both = by("name", 0).unionByName(by("model_hash", 1)).where("key IS NOT NULL")
-    return both.groupBy("key").agg(F.min(F.struct("by", "model_hash"))["model_hash"].alias("found"))
+    return m.sparkSession.sql("""SELECT key, min(struct(order, model_hash)).model_hash AS found FROM (
+      SELECT name AS key, 0 AS order, model_hash FROM {m} UNION ALL SELECT model_hash, 1, model_hash FROM {m}) WHERE key IS NOT NULL GROUP BY key""", m=m)
 
 
 def facts(s: DataFrame, m: DataFrame, until: Column | None = None, types: tuple[str, ...] = (*MEMBERS, *OBSERVATIONS, "validated")) -> DataFrame:
@@ -32,30 +31,25 @@ def facts(s: DataFrame, m: DataFrame, until: Column | None = None, types: tuple[
     has its upstream_hash as name or hash; an addition if a model has its member_hash or member_name as name or hash; a
     removal always. Observations without an id don't count.
     """
-    kind = F.col("event_type")
-    s = s.where(kind.isin(*types))
     if until is not None:
         s = s.where(F.col("timestamp") <= until)
-    rows = s.select("snapshot_hash", F.col("model_hash").alias("group_hash"), "event_type", "timestamp", F.from_json("payload", KEYS).alias("p"))
-    rows = rows.where((kind != "depends_on") | (F.col("p.relationship") == "member_of"))
-    # References are looked up; other rows get a key that no model has, all of them different, so that none is hot.
-    none = F.concat(F.lit("\0"), "snapshot_hash")
-    keys = F.when(kind == "depends_on", F.array("p.upstream_hash")).when(kind == "member_added", F.array("p.member_hash", "p.member_name"))
-    rows = rows.withColumn("key", F.explode(F.coalesce(keys, F.array(none)))).withColumn("key", F.coalesce("key", none))
-    rows = rows.join(names(m), "key", "left")
-    looked = kind.isin("depends_on", "member_added")
-    observed = kind.isin(*OBSERVATIONS)
-    rows = rows.where((~looked | F.col("found").isNotNull()) & (~observed | (F.coalesce("p.observation_id", F.lit("")) != "")))
-    what = F.when(kind == "depends_on", F.col("found")).when(observed, F.col("p.observation_id")).when(kind == "validated", "").otherwise(F.coalesce("p.member_hash", F.lit("")))
-    rows = rows.select("group_hash", F.when(observed, "observation").when(kind == "validated", "validated").otherwise("member").alias("kind"), what.alias("key"), "event_type", "timestamp", "snapshot_hash")
-    changed = kind.isin("member_added", "member_removed")
-    return rows.groupBy("group_hash", "kind", "key").agg(
-        F.max(kind == "depends_on").alias("linked"),
-        F.max(F.when(changed, F.struct("timestamp", "snapshot_hash", (kind == "member_added").alias("added"))))["added"].alias("added"),
-        F.max(kind == "observation_issued").alias("issued"), F.max(kind == "observation_resolved").alias("resolved"), F.max("timestamp").alias("at"),
-    )
-
-
+    return s.sparkSession.sql(FACTS, s=s.where(F.col("event_type").isin(*types)), n=names(m))
+
+
+#: References are looked up; other rows get a key that no model has, all of them different, so that none is hot.
+FACTS = f"""
+WITH e AS (SELECT snapshot_hash, model_hash AS group_hash, event_type, timestamp, from_json(payload, '{KEYS}') AS p FROM {{s}}),
+  r AS (SELECT *, explode(CASE event_type WHEN 'depends_on' THEN array(p.upstream_hash) WHEN 'member_added' THEN array(p.member_hash, p.member_name) ELSE array(CAST(NULL AS STRING)) END) AS ref
+    FROM e WHERE event_type <> 'depends_on' OR p.relationship = 'member_of'),
+  f AS (SELECT group_hash, event_type, timestamp, snapshot_hash,
+      CASE WHEN event_type LIKE 'observation%' THEN 'observation' WHEN event_type = 'validated' THEN 'validated' ELSE 'member' END AS kind,
+      CASE WHEN event_type = 'depends_on' THEN found WHEN event_type LIKE 'observation%' THEN p.observation_id WHEN event_type = 'validated' THEN '' ELSE coalesce(p.member_hash, '') END AS key
+    FROM r LEFT JOIN {{n}} n ON n.key = coalesce(ref, concat(chr(0), snapshot_hash))
+    WHERE (event_type NOT IN ('depends_on', 'member_added') OR found IS NOT NULL) AND (event_type NOT LIKE 'observation%' OR coalesce(p.observation_id, '') <> ''))
+SELECT group_hash, kind, key, max(event_type = 'depends_on') AS linked,
+  max(CASE WHEN event_type IN ('member_added', 'member_removed') THEN struct(timestamp, snapshot_hash, event_type = 'member_added' AS added) END).added AS added,
+  max(event_type = 'observation_issued') AS issued, max(event_type = 'observation_resolved') AS resolved, max(timestamp) AS at
+FROM f GROUP BY group_hash, kind, key"""
 MEMBER = "kind = 'member' AND coalesce(added, linked)"
 OPEN = "kind = 'observation' AND issued AND NOT resolved"
 
@@ -81,12 +75,10 @@ def composite_summary(m: DataFrame, s: DataFrame, model_types: tuple[str, ...] =
     """One row for each group: identity, member count, last validation, open observations, metadata."""
     groups = m.where(F.col("model_type").isin(*model_types))
     mine = s.join(groups.select("model_hash"), "model_hash", "left_semi")
-    by = facts(mine, m).groupBy(F.col("group_hash").alias("model_hash")).agg(
-        F.count_if(F.expr(MEMBER)).alias("members"), F.count_if(F.expr(OPEN)).alias("opened"), F.max(F.when(F.col("kind") == "validated", F.col("at"))).alias("last_validated")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    out = groups.join(by, "model_hash", "left")
-    return out.select("model_hash", "name", "owner", "model_type", "tier", "status", zero("members").alias("member_count"), "last_validated", zero("opened").alias("open_observation_count"), "metadata")
+    return m.sparkSession.sql(f"""
+        SELECT model_hash, name, owner, model_type, tier, status, coalesce(members, 0L) AS member_count, last_validated, coalesce(opened, 0L) AS open_observation_count, metadata
+        FROM {{g}} LEFT JOIN (SELECT group_hash, count_if({MEMBER}) AS members, count_if({OPEN}) AS opened, max(CASE WHEN kind = 'validated' THEN at END) AS last_validated
+          FROM {{f}} GROUP BY group_hash) ON group_hash = model_hash""", g=groups, f=facts(mine, m))
 
 
 def group_events(of: DataFrame, m: DataFrame, event_type: str) -> DataFrame:

@@ -24,8 +24,9 @@ def json_directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pipelines(df: DataFrame, name: str, timestamp: str) -> DataFrame:
-    """One row a pipeline that wrote to a table: first and last output and number of rows; null names don't count."""
-    return df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(timestamp).alias("first_output"), F.max(timestamp).alias("last_output"), F.count("*").alias("total_rows"))
+    """One row a pipeline that wrote to a table: first and last output and number of rows, the latest first; null names don't
+    count."""
+    return df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(timestamp).alias("first_output"), F.max(timestamp).alias("last_output"), F.count("*").alias("total_rows")).orderBy(F.desc("last_output"), "name")
 
 
 def port(identifier: Column, **schema: Column) -> Column:
