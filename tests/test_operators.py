@@ -186,3 +186,12 @@ def test_inline_nodes_deployments_and_files(spark):
     assert made == {"d": {"node_type": "deployment", "owner": "ann", "repo": "r:1", "schedule": "0 1 * * *", "has_schedule": "true", "entrypoint": "f", "version": "1"}}
     files = spark.createDataFrame([("p", "w6k="), ("q", "?"), ("r", None)], "project string, content string")
     assert [tuple(r) for r in nodes.config_files(files).collect()] == [("p", "é")]
+
+
+def test_connectors_by_name(spark):
+    items = spark.createDataFrame([('{"name": "a"}',)], "item string")
+    made, errors = nodes.discovered("rest", items, {"platform": "api", "name": "name"})
+    assert errors == [] and [r.name for r in made.collect()] == ["a"]
+    for name, config, said in ((None, {}, "required"), ("sql", {}, "needs"), ("odd", {}, "unknown"), ("rest", {"x": 1}, "failed")):
+        none, (error,) = nodes.discovered(name, items, config)
+        assert none is None and said in error

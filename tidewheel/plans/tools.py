@@ -68,6 +68,11 @@ def register_models(spark, d):
     return I.register(models(spark, d), new)[0].select("name", "owner", "created_at", "model_hash")
 
 
+@query(f"""WITH {S} SELECT snapshot_hash, substr(sha256(model_hash || ':' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("timestamp", '%f') = '000000' THEN '' ELSE strftime("timestamp", '.%f') END || '+00:00:{{"k":' || k || '}}'), 1, 32) AS content_address FROM s""")
+def event_hashes(spark, d):
+    return snapshots(spark, d).select("snapshot_hash", I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")).alias("content_address"))
+
+
 def nodes_of(spark, d) -> DataFrame:
     """Nodes that a scan found: one a model of every third, with contents that some models had before, and statuses."""
     i = F.substr("model_hash", F.lit(2)).cast("long")

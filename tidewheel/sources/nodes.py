@@ -152,6 +152,25 @@ def config_files(df: DataFrame) -> DataFrame:
     return df.select("project", F.try_to_binary("content", F.lit("base64")).cast("string").alias("content")).where("content IS NOT NULL")
 
 
+#: Connectors that a configuration alone can drive, and those that need more than that.
+CONNECTORS: dict[str, Callable[..., DataFrame]] = {"rest": json_nodes, "deployments": deployment_nodes}
+NEED_CODE = {"sql": "a connection", "files": "a parser"}
+
+
+def discovered(connector: str | None, rows: DataFrame, config: dict) -> tuple[DataFrame | None, list[str]]:
+    """(nodes, errors) of a connector by name over its rows. What can't be done is said in errors and never raised."""
+    if not connector:
+        return None, ["a connector's name is required"]
+    if connector in NEED_CODE:
+        return None, [f"the connector {connector} needs {NEED_CODE[connector]}, which a configuration can't give"]
+    if connector not in CONNECTORS:
+        return None, [f"unknown connector {connector}; there are {', '.join(sorted(CONNECTORS))}"]
+    try:
+        return CONNECTORS[connector](rows, **config), []
+    except Exception as failed:  # a wrong configuration, whatever it hits
+        return None, [f"the connector {connector} failed: {failed}"]
+
+
 class PagedJson(DataSource):
     """spark.read.format("paged_json"): JSON pages linked by a token. Options: url, items (dotted path), token (dotted
     path to the next page's token), param (query parameter), headers (a JSON object). One row an item, as JSON text. Pages follow each other, so
