@@ -69,7 +69,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later stages no longer depend on its lineage, and
-    lost executors cost nothing that was finished. rows: how many there are at most, for as many files as they need."""
+    lost executors cost nothing that was finished. rows: how many there are at most, for as many files, and tasks, as they
+    need; not for what has much to do or to read for each row."""
     path = scratch_path(df.sparkSession, label)
     (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

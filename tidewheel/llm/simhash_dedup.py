@@ -316,11 +316,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
     edges = links(nodes.select("fp", "node"), nodes.count(), radius)
     roots = components(edges, "candidates")
-    n = roots.count()
     slim = columns(docs, key=key, text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
     ours = nodes.join(roots, "node").select("key", "node")
     texts = slim.join(ours, slim["key"].eqNullSafe(ours["key"])).select("node", "text")
-    sets = written(shingle_sets(texts, size).dropDuplicates(["node"]).join(roots, "node"), "shingles", n)
+    sets = written(shingle_sets(texts, size).dropDuplicates(["node"]).join(roots, "node"), "shingles")
     whole = sets.groupBy("root").agg((F.floor(F.sum(F.size("shingles")) / UNIT_SHINGLES) + 1).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     units = sets.join(whole, "root").withColumn("own", mine).select("root", "node", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -332,7 +331,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         a, b = similar(part["node"].to_numpy(), [flat[x:y] for x, y in zip(at, at[1:])], similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = written(units.groupBy("root", "lo", "hi").applyInArrow(checked, "a long, b long"), "similar", n)
+    found = written(units.groupBy("root", "lo", "hi").applyInArrow(checked, "a long, b long"), "similar")
     group = nodes.join(components(found, "copies"), "node", "left").select("digest", "n", F.coalesce("root", "node").alias("group"))
     return lookup(rows.select("key", "digest"), written(group, "groups", nodes.count()), "digest", "n", rows.count()).select(F.col("key").alias(key), "group")
 
