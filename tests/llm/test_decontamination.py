@@ -70,3 +70,9 @@ def test_altered_passages_and_short_items(spark, odd_docs, no_docs):
     D.BROADCAST_ROWS, before = 1, D.BROADCAST_ROWS
     assert got(D.contaminated(df, of).collect()) == want
     D.BROADCAST_ROWS = before
+
+
+def test_fingerprints_of_windows_of_millions_of_shingles(spark):
+    """More of them than 21 bits can count, all bits set; and as many with none."""
+    rows = spark.range(2_200_000).selectExpr("id % 2 AS k", "CASE WHEN id % 2 = 0 THEN -1L ELSE 0L END AS h").unionAll(spark.range(2_200_000).selectExpr("0L AS k", "-1L AS h"))
+    assert sorted((r.k, r.fp) for r in D.simhash(rows, ["k"]).collect()) == [(0, -1), (1, 0)]

@@ -231,7 +231,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     that follows. base_score is that of a unigram model over words and an end token. A null text is empty: just its
     end. A row with a null doc_id is a training row. Repeated rows count, and are scored, as often as they occur. With no
     training rows every byte costs eight bits. An empty table gives no rows; other columns are ignored. A very long text
-    is scored whole, by one task. Words are counted by 64-bit hashes, and all counts are 64 bits wide. depth: 3 or more.
+    is scored whole, by one task; every row is scored on its own, so ties don't matter. Words are counted by 64-bit hashes, and all counts are 64 bits wide. depth: 3 or more.
     """
     if depth < 3:
         raise ValueError("a depth of 3 bytes or more is needed")

@@ -82,8 +82,8 @@ def scan(versions: DataFrame, path: str = "path", version: str | None = None, co
     if dict(rows.dtypes)["path"] == "void":
         rows = rows.withColumn("path", F.col("path").cast("string"))
     order = {r.kind: k for k, r in enumerate(rules)}
-    # A row's place is its path, version and a second hash of its content; rows alike in all three hold the same blob.
-    place = F.xxhash64("path", "version", "content")
+    # A row's place is 128 bits of its path, version and content; rows alike in it hold the same blob.
+    place = F.concat_ws(":", F.hex(F.xxhash64("path", "version", "content")), F.hex(F.xxhash64(F.lit("place"), "content", "version", "path")))
     known = written(rows.select("path", "version", F.sha2("content", 256).alias("digest"), place.alias("place")), "versions")
     blobs = written(known.groupBy("digest").agg(F.min("place").alias("place"), F.count("*").alias("n")), "blobs")
     pairs = blobs.select("digest", "place", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r")).select("digest", "place", "r.*")
