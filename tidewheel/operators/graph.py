@@ -38,12 +38,13 @@ def port_matches(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     """upstream, downstream, identifier for each output port that feeds an input port; one row a pair of nodes.
 
     outputs and inputs: (node, identifier, schema map). Identifiers must be equal whatever their case, the schemas must
-    have the same keys, and every value must match, % being a wildcard. The join is by identifier; the rest filters.
+    have the same keys, and every value must match, % being a wildcard. The join is by identifier and keys; the rest filters.
     """
-    o = outputs.select(F.col("node").alias("upstream"), F.lower("identifier").alias("identifier"), F.col("schema").alias("o"))
-    i = inputs.select(F.col("node").alias("downstream"), F.lower("identifier").alias("identifier"), F.col("schema").alias("i"))
-    same = "array_sort(map_keys(o)) = array_sort(map_keys(i)) AND forall(map_keys(o), k -> " + value_matches("o[k]", "i[k]") + ")"
-    met = o.join(i, "identifier").where("upstream <> downstream").where(same)
+    keys = F.array_join(F.sort_array(F.map_keys("schema")), "\0").alias("keys")
+    o = outputs.select(F.col("node").alias("upstream"), F.lower("identifier").alias("identifier"), keys, F.col("schema").alias("o"))
+    i = inputs.select(F.col("node").alias("downstream"), F.lower("identifier").alias("identifier"), keys, F.col("schema").alias("i"))
+    same = "keys = '' AND size(o) = 0 OR forall(map_keys(o), k -> " + value_matches("o[k]", "i[k]") + ")"
+    met = o.join(i, ["identifier", "keys"]).where("upstream <> downstream").where(same)
     return met.groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"))
 
 
