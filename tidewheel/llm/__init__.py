@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lz_dedup, preferences, secret_ledger, warc
+from . import decontamination, lz_dedup, periodic_runs, preferences, secret_ledger, warc
 from .common import shipped
 from .context_tree import op7_context_tree_scores
 from .cotraining import op1_cotraining_quality
@@ -15,6 +15,7 @@ from .decontamination import op2_simhash_decontamination
 from .iblt_fingerprints import op3_iblt_fingerprints
 from .lz_dedup import op8_relative_lz_dedup
 from .packing import op9_harmonic_packing
+from .periodic_runs import op11_periodic_runs
 from .preferences import op6_preference_pairs
 from .secret_ledger import op10_secret_blob_ledger
 from .simhash_dedup import op5_simhash_gray_dedup
@@ -31,6 +32,7 @@ _QUERIES = (
     op8_relative_lz_dedup,
     op9_harmonic_packing,
     op10_secret_blob_ledger,
+    op11_periodic_runs,
 )
 _SQL = {
     "op2_simhash_decontamination": decontamination.SQL,
@@ -38,6 +40,7 @@ _SQL = {
     "op6_preference_pairs": preferences.SQL,
     "op8_relative_lz_dedup": lz_dedup.SQL,
     "op10_secret_blob_ledger": secret_ledger.SQL,
+    "op11_periodic_runs": periodic_runs.SQL,
 }
 
 
