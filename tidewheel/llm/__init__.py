@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lz_dedup, periodic_runs, preferences, secret_ledger, warc
+from . import centroid_clusters, decontamination, lz_dedup, periodic_runs, preferences, secret_ledger, warc
+from .centroid_clusters import op12_centroid_clusters
 from .common import shipped
 from .context_tree import op7_context_tree_scores
 from .cotraining import op1_cotraining_quality
@@ -33,6 +34,7 @@ _QUERIES = (
     op9_harmonic_packing,
     op10_secret_blob_ledger,
     op11_periodic_runs,
+    op12_centroid_clusters,
 )
 _SQL = {
     "op2_simhash_decontamination": decontamination.SQL,
@@ -41,6 +43,7 @@ _SQL = {
     "op8_relative_lz_dedup": lz_dedup.SQL,
     "op10_secret_blob_ledger": secret_ledger.SQL,
     "op11_periodic_runs": periodic_runs.SQL,
+    "op12_centroid_clusters": centroid_clusters.SQL,
 }
 
 
