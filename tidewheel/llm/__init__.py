@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroid_clusters, decontamination, lz_dedup, periodic_runs, preferences, secret_ledger, warc
+from . import centroid_clusters, decontamination, lz_dedup, periodic_runs, preferences, secret_ledger, source_mixing, warc
 from .centroid_clusters import op12_centroid_clusters
 from .common import shipped
 from .context_tree import op7_context_tree_scores
@@ -20,6 +20,7 @@ from .periodic_runs import op11_periodic_runs
 from .preferences import op6_preference_pairs
 from .secret_ledger import op10_secret_blob_ledger
 from .simhash_dedup import op5_simhash_gray_dedup
+from .source_mixing import op13_source_mixing
 from .warc import op4_warc_round_trip
 
 _QUERIES = (
@@ -35,6 +36,7 @@ _QUERIES = (
     op10_secret_blob_ledger,
     op11_periodic_runs,
     op12_centroid_clusters,
+    op13_source_mixing,
 )
 _SQL = {
     "op2_simhash_decontamination": decontamination.SQL,
@@ -44,6 +46,7 @@ _SQL = {
     "op10_secret_blob_ledger": secret_ledger.SQL,
     "op11_periodic_runs": periodic_runs.SQL,
     "op12_centroid_clusters": centroid_clusters.SQL,
+    "op13_source_mixing": source_mixing.SQL,
 }
 
 
