@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import INTERNAL_EVENTS
+from .ingest import snapshot_hash
+
 MEMBERS = ("depends_on", "member_added", "member_removed")
 OBSERVATIONS = ("observation_issued", "observation_resolved")
 #: The keys of payloads that governance reads.
@@ -18,9 +21,9 @@ def latest(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def names(m: DataFrame) -> DataFrame:
-    """key, found: the model that a reference means, by name if one has it, else by hash."""
+    """key, found: the model that a reference means, by hash if one has it, else by name."""
     return m.sparkSession.sql("""SELECT key, min(struct(order, model_hash)).model_hash AS found FROM (
-      SELECT name AS key, 0 AS order, model_hash FROM {m} UNION ALL SELECT model_hash, 1, model_hash FROM {m}) WHERE key IS NOT NULL GROUP BY key""", m=m)
+      SELECT model_hash AS key, 0 AS order, model_hash FROM {m} UNION ALL SELECT name, 1, model_hash FROM {m}) WHERE key IS NOT NULL GROUP BY key""", m=m)
 
 
 def facts(s: DataFrame, m: DataFrame, until: Column | None = None, types: tuple[str, ...] = (*MEMBERS, *OBSERVATIONS, "validated")) -> DataFrame:
@@ -28,7 +31,7 @@ def facts(s: DataFrame, m: DataFrame, until: Column | None = None, types: tuple[
     (null without such events, else whether the last one added), issued, resolved, at. One pass over the log.
 
     s: snapshot_hash, model_hash, timestamp, event_type, payload. A link counts if its relationship is member_of and a model
-    has its upstream_hash as name or hash; an addition if a model has its member_hash or member_name as name or hash; a
+    has its upstream_hash as hash or name; an addition if a model has its member_hash or member_name as hash or name; a
     removal always. Observations without an id don't count.
     """
     if until is not None:
@@ -102,6 +105,22 @@ def link_events(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on"
     return both.select(F.explode(F.array(up, down)).alias("e")).select("e.*")
 
 
+def change_events(s: DataFrame, member: DataFrame, m: DataFrame) -> DataFrame:
+    """The rows of the log that models' own events raise in their groups: snapshot_hash, model_hash (the group), timestamp and
+    actor (those of the cause), event_type, payload. s: snapshot_hash, model_hash, timestamp, event_type, actor; internal
+    events raise none."""
+    own = s.where(~F.col("event_type").isin(*INTERNAL_EVENTS)).select("model_hash", F.col("snapshot_hash").alias("cause_hash"), F.col("event_type").alias("cause"), "timestamp", "actor")
+    named = m.select("model_hash", F.col("name").alias("member_name"))
+    return change_rows(own.join(named, "model_hash").join(member.withColumnRenamed("member_hash", "model_hash"), "model_hash").withColumnRenamed("model_hash", "member_hash"))
+
+
+def change_rows(raised: DataFrame) -> DataFrame:
+    """Log rows of raised(group_hash, member_hash, member_name, cause, cause_hash, timestamp, actor)."""
+    payload = F.to_json(F.struct("member_name", "member_hash", F.col("cause").alias("original_event_type"), F.col("cause_hash").alias("original_snapshot_hash")))
+    rows = raised.select(F.col("group_hash").alias("model_hash"), "timestamp", "actor", F.lit("member_changed").alias("event_type"), payload.alias("payload"))
+    return rows.select(snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")).alias("snapshot_hash"), "model_hash", "timestamp", "actor", "event_type", "payload")
+
+
 def member_changed(s: DataFrame, member: DataFrame) -> DataFrame:
     """The member_changed events that a model's own (not internal) events raise in each group it is in: one level up."""
     return s.join(member.withColumnRenamed("member_hash", "model_hash"), "model_hash").select(

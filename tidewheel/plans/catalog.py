@@ -36,17 +36,14 @@ def ntz(text: str):
 
 
 def membership_sql(until: str = "", name: str = "member") -> str:
-    """CTEs over g and m that give group_hash, member_hash: baseline links by name, else hash; the last operation wins."""
-    where = f"""AND "timestamp" <= TIMESTAMP '{until}'""" if until else ""
-    get = lambda key: f"json_extract_string(payload, '$.{key}')"
-    return f"""base AS (SELECT DISTINCT l.group_hash, coalesce(a.model_hash, b.model_hash) AS member_hash FROM
-      (SELECT model_hash AS group_hash, {get("upstream_hash")} AS ref FROM g WHERE event_type = 'depends_on' AND coalesce({get("relationship")}, 'depends_on') = 'member_of' {where}) l
-      LEFT JOIN m a ON a.name = ref LEFT JOIN m b ON b.model_hash = ref WHERE coalesce(a.model_hash, b.model_hash) IS NOT NULL),
-    ev AS (SELECT model_hash AS group_hash, coalesce({get("member_hash")}, '') AS member_hash, {get("member_name")} AS mn, event_type, "timestamp", snapshot_hash FROM g WHERE event_type IN ('member_added', 'member_removed') {where}),
-    eff AS (SELECT * FROM ev WHERE event_type = 'member_removed' OR member_hash IN (SELECT name FROM m UNION ALL SELECT model_hash FROM m) OR mn IN (SELECT name FROM m UNION ALL SELECT model_hash FROM m)),
-    lastop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_hash, member_hash ORDER BY "timestamp" DESC, snapshot_hash DESC) AS rn FROM eff) WHERE rn = 1),
-    {name} AS ((SELECT group_hash, member_hash FROM base UNION SELECT group_hash, member_hash FROM lastop WHERE event_type = 'member_added')
-      EXCEPT SELECT group_hash, member_hash FROM lastop WHERE event_type = 'member_removed')"""
+    """CTEs over g and m that give group_hash, member_hash: of each pair the latest operation, where a link counts as an addition
+    before all others."""
+    when = f"""WHERE "timestamp" <= TIMESTAMP '{until}'""" if until else ""
+    return f"""ops AS (SELECT model_hash AS group_hash, event_type, "timestamp", snapshot_hash, json_extract_string(payload, ['$.upstream_hash', '$.relationship', '$.member_hash', '$.member_name']) AS f FROM g {when}),
+    known AS (SELECT model_hash AS ref, model_hash, 0 AS rank FROM m UNION ALL SELECT name, model_hash, 1 FROM m),
+    told AS (SELECT group_hash, arg_min(known.model_hash, rank) AS member_hash, NULL::TIMESTAMP AS since, '' AS tie, true AS isin FROM ops JOIN known ON ref = f[1] WHERE event_type = 'depends_on' AND f[2] = 'member_of' GROUP BY snapshot_hash, group_hash
+      UNION ALL SELECT group_hash, coalesce(f[3], ''), "timestamp", snapshot_hash, event_type = 'member_added' FROM ops WHERE event_type = 'member_removed' OR event_type = 'member_added' AND EXISTS (SELECT 1 FROM known WHERE ref IN (f[3], f[4]))),
+    {name} AS (SELECT group_hash, member_hash FROM told GROUP BY group_hash, member_hash HAVING arg_max(isin, (coalesce(since, TIMESTAMP '0001-01-01'), tie)))"""
 
 
 OPENED = """opened AS (SELECT model_hash AS group_hash, json_extract_string(payload, '$.observation_id') AS observation_id FROM g WHERE event_type IN ('observation_issued', 'observation_resolved') AND coalesce(json_extract_string(payload, '$.observation_id'), '') <> ''
@@ -286,9 +283,9 @@ def connect_new_edges_all(spark, d):
     return G.port_matches(*all_ports(spark, d, True)).join(old, ["upstream", "downstream"], "left_anti")
 
 
-DEPENDENCIES = """deps AS (SELECT l.model_hash, 'upstream' AS direction, relationship, coalesce(a.model_hash, b.model_hash) AS other_hash, coalesce(a.name, b.name) AS other_name FROM
-  (SELECT model_hash, json_extract_string(payload, '$.upstream_hash') AS ref, coalesce(json_extract_string(payload, '$.relationship'), 'depends_on') AS relationship FROM g WHERE event_type = 'depends_on') l
-  LEFT JOIN m a ON a.name = ref LEFT JOIN m b ON b.model_hash = ref WHERE coalesce(a.model_hash, b.model_hash) IS NOT NULL)"""
+DEPENDENCIES = """deps AS (SELECT l.model_hash, 'upstream' AS direction, relationship, coalesce(b.model_hash, a.model_hash, c.model_hash) AS other_hash, coalesce(b.name, a.name, c.name) AS other_name FROM
+  (SELECT model_hash, json_extract_string(payload, '$.upstream_hash') AS ref, json_extract_string(payload, '$.upstream') AS told, coalesce(json_extract_string(payload, '$.relationship'), 'depends_on') AS relationship FROM g WHERE event_type = 'depends_on') l
+  LEFT JOIN m b ON b.model_hash = ref LEFT JOIN m a ON a.name = ref LEFT JOIN m c ON c.name = told WHERE coalesce(b.model_hash, a.model_hash, c.model_hash) IS NOT NULL)"""
 
 
 @query(f"WITH {M}, {G_}, {DEPENDENCIES} SELECT * FROM deps")
@@ -375,13 +372,24 @@ def trace_order(spark, d):
 
 
 @query(f"""WITH {M}, {G_}, {membership_sql()} SELECT group_hash, s.model_hash AS member_hash, 'member_changed' AS event_type, event_type AS cause, snapshot_hash AS cause_hash, "timestamp"
-  FROM s JOIN member ON member_hash = s.model_hash WHERE event_type NOT IN {INTERNAL_EVENTS} AND "timestamp" >= TIMESTAMP '{WHEN}'""")
+  FROM s JOIN member ON member_hash = s.model_hash WHERE event_type NOT IN {INTERNAL_EVENTS}""")
 def member_changed_fanout(spark, d):
     s = snapshots(spark, d)
-    own = s.where(~F.col("event_type").isin(*INTERNAL_EVENTS) & (F.col("timestamp") >= ntz(WHEN)))
+    own = s.where(~F.col("event_type").isin(*INTERNAL_EVENTS))
     return B.member_changed(own, B.membership(ledger(spark, d), models(spark, d)))
 
 
+ISO = """strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("timestamp", '%f') = '000000' THEN '' ELSE strftime("timestamp", '.%f') END || '+00:00'"""
+
+
+@query(f"""WITH {M}, {G_}, {membership_sql()}, r AS (SELECT group_hash, "timestamp", actor, '{{"member_hash":"' || s.model_hash || '","member_name":"' || name || '","original_event_type":"' || event_type || '","original_snapshot_hash":"' || snapshot_hash || '"}}' AS sorted,
+    '{{"member_name":"' || name || '","member_hash":"' || s.model_hash || '","original_event_type":"' || event_type || '","original_snapshot_hash":"' || snapshot_hash || '"}}' AS payload FROM s JOIN member ON member_hash = s.model_hash JOIN m ON m.model_hash = s.model_hash WHERE event_type NOT IN {INTERNAL_EVENTS})
+  SELECT substr(sha256(group_hash || ':' || {ISO} || ':' || sorted), 1, 32) AS snapshot_hash, group_hash AS model_hash, "timestamp", actor, 'member_changed' AS event_type, payload FROM r""")
+def member_changed_events(spark, d):
+    m = models(spark, d)
+    return B.change_events(snapshots(spark, d), B.membership(ledger(spark, d), m), m)
+
+
 @query(f"WITH {E} SELECT src AS model_hash, 'has_dependent' AS event_type, dst AS other_hash FROM e UNION ALL SELECT dst, 'depends_on', src FROM e")
 def mirrored_edges(spark, d):
     return I.mirrored(edges(spark, d))
