@@ -25,15 +25,3 @@ def test_activity_by_window(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("activity").collect()) == [6, 12, 12]
-
-
-def test_changes_reach_the_groups(spark, tmp_path):
-    schema = "snapshot_hash string, model_hash string, event_type string, timestamp timestamp"
-    rows = [("s1", "m1", "retrained"), ("s2", "m1", "registered"), ("s3", "m2", "deployed"), ("s4", "m9", "deployed")]
-    df = spark.createDataFrame(rows, "snapshot_hash string, model_hash string, event_type string").withColumn("timestamp", F.timestamp_seconds(F.lit(5)))
-    df.write.parquet(f"{tmp_path}/in")
-    member = spark.createDataFrame([("g1", "m1"), ("g2", "m1"), ("g1", "m2")], "group_hash string, member_hash string")
-    log = EventLog(spark, f"{tmp_path}/log")
-    for k in (1, 2):  # the second run has a checkpoint of its own: it sees the same events again
-        stream.propagate(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), member, log, f"{tmp_path}/cp{k}").awaitTermination()
-    assert sorted((r.model_hash, r.member_hash, r.cause) for r in log.read().collect()) == [("g1", "m1", "retrained"), ("g1", "m2", "deployed"), ("g2", "m1", "retrained")]

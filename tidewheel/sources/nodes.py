@@ -214,3 +214,13 @@ class PagedJsonReader(DataSourceReader):
             token = at(page, self.options["token"]) if "token" in self.options else None
             if not token:
                 return
+
+
+def rest_nodes(
+    spark: SparkSession, url: str, platform: str, name: str, items: str = "items", inputs: tuple[str, ...] = (), outputs: tuple[str, ...] = (), metadata: dict[str, str] | None = None, headers: dict[str, str] | None = None,
+    token: str | None = None, param: str = "page_token",
+) -> DataFrame:
+    """The nodes of an API's items, page after page (see PagedJson) and mapped as json_nodes says."""
+    spark.dataSource.register(PagedJson)
+    options = {"url": url, "items": items, "headers": json.dumps(headers or {}), "param": param} | ({"token": token} if token else {})
+    return json_nodes(spark.read.format("paged_json").options(**options).load(), platform, name, inputs, outputs, metadata)

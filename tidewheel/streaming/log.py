@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.membership import member_changed
 from ..sources.store import EventLog
-from ..tables import INTERNAL_EVENTS
 
 
 def ingest(events: DataFrame, log: EventLog, checkpoint: str) -> StreamingQuery:
@@ -20,12 +18,3 @@ def ingest(events: DataFrame, log: EventLog, checkpoint: str) -> StreamingQuery:
 def activity(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Events by type and window of time, each snapshot_hash once within the watermark."""
     return events.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["snapshot_hash"]).groupBy(F.window("timestamp", window).alias("period"), "event_type").agg(F.count("*").alias("n"))
-
-
-def propagate(events: DataFrame, member: DataFrame, log: EventLog, checkpoint: str) -> StreamingQuery:
-    """Append the member_changed events that a stream of models' own events raises in their groups. member(group_hash,
-    member_hash) is joined to each batch; internal events raise none. A batch that is run again adds nothing twice."""
-    own = events.where(~F.col("event_type").isin(*INTERNAL_EVENTS))
-    raised = member_changed(own, member)
-    named = raised.select(F.concat_ws(":", "group_hash", "cause_hash").alias("snapshot_hash"), F.col("group_hash").alias("model_hash"), "event_type", "timestamp", "member_hash", "cause")
-    return named.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: log.append(df)).start()
