@@ -599,4 +599,4 @@ def model_upsert(spark, d):
     return I.upsert(old, new.unionByName(again), "model_hash")
 
 
-from . import tools  # noqa: E402, F401  it adds its queries
+from . import nested, tools  # noqa: E402, F401  they add their queries
