@@ -58,20 +58,20 @@ def connect(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.where("known IS NULL").drop("known"), counts
 
 
-def dependencies(s: DataFrame, m: DataFrame, known: DataFrame) -> DataFrame:
+def dependencies(s: DataFrame, m: DataFrame, known: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """model_hash, direction, relationship, other_hash, other_name for each link event whose target a model is: that with the
-    payload's hash, else that with its name. s: model_hash, event_type, payload; known: names(m)."""
+    payload's hash, else that with its name. s: model_hash, event_type, payload; known: names(m); more: columns of s to carry along."""
     up = F.col("event_type") == "depends_on"
     p = F.from_json("payload", "relationship string, upstream string, upstream_hash string, downstream string, downstream_hash string").alias("p")
-    of = s.where(F.col("event_type").isin("depends_on", "has_dependent")).select("model_hash", "event_type", p, F.concat(F.lit("\0"), F.xxhash64("model_hash", "payload").cast("string")).alias("none"))
-    of = of.select("model_hash", F.when(up, "upstream").otherwise("downstream").alias("direction"), F.coalesce("p.relationship", F.lit("depends_on")).alias("relationship"), "none",
+    of = s.where(F.col("event_type").isin("depends_on", "has_dependent")).select("model_hash", "event_type", *more, p, F.concat(F.lit("\0"), F.xxhash64("model_hash", "payload").cast("string")).alias("none"))
+    of = of.select("model_hash", *more, F.when(up, "upstream").otherwise("downstream").alias("direction"), F.coalesce("p.relationship", F.lit("depends_on")).alias("relationship"), "none",
         F.when(up, F.col("p.upstream_hash")).otherwise(F.col("p.downstream_hash")).alias("hash"), F.when(up, F.col("p.upstream")).otherwise(F.col("p.downstream")).alias("name"))
     look = lambda ref, name: known.select(F.col("key").alias(ref), F.col("found").alias(name))
     # What isn't asked for gets a key that no model has, all of them different, so that none is hot.
     first = of.withColumn("a", F.coalesce(F.nullif("hash", F.lit("")), "none")).join(look("a", "by_hash"), "a", "left")
     both = first.withColumn("b", F.when(F.col("by_hash").isNull(), F.nullif("name", F.lit("")))).withColumn("b", F.coalesce("b", "none")).join(look("b", "by_name"), "b", "left")
     found = both.withColumn("other_hash", F.coalesce("by_hash", "by_name")).where("other_hash IS NOT NULL")
-    return found.join(m.select(F.col("model_hash").alias("other_hash"), F.col("name").alias("other_name")), "other_hash").select("model_hash", "direction", "relationship", "other_hash", "other_name")
+    return found.join(m.select(F.col("model_hash").alias("other_hash"), F.col("name").alias("other_name")), "other_hash").select("model_hash", "direction", "relationship", "other_hash", "other_name", *more)
 
 
 def trace_order(edges: DataFrame, root: str) -> DataFrame:

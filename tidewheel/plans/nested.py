@@ -1,4 +1,4 @@
-"""Queries over nested component trees, and over groups that are followed as a stream."""
+"""Queries over nested component trees, groups that are followed as a stream, and pages as of a time."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
+from ..operators import intervals as V_
+from ..operators import membership as B
 from ..operators import trees as W
 from ..sources.store import shared_dir, stored
 from ..streaming import groups as Y
-from ..tables import M, ledger, models
+from ..tables import M, ledger, models, snapshots
 from . import rules as R
-from .catalog import G_, OPENED, SQL, VALIDATED, membership_sql, query
+from .catalog import DEPENDENCIES, G_, OPENED, SQL, VALIDATED, membership_sql, ntz, query
 
 #: A tree of 10 to 12 levels a model: the sections under the root, and in the last of many levels the leaf; siblings on both sides,
 #: some with an empty list, or no list, of children.
@@ -65,3 +68,39 @@ def streamed_groups(spark, d):
     events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{path}/in")
     Y.follow(events, stored(models(spark, d).select("model_hash", "name"), "models"), f"{path}/facts", f"{path}/checkpoint").awaitTermination()
     return Y.standing(spark, f"{path}/facts").withColumn("last_validated", F.col("last_validated").cast("timestamp_ntz"))
+
+
+#: Every model, as of a time of its own and of one for all.
+ASKED = "SELECT model_hash, created_at + INTERVAL '9' DAY AS as_of FROM m UNION SELECT model_hash, TIMESTAMP '2024-01-12 00:00:00' FROM m"
+
+
+@query(f"""WITH {M}, {G_}, {membership_sql()}, a AS ({ASKED}), ot AS (SELECT DISTINCT as_of FROM a),
+  o AS (SELECT as_of, t.* FROM (SELECT group_hash, member_hash, coalesce(since, lt) AS ts, since, tie, isin FROM (SELECT told.*, NULL::TIMESTAMP AS lt FROM told WHERE since IS NOT NULL
+      UNION ALL SELECT group_hash, known.model_hash, NULL, '', true, "timestamp" FROM ops JOIN known ON ref = f[1] WHERE event_type = 'depends_on' AND f[2] = 'member_of')) t JOIN ot ON ts <= as_of),
+  h AS (SELECT as_of, group_hash, member_hash FROM o GROUP BY ALL HAVING arg_max(isin, (coalesce(since, TIMESTAMP '0001-01-01'), tie))),
+  gr AS (SELECT a.model_hash, a.as_of, string_agg(DISTINCT m.name, '|' ORDER BY m.name) AS groups FROM a JOIN h ON h.member_hash = a.model_hash AND h.as_of = a.as_of JOIN m ON m.model_hash = h.group_hash GROUP BY 1, 2),
+  me AS (SELECT a.model_hash, a.as_of, string_agg(DISTINCT m.name, '|' ORDER BY m.name) AS members FROM a JOIN h ON h.group_hash = a.model_hash AND h.as_of = a.as_of JOIN m ON m.model_hash = h.member_hash GROUP BY 1, 2),
+  {DEPENDENCIES.replace("SELECT l.model_hash,", "SELECT l.model_hash, l.ts,").replace("(SELECT model_hash, json", '(SELECT model_hash, "timestamp" AS ts, json')},
+  up AS (SELECT a.model_hash, a.as_of, string_agg(DISTINCT other_name, '|' ORDER BY other_name) AS upstream FROM a JOIN deps ON deps.model_hash = a.model_hash AND ts <= as_of GROUP BY 1, 2),
+  ev AS (SELECT a.model_hash, a.as_of, count(*) AS n, max("timestamp") AS last_event FROM a JOIN s ON s.model_hash = a.model_hash AND "timestamp" <= as_of GROUP BY 1, 2)
+  SELECT model_hash, as_of, name, created_at <= as_of AS existed, coalesce(n, 0) AS total_events, last_event, coalesce(groups, '') AS groups, coalesce(members, '') AS members, coalesce(upstream, '') AS upstream
+  FROM a JOIN m USING (model_hash) LEFT JOIN gr USING (model_hash, as_of) LEFT JOIN me USING (model_hash, as_of) LEFT JOIN up USING (model_hash, as_of) LEFT JOIN ev USING (model_hash, as_of)""")
+def investigate_as_of(spark, d):
+    """Every model's page where links, groups and members are those of the date too."""
+    m, g = models(spark, d), ledger(spark, d)
+    asked = m.select("model_hash", (F.col("created_at") + F.expr("INTERVAL '9' DAY")).alias("at")).unionByName(m.select("model_hash", ntz("2024-01-12 00:00:00").alias("at")))
+    links = G.dependencies(g, m, B.names(m), ("timestamp",))
+    found = V_.page_as_of(m, snapshots(spark, d), V_.membership_intervals(g, m), links, asked)
+    return found.select("model_hash", F.col("at").alias("as_of"), "name", "existed", "total_events", "last_event", *[F.array_join(c, "|").alias(c) for c in ("groups", "members", "upstream")])
+
+
+@query(f"""WITH {M}, {G_}, {membership_sql()}, w AS (SELECT DISTINCT "timestamp" AS ts FROM g), o AS (SELECT ts, t.* FROM (SELECT group_hash, member_hash, since, tie, isin, since AS as_of FROM told WHERE since IS NOT NULL
+    UNION ALL SELECT group_hash, known.model_hash, NULL, '', true, "timestamp" FROM ops JOIN known ON ref = f[1] WHERE event_type = 'depends_on' AND f[2] = 'member_of') t JOIN w ON as_of <= ts),
+  h AS (SELECT ts, group_hash, member_hash, arg_max(isin, (coalesce(since, TIMESTAMP '0001-01-01'), tie)) AS isin FROM o GROUP BY ALL),
+  c AS (SELECT *, coalesce(lag(isin) OVER (PARTITION BY group_hash, member_hash ORDER BY ts), false) AS was FROM h),
+  x AS (SELECT *, sum(CAST(isin <> was AS INTEGER)) OVER (PARTITION BY group_hash, member_hash ORDER BY ts) AS island FROM c)
+  SELECT group_hash, member_hash, count(*) AS stays, min(since) AS first_since FROM (SELECT group_hash, member_hash, island, min(ts) AS since FROM x WHERE isin GROUP BY ALL) GROUP BY ALL""")
+def membership_stays(spark, d):
+    """How often each member came into its group, and when first; two spans that touch are one stay."""
+    spans = V_.membership_intervals(ledger(spark, d), models(spark, d)).selectExpr("*", "lag(until) OVER (PARTITION BY group_hash, member_hash ORDER BY since) AS before")
+    return spans.groupBy("group_hash", "member_hash").agg(F.count_if(~F.col("before").eqNullSafe(F.col("since"))).alias("stays"), F.min("since").alias("first_since"))

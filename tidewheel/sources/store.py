@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,7 +41,14 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 class EventLog:
-    """Events as Parquet, by event_type, so that queries about a few types read just these."""
+    """Events as Parquet, by event_type and day, so that queries about a few types or days read just these.
+
+    snapshot_hash identifies an event with its time, so a repeated one has the day of the first: an append looks for the keys of its
+    batch in the days of its batch alone, however long the log is, and finds late events too. Within a day, files have Bloom
+    filters on snapshot_hash and model_hash, and rows are sorted by model.
+    """
+
+    KEYS = ("snapshot_hash", "event_type")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -51,17 +58,39 @@ class EventLog:
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(self.path).drop("day")
+
+    def between(self, since: Column | None = None, until: Column | None = None) -> DataFrame:
+        """Events within closed bounds of time: only their days are read."""
+        rows = self.spark.read.parquet(self.path)
+        for bound, test in ((since, lambda c, x: c >= x), (until, lambda c, x: c <= x)):
+            if bound is not None:
+                rows = rows.where(test(F.col("timestamp"), bound)).where(test(F.col("day"), day(bound)))
+        return rows.drop("day")
+
+    def known(self, batch: DataFrame) -> DataFrame:
+        """The keys that the log has in the types and days of batch(snapshot_hash, event_type, day)."""
+        parts = batch.select("event_type", "day").distinct()
+        rows = self.spark.read.parquet(self.path)
+        return rows.join(F.broadcast(parts), ["event_type", "day"], "left_semi").select(*self.KEYS)  # days of a batch: pruned at run time
 
     def append(self, events: DataFrame) -> None:
-        """Events whose (snapshot_hash, event_type) the log has, or that repeat one of this batch, are left out. Only
-        partitions of the batch's event types are looked at."""
-        keys = ["snapshot_hash", "event_type"]
-        new = stored(events.dropDuplicates(keys), "batch")
+        """Events whose (snapshot_hash, event_type) the log has are left out; of several in the batch the first in order of all their
+        columns stays. One writer at a time: two that append at once may both add an event that is new to both."""
+        rest = [c for c in events.columns if c not in self.KEYS]
+        one = events.groupBy(*self.KEYS).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("of")).select(*self.KEYS, "of.*")
+        new = stored(one.withColumn("day", day(F.col("timestamp"))), "batch")
         if self.exists():
-            types = [r.event_type for r in new.select("event_type").distinct().collect()]  # few, or the log had too many partitions
-            new = stored(new.join(self.read().where(F.col("event_type").isin(types)).select(*keys), keys, "left_anti"), "append")
-        new.sortWithinPartitions("event_type", "model_hash", "timestamp").write.mode("append").partitionBy("event_type").parquet(self.path)
+            new = stored(new.join(self.known(new), list(self.KEYS), "left_anti"), "append")
+        rows = new.sortWithinPartitions("event_type", "day", "model_hash", "timestamp").write.mode("append").partitionBy("event_type", "day")
+        for column in ("snapshot_hash", "model_hash"):
+            rows = rows.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        rows.parquet(self.path)
+
+
+def day(at: Column) -> Column:
+    """The partition of a time: its day, in UTC."""
+    return F.date_format(at.cast("timestamp"), "yyyy-MM-dd")
 
 
 class LatestTable:
