@@ -34,17 +34,42 @@ def value_matches(a: str, b: str) -> str:
     return f"CASE WHEN contains({a}, '%') THEN {b} ILIKE {esc(a)} ESCAPE '!' WHEN contains({b}, '%') THEN {a} ILIKE {esc(b)} ESCAPE '!' ELSE lower({a}) = lower({b}) END"
 
 
+def anchored(value: Column) -> Column:
+    """The longer end of a pattern that has no wildcard: ("p" or "s", its length, its text)."""
+    first, last = F.instr(value, "%") - 1, F.length(value) - F.length(F.substring_index(value, "%", -1))
+    end = F.length(value) - last
+    return F.when(first >= end, F.struct(F.lit("p").alias("side"), first.alias("n"), F.substring(value, F.lit(1), first).alias("text"))).otherwise(
+        F.struct(F.lit("s").alias("side"), end.alias("n"), F.substring(value, last + 1, end).alias("text")))
+
+
 def port_matches(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     """upstream, downstream, identifier for each output port that feeds an input port; one row a pair of nodes.
 
     outputs and inputs: (node, identifier, schema map). Identifiers must be equal whatever their case, the schemas must
-    have the same keys, and every value must match, % being a wildcard. The join is by identifier and keys; the rest filters.
+    have the same keys, and every value must match, % being a wildcard. Ports of one shared identifier don't meet there, but by
+    the value of their first key: plain values by equality; a pattern by the longer of its ends that have no wildcard, which
+    a value offers in each length that patterns have. So a pattern meets the values that share that end, and the rest filters.
+    Patterns without such an end meet all values of their identifier. The driver gets the lengths in use.
     """
-    keys = F.array_join(F.sort_array(F.map_keys("schema")), "\0").alias("keys")
-    o = outputs.select(F.col("node").alias("upstream"), F.lower("identifier").alias("identifier"), keys, F.col("schema").alias("o"))
-    i = inputs.select(F.col("node").alias("downstream"), F.lower("identifier").alias("identifier"), keys, F.col("schema").alias("i"))
-    same = "keys = '' AND size(o) = 0 OR forall(map_keys(o), k -> " + value_matches("o[k]", "i[k]") + ")"
-    met = o.join(i, ["identifier", "keys"]).where("upstream <> downstream").where(same)
+    keys = F.sort_array(F.map_keys("schema"))
+    value = lambda c: F.lower(F.element_at(c, F.element_at(F.sort_array(F.map_keys(c)), F.lit(1))))
+    side = lambda df, node, schema: df.select(F.col("node").alias(node), F.lower("identifier").alias("identifier"), F.array_join(keys, "\0").alias("keys"), F.col("schema").alias(schema), F.when(F.size("schema") > 0, value("schema")).alias("v"))
+    o, i = side(outputs, "upstream", "o"), side(inputs, "downstream", "i")
+    wild = F.contains("v", F.lit("%"))
+    lengths = lambda df: sorted(tuple(r.a) for r in df.where(wild).select(anchored(F.col("v")).alias("a")).select(F.struct("a.side", "a.n").alias("a")).distinct().collect())
+    lit = lambda text: F.concat(F.lit(text), "v")
+    own = lambda who: F.concat_ws(":", F.lit(who), (a := anchored(F.col("v")))["side"], a["n"].cast("string"), a["text"])
+
+    def offered(who: str, found: list[tuple[str, int]]) -> list[Column]:
+        cut = lambda end, n: F.substring(F.col("v"), F.lit(1), F.lit(n)) if end == "p" else F.substring(F.col("v"), F.length("v") - n + 1, F.lit(n))
+        return [F.when(F.length("v") >= n, F.concat(F.lit(f"{who}:{end}:{n}:"), cut(end, n))) for end, n in found]
+
+    bare = lambda schema: F.when(F.size(schema) == 0, F.lit("bare"))
+    # Output patterns meet all input values; input patterns meet plain output values.
+    o = o.withColumn("tag", F.explode(F.array_compact(F.array(bare("o"), F.when(wild, own("out")).otherwise(lit("=")), *[F.when(~wild, c) for c in offered("in", lengths(i))]))))
+    i = i.withColumn("tag", F.explode(F.array_compact(F.array(bare("i"), F.when(wild, own("in")).otherwise(lit("=")), *offered("out", lengths(o.where("tag LIKE 'out:%'")))))))
+    same = "tag = 'bare' OR forall(map_keys(o), k -> " + value_matches("o[k]", "i[k]") + ")"
+    met = o.drop("v").join(i.drop("v"), ["identifier", "keys", "tag"]).where("upstream <> downstream").where(same)
     return met.groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"))
 
 
