@@ -82,6 +82,8 @@ class EventLog:
         new = stored(one.withColumn("day", day(F.col("timestamp"))), "batch")
         if self.exists():
             new = stored(new.join(self.known(new), list(self.KEYS), "left_anti"), "append")
+        if new.isEmpty():  # a folder without files has no schema
+            return
         rows = new.sortWithinPartitions("event_type", "day", "model_hash", "timestamp").write.mode("append").partitionBy("event_type", "day")
         for column in ("snapshot_hash", "model_hash"):
             rows = rows.option(f"parquet.bloom.filter.enabled#{column}", "true")
