@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import numbered, stored
+from .membership import payloads
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, at_hand: bool = False) -> DataFrame:
     """root, node, hops: all that roots(root) reach along edges(src, dst), with the fewest hops; a root isn't in its own.
 
     A frontier joins the edges, which are stored once; what was reached before drops out, and each round is written to the
-    shared folder. It ends when nothing new is reached, however long the paths.
+    shared folder. It ends when nothing new is reached, however long the paths. at_hand: edges are a stored table already, best
+    one that is bucketed by src.
     """
-    edges = stored(edges.select("src", "dst"), "edges")
+    edges = edges.select("src", "dst") if at_hand else stored(edges.select("src", "dst"), "edges")
     found = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct(), "reach")
     frontier, hops = found, 0
     while True:
@@ -87,8 +89,8 @@ def dependencies(s: DataFrame, m: DataFrame, known: DataFrame, more: tuple[str,
     """model_hash, direction, relationship, other_hash, other_name for each link event whose target a model is: that with the
     payload's hash, else that with its name. s: model_hash, event_type, payload; known: names(m); more: columns of s to carry along."""
     up = F.col("event_type") == "depends_on"
-    p = F.from_json("payload", "relationship string, upstream string, upstream_hash string, downstream string, downstream_hash string").alias("p")
-    of = s.where(F.col("event_type").isin("depends_on", "has_dependent")).select("model_hash", "event_type", *more, p, F.concat(F.lit("\0"), F.xxhash64("model_hash", "payload").cast("string")).alias("none"))
+    links = payloads(s.where(F.col("event_type").isin("depends_on", "has_dependent")), "relationship string, upstream string, upstream_hash string, downstream string, downstream_hash string")
+    of = links.select("model_hash", "event_type", *more, "p", F.concat(F.lit("\0"), F.xxhash64("model_hash", "payload").cast("string")).alias("none"))
     of = of.select("model_hash", *more, F.when(up, "upstream").otherwise("downstream").alias("direction"), F.coalesce("p.relationship", F.lit("depends_on")).alias("relationship"), "none",
         F.when(up, F.col("p.upstream_hash")).otherwise(F.col("p.downstream_hash")).alias("hash"), F.when(up, F.col("p.upstream")).otherwise(F.col("p.downstream")).alias("name"))
     look = lambda ref, name: known.select(F.col("key").alias(ref), F.col("found").alias(name))

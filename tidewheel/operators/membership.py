@@ -26,28 +26,36 @@ def names(m: DataFrame) -> DataFrame:
       SELECT model_hash AS key, 0 AS order, model_hash FROM {m} UNION ALL SELECT name, 1, model_hash FROM {m}) WHERE key IS NOT NULL GROUP BY key""", m=m)
 
 
-def facts(s: DataFrame, m: DataFrame, until: Column | None = None, types: tuple[str, ...] = (*MEMBERS, *OBSERVATIONS, "validated")) -> DataFrame:
+def payloads(s: DataFrame, schema: str = KEYS) -> DataFrame:
+    """s with a struct p of the payload's keys: from columns of their names where s has them, else parsed."""
+    wanted = [k.split()[0] for k in schema.split(", ")]
+    ready = all(k in s.columns for k in wanted)
+    return s.withColumn("p", F.struct(*wanted) if ready else F.from_json("payload", schema))
+
+
+def facts(s: DataFrame, m: DataFrame, until: Column | None = None, types: tuple[str, ...] = (*MEMBERS, *OBSERVATIONS, "validated"), known: DataFrame | None = None) -> DataFrame:
     """One row for each group and member, observation, or (key "") its validations: group_hash, kind, key, linked, added
     (null without such events, else whether the last one added), issued, resolved, at. One pass over the log.
 
     s: snapshot_hash, model_hash, timestamp, event_type, payload. A link counts if its relationship is member_of and a model
     has its upstream_hash as hash or name; an addition if a model has its member_hash or member_name as hash or name; a
-    removal always. Observations without an id don't count.
+    removal always. Observations without an id don't count. known: names(m), if it is at hand.
     """
     if until is not None:
         s = s.where(F.col("timestamp") <= until)
-    return s.sparkSession.sql(FACTS, s=s.where(F.col("event_type").isin(*types)), n=names(m))
+    rows = payloads(s.where(F.col("event_type").isin(*types)))
+    return s.sparkSession.sql(FACTS, s=rows.select("snapshot_hash", "model_hash", "event_type", "timestamp", "p"), n=names(m) if known is None else known)
 
 
 #: References are looked up; other rows get a key that no model has, all of them different, so that none is hot.
-FACTS = f"""
-WITH e AS (SELECT snapshot_hash, model_hash AS group_hash, event_type, timestamp, from_json(payload, '{KEYS}') AS p FROM {{s}}),
+FACTS = """
+WITH e AS (SELECT snapshot_hash, model_hash AS group_hash, event_type, timestamp, p FROM {s}),
   r AS (SELECT *, explode(CASE event_type WHEN 'depends_on' THEN array(p.upstream_hash) WHEN 'member_added' THEN array(p.member_hash, p.member_name) ELSE array(CAST(NULL AS STRING)) END) AS ref
     FROM e WHERE event_type <> 'depends_on' OR p.relationship = 'member_of'),
   f AS (SELECT group_hash, event_type, timestamp, snapshot_hash,
       CASE WHEN event_type LIKE 'observation%' THEN 'observation' WHEN event_type = 'validated' THEN 'validated' ELSE 'member' END AS kind,
       CASE WHEN event_type = 'depends_on' THEN found WHEN event_type LIKE 'observation%' THEN p.observation_id WHEN event_type = 'validated' THEN '' ELSE coalesce(p.member_hash, '') END AS key
-    FROM r LEFT JOIN {{n}} n ON n.key = coalesce(ref, concat(chr(0), snapshot_hash))
+    FROM r LEFT JOIN {n} n ON n.key = coalesce(ref, concat(chr(0), snapshot_hash))
     WHERE (event_type NOT IN ('depends_on', 'member_added') OR found IS NOT NULL) AND (event_type NOT LIKE 'observation%' OR coalesce(p.observation_id, '') <> ''))
 SELECT group_hash, kind, key, max(event_type = 'depends_on') AS linked,
   max(CASE WHEN event_type IN ('member_added', 'member_removed') THEN struct(timestamp, snapshot_hash, event_type = 'member_added' AS added) END).added AS added,
@@ -57,9 +65,9 @@ MEMBER = "kind = 'member' AND coalesce(added, linked)"
 OPEN = "kind = 'observation' AND issued AND NOT resolved"
 
 
-def membership(s: DataFrame, m: DataFrame, until: Column | None = None) -> DataFrame:
-    """group_hash, member_hash: who is a member now, or was at `until` (inclusive)."""
-    return facts(s, m, until, MEMBERS).where(MEMBER).select("group_hash", F.col("key").alias("member_hash"))
+def membership(s: DataFrame, m: DataFrame, until: Column | None = None, known: DataFrame | None = None) -> DataFrame:
+    """group_hash, member_hash: who is a member now, or was at `until` (inclusive). known: names(m), if it is at hand."""
+    return facts(s, m, until, MEMBERS, known).where(MEMBER).select("group_hash", F.col("key").alias("member_hash"))
 
 
 def open_observations(s: DataFrame) -> DataFrame:
@@ -74,14 +82,14 @@ def last_validated(s: DataFrame) -> DataFrame:
     return s.where("event_type = 'validated'").groupBy(F.col("model_hash").alias("group_hash")).agg(F.max("timestamp").alias("last_validated"))
 
 
-def composite_summary(m: DataFrame, s: DataFrame, model_types: tuple[str, ...] = ("composite",)) -> DataFrame:
+def composite_summary(m: DataFrame, s: DataFrame, model_types: tuple[str, ...] = ("composite",), known: DataFrame | None = None) -> DataFrame:
     """One row for each group: identity, member count, last validation, open observations, metadata."""
     groups = m.where(F.col("model_type").isin(*model_types))
     mine = s.join(groups.select("model_hash"), "model_hash", "left_semi")
     return m.sparkSession.sql(f"""
         SELECT model_hash, name, owner, model_type, tier, status, coalesce(members, 0L) AS member_count, last_validated, coalesce(opened, 0L) AS open_observation_count, metadata
         FROM {{g}} LEFT JOIN (SELECT group_hash, count_if({MEMBER}) AS members, count_if({OPEN}) AS opened, max(CASE WHEN kind = 'validated' THEN at END) AS last_validated
-          FROM {{f}} GROUP BY group_hash) ON group_hash = model_hash""", g=groups, f=facts(mine, m))
+          FROM {{f}} GROUP BY group_hash) ON group_hash = model_hash""", g=groups, f=facts(mine, m, known=known))
 
 
 def group_events(of: DataFrame, m: DataFrame, event_type: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import membership as B
 from ..operators import records as K
 from ..operators import timeline as L
 from ..sources import nodes as N
-from ..tables import INTERNAL_EVENTS, E, M, S, V, edges, ledger, models, read, snapshots
+from ..tables import INTERNAL_EVENTS, E, M, S, V, edges, known, ledger, models, read, snapshots
 from . import rules as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,17 +62,17 @@ def summary_sql(types: str) -> str:
 
 @query(summary_sql("'composite'"))
 def composite_summary(spark, d):
-    return B.composite_summary(models(spark, d), ledger(spark, d))
+    return B.composite_summary(models(spark, d), ledger(spark, d), known=known(spark, d))
 
 
 @query(summary_sql("'composite', 'building'"))
 def composite_summary_custom_types(spark, d):
-    return B.composite_summary(models(spark, d), ledger(spark, d), ("composite", "building"))
+    return B.composite_summary(models(spark, d), ledger(spark, d), ("composite", "building"), known(spark, d))
 
 
 @query(f"WITH {M}, {G_}, {membership_sql()} SELECT * FROM member")
 def current_membership(spark, d):
-    return B.membership(ledger(spark, d), models(spark, d))
+    return B.membership(ledger(spark, d), models(spark, d), known=known(spark, d))
 
 
 WHEN = "2024-01-12 00:00:00"
@@ -80,12 +80,12 @@ WHEN = "2024-01-12 00:00:00"
 
 @query(f"WITH {M}, {G_}, {membership_sql(WHEN)} SELECT * FROM member")
 def membership_at(spark, d):
-    return B.membership(ledger(spark, d), models(spark, d), ntz(WHEN))
+    return B.membership(ledger(spark, d), models(spark, d), ntz(WHEN), known(spark, d))
 
 
 @query(f"WITH {M}, {G_}, {membership_sql()} SELECT member_hash, count(*) AS n_groups, min(group_hash) AS first_group FROM member GROUP BY 1")
 def groups_of_model(spark, d):
-    return B.membership(ledger(spark, d), models(spark, d)).groupBy("member_hash").agg(F.count("*").alias("n_groups"), F.min("group_hash").alias("first_group"))
+    return B.membership(ledger(spark, d), models(spark, d), known=known(spark, d)).groupBy("member_hash").agg(F.count("*").alias("n_groups"), F.min("group_hash").alias("first_group"))
 
 
 @query(f"WITH {G_}, {OPENED} SELECT * FROM opened")
@@ -291,7 +291,7 @@ DEPENDENCIES = """deps AS (SELECT l.model_hash, 'upstream' AS direction, relatio
 @query(f"WITH {M}, {G_}, {DEPENDENCIES} SELECT * FROM deps")
 def dependencies_direct(spark, d):
     m = models(spark, d)
-    return G.dependencies(ledger(spark, d), m, B.names(m))
+    return G.dependencies(ledger(spark, d), m, known(spark, d))
 
 
 @query(f"WITH {E} SELECT dst AS model_hash, src AS upstream FROM e")
@@ -319,7 +319,7 @@ def reach(spark, d, roots: str, up: bool = False) -> DataFrame:
     e = edges(spark, d)
     if up:
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.closure(e, e.where(roots.replace("dst", "src") if up else roots).select(F.col("src").alias("root")))
+    return G.closure(e, e.where(roots.replace("dst", "src") if up else roots).select(F.col("src").alias("root")), at_hand=True)
 
 
 @query(closure_sql("dst LIKE 'u%'", "dst", "src") + " SELECT root, node FROM reach")
@@ -376,7 +376,7 @@ def trace_order(spark, d):
 def member_changed_fanout(spark, d):
     s = snapshots(spark, d)
     own = s.where(~F.col("event_type").isin(*INTERNAL_EVENTS))
-    return B.member_changed(own, B.membership(ledger(spark, d), models(spark, d)))
+    return B.member_changed(own, B.membership(ledger(spark, d), models(spark, d), known=known(spark, d)))
 
 
 ISO = """strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("timestamp", '%f') = '000000' THEN '' ELSE strftime("timestamp", '.%f') END || '+00:00'"""
@@ -387,7 +387,7 @@ ISO = """strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("times
   SELECT substr(sha256(group_hash || ':' || {ISO} || ':' || sorted), 1, 32) AS snapshot_hash, group_hash AS model_hash, "timestamp", actor, 'member_changed' AS event_type, payload FROM r""")
 def member_changed_events(spark, d):
     m = models(spark, d)
-    return B.change_events(snapshots(spark, d), B.membership(ledger(spark, d), m), m)
+    return B.change_events(snapshots(spark, d), B.membership(ledger(spark, d), m, known=known(spark, d)), m)
 
 
 @query(f"WITH {E} SELECT src AS model_hash, 'has_dependent' AS event_type, dst AS other_hash FROM e UNION ALL SELECT dst, 'depends_on', src FROM e")

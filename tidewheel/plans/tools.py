@@ -12,7 +12,7 @@ from ..operators import membership as B
 from ..operators import records as K
 from ..operators import timeline as L
 from ..sources import nodes as N
-from ..tables import M, S, edges, ledger, models, read, snapshots
+from ..tables import M, S, known, ledger, models, read, snapshots
 from .catalog import DEPENDENCIES, G_, OPENED, PLATFORMS, VALIDATED, WHEN, membership_sql, ntz, query
 
 
@@ -47,9 +47,9 @@ PAGE = f"""WITH {M}, {G_}, {membership_sql()}, {OPENED.replace("FROM g WHERE", f
 def investigate(spark, d):
     """Every model's page as of WHEN."""
     m, s, g = models(spark, d), snapshots(spark, d), ledger(spark, d)
-    known = B.names(m)
-    links = G.dependencies(g, m, known)
-    found = L.investigate(m, s, B.membership(g, m), B.facts(g, m, ntz(WHEN), (*B.OBSERVATIONS, "validated")), links, ntz(WHEN))
+    named = known(spark, d)
+    links = G.dependencies(g, m, named)
+    found = L.investigate(m, s, B.membership(g, m, known=named), B.facts(g, m, ntz(WHEN), (*B.OBSERVATIONS, "validated"), named), links, ntz(WHEN))
     return found.select(
         "model_hash", "name", "owner", "status", "total_events", "days_since_last_event", F.col("metadata")["k"].alias("k"), F.array_join("recent_events.snapshot_hash", "|").alias("recent"),
         joined("upstream"), joined("groups"), joined("members"), "last_validated", "open_observation_count",
@@ -111,7 +111,7 @@ def add_counts(spark, d):
 def remove_members(spark, d):
     """Events that remove all members from their groups; a name that no model has gives none."""
     m = models(spark, d)
-    pairs = B.membership(ledger(spark, d), m).select("group_hash", F.col("member_hash").alias("member"))
+    pairs = B.membership(ledger(spark, d), m, known=known(spark, d)).select("group_hash", F.col("member_hash").alias("member"))
     return B.group_events(pairs.unionByName(pairs.withColumn("member", F.lit("nobody"))), m, "member_removed")
 
 

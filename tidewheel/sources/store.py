@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,36 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that materialized() made in this process, by application, label and state of the sources.
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def materialized(spark: SparkSession, label: str, sources: list[str], make: Callable[[], DataFrame], bucket: str, sort: list[str], parts: list[str] | None = None) -> DataFrame:
+    """The rows of make(), stored once as long as the files of `sources` stay as they are: bucketed by a column and sorted, so that
+    groupings and joins by it need no shuffle, and in partitions. Buckets are as many as the session's shuffle partitions."""
+    state = hashlib.sha256(repr([listing(spark, x) for x in sources]).encode()).hexdigest()[:16]
+    key = (spark.sparkContext.applicationId, label, state)
+    if key not in _made:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"tidewheel_{label}_{uuid.uuid4().hex}"
+        out = make().repartition(n, bucket).write.bucketBy(n, bucket).sortBy(*sort).option("path", f"{shared_dir(spark)}/tidewheel/{name}")
+        (out.partitionBy(*parts) if parts else out).saveAsTable(name)
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+        _made[key] = name
+    return spark.table(_made[key])
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, size and time of each file under a path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with its row numbers in that order, from 1: numbers within the ranges of a distributed sort, after the counts of
     the ranges before (one row a partition)."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.store import materialized
+
 # Events that describe the log itself and never propagate to groups.
 INTERNAL_EVENTS = ("registered", "has_dependent", "depends_on", "member_added", "member_removed", "member_changed", "observation_issued", "observation_resolved", "validated")
 
@@ -25,7 +27,11 @@ def case(value: Column, cases: dict[object, str], other: str | None = None) -> C
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model_hash, name, owner, model_type, tier, purpose, status, created_at, metadata (JSON)."""
+    """model_hash, name, owner, model_type, tier, purpose, status, created_at, metadata (JSON); stored by model_hash."""
+    return materialized(spark, "models", [f"{sf_dir}/{x}.parquet" for x in ("customer", "nation")], lambda: inventory(spark, sf_dir), "model_hash", ["model_hash"])
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     segment = F.lower("c_mktsegment")
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -42,7 +48,11 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """snapshot_hash, model_hash, composite_hash, timestamp, actor, event_type, gov_type, source, payload, k."""
+    """snapshot_hash, model_hash, composite_hash, timestamp, actor, event_type, gov_type, source, payload, k; stored by model_hash."""
+    return materialized(spark, "snapshots", [f"{sf_dir}/events.parquet"], lambda: events(spark, sf_dir), "model_hash", ["model_hash", "timestamp"])
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     key = lambda c: F.concat(F.lit("m"), c.cast("string"))
     even = F.col("event_id") % 2 == 0
@@ -62,11 +72,28 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Keys of payloads that queries read, as columns of the stored ledger.
+HOT = ("relationship", "upstream", "upstream_hash", "downstream", "downstream_hash", "member_hash", "member_name", "observation_id")
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The governance events of groups: snapshot_hash, model_hash (the group), timestamp, actor, event_type, payload (JSON)."""
-    s = snapshots(spark, sf_dir).withColumn("i", F.substr("snapshot_hash", F.lit(2)).cast("long"))
-    named = s.withColumns({"mh": F.expr(MEMBER_HASH), "nm": F.expr(MEMBER_NAME)})
-    return named.select("snapshot_hash", F.col("composite_hash").alias("model_hash"), "timestamp", "actor", F.col("gov_type").alias("event_type"), F.expr(PAYLOAD).alias("payload"))
+    """The governance events of groups: snapshot_hash, model_hash (the group), timestamp, actor, payload (JSON), its HOT keys as
+    columns, event_type; stored by model_hash in partitions by type."""
+
+    def made() -> DataFrame:
+        s = events(spark, sf_dir).withColumn("i", F.substr("snapshot_hash", F.lit(2)).cast("long"))
+        named = s.withColumns({"mh": F.expr(MEMBER_HASH), "nm": F.expr(MEMBER_NAME)})
+        rows = named.select("snapshot_hash", F.col("composite_hash").alias("model_hash"), "timestamp", "actor", F.col("gov_type").alias("event_type"), F.expr(PAYLOAD).alias("payload"))
+        return rows.select("snapshot_hash", "model_hash", "timestamp", "actor", "payload", "event_type", F.from_json("payload", ", ".join(f"{k} string" for k in HOT)).alias("p")).select("snapshot_hash", "model_hash", "timestamp", "actor", "payload", "p.*", "event_type")
+
+    return materialized(spark, "ledger", [f"{sf_dir}/events.parquet"], made, "model_hash", ["model_hash", "timestamp"], ["event_type"])
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, found: what membership.names gives for the models, stored by key."""
+    from .operators.membership import names
+
+    return materialized(spark, "names", [f"{sf_dir}/{x}.parquet" for x in ("customer", "nation")], lambda: names(models(spark, sf_dir)), "key", ["key"])
 
 
 # What the ledger's payloads are made of, in SQL for both engines: members known by hash, by name, by both or by neither;
@@ -80,7 +107,11 @@ PAYLOAD = f"""CASE WHEN gov_type = 'depends_on' THEN '{{"upstream":"' || nm || '
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: a graph of three hops, region to nation to supplier to part."""
+    """src, dst: a graph of three hops, region to nation to supplier to part; stored by src."""
+    return materialized(spark, "edges", [f"{sf_dir}/{x}.parquet" for x in ("region", "nation", "supplier", "lineitem")], lambda: links(spark, sf_dir), "src", ["src"])
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n, s, li = (read(spark, sf_dir, x) for x in ("region", "nation", "supplier", "lineitem"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return (
