@@ -26,8 +26,8 @@ def found(text: Column, pattern: str) -> Column:
 
 def first_spellings(names: Column) -> Column:
     """names without those that repeat an earlier one in another case."""
-    low = F.transform(names, lambda x: F.lower(x))
-    return F.filter(names, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    return F.aggregate(names, none, lambda kept, x: F.when(F.exists(kept, lambda y: F.lower(y) == F.lower(x)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
 def read_tables(sql: Column) -> Column:
@@ -61,14 +61,16 @@ def comment_tags(sql: Column, prefix: str = "@") -> Column:
     trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     pair = lambda x: F.split(F.substr(x, F.lit(len(start) + 1)), ":", 2)
     each = F.transform(lines, lambda x: F.struct(trim(F.get(pair(x), 0)).alias("key"), trim(F.get(pair(x), 1)).alias("value")))
-    last = F.filter(each, lambda e, i: ~F.exists(F.slice(each, i + 2, F.size(each) + 1), lambda later: later["key"] == e["key"]))
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<key:STRING,value:STRING>>)")
+    last = F.aggregate(each, none, lambda kept, e: F.concat(F.filter(kept, lambda k: k["key"] != e["key"]), F.array(e)))
     return F.map_from_entries(last)
 
 
 def tag_pairs(tags: Column) -> Column:
     """The map of k:v tags; a tag without a colon has an empty value, and the last of equal keys wins."""
     each = F.transform(tags, lambda x: F.struct(F.regexp_extract(x, r"(?s)^([^:]*)", 1).alias("key"), F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1).alias("value")))
-    last = F.filter(each, lambda e, i: ~F.exists(F.slice(each, i + 2, F.size(each) + 1), lambda later: later["key"] == e["key"]))
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<key:STRING,value:STRING>>)")
+    last = F.aggregate(each, none, lambda kept, e: F.concat(F.filter(kept, lambda k: k["key"] != e["key"]), F.array(e)))
     return F.map_from_entries(last)
 
 
