@@ -99,3 +99,20 @@ def test_many_groups_and_buckets(spark, monkeypatch):
         monkeypatch.setattr(C, name, value)
     many = {r.doc_id: r.score for r in C.score(docs, depth=4).collect()}
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-6) for k in one)
+
+
+def test_rows_of_counts_grow_with_the_groups(spark, monkeypatch):
+    """With more buckets than strings, a group has a row a filled bucket, so groups of equal size add equal numbers of rows."""
+    monkeypatch.setattr(C, "LEAST_BUCKETS", 500)
+    monkeypatch.setattr(C, "GROUP_BYTES", 200)
+    seen, kept = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, label, *rows: seen.append((label, kept(df, label, *rows))) or seen[-1][1])
+    found = {}
+    for n in (20, 40, 80):
+        docs = spark.createDataFrame([(i, f"w{i} " * 12) for i in range(n)], "doc_id long, text string")
+        seen.clear()
+        assert C.score(docs).count() == n
+        counts = next(df for label, df in seen if label == "counts")
+        assert counts.where("octet_length(keys) = 0").count() == 0
+        found[n] = counts.count()
+    assert found[40] < 2.6 * found[20] and found[80] < 2.6 * found[40]

@@ -256,9 +256,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 bucket = (mixed((c.keys >> np.uint64(8)) & np.uint64(0xFFFFFF), 5) if kind == 0 else c.keys) % np.uint64(n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-                parts = [order[a:b] for a, b in zip(ends, ends[1:])]
+                filled = np.flatnonzero(np.diff(ends))  # so rows are as many as strings at most, however many groups and buckets
+                parts = [order[ends[k] : ends[k + 1]] for k in filled]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([gid] * n_buckets, pa.int32()), pa.array([kind] * n_buckets, pa.int32()), pa.array(range(n_buckets), pa.int32()),
+                    [pa.array([gid] * len(parts), pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array(filled, pa.int32()),
                      pa.array([c.keys[p].tobytes() for p in parts]), pa.array([packed(c.counts[p]) for p in parts])],
                     ["gid", "kind", "bucket", "keys", "counts"],
                 )
