@@ -195,3 +195,11 @@ def test_connectors_by_name(spark):
     for name, config, said in ((None, {}, "required"), ("sql", {}, "needs"), ("odd", {}, "unknown"), ("rest", {"x": 1}, "failed")):
         none, (error,) = nodes.discovered(name, items, config)
         assert none is None and said in error
+
+
+def test_canonical_json_takes_the_last_of_equal_keys_and_one_form_of_numbers(spark):
+    alike = [['{"a":1,"a":2}', '{"a":2}', '{"a":2.0}', '{"a":2e0}', '{"a":20e-1}'], ['{"b":{"z":1,"y":2,"z":3}}', '{"b":{"y":2,"z":3}}', '{"b":{"y":2.00,"z":3,"y":2}}'], ['{"s":"x:1.0,","t":[1.0,-5e0,2.50]}', '{"t":[1,-5,2.5],"s":"x:1.0,"}'], ['{"s":"q\\"1.0"}']]
+    df = spark.createDataFrame([(k, x) for k, group in enumerate(alike) for x in group], "k int, p string")
+    got = df.select("k", ingest.canonical_json(F.col("p")).alias("c")).distinct().collect()
+    assert len(got) == len(alike)
+    assert {r.k: r.c for r in got} == {0: '{"a":2}', 1: '{"b":{"y":2,"z":3}}', 2: '{"s":"x:1.0,","t":[1,-5,2.5]}', 3: '{"s":"q\\"1.0"}'}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import numbered, stored
+from ..sources.store import numbered, shared_dir, stored
 from .membership import payloads
 
 
@@ -115,17 +117,24 @@ def trace_order(edges: DataFrame, root: str) -> DataFrame:
     hops = stored(closure(back, one).select("node", "hops").unionByName(one.select(F.col("root").alias("node"), F.lit(0).alias("hops"))), "hops")
     inside = edges.where("src <> dst").join(hops.select(F.col("node").alias("src")), "src", "left_semi").join(hops.select(F.col("node").alias("dst")), "dst", "left_semi")
     links = stored(inside.select("src", "dst"), "links")
-    left, done = hops, []
-    while True:
-        waiting = links.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"), F.lit(True).alias("w")).distinct()
-        state = stored(left.join(waiting, "node", "left").select("node", "hops", F.coalesce("w", F.lit(False)).alias("waits")), "trace")
-        most = {r.waits: r.most for r in state.groupBy("waits").agg(F.max("hops").alias("most")).collect()}
-        if not most:
-            break
-        now = ~F.col("waits") if False in most else F.col("hops") == most[True]
-        done.append(state.where(now).select("node", "hops", F.lit(len(done)).alias("level")))
-        left = state.where(~now).select("node", "hops")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    folder = f"{shared_dir(spark)}/tidewheel/levels-{uuid.uuid4().hex}"
+    place = lambda df, level: df.select("node", "hops").write.parquet(f"{folder}/level={level}")
+    targets = lambda of: hops.join(of.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+    waits = stored(targets(links), "waits")
+    place(hops.join(waits, "node", "left_anti"), 0)
+    level, n = 0, waits.count()
+    while n:
+        # A link counts as long as its source waits, so each round reads just what the one before has left.
+        level += 1
+        rest = stored(links.join(waits.select(F.col("node").alias("src")), "src", "left_semi"), "links")
+        still = stored(waits.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_semi"), "waits")
+        if (m := still.count()) == n:
+            most = still.agg(F.max("hops")).scalar()
+            taken = still.where(F.col("hops") == most)
+            rest = stored(rest.join(taken.select(F.col("node").alias("dst")), "dst", "left_anti"), "links")
+            still = stored(still.join(taken.select("node"), "node", "left_anti"), "waits")
+            m = still.count()
+        place(waits.join(still, "node", "left_anti"), level)
+        links, waits, n = rest, still, m
+    out = spark.read.schema("node string, hops int, level int").parquet(folder)
     return numbered(out, "position", "level", "node").select("node", "position", "level", "hops")

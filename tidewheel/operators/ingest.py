@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Payload keys that change without the model changing; the statuses a node may state.
@@ -16,13 +16,18 @@ def normal_status(raw: Column) -> Column:
 
 
 def canonical_json(payload: Column, without: tuple[str, ...] = ()) -> Column:
-    """JSON with its keys sorted at every depth, compact, types kept; at the top without the given keys. Numbers of equal
-    value are written alike (1.0 as 1). Text that isn't an object is given in canonical form, or as it is if it isn't JSON."""
-    found = F.from_json(payload, "map<string,variant>")
+    """JSON with its keys sorted at every depth, compact, types kept; at the top without the given keys. Of equal keys the last
+    counts. Numbers of equal value are written alike (1.0 and 1e0 as 1), but for whole ones from 10^7 on that have an
+    exponent. Text that isn't an object is given in canonical form, or as it is if it isn't JSON."""
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # else such text can't be parsed
+    parsed = F.try_parse_json(payload)
+    found = F.try_variant_get(parsed, "$", "map<string,variant>")
     keys = F.filter(F.array_sort(F.array_distinct(F.map_keys(found))), lambda k: ~k.isin(*without) if without else F.lit(True))
     quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
     pairs = F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), F.to_json(F.element_at(found, k))))
-    return F.coalesce(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), F.to_json(F.try_parse_json(payload)), payload)
+    text = F.coalesce(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), F.to_json(parsed))
+    whole = F.regexp_replace(text, r'(?s)("(?:[^"\\]|\\.)*+")|(-?\d++)\.0(?![\d.eE])', "$1$2")  # strings stay as they are
+    return F.coalesce(whole, payload)
 
 
 def content_hash(payload: Column) -> Column:

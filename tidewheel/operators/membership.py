@@ -106,8 +106,8 @@ def link_events(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on"
     members are its upstreams, by the relationship member_of. via: a column of pairs that both payloads keep."""
     known = names(m).join(m.select(F.col("model_hash").alias("found"), "name"), "found")
     end = lambda side: known.select(F.col("key").alias(side), F.struct(F.col("found").alias("hash"), "name").alias(side[0]))
-    both = pairs.select("upstream", "downstream", *[F.col(via).alias("via")] * bool(via)).join(end("upstream"), "upstream").join(end("downstream"), "downstream")
-    kind = [F.lit(relationship).alias("relationship"), *[F.col("via")] * bool(via)]
+    both = pairs.select("upstream", "downstream", *([F.col(via).alias("via")] if via else [])).join(end("upstream"), "upstream").join(end("downstream"), "downstream")
+    kind = [F.lit(relationship).alias("relationship"), *([F.col("via")] if via else [])]
     event = lambda own, name, **other: F.struct(F.col(f"{own}.hash").alias("model_hash"), F.lit(name).alias("event_type"), F.to_json(F.struct(*[F.col(v).alias(k) for k, v in other.items()], *kind)).alias("payload"))
     up, down = event("u", "has_dependent", downstream="d.name", downstream_hash="d.hash"), event("d", "depends_on", upstream="u.name", upstream_hash="u.hash")
     return both.select(F.explode(F.array(up, down)).alias("e")).select("e.*")

@@ -118,9 +118,9 @@ PLAIN_EVENTS = ("depends_on", "has_dependent", "registered")
 PLAIN_KEYS = ("_content_hash", "upstream", "downstream", "upstream_hash", "downstream_hash", "relationship", "via", "via_schema", "name", "owner", "tier", "purpose", "model_origin")
 
 
-def investigate(m: DataFrame, s: DataFrame, members: DataFrame, facts: DataFrame, links: DataFrame, as_of: Column, recent: int = 10) -> DataFrame:
+def investigate(m: DataFrame, s: DataFrame, members: DataFrame, facts: DataFrame, links: DataFrame, as_of: Column, recent: int | None = 10) -> DataFrame:
     """Every model of m with all that its page shows, as of a time (inclusive): merged metadata (a map of JSON texts, the
-    newest value of each key), the `recent` latest events, total_events, days_since_last_event (by as_of), names of
+    newest value of each key), the `recent` latest events (None: all), total_events, days_since_last_event (by as_of), names of
     upstream, downstream, groups and members (as of now, sorted), last_validated and open observations of composites.
 
     s: snapshot_hash, model_hash, timestamp, event_type, payload, source; members: group_hash, member_hash; facts: as
@@ -130,7 +130,8 @@ def investigate(m: DataFrame, s: DataFrame, members: DataFrame, facts: DataFrame
     event = F.struct("timestamp", "snapshot_hash", "event_type")
     by = seen.groupBy("model_hash").agg(F.max("timestamp").alias("last_event"), F.count("*").alias("total_events"))
     newest = Window.partitionBy("model_hash").orderBy(F.desc("timestamp"), F.desc("snapshot_hash"))
-    few = seen.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= recent).groupBy("model_hash").agg(F.reverse(F.sort_array(F.collect_list(event))).alias("recent_events"))
+    few = seen if recent is None else seen.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= recent)
+    few = few.groupBy("model_hash").agg(F.reverse(F.sort_array(F.collect_list(event))).alias("recent_events"))
     pairs = merged_metadata(seen.where(~F.col("event_type").isin(*PLAIN_EVENTS))).where(~F.col("key").isin(*PLAIN_KEYS))
     metadata = pairs.groupBy("model_hash").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("metadata"))
     named = m.select(F.col("model_hash").alias("__other"), F.col("name").alias("__name"))

@@ -599,4 +599,4 @@ def model_upsert(spark, d):
     return I.upsert(old, new.unionByName(again), "model_hash")
 
 
-from . import lookups, nested, tools, writes  # noqa: E402, F401  they add their queries
+from . import details, lookups, nested, tools, writes  # noqa: E402, F401  they add their queries
