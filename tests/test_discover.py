@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.operators import discover as D
+from tidewheel.operators import graph as G
+from tidewheel.operators import membership as B
+from tidewheel.operators import timeline as L
 from tidewheel.sources import nodes as N
 from tidewheel.sources.store import EventLog, LatestTable
 
@@ -99,3 +102,52 @@ def test_record_registers_and_propagates(spark):
     assert sorted(r.event_type for r in events) == ["deployed", "member_changed", "registered", "registered", "retrained", "validated"]
     (changed,) = [r for r in events if r.event_type == "member_changed"]
     assert changed.model_hash == "g" and json.loads(changed.payload)["original_event_type"] == "retrained"
+
+
+def demo(name, platform, inputs, outputs, owner):
+    return json.dumps({"name": name, "platform": platform, "inputs": inputs, "outputs": outputs, "owner": owner, "model_type": "m"})
+
+
+# A demo graph of seven nodes.
+DEMO = [
+    demo("customer_features", "database", [], ["customer_data"], "data-team"), demo("transaction_pipeline", "etl", ["raw_transactions"], ["processed_transactions", "customer_data"], "data-team"),
+    demo("fraud_scoring", "ml", ["customer_data", "processed_transactions"], ["fraud_scores"], "risk-team"), demo("churn_predictor", "ml", ["customer_data"], ["churn_probabilities"], "growth-team"),
+    demo("alert_engine", "alerting", ["fraud_scores"], [], "ops-team"), demo("credit_risk", "ml", ["customer_data", "processed_transactions"], ["credit_scores"], "risk-team"), demo("pricing_rules", "rules", ["credit_scores", "churn_probabilities"], [], "pricing-team"),
+]
+
+
+def test_the_demo_from_nodes_to_a_page(spark, tmp_path):
+    log, models = tables(spark, tmp_path)
+    made = N.inline_nodes(spark.createDataFrame([(x,) for x in DEMO], "item string")).withColumn("seen_at", F.lit("2026-03-01 00:00:00").cast("timestamp_ntz"))
+    first = D.ingest(made, spark.createDataFrame([], MODEL), spark.createDataFrame([], EVENT))
+    assert tuple(first.counts.first()) == (7, 0, 9, 0)
+    D.write(first, log, models, f"{tmp_path}/stage1")
+    rows = [("fraud_scoring", "retrained", '{"accuracy":0.94}', 1), ("fraud_scoring", "deployed", '{"environment":"production","version":"v3.2"}', 2), ("churn_predictor", "retrained", '{"accuracy":0.87}', 3)]
+    asked = spark.createDataFrame(rows, "model_name string, event string, payload string, t long").select("*", F.timestamp_seconds(F.col("t") + 1772400000).cast("timestamp_ntz").alias("timestamp"), F.lit("ml").alias("actor"), *[F.lit(None).cast("string").alias(c) for c in ("owner", "model_type", "purpose")])
+    group = spark.createDataFrame([("Fraud", "risk-team", "composite", "high", "", ["fraud_scoring", "alert_engine", "nobody"], "x")], "name string, owner string, model_type string, tier string, purpose string, members array<string>, actor string").withColumn("timestamp", F.lit("2026-03-01 01:00:00").cast("timestamp_ntz"))
+    new, events = D.register_groups(group, models.read())
+    log.append(events)
+    models.put(new)
+    D.write(D.record(asked, models.read(), log.read()), log, models, f"{tmp_path}/stage2")
+    assert kinds(log.read()) == {"registered": 8, "discovered": 7, "depends_on": 11, "has_dependent": 11, "retrained": 2, "deployed": 1, "member_changed": 2}
+    s, m = log.read(), models.read().drop("metadata")
+    named = {r.name: r for r in L.model_summaries(m, s).collect()}
+    assert named["fraud_scoring"].platform == "ml" and named["fraud_scoring"].owner == "risk-team" and named["Fraud"].event_count == 5
+    edges = G.dependencies(s, m, B.names(m)).where("direction = 'upstream'").join(m.select("model_hash", "name"), "model_hash").select(F.col("other_name").alias("src"), F.col("name").alias("dst"))
+    order = [r.node for r in G.trace_order(edges, "pricing_rules").orderBy("position").collect()]
+    assert order == ["customer_features", "transaction_pipeline", "churn_predictor", "credit_risk", "pricing_rules"]
+    (page,) = L.investigate(m.withColumn("metadata", F.lit("{}")), s, B.membership(s, m), B.facts(s, m), G.dependencies(s, m, B.names(m)), F.lit("2026-04-01 00:00:00").cast("timestamp_ntz")).where("name = 'fraud_scoring'").collect()
+    assert (page.upstream, page.downstream, page.groups) == (["customer_features", "transaction_pipeline"], ["Fraud", "alert_engine"], ["Fraud"])
+    assert page.metadata["version"] == "v3.2" and "owner" not in page.metadata
+
+
+def test_members_with_roles(spark):
+    m = spark.createDataFrame([("h1", "g"), ("h2", "a")], "model_hash string, name string")
+    asked = spark.createDataFrame([("g", "a", False, "input", "x", 1), ("h1", "h2", True, None, "x", 2), ("g", "z", False, None, "x", 3), ("y", "a", True, "r", "x", 4)], "composite string, member string, removed boolean, note string, actor string, t long").withColumn("timestamp", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    events, errors = D.change_members(asked.drop("t"), m)
+    got = sorted((r.model_hash, r.event_type, r.timestamp.second, r.payload) for r in events.collect())
+    assert got == [
+        ("h1", "depends_on", 1, '{"upstream":"a","upstream_hash":"h2","relationship":"member_of"}'), ("h1", "member_added", 1, '{"member_name":"a","member_hash":"h2","role":"input"}'),
+        ("h1", "member_removed", 2, '{"member_name":"a","member_hash":"h2"}'), ("h2", "has_dependent", 1, '{"downstream":"g","downstream_hash":"h1","relationship":"member_of"}'),
+    ]
+    assert sorted((r.composite, r.member) for r in errors.collect()) == [("g", "z"), ("y", "a")]

@@ -163,6 +163,56 @@ def record(asked: DataFrame, m: DataFrame, s: DataFrame) -> Recorded:
     return Recorded(made.select(*MODEL), new.unionByName(changed), told, joined.where(~fits).select("model_name"))
 
 
+def register_groups(asked: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new models, events) of groups and their members: get or create each group by name, then link its members to it.
+
+    asked: name, owner, model_type, tier, purpose, members (names or hashes, of models or of groups of the batch), actor, timestamp;
+    of several of one name the first registers, all link. Members that don't exist give no link."""
+    order = F.struct("timestamp", "owner", "actor")
+    first = asked.groupBy("name").agg(F.min_by(F.struct("owner", "model_type", "tier", "purpose", "actor", F.col("timestamp").alias("created_at")), order).alias("of")).select("name", "of.*")
+    new = first.join(m.select("name"), "name", "left_anti").withColumns({"model_origin": F.lit("internal"), "status": F.lit("active"), "last_seen": F.col("created_at")})
+    new = stored(new.withColumn("model_hash", I.model_hash(F.col("name"), F.col("owner"), F.col("created_at"))), "groups")
+    known = m.select("model_hash", "name").unionByName(new.select("model_hash", "name"))
+    pairs = asked.select("name", F.explode("members").alias("member"), "actor", "timestamp")
+    links = linked(pairs.withColumnsRenamed({"name": "downstream", "member": "upstream"}), known)
+    return new.select(*MODEL), registered(new).unionByName(links)
+
+
+def linked(pairs: DataFrame, m: DataFrame) -> DataFrame:
+    """Both events of member_of links: pairs of upstream, downstream, actor, timestamp."""
+    events = B.link_events(pairs.withColumn("said", F.concat_ws("\0", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "actor")), m, "member_of", "said")
+    said = F.from_json("payload", "via string")["via"]
+    rows = events.withColumns({"timestamp": F.split_part(said, F.lit("\0"), F.lit(1)).cast("timestamp_ntz"), "actor": F.split_part(said, F.lit("\0"), F.lit(2))})
+    return log_rows(rows.withColumn("payload", F.concat(F.regexp_replace("payload", r',"via":"(?:[^"\\]|\\.)*"\}$', ""), F.lit("}"))))
+
+
+def change_members(asked: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, errors) of additions and removals: asked: composite, member (names or hashes), removed (boolean), note (role of an
+    addition, reason of a removal, or null), actor, timestamp. An addition also links the member; a removal leaves links as they
+    are. Rows whose composite or member doesn't exist are errors."""
+    known = B.names(m).join(m.select(F.col("model_hash").alias("found"), "name"), "found")
+    end = lambda c: known.select(F.col("key").alias(c), F.struct(F.col("found").alias("hash"), "name").alias(f"__{c}"))
+    both = stored(asked.join(end("composite"), "composite", "left").join(end("member"), "member", "left"), "asked")
+    fits = F.col("__composite").isNotNull() & F.col("__member").isNotNull()
+    good = both.where(fits)
+    gone = F.col("removed")
+    payload = F.to_json(F.struct(F.col("__member.name").alias("member_name"), F.col("__member.hash").alias("member_hash"), F.when(~gone, F.col("note")).alias("role"), F.when(gone, F.col("note")).alias("reason")))
+    own = log_rows(good.select(F.col("__composite.hash").alias("model_hash"), "timestamp", F.when(gone, "member_removed").otherwise("member_added").alias("event_type"), payload.alias("payload"), "actor"))
+    links = linked(good.where(~gone).select(F.col("__member.hash").alias("upstream"), F.col("__composite.hash").alias("downstream"), "actor", "timestamp"), m)
+    return own.unionByName(links), both.where(~fits).select(*asked.columns)
+
+
+def register_audited(asked: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new models, audit events) of models by name: those that m has are left as they are; of several of one name the first counts.
+    asked: name, tier, actor, timestamp and any other columns, which the model keeps. Audit: event_id, timestamp, actor, action,
+    model_name, details (JSON)."""
+    rest = [c for c in asked.columns if c not in ("name", "timestamp")]
+    new = asked.groupBy("name").agg(F.min(F.struct("timestamp", *rest)).alias("of")).select("name", "of.*").join(m.select("name"), "name", "left_anti")
+    details = F.to_json(F.struct("tier"))
+    event = new.select("timestamp", "actor", F.lit("registered_model").alias("action"), F.col("name").alias("model_name"), details.alias("details"))
+    return new.drop("actor"), event.withColumn("event_id", F.sha2(F.concat_ws(":", "action", "model_name", I.iso(F.col("timestamp"))), 256))
+
+
 def write(staged: Staged | Recorded, log: EventLog, models: LatestTable, stage: str) -> tuple[DataFrame, DataFrame]:
     """Write a batch, events first: (models, events) as they were staged in the folder `stage`, which names the batch. A batch
     that is staged already is written from there, whatever the tables hold by now; the log leaves out what it has, and rows of

@@ -116,3 +116,43 @@ def record_log(spark, d):
 @query(f"WITH {RECORDED} SELECT model_name, count(*) AS n FROM rows WHERE model_hash IS NULL GROUP BY 1")
 def record_errors(spark, d):
     return recorded(spark, d).errors.groupBy("model_name").agg(F.count("*").alias("n"))
+
+
+#: A group for each ten models by their names, and one name that nobody has; every third group has the name of a model.
+GROUPS = """g AS (SELECT CAST(substr(model_hash, 2) AS BIGINT) AS i, model_hash AS mh, name AS mn FROM m), gr AS (SELECT i // 10 AS k, CASE WHEN i // 10 % 3 = 0 THEN 'Customer#' || lpad(CAST(i // 10 AS VARCHAR), 9, '0') ELSE 'Group ' || (i // 10) END AS name, mh, mn FROM g),
+  gh AS (SELECT DISTINCT k, name, CASE WHEN k % 3 = 0 THEN 'm' || k ELSE substr(sha256(name || ':o' || (k % 4) || ':2024-07-01T00:00:00+00:00'), 1, 32) END AS hash FROM gr)"""
+
+
+@query(f"""WITH {M}, {GROUPS} SELECT hash AS model_hash, 'registered' AS event_type, 'a' AS actor, '{{"name":"' || name || '","owner":"o' || (k % 4) || '","tier":"high","purpose":"p","model_origin":"internal"}}' AS payload FROM gh WHERE k % 3 > 0
+  UNION ALL SELECT hash, 'depends_on', 'a', '{{"upstream":"' || mn || '","upstream_hash":"' || mh || '","relationship":"member_of"}}' FROM gr JOIN gh USING (k) UNION ALL SELECT mh, 'has_dependent', 'a', '{{"downstream":"' || gh.name || '","downstream_hash":"' || hash || '","relationship":"member_of"}}' FROM gr JOIN gh USING (k)""")
+def register_whole_groups(spark, d):
+    """Groups and their members in one step."""
+    m = models(spark, d)
+    k = F.floor(F.substr("model_hash", F.lit(2)).cast("long") / 10)
+    of = m.groupBy(k.alias("k")).agg(F.concat(F.collect_list("name"), F.array(F.lit("nobody"))).alias("members"))
+    text = F.col("k").cast("string")
+    name = F.when(F.col("k") % 3 == 0, F.concat(F.lit("Customer#"), F.lpad(text, 9, "0"))).otherwise(F.concat(F.lit("Group "), text))
+    asked = of.select(name.alias("name"), F.concat(F.lit("o"), (F.col("k") % 4).cast("string")).alias("owner"), F.lit("composite").alias("model_type"), F.lit("high").alias("tier"), F.lit("p").alias("purpose"), "members", F.lit("a").alias("actor"), ntz("2024-07-01 00:00:00").alias("timestamp"))
+    return D.register_groups(asked, m)[1].select("model_hash", "event_type", "actor", "payload")
+
+
+CHANGES = """SELECT event_id AS i, 'm' || (user_id - user_id % 10) AS composite, CASE event_id % 3 WHEN 0 THEN 'm' || user_id WHEN 1 THEN 'Customer#' || lpad(CAST(user_id AS {t}), 9, '0') ELSE 'Ghost ' || user_id END AS member, user_id, event_type = 'error' AS removed, CASE WHEN event_id % 5 > 1 THEN 'n' || (event_id % 5) END AS note, 'a' || (event_id % 4) AS actor, ts AS at_time FROM {e}"""
+
+
+@query(f"""WITH {M}, q AS ({CHANGES.format(t="VARCHAR", e="events")}), k AS (SELECT q.*, c.name AS cn, x.name AS mn, x.model_hash AS mh FROM q JOIN m c ON c.model_hash = composite JOIN m x ON x.model_hash = 'm' || user_id WHERE i % 3 < 2)
+  SELECT composite AS model_hash, CASE WHEN removed THEN 'member_removed' ELSE 'member_added' END AS event_type, at_time AS "timestamp", actor, '{{"member_name":"' || mn || '","member_hash":"' || mh || '"' || CASE WHEN note IS NULL THEN '' WHEN removed THEN ',"reason":"' || note || '"' ELSE ',"role":"' || note || '"' END || '}}' AS payload FROM k
+  UNION ALL SELECT composite, 'depends_on', at_time, actor, '{{"upstream":"' || mn || '","upstream_hash":"' || mh || '","relationship":"member_of"}}' FROM k WHERE NOT removed UNION ALL SELECT mh, 'has_dependent', at_time, actor, '{{"downstream":"' || cn || '","downstream_hash":"' || composite || '","relationship":"member_of"}}' FROM k WHERE NOT removed""")
+def member_events(spark, d):
+    """Additions with roles and removals with reasons, by name and by hash; an addition links too."""
+    asked = spark.sql(CHANGES.format(t="STRING", e="{e}"), e=read(spark, d, "events")).withColumnRenamed("at_time", "timestamp")
+    return D.change_members(asked, models(spark, d))[0].select("model_hash", "event_type", "timestamp", "actor", "payload")
+
+
+@query(f"""WITH {M}, x AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'New ' || (c_custkey // 4) END AS name, min(c_custkey) AS k FROM customer GROUP BY 1) SELECT 'registered_model' AS action, name AS model_name, '{{"tier":"t' || (k % 3) || '"}}' AS details, 'a' || (k % 5) AS actor FROM x WHERE name NOT IN (SELECT name FROM m)""")
+def register_audit(spark, d):
+    """The audit events of registering models of which some exist, and some come twice."""
+    key = F.col("c_custkey")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    name = F.when(key % 2 == 0, F.col("c_name")).otherwise(text("New ", F.floor(key / 4)))
+    asked = read(spark, d, "customer").select(name.alias("name"), text("t", key % 3).alias("tier"), text("a", key % 5).alias("actor"), F.timestamp_seconds(key).cast("timestamp_ntz").alias("timestamp"))
+    return D.register_audited(asked, models(spark, d))[1].select("action", "model_name", "details", "actor")
