@@ -69,3 +69,32 @@ def test_redaction(spark):
     from pyspark.sql import functions as F
 
     assert df.select(L.redacted(F.col("text"), F.col("spans"))).first()[0] == "é [SECRET] and [SECRET] end"
+
+
+def test_redacted_merges_spans_over_parts(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice("abé日 ") for _ in range(rng.randrange(1, 3000)))
+        spans = sorted((a := rng.randrange(len(text)), min(len(text), a + rng.randrange(1, 30))) for _ in range(rng.choice([0, 1, 3, 255, 256, 257, 700])))
+        rows.append((k, text, spans))
+    df = spark.createDataFrame(rows, "k int, text string, spans array<struct<start:int,end:int>>")
+    got = {r.k: r.out for r in df.select("k", L.redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for k, text, spans in rows:
+        out, at = "", 0
+        for start, end in spans:
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert got[k] == out + text[at:]
+    took = {}
+    for n in (4_000, 16_000):
+        one = spark.createDataFrame([("x password=abcdefgh é " * n, [(i * 22 + 2, i * 22 + 19) for i in range(n)])], "text string, spans array<struct<start:int,end:int>>")
+        start = time.time()
+        assert one.select(F.length(L.redacted(F.col("text"), F.col("spans")))).first()[0] == n * 13
+        took[n] = time.time() - start
+    assert took[16_000] < 12 * took[4_000] + 2

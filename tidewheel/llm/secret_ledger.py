@@ -7,6 +7,7 @@ versions hold it, and then joins the findings back to all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,17 +115,33 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones merged, replaced by the mark. spans: by start."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span, overlapping ones merged, replaced by the mark. spans: by start. Spans are taken together in parts,
+    each over its own piece of the text, so that a text dense with them is copied and counted through once a part."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("out"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / FOLDED).cast("int")), lambda k: F.slice(spans, k * FOLDED + 1, FOLDED))
+
+    def part(state: Column, some: Column) -> Column:
+        end = F.greatest(state["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+        piece = F.struct(state["at"].alias("base"), F.substring(text, state["at"] + 1, end - state["at"]).alias("text"))
+
+        def within(p: Column) -> Column:
+            def step(now: Column, s: Column) -> Column:
+                gap = F.substring(p["text"], now["at"] - p["base"] + 1, s["start"] - now["at"])
+                out = F.when(s["start"] >= now["at"], F.concat(now["out"], gap, F.lit(mark))).otherwise(now["out"])
+                return F.struct(F.greatest(now["at"], s["end"]).alias("at"), out.alias("out"))
+
+            return F.aggregate(some, F.struct(p["base"].alias("at"), F.lit("").alias("out")), step)
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        return bound(bound(piece, within), lambda done: F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
 
-    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.aggregate(spans, zero, step, rest)
+    rest = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(parts, zero, part, rest)).otherwise(text)
 
 
 def op10_secret_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
