@@ -67,3 +67,34 @@ def test_bounds_prune_days(spark, tmp_path):
     found = log.between(F.lit("1970-01-04 00:00:00").cast("timestamp_ntz"), F.lit("1970-01-05 00:10:00").cast("timestamp_ntz"))
     assert files_read(found) == 2
     assert found.count() == 51
+
+
+def test_a_table_is_stored_once_for_each_state_of_its_files(spark, tmp_path):
+    from tidewheel.sources.store import materialized
+
+    path, made = f"{tmp_path}/in.parquet", []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(path)
+
+    get = lambda: materialized(spark, "some", [path], make, "k", ["k"])
+    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(path)
+    assert sorted(tuple(r) for r in get().collect()) == sorted(tuple(r) for r in get().collect()) == [(1, "a"), (2, "b")]
+    assert len(made) == 1
+    spark.createDataFrame([(3, "c")], "k long, v string").write.mode("overwrite").parquet(path)
+    assert [tuple(r) for r in get().collect()] == [(3, "c")] and len(made) == 2
+
+
+def test_plans_over_the_stored_log(spark):
+    """No shuffle of the log for summaries and latest events; filters reach its files."""
+    from tidewheel.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda name: catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    for name in ("composite_summary", "latest_snapshot", "current_membership"):
+        assert "Exchange hashpartitioning" not in plan(name), name
+    found = plan("composite_summary")
+    assert "PartitionFilters: [event_type" in found and "SelectedBucketsCount" in found
+    assert "EqualTo(model_hash,m7)" in plan("history")
+    assert "Exchange hashpartitioning" not in plan("latest_snapshot")

@@ -32,21 +32,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the sources that go to one bucket, about.
+BUCKET_BYTES = 32 << 20
 #: Tables that materialized() made in this process, by application, label and state of the sources.
 _made: dict[tuple[str, str, str], str] = {}
 
 
 def materialized(spark: SparkSession, label: str, sources: list[str], make: Callable[[], DataFrame], bucket: str, sort: list[str], parts: list[str] | None = None) -> DataFrame:
     """The rows of make(), stored once as long as the files of `sources` stay as they are: bucketed by a column and sorted, so that
-    groupings and joins by it need no shuffle, and in partitions. Buckets are as many as the session's shuffle partitions."""
-    state = hashlib.sha256(repr([listing(spark, x) for x in sources]).encode()).hexdigest()[:16]
+    groupings and joins by it need no shuffle, and in partitions. Buckets are as many as the cluster's cores, or as the sources have
+    pieces of BUCKET_BYTES, but not more than the session's shuffle partitions."""
+    found = [listing(spark, x) for x in sources]
+    state = hashlib.sha256(repr(found).encode()).hexdigest()[:16]
     key = (spark.sparkContext.applicationId, label, state)
     if key not in _made:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        pieces = -(-sum(size for files in found for _, size, _ in files) // BUCKET_BYTES)
+        n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, pieces)))
         name = f"tidewheel_{label}_{uuid.uuid4().hex}"
         out = make().repartition(n, bucket).write.bucketBy(n, bucket).sortBy(*sort).option("path", f"{shared_dir(spark)}/tidewheel/{name}")
         (out.partitionBy(*parts) if parts else out).saveAsTable(name)
-        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
         _made[key] = name
     return spark.table(_made[key])
 
