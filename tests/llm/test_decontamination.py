@@ -76,3 +76,26 @@ def test_fingerprints_of_windows_of_millions_of_shingles(spark):
     """More of them than 21 bits can count, all bits set; and as many with none."""
     rows = spark.range(2_200_000).selectExpr("id % 2 AS k", "CASE WHEN id % 2 = 0 THEN -1L ELSE 0L END AS h").unionAll(spark.range(2_200_000).selectExpr("0L AS k", "-1L AS h"))
     assert sorted((r.k, r.fp) for r in D.simhash(rows, ["k"]).collect()) == [(0, -1), (1, 0)]
+
+
+def test_windows_of_a_template_follow_the_texts_and_not_the_items(spark, monkeypatch):
+    """Items and texts that all hold one template, none of them contaminated."""
+    template = " ".join(f"t{i}" for i in range(14))
+    asked, near = [], D.windows_near
+    monkeypatch.setattr(D, "windows_near", lambda *a: asked.append(near(*a)) or asked[-1])
+    for n in (10, 20, 40):
+        items = [(k, f"{template} " + " ".join(f"i{k}x{j}" for j in range(16))) for k in range(n)]
+        docs = [(k, " ".join(f"d{k}a{j}" for j in range(20)) + f" {template} " + " ".join(f"d{k}b{j}" for j in range(20))) for k in range(n)]
+        assert D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+    counts = [df.count() for df in asked]
+    assert counts[1] == 2 * counts[0] and counts[2] == 4 * counts[0]
+
+
+def test_a_passage_in_most_texts(spark, monkeypatch):
+    """Its fingerprint is that of most windows: each of them still gets its item."""
+    monkeypatch.setattr("tidewheel.llm.common.HOT_LEAST", 2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(k, f"a{k} b{k} {passage} c{k}" if k % 5 else f"e{k}") for k in range(200)]
+    df, of = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, passage), (2, passage + " q"), (3, "r " * 30)], "item_id long, text string")
+    want = slow(df.collect(), of.collect())
+    assert len(want) == 320 and got(D.contaminated(df, of).collect()) == want

@@ -5,11 +5,12 @@ to it: the weighted Jaccard similarity of their word shingles, weighed by how of
 
 1. Windows that share no shingle with any item have similarity 0. A similar window shares so many that one lies at a
    sampled place (every stride-th word of the document, the stride following from the items' sizes), so only windows
-   around sampled shingles that an item has are fingerprinted: none that matters is lost.
-2. Each such window gets the SimHash of its weighted shingles. Fingerprints meet in a multi-index of eight parts of
-   eight bits: two that differ in at most 8 * PROBE + 7 bits differ in at most PROBE bits of one part, so entering each
-   item under all values of a part within PROBE bits finds all of them. A window looks up only items that it shares a
-   sampled shingle with, so the work follows the shared shingles and not the number of items.
+   around sampled shingles that an item has are fingerprinted: none that matters is lost. This is a filter of places: it
+   says of how many words windows are to be, and not which items they may hold.
+2. Each such window gets the SimHash of its weighted shingles. Different fingerprints of one size, each once however many
+   texts have it, look up the items of that size in a multi-index of eight parts of eight bits: two that differ in at
+   most 8 * PROBE + 7 bits differ in at most PROBE bits of one part, so entering each item under all values of a part
+   within PROBE bits finds all of them. The candidates are what this index gives.
 3. Pairs within that radius are verified by their exact similarity.
 """
 
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, table, written
+from .common import columns, lookup, table, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a part that may differ; the radius is 23 of 64 bits. At similarity 0.8 fingerprints differ in 9.7 bits on
@@ -72,6 +73,26 @@ def stride_for(sizes: list[int], similarity: float) -> int:
     return 1
 
 
+def windows_near(docs: DataFrame, in_items: DataFrame, sizes: dict[int, list[int]], similarity: float, small: bool) -> DataFrame:
+    """place, n, k, length, start: the windows of docs(place, text) of as many words as some item, n, around sampled shingles
+    that an item of n words has; each once, however many items share it. in_items: n, k, h; sizes: by k, how many shingles
+    items have; small: in_items may be broadcast."""
+    known = in_items.select("h", "k", "n").distinct()
+    if small:
+        known = F.broadcast(known)
+    anchors = docs.select("place", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(0).alias("n")).limit(0)
+    for k, of in sorted(sizes.items()):
+        words = docs.select("place", words_of(F.col("text")).alias("words"))
+        at = words.select("place", F.size("words").alias("n_words"), F.explode(shingles(F.col("words"), F.lit(0), F.size("words") - k, F.lit(k), stride_for(of, similarity))).alias("s"))
+        found = at.select("place", "n_words", F.col("s.at").alias("at"), F.col("s.h").alias("h")).join(known.where(F.col("k") == k), "h")
+        anchors = anchors.unionByName(found.drop("h"))
+    least, most = F.greatest(F.col("at") - F.col("n") + F.col("k"), F.lit(0)), F.least(F.col("at"), F.col("n_words") - F.col("n"))
+    starts = F.when(F.col("n_words") <= F.col("n"), F.array(F.lit(0))).otherwise(F.sequence(least, F.greatest(most, least)))
+    # A passage's anchors ask for many windows in common.
+    anchors = written(anchors.distinct(), "anchors")
+    return anchors.select("place", "n", "k", F.least("n", "n_words").alias("length"), F.explode(starts).alias("start")).distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, keep_place: bool = False) -> DataFrame:
     """doc_id, item_id, similarity, start_word and n_words of the most similar window (the first of several), for each
     pair of a row of docs and an item that contaminates it.
@@ -87,30 +108,13 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     items = written(items, "items")
     in_items = items.select("item", "n", "k", "words", F.explode(shingles(F.col("words"), F.lit(0), F.col("n") - F.col("k"), F.col("k"))).alias("s")).select("item", "n", "k", F.col("s.h").alias("h"))
     in_items = written(in_items, "item-shingles")
-    known = in_items.select("h", "k", "n", "item").distinct()
     small = in_items.count() <= BROADCAST_ROWS
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
     docs = columns(docs, doc_id=doc_id, text=F.coalesce(F.col(text), F.lit(""))).withColumn("place", place_of("doc_id", "text"))
-    anchors = None
     sizes: dict[int, list[int]] = {}
     for r in items.select("n", "k").distinct().collect():  # the sizes of items
         sizes.setdefault(r.k, []).append(r.n - r.k + 1)
-    for k, of in sorted(sizes.items()):
-        words = docs.select("place", words_of(F.col("text")).alias("words"))
-        at = words.select("place", F.size("words").alias("n_words"), F.explode(shingles(F.col("words"), F.lit(0), F.size("words") - k, F.lit(k), stride_for(of, similarity))).alias("s"))
-        found = at.select("place", "n_words", F.col("s.at").alias("at"), F.col("s.h").alias("h")).join(near(known.where(F.col("k") == k)), "h")
-        anchors = found if anchors is None else anchors.unionByName(found)
-    if anchors is None:
-        anchors = docs.select("place", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.col("place").alias("item")).limit(0)
-    least, most = F.greatest(F.col("at") - F.col("n") + F.col("k"), F.lit(0)), F.least(F.col("at"), F.col("n_words") - F.col("n"))
-    starts = F.when(F.col("n_words") <= F.col("n"), F.array(F.lit(0))).otherwise(F.sequence(least, F.greatest(most, least)))
-    anchors = written(anchors.drop("h").distinct(), "anchors")
-    # A passage's anchors ask for many windows in common: one row a window and item.
-    asked = anchors.select("place", "item", "n", "k", F.least("n", "n_words").alias("length"), F.explode(starts).alias("start")).distinct()
-    asked = written(asked, "asked")
-    n = asked.count()
-    windows = asked.drop("item").distinct()
+    windows = written(windows_near(docs, in_items, sizes, similarity, small), "windows")
+    n = windows.count()
 
     one = docs.join(windows.select("place").hint("merge"), "place", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("row = 1")
     one = one.select("place", words_of(F.col("text")).alias("words"))
@@ -120,7 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     own = F.slice(F.coalesce(*[F.when(F.col("k") == k, F.col(f"h{k}")) for k in sizes] or [F.col("h0")]), F.col("start") + 1, F.col("length") - F.col("k") + 1)
     hashed = written(windows.join(one.hint("merge"), "place").select("place", "n", "length", "start", own.alias("hashes")), "window-shingles")
     prints = simhash(hashed.select("place", "n", "start", F.explode("hashes").alias("h")), ["place", "n", "start"])
-    prints = written(prints.join(asked.select("place", "n", "start", "item"), ["place", "n", "start"]), "window-fingerprints", n)
+    prints = written(prints.select("place", "n", "start", F.concat_ws(":", "n", "fp").alias("print"), "fp", F.xxhash64("place").alias("spread")), "window-fingerprints", n)
     targets = written(simhash(in_items, ["item", "n"]), "item-fingerprints")
 
     probes = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.value"))) <= PROBE)
@@ -130,8 +134,13 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     first = F.lit(True)  # a pair that meets in several parts counts in the first
     for j in range(PARTS):
         first = first & ((F.col("no") <= j) | (F.bit_count(part(differ, j)) > PROBE))
-    met = parts(prints).select("place", "n", "start", "item", "fp", F.col("b.no").alias("no"), F.col("b.value").alias("value")).join(index, ["item", "n", "no", "value"])
-    pairs = written(met.where(first & (F.bit_count(differ) <= RADIUS)).select("place", "n", "start", "item"), "pairs", n)
+    different = prints.groupBy("print", "n", "fp").agg(F.count("*").alias("rows"))
+    met = parts(different).select("print", "n", "fp", "rows", F.col("b.no").alias("no"), F.col("b.value").alias("value")).join(index, ["n", "no", "value"])
+    met = met.where(first & (F.bit_count(differ) <= RADIUS)).groupBy("print").agg(F.max("rows").alias("rows"), F.collect_list("item").alias("items"))
+    met = written(met, "matches", n)
+    # A passage's fingerprint may be that of a third of all windows.
+    pairs = lookup(prints.drop("fp"), met, "print", "rows", n, "inner").select("place", "n", "start", F.explode("items").alias("item"))
+    pairs = written(pairs, "pairs", n)
 
     mine = pairs.join(hashed, ["place", "n", "start"]).select("place", "n", "length", "start", "item", F.size("hashes").alias("own"), F.explode("hashes").alias("h"))
     mine = mine.groupBy("place", "n", "length", "start", "item", "own", "h").agg(F.count("*").alias("c"))
