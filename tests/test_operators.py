@@ -88,7 +88,20 @@ def test_trace_puts_sources_first(spark):
     trace = lambda links, root: [(r.node, r.level) for r in graph.trace_order(spark.createDataFrame(links, "src string, dst string"), root).orderBy("position").collect()]
     assert trace([("A", "root"), ("B", "A"), ("B", "root"), ("root", "later")], "root") == [("B", 0), ("A", 1), ("root", 2)]
     cycle = trace([("a", "b"), ("b", "c"), ("c", "b"), ("c", "root"), ("z", "root")], "root")
-    assert sorted(x for x, _ in cycle) == ["a", "b", "c", "root", "z"] and [x for x, _ in cycle][:2] == ["a", "z"] and cycle[-1][0] == "root"
+    assert cycle == [("a", 0), ("z", 0), ("b", 1), ("c", 1), ("root", 2)]
+    assert trace([("a", "b"), ("b", "a"), ("b", "root"), ("root", "a"), ("z", "a"), ("root", "root")], "root") == [("z", 0), ("a", 1), ("b", 1), ("root", 1)]
+
+
+def test_components_of_cycles(spark):
+    rng = random.Random(3)
+    links = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(75)} | {("x", "x"), ("y0", "y1")} | {(f"y{i}", f"y{(i + 1) % 9}") for i in range(1, 9)}
+    reach = {a: {b for x, b in links if x == a} for a, _ in links}
+    for _ in range(70):
+        reach = {a: to.union(*(reach.get(b, set()) for b in to)) for a, to in reach.items()}
+    want = {a: min(b for b in to if a in reach.get(b, ())) for a, to in reach.items() if len({b for b in to if a in reach.get(b, ())} | {a}) > 1}
+    df = spark.createDataFrame(sorted(links) * 2 + [(None, "n1"), ("n2", None)], "src string, dst string")
+    assert {r.node: r.component for r in graph.strong_components(df).collect()} == want and len(set(want.values())) > 1
+    assert graph.strong_components(df.limit(0)).collect() == []
 
 
 def test_ports(spark):

@@ -103,12 +103,46 @@ def dependencies(s: DataFrame, m: DataFrame, known: DataFrame, more: tuple[str,
     return found.join(m.select(F.col("model_hash").alias("other_hash"), F.col("name").alias("other_name")), "other_hash").select("model_hash", "direction", "relationship", "other_hash", "other_name", *more)
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component for the nodes of edges(src, dst) that lie on cycles: nodes that reach each other have one component, named
+    after the least of them. Links from a node to itself, and without an end, don't count.
+
+    Each turn gives every node the greatest mark among those that reach it. Nodes that reach a mark's own node backwards, by
+    links between nodes of that mark, are its component; it drops out, and so do links between different marks. Marks are
+    hashes that differ from turn to turn, so turns are few also along long paths.
+    """
+    at = lambda end, c="node": F.col(c).alias(end)
+    rest, found, turn = stored(edges.where("src <> dst").select("src", "dst").distinct(), "cycles"), None, 0
+    while True:
+        # Nodes that no link enters, or none leaves, lie on no cycle.
+        rest = stored(rest.join(rest.select(at("src", "dst")).distinct(), "src", "left_semi").join(rest.select(at("dst", "src")).distinct(), "dst", "left_semi").select("src", "dst"), "cycles")
+        mark = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), at("root")).alias("c")
+        marks = new = stored(rest.select(at("node", "src")).union(rest.select("dst")).distinct().select("node", mark), "marks")
+        while not new.isEmpty():
+            offers = new.join(rest, F.col("node") == F.col("src")).groupBy("dst").agg(F.max("c").alias("offer"))
+            new = stored(marks.join(offers.withColumnRenamed("dst", "node"), "node").where("offer > c").select("node", "offer"), "marks")
+            marks = stored(marks.join(new, "node", "left").select("node", F.coalesce("offer", "c").alias("c")), "marks")
+            new = new.withColumnRenamed("offer", "c")
+        of = lambda end: marks.select(at(end), F.col("c.root").alias(f"{end}_mark"))
+        same = stored(rest.join(of("src"), "src").join(of("dst"), "dst").where("src_mark = dst_mark").select("src", "dst"), "cycles")
+        roots = marks.where("c.root = node").select(at("root"))
+        back = closure(same.select(at("src", "dst"), at("dst", "src")), roots, at_hand=True).select("root", "node")
+        group = stored(back.unionByName(back.select("root", at("node", "root")).distinct()), "components")
+        named = group.join(group.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+        found = named if found is None else found.unionByName(named)
+        done = stored(group.select("node").union(roots).distinct(), "done")
+        rest = stored(same.join(done.select(at("src")), "src", "left_anti").join(done.select(at("dst")), "dst", "left_anti").select("src", "dst"), "cycles")
+        turn += 1
+        if rest.isEmpty():
+            return found
+
+
 def trace_order(edges: DataFrame, root: str) -> DataFrame:
     """node, position, level, hops: what `root` depends on, each after all that it depends on itself, root last.
 
-    level is the length of the longest path that leads to a node; within a level nodes are in order of name. Nodes that lie
-    on, or behind, a cycle can't all come after their sources: when no other node is left, those farthest from the root
-    (by fewest hops) are taken next.
+    Nodes on common cycles are one unit (strong_components); level is the most units on a path that leads to a node's own,
+    and within a level nodes are in order of name. Nodes of a unit stand together, those farthest from the root (by fewest
+    hops) first, in the place of the least name of them.
     """
     spark = edges.sparkSession
     edges = stored(edges.select("src", "dst").distinct(), "edges")
@@ -118,23 +152,27 @@ def trace_order(edges: DataFrame, root: str) -> DataFrame:
     inside = edges.where("src <> dst").join(hops.select(F.col("node").alias("src")), "src", "left_semi").join(hops.select(F.col("node").alias("dst")), "dst", "left_semi")
     links = stored(inside.select("src", "dst"), "links")
     folder = f"{shared_dir(spark)}/tidewheel/levels-{uuid.uuid4().hex}"
-    place = lambda df, level: df.select("node", "hops").write.parquet(f"{folder}/level={level}")
-    targets = lambda of: hops.join(of.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+    place = lambda df, level: df.select("node").write.parquet(f"{folder}/level={level}")
+    targets = lambda of: of.select(F.col("dst").alias("node")).distinct()
+    units = None
     waits = stored(targets(links), "waits")
     place(hops.join(waits, "node", "left_anti"), 0)
     level, n = 0, waits.count()
     while n:
         # A link counts as long as its source waits, so each round reads just what the one before has left.
-        level += 1
         rest = stored(links.join(waits.select(F.col("node").alias("src")), "src", "left_semi"), "links")
-        still = stored(waits.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_semi"), "waits")
-        if (m := still.count()) == n:
-            most = still.agg(F.max("hops")).scalar()
-            taken = still.where(F.col("hops") == most)
-            rest = stored(rest.join(taken.select(F.col("node").alias("dst")), "dst", "left_anti"), "links")
-            still = stored(still.join(taken.select("node"), "node", "left_anti"), "waits")
+        still = stored(waits.join(targets(rest), "node", "left_semi"), "waits")
+        if (m := still.count()) == n:  # all that is left lies on or behind cycles: go on with units, which have none
+            units = stored(strong_components(rest), "units")
+            unit = lambda df, end: df.join(units.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+            links = stored(unit(unit(rest, "src"), "dst").where("src <> dst").distinct(), "links")
+            waits = stored(unit(waits, "node").distinct(), "waits")
+            rest, still = links, stored(waits.join(targets(links), "node", "left_semi"), "waits")
             m = still.count()
+        level += 1
         place(waits.join(still, "node", "left_anti"), level)
         links, waits, n = rest, still, m
-    out = spark.read.schema("node string, hops int, level int").parquet(folder)
-    return numbered(out, "position", "level", "node").select("node", "position", "level", "hops")
+    placed = spark.read.schema("node string, level int").parquet(folder).withColumnRenamed("node", "unit")
+    own = hops.withColumn("unit", F.col("node")) if units is None else hops.join(units, "node", "left").withColumn("unit", F.coalesce("component", "node"))
+    out = own.select("node", "hops", "unit", (-F.col("hops")).alias("near")).join(placed, "unit")
+    return numbered(out, "position", "level", "unit", "near", "node").select("node", "position", "level", "hops")

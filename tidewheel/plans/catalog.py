@@ -371,6 +371,35 @@ def trace_order(spark, d):
     return G.trace_order(diamonds(spark, d), "p17")
 
 
+#: The same graph with a link back to the third part before, from two of each ten, so that parts lie on cycles.
+LOOPS = f"""{DIAMONDS}, c AS (SELECT * FROM d UNION ALL SELECT DISTINCT 'p' || p_partkey, 'p' || (p_partkey - 3) FROM part WHERE p_partkey % 10 IN (4, 9)),
+  reach AS (SELECT DISTINCT src AS a, dst AS b FROM c WHERE src IN (SELECT dst FROM c) UNION SELECT a, dst FROM reach JOIN c ON src = b),
+  cyc AS (SELECT x.a AS node, min(x.b) AS component, count(DISTINCT x.b) AS members FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1)"""
+
+
+def loops(spark, d) -> DataFrame:
+    key = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    back = read(spark, d, "part").where((key % 10).isin(4, 9)).select(name(key).alias("src"), name(key - 3).alias("dst")).distinct()
+    return diamonds(spark, d).unionByName(back)
+
+
+@query(f"WITH RECURSIVE {E}, {LOOPS} SELECT * FROM cyc")
+def cycle_components(spark, d):
+    found = G.strong_components(loops(spark, d))
+    return found.join(found.groupBy("component").agg(F.count("*").alias("members")), "component").select("node", "component", "members")
+
+
+@query(f"""WITH RECURSIVE {E}, {LOOPS}, up AS (SELECT 'p17' AS node, 0 AS hops UNION SELECT src, hops + 1 FROM up JOIN c ON dst = node WHERE hops < 30),
+  u AS (SELECT node, coalesce(any_value(component), node) AS unit, min(hops) AS hops FROM up LEFT JOIN cyc USING (node) GROUP BY node),
+  l AS (SELECT DISTINCT a.unit AS src, b.unit AS dst FROM c JOIN u a ON c.src = a.node JOIN u b ON c.dst = b.node WHERE a.unit <> b.unit),
+  down AS (SELECT DISTINCT unit, 0 AS level FROM u WHERE unit NOT IN (SELECT dst FROM l) UNION SELECT dst, level + 1 FROM down JOIN l ON src = unit)
+  SELECT node, CAST(level AS INTEGER) AS level, CAST(hops AS INTEGER) AS hops, row_number() OVER (ORDER BY level, unit, hops DESC, node) AS position
+  FROM u JOIN (SELECT unit, max(level) AS level FROM down GROUP BY 1) USING (unit)""")
+def trace_order_on_cycles(spark, d):
+    return G.trace_order(loops(spark, d), "p17")
+
+
 @query(f"""WITH {M}, {G_}, {membership_sql()} SELECT group_hash, s.model_hash AS member_hash, 'member_changed' AS event_type, event_type AS cause, snapshot_hash AS cause_hash, "timestamp"
   FROM s JOIN member ON member_hash = s.model_hash WHERE event_type NOT IN {INTERNAL_EVENTS}""")
 def member_changed_fanout(spark, d):
