@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import discover as D
 from tidewheel.operators import graph as G
+from tidewheel.operators import ingest as I
 from tidewheel.operators import membership as B
 from tidewheel.operators import timeline as L
 from tidewheel.sources import nodes as N
@@ -151,3 +152,25 @@ def test_members_with_roles(spark):
         ("h1", "member_removed", 2, '{"member_name":"a","member_hash":"h2"}'), ("h2", "has_dependent", 1, '{"downstream":"g","downstream_hash":"h1","relationship":"member_of"}'),
     ]
     assert sorted((r.composite, r.member) for r in errors.collect()) == [("g", "z"), ("y", "a")]
+
+
+def test_models_of_an_import_need_no_log(spark):
+    def log():
+        raise AssertionError("the log was read")
+
+    found = D.ingest(nodes(spark, "2026-04-01 00:00:00"), spark.createDataFrame([], MODEL), log)
+    assert found.models.count() == found.summaries.count() == 4
+    with pytest.raises(AssertionError, match="the log was read"):
+        _ = found.counts
+
+
+def test_events_at_hand_have_the_hash_of_their_payload(spark):
+    odd = ['a"b', "c\\d", "e/f", "é \U0001f600", "\t\n\x01\x7f", "1.0", "{}"]
+    m = spark.createDataFrame([(f"h{k}", n) for k, n in enumerate(odd)], "model_hash string, name string")
+    pairs = spark.createDataFrame([(x, y, x + y) for x in odd for y in odd], "upstream string, downstream string, via string")
+    rows = B.link_rows(pairs, m, "data_flow", "via")
+    assert rows.count() == 2 * len(odd) ** 2
+    assert rows.where(I.canonical_json(F.col("payload")) != F.col("canonical")).collect() == []
+    raised = m.select(F.lit("g").alias("group_hash"), F.col("model_hash").alias("member_hash"), F.col("name").alias("member_name"), F.col("name").alias("cause"), F.lit("s").alias("cause_hash"), F.lit("2026-04-01").cast("timestamp_ntz").alias("timestamp"), F.lit("x").alias("actor"))
+    changed = B.change_rows(raised)
+    assert changed.where(I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")) == F.col("snapshot_hash")).count() == len(odd)

@@ -6,6 +6,8 @@ failed anywhere is run again from the stage: what was written is left out, what
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,16 +24,6 @@ EVENT = ("snapshot_hash", "model_hash", "timestamp", "event_type", "actor", "sou
 OF_MODEL = ("owner", "node_type", "tier", "purpose", "model_origin", "source_updated_at")
 
 
-class Staged(NamedTuple):
-    """models: the rows of all models that the batch touches; events: rows for the log; counts: models_added, models_skipped,
-    links_created, links_skipped (one row); summaries: name, owner, model_type, platform, status, a row a model of the batch."""
-
-    models: DataFrame
-    events: DataFrame
-    counts: DataFrame
-    summaries: DataFrame
-
-
 def json_object(entries: Column) -> Column:
     """A JSON object of a map from keys to JSON texts, in order of keys."""
     quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
@@ -51,21 +43,24 @@ def node_payload(platform: Column, inputs: Column, outputs: Column, metadata: Co
 
 
 def log_rows(of: DataFrame) -> DataFrame:
-    """Rows of the log with their identity. of: model_hash, timestamp, event_type, payload, and actor and source if it has them."""
+    """Rows of the log with their identity. of: model_hash, timestamp, event_type, payload, and actor, source and canonical (the
+    payload as canonical JSON) if it has them."""
     missing = {c: F.lit(None).cast("string") for c in ("actor", "source") if c not in of.columns}
-    return of.withColumns({**missing, "snapshot_hash": I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"))}).select(*EVENT)
+    canonical = F.col("canonical") if "canonical" in of.columns else None
+    return of.withColumns({**missing, "snapshot_hash": I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"), canonical)}).select(*EVENT)
 
 
 def registered(new: DataFrame) -> DataFrame:
     """The registered events of new models."""
-    payload = F.to_json(F.struct("name", "owner", "tier", "purpose", "model_origin"))
-    return log_rows(new.select("model_hash", F.col("created_at").alias("timestamp"), F.lit("registered").alias("event_type"), payload.alias("payload"), "actor"))
+    keys = ("name", "owner", "tier", "purpose", "model_origin")
+    canonical = I.text_json(**{k: F.col(k) for k in keys})
+    return log_rows(new.select("model_hash", F.col("created_at").alias("timestamp"), F.lit("registered").alias("event_type"), F.to_json(F.struct(*keys)).alias("payload"), "actor", canonical.alias("canonical")))
 
 
 MODEL = ("model_hash", "name", "owner", "model_type", "tier", "purpose", "model_origin", "status", "created_at", "last_seen")
 
 
-def ingest(nodes: DataFrame, m: DataFrame, s: DataFrame, connect: bool = True) -> Staged:
+def ingest(nodes: DataFrame, m: DataFrame, s: DataFrame | Callable[[], DataFrame], connect: bool = True) -> Staged:
     """What a scan's nodes change, as one staged batch.
 
     nodes: name, platform, inputs, outputs (arrays of identifier and schema), metadata (map), seen_at; several of one name follow
@@ -73,6 +68,7 @@ def ingest(nodes: DataFrame, m: DataFrame, s: DataFrame, connect: bool = True) -
     first node's metadata; a valid status is taken, the last one stated; last_seen is that of the last node. A node whose
     content is what its model's latest discovered event has adds no event. If any was added, all nodes of the log are
     connected, and links that it lacks get their two events. Own events reach the groups that the models are in.
+    s may be a function that gives the log: it is read when events or counts are.
     """
     meta = lambda *keys, default: F.coalesce(*[F.nullif(F.element_at("metadata", k), F.lit("")) for k in keys], F.lit(default))
     rows = nodes.select(
@@ -97,30 +93,63 @@ def ingest(nodes: DataFrame, m: DataFrame, s: DataFrame, connect: bool = True) -
     )
     models = stored(models, "models")
 
-    found = rows.join(models.select("name", "model_hash"), "name").withColumn("snapshot_hash", I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")))
-    before = s.where("event_type = 'discovered'").join(models.where("NOT is_new").select("model_hash"), "model_hash", "left_semi")
-    judged = stored(I.add(before, found), "judged")
-    extra = {"_content_hash": F.col("content_hash"), "change_detected": I.iso(F.col("timestamp")), "change_occurred": F.col("occurred")}
-    entries = F.from_json("payload", "map<string,string>")
-    full = F.concat(F.substring("payload", F.lit(1), F.length("payload") - 1), *[F.coalesce(F.concat(F.lit(f',"{k}":'), F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)), F.lit("")) for k, v in extra.items()], F.lit("}"))
-    full = F.when(F.size(entries) > 0, full)
-    discovered = log_rows(judged.where("is_new").select("model_hash", "timestamp", F.lit("discovered").alias("event_type"), full.alias("payload"), "actor", F.col("platform").alias("source")))
-    new = registered(models.where("is_new")).unionByName(discovered)
-
-    names = m.select("model_hash", "name").unionByName(models.where("is_new").select("model_hash", "name"))
-    if connect and not judged.where("is_new").isEmpty():
-        here = s.select(*EVENT).unionByName(discovered)
-        links = G.dependencies(s, names, B.names(names)).where("direction = 'upstream'").join(names, "model_hash")
-        pairs, linked = G.connect(logged_nodes(here, names), links.select(F.col("other_name").alias("src"), F.col("name").alias("dst")))
-        at = rows.agg(F.max("timestamp").alias("timestamp"))
-        new = new.unionByName(log_rows(B.link_events(pairs, names, "data_flow", "identifier").crossJoin(F.broadcast(at)).withColumn("actor", F.lit("graph_builder"))))
-    else:
-        linked = s.sparkSession.range(1).select(F.lit(0).cast("long").alias("links_created"), F.lit(0).cast("long").alias("links_skipped"))
-    new = stored(new, "events")
-    changed = B.change_events(new, B.membership(s, m), names)
-    events = new.unionByName(changed.withColumn("source", F.lit(None).cast("string")).select(*EVENT))
-    counts = judged.agg(F.count_if("is_new").alias("models_added"), F.count_if(~F.col("is_new")).alias("models_skipped")).crossJoin(F.broadcast(linked))
-    return Staged(models.select(*MODEL), events, counts, models.select("name", "owner", "model_type", "platform", "status"))
+    return Staged(rows, models, m, s, connect)
+
+
+class Staged:
+    """models: the rows of all models that the batch touches; summaries: name, owner, model_type, platform, status, a row a model of
+    the batch; events: rows for the log; counts: models_added, models_skipped, links_created, links_skipped (one row). Nodes and
+    models are stored at once, what follows from the log when it is first asked for: who wants models only reads no log."""
+
+    def __init__(self, rows: DataFrame, touched: DataFrame, m: DataFrame, s: DataFrame | Callable[[], DataFrame], connect: bool):
+        self.rows, self.touched, self.m, self.s, self.connect = rows, touched, m, s, connect
+        self.models = touched.select(*MODEL)
+        self.summaries = touched.select("name", "owner", "model_type", "platform", "status")
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return self.s() if callable(self.s) else self.s
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return self.m.select("model_hash", "name").unionByName(self.touched.where("is_new").select("model_hash", "name"))
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        found = self.rows.join(self.touched.select("name", "model_hash"), "name").withColumn("snapshot_hash", I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")))
+        before = self.log.where("event_type = 'discovered'").join(self.touched.where("NOT is_new").select("model_hash"), "model_hash", "left_semi")
+        return stored(I.add(before, found), "judged")
+
+    @cached_property
+    def discovered(self) -> DataFrame:
+        extra = {"_content_hash": F.col("content_hash"), "change_detected": I.iso(F.col("timestamp")), "change_occurred": F.col("occurred")}
+        entries = F.from_json("payload", "map<string,string>")
+        full = F.concat(F.substring("payload", F.lit(1), F.length("payload") - 1), *[F.coalesce(F.concat(F.lit(f',"{k}":'), F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)), F.lit("")) for k, v in extra.items()], F.lit("}"))
+        full = F.when(F.size(entries) > 0, full)
+        return stored(log_rows(self.judged.where("is_new").select("model_hash", "timestamp", F.lit("discovered").alias("event_type"), full.alias("payload"), "actor", F.col("platform").alias("source"))), "discovered")
+
+    @cached_property
+    def links(self) -> tuple[DataFrame, DataFrame] | None:
+        """What connecting gives, if any content was added."""
+        if not self.connect or self.discovered.isEmpty():
+            return None
+        links = G.dependencies(self.log, self.names, B.names(self.names)).where("direction = 'upstream'").join(self.names, "model_hash")
+        return G.connect(logged_nodes(self.log.select(*EVENT).unionByName(self.discovered), self.names), links.select(F.col("other_name").alias("src"), F.col("name").alias("dst")))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        new = registered(self.touched.where("is_new")).unionByName(self.discovered)
+        if self.links:
+            at = self.rows.agg(F.max("timestamp").alias("timestamp"))
+            new = new.unionByName(log_rows(B.link_rows(self.links[0], self.names, "data_flow", "identifier").crossJoin(F.broadcast(at)).withColumn("actor", F.lit("graph_builder"))))
+        # Of a batch's own events only discovered ones reach groups: registrations and links are internal.
+        changed = B.change_events(self.discovered, B.membership(self.log, self.m), self.names)
+        return new.unionByName(changed.withColumn("source", F.lit(None).cast("string")).select(*EVENT))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        linked = self.links[1] if self.links else self.m.sparkSession.range(1).select(F.lit(0).cast("long").alias("links_created"), F.lit(0).cast("long").alias("links_skipped"))
+        return self.judged.agg(F.count_if("is_new").alias("models_added"), F.count_if(~F.col("is_new")).alias("models_skipped")).crossJoin(F.broadcast(linked))
 
 
 class Recorded(NamedTuple):

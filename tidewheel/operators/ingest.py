@@ -20,12 +20,12 @@ def canonical_json(payload: Column, without: tuple[str, ...] = ()) -> Column:
     counts. Numbers of equal value are written alike (1.0 and 1e0 as 1), but for whole ones from 10^7 on that have an
     exponent. Text that isn't an object is given in canonical form, or as it is if it isn't JSON."""
     SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # else such text can't be parsed
-    parsed = F.try_parse_json(payload)
-    found = F.try_variant_get(parsed, "$", "map<string,variant>")
-    keys = F.filter(F.array_sort(F.array_distinct(F.map_keys(found))), lambda k: ~k.isin(*without) if without else F.lit(True))
-    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
-    pairs = F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), F.to_json(F.element_at(found, k))))
-    text = F.coalesce(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), F.to_json(parsed))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  what a lambda names is computed once, not once for each use
+    quoted = lambda k: F.btrim(F.to_json(F.array(k)), F.lit("[]"))
+    keys = lambda found: F.filter(F.array_sort(F.map_keys(found)), lambda k: ~k.isin(*without) if without else F.lit(True))
+    pairs = lambda found: F.transform(keys(found), lambda k: F.concat(quoted(k), F.lit(":"), F.to_json(F.element_at(found, k))))
+    object_ = lambda v: once(F.try_variant_get(v, "$", "map<string,variant>"), lambda found: F.concat(F.lit("{"), F.array_join(pairs(found), ","), F.lit("}")))
+    text = once(F.try_parse_json(payload), lambda v: F.coalesce(object_(v), F.to_json(v)))
     whole = F.regexp_replace(text, r'(?s)("(?:[^"\\]|\\.)*+")|(-?\d++)\.0(?![\d.eE])', "$1$2")  # strings stay as they are
     return F.coalesce(whole, payload)
 
@@ -46,9 +46,14 @@ def model_hash(name: Column, owner: Column, created_at: Column) -> Column:
     return F.substr(F.sha2(F.concat_ws(":", name, owner, iso(created_at)), 256), F.lit(1), F.lit(32))
 
 
-def snapshot_hash(model: Column, timestamp: Column, payload: Column) -> Column:
-    """The identity of an event: likewise, over its model, time and payload as canonical JSON."""
-    return F.substr(F.sha2(F.concat_ws(":", model, iso(timestamp), canonical_json(payload)), 256), F.lit(1), F.lit(32))
+def snapshot_hash(model: Column, timestamp: Column, payload: Column, canonical: Column | None = None) -> Column:
+    """The identity of an event: likewise, over its model, time and payload as canonical JSON, which may be at hand."""
+    return F.substr(F.sha2(F.concat_ws(":", model, iso(timestamp), canonical_json(payload) if canonical is None else canonical), 256), F.lit(1), F.lit(32))
+
+
+def text_json(**values: Column) -> Column:
+    """Canonical JSON of texts by key; null ones are left out, as to_json leaves them out."""
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]))
 
 
 def add(log: DataFrame, batch: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import INTERNAL_EVENTS
-from .ingest import snapshot_hash
+from .ingest import snapshot_hash, text_json
 
 MEMBERS = ("depends_on", "member_added", "member_removed")
 OBSERVATIONS = ("observation_issued", "observation_resolved")
@@ -104,11 +104,22 @@ def link_events(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on"
     """Both events of each link in pairs(upstream, downstream), names or hashes: has_dependent on the upstream model and
     depends_on on the downstream one, with the other's name and hash. A link to an unknown model gives none. A group's
     members are its upstreams, by the relationship member_of. via: a column of pairs that both payloads keep."""
+    return link_rows(pairs, m, relationship, via).drop("canonical")
+
+
+def link_rows(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on", via: str | None = None) -> DataFrame:
+    """link_events, and their payloads as canonical JSON."""
     known = names(m).join(m.select(F.col("model_hash").alias("found"), "name"), "found")
     end = lambda side: known.select(F.col("key").alias(side), F.struct(F.col("found").alias("hash"), "name").alias(side[0]))
     both = pairs.select("upstream", "downstream", *([F.col(via).alias("via")] if via else [])).join(end("upstream"), "upstream").join(end("downstream"), "downstream")
     kind = [F.lit(relationship).alias("relationship"), *([F.col("via")] if via else [])]
-    event = lambda own, name, **other: F.struct(F.col(f"{own}.hash").alias("model_hash"), F.lit(name).alias("event_type"), F.to_json(F.struct(*[F.col(v).alias(k) for k, v in other.items()], *kind)).alias("payload"))
+    same = {"relationship": F.lit(relationship)} | ({"via": F.col("via")} if via else {})
+
+    def event(own: str, name: str, **other: str) -> Column:
+        others = {k: F.col(v) for k, v in other.items()}
+        payload = F.to_json(F.struct(*[v.alias(k) for k, v in others.items()], *kind))
+        return F.struct(F.col(f"{own}.hash").alias("model_hash"), F.lit(name).alias("event_type"), payload.alias("payload"), text_json(**others, **same).alias("canonical"))
+
     up, down = event("u", "has_dependent", downstream="d.name", downstream_hash="d.hash"), event("d", "depends_on", upstream="u.name", upstream_hash="u.hash")
     return both.select(F.explode(F.array(up, down)).alias("e")).select("e.*")
 
@@ -125,8 +136,9 @@ def change_events(s: DataFrame, member: DataFrame, m: DataFrame) -> DataFrame:
 def change_rows(raised: DataFrame) -> DataFrame:
     """Log rows of raised(group_hash, member_hash, member_name, cause, cause_hash, timestamp, actor)."""
     payload = F.to_json(F.struct("member_name", "member_hash", F.col("cause").alias("original_event_type"), F.col("cause_hash").alias("original_snapshot_hash")))
-    rows = raised.select(F.col("group_hash").alias("model_hash"), "timestamp", "actor", F.lit("member_changed").alias("event_type"), payload.alias("payload"))
-    return rows.select(snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")).alias("snapshot_hash"), "model_hash", "timestamp", "actor", "event_type", "payload")
+    canonical = text_json(member_name=F.col("member_name"), member_hash=F.col("member_hash"), original_event_type=F.col("cause"), original_snapshot_hash=F.col("cause_hash"))
+    rows = raised.select(F.col("group_hash").alias("model_hash"), "timestamp", "actor", F.lit("member_changed").alias("event_type"), payload.alias("payload"), canonical.alias("canonical"))
+    return rows.select(snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"), F.col("canonical")).alias("snapshot_hash"), "model_hash", "timestamp", "actor", "event_type", "payload")
 
 
 def member_changed(s: DataFrame, member: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ def imports(spark, d) -> tuple[DataFrame, D.Staged]:
     none = spark.createDataFrame([], "model_hash string, name string, owner string, model_type string, tier string, purpose string, model_origin string, status string, created_at timestamp_ntz, last_seen timestamp_ntz")
     empty = spark.createDataFrame([], "snapshot_hash string, model_hash string, timestamp timestamp_ntz, event_type string, actor string, source string, payload string")
     first = D.ingest(early, none, empty)
-    m = stored(first.models, "models")
+    m = first.models
     joins = m.where("name LIKE 'u%'").select(F.concat(F.lit("g"), (key % 5).cast("string")).alias("group_hash"), F.col("name").alias("member"))
     added = D.log_rows(B.group_events(joins, m, "member_added").withColumn("timestamp", ntz("2024-02-01 00:00:00")))
-    return m, D.ingest(sold, m, stored(first.events.unionByName(added), "log"))
+    return m, D.ingest(sold, m, lambda: stored(first.events.unionByName(added), "log"))
 
 
 NODES = """sold AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS p FROM lineitem), up AS (SELECT DISTINCT u FROM sold), dn AS (SELECT DISTINCT p FROM sold),
