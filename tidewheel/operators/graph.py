@@ -46,6 +46,10 @@ def anchored(value: Column) -> Column:
         F.struct(F.lit("s").alias("side"), end.alias("n"), F.substring(value, last + 1, end).alias("text")))
 
 
+#: Ports that go to one task, about.
+TASK_PORTS = 200_000
+
+
 def port_matches(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     """upstream, downstream, identifier for each output port that feeds an input port; one row a pair of nodes.
 
@@ -53,33 +57,50 @@ def port_matches(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     have the same keys, and every value must match, % being a wildcard. Ports of one shared identifier don't meet there, but by
     the value of their first key: plain values by equality; a pattern by the longer of its ends that have no wildcard, which
     a value offers in each length that patterns have. So a pattern meets the values that share that end, and the rest filters.
-    Patterns without such an end meet all values of their identifier. The driver gets the lengths in use.
+    Patterns without such an end meet all values of their identifier. The driver gets the lengths in use, and how many ports
+    have them; tasks are as many as the ports need.
     """
     keys = F.sort_array(F.map_keys("schema"))
     value = lambda c: F.lower(F.element_at(c, F.element_at(F.sort_array(F.map_keys(c)), F.lit(1))))
-    side = lambda df, node, schema: df.select(F.col("node").alias(node), F.lower("identifier").alias("identifier"), F.array_join(keys, "\0").alias("keys"), F.col("schema").alias(schema), F.when(F.size("schema") > 0, value("schema")).alias("v"))
-    o, i = side(outputs, "upstream", "o"), side(inputs, "downstream", "i")
-    wild = F.contains("v", F.lit("%"))
-    lengths = lambda df: sorted(tuple(r.a) for r in df.where(wild).select(anchored(F.col("v")).alias("a")).select(F.struct("a.side", "a.n").alias("a")).distinct().collect())
+    wild, wilds = F.contains("v", F.lit("%")), F.length("v") - F.length(F.translate("v", "%", ""))
+    # Where a value of a single key has no wildcard, or just one at an end, equal tags are a match already.
+    plain = F.coalesce((F.size("schema") == 1) & ((wilds == 0) | (wilds == 1) & (F.col("v").startswith("%") | F.col("v").endswith("%"))), F.size("schema") == 0)
+    side = lambda df, node: df.withColumn("v", F.when(F.size("schema") > 0, value("schema"))).select(F.col("node").alias(node), F.lower("identifier").alias("identifier"), F.array_join(keys, "\0").alias("keys"), "schema", "v", plain.alias("plain"))
+    o, i = side(outputs, "upstream"), side(inputs, "downstream")
+    end = F.when(wild, anchored(F.col("v")))
+    use = lambda df, who: df.groupBy(F.lit(who).alias("who"), end["side"].alias("side"), end["n"].alias("n"), "plain").agg(F.count("*").alias("ports"))
+    used = use(o, "out").unionByName(use(i, "in")).collect()
+    lengths = lambda who: sorted({(r.side, r.n) for r in used if r.who == who and r.side})
+    loose = any(not r.plain for r in used)
+    tasks = max(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(r.ports for r in used) // TASK_PORTS))
     lit = lambda text: F.concat(F.lit(text), "v")
     own = lambda who: F.concat_ws(":", F.lit(who), (a := anchored(F.col("v")))["side"], a["n"].cast("string"), a["text"])
 
-    def offered(who: str, found: list[tuple[str, int]]) -> list[Column]:
+    def offered(who: str) -> list[Column]:
         cut = lambda end, n: F.substring(F.col("v"), F.lit(1), F.lit(n)) if end == "p" else F.substring(F.col("v"), F.length("v") - n + 1, F.lit(n))
-        return [F.when(F.length("v") >= n, F.concat(F.lit(f"{who}:{end}:{n}:"), cut(end, n))) for end, n in found]
+        return [F.when(F.length("v") >= n, F.concat(F.lit(f"{who}:{end}:{n}:"), cut(end, n))) for end, n in lengths(who)]
+
+    bare = F.when(F.size("schema") == 0, F.lit("bare"))
+
+    def tagged(df: DataFrame, node: str, schema: str, *tags: Column) -> DataFrame:
+        rows = df.withColumn("tag", F.explode(F.array(bare, *tags))).where("tag IS NOT NULL")
+        more = [F.col("schema").alias(schema), F.col("plain").alias(f"{schema}_plain")] if loose else []
+        return rows.select(node, "identifier", "keys", "tag", *more).repartition(tasks, "identifier", "keys", "tag")
 
-    bare = lambda schema: F.when(F.size(schema) == 0, F.lit("bare"))
     # Output patterns meet all input values; input patterns meet plain output values.
-    o = o.withColumn("tag", F.explode(F.array_compact(F.array(bare("o"), F.when(wild, own("out")).otherwise(lit("=")), *[F.when(~wild, c) for c in offered("in", lengths(i))]))))
-    i = i.withColumn("tag", F.explode(F.array_compact(F.array(bare("i"), F.when(wild, own("in")).otherwise(lit("=")), *offered("out", lengths(o.where("tag LIKE 'out:%'")))))))
-    same = "tag = 'bare' OR forall(map_keys(o), k -> " + value_matches("o[k]", "i[k]") + ")"
-    met = o.drop("v").join(i.drop("v"), ["identifier", "keys", "tag"]).where("upstream <> downstream").where(same)
-    return met.groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"))
+    o = tagged(o, "upstream", "o", F.when(wild, own("out")).otherwise(lit("=")), *[F.when(~wild, c) for c in offered("in")])
+    i = tagged(i, "downstream", "i", F.when(wild, own("in")).otherwise(lit("=")), *offered("out"))
+    met = o.join(i, ["identifier", "keys", "tag"]).where("upstream <> downstream")
+    if loose:
+        met = met.where("CASE WHEN tag LIKE 'in:%' THEN i_plain ELSE o_plain END OR forall(map_keys(o), k -> " + value_matches("o[k]", "i[k]") + ")")
+    # Dealt by pairs first: so rows are sorted once, after their shuffle, and not before it too.
+    return met.select("upstream", "downstream", "identifier").repartition(tasks, "upstream", "downstream").groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"))
 
 
 def connect(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new, counts) from nodes(name, inputs, outputs) and the edges(src, dst) that are known: the links to write, as
     upstream, downstream, identifier, and one row of links_created, links_skipped."""
+    nodes = stored(nodes.select("name", "inputs", "outputs"), "nodes")  # they are read for each side, and for the patterns in use
     ports = lambda side: nodes.select(F.col("name").alias("node"), F.explode(side).alias("p")).select("node", "p.identifier", "p.schema")
     old = edges.select(F.col("src").alias("upstream"), F.col("dst").alias("downstream"), F.lit(True).alias("known")).distinct()
     met = port_matches(ports("outputs"), ports("inputs")).join(old, ["upstream", "downstream"], "left")
@@ -103,6 +124,10 @@ def dependencies(s: DataFrame, m: DataFrame, known: DataFrame, more: tuple[str,
     return found.join(m.select(F.col("model_hash").alias("other_hash"), F.col("name").alias("other_name")), "other_hash").select("model_hash", "direction", "relationship", "other_hash", "other_name", *more)
 
 
+#: How often a turn of strong_components may leave out what lies on no cycle.
+TRIMS = 8
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component for the nodes of edges(src, dst) that lie on cycles: nodes that reach each other have one component, named
     after the least of them. Links from a node to itself, and without an end, don't count.
@@ -114,8 +139,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     at = lambda end, c="node": F.col(c).alias(end)
     rest, found, turn = stored(edges.where("src <> dst").select("src", "dst").distinct(), "cycles"), None, 0
     while True:
-        # Nodes that no link enters, or none leaves, lie on no cycle.
-        rest = stored(rest.join(rest.select(at("src", "dst")).distinct(), "src", "left_semi").join(rest.select(at("dst", "src")).distinct(), "dst", "left_semi").select("src", "dst"), "cycles")
+        # Nodes that no link enters, or none leaves, lie on no cycle. Without them others are such nodes, so marks walk what is left.
+        n = rest.count()
+        for _ in range(TRIMS):
+            before, rest = n, stored(rest.join(rest.select(at("src", "dst")).distinct(), "src", "left_semi").join(rest.select(at("dst", "src")).distinct(), "dst", "left_semi").select("src", "dst"), "cycles")
+            if (n := rest.count()) == before:
+                break
         mark = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), at("root")).alias("c")
         marks = new = stored(rest.select(at("node", "src")).union(rest.select("dst")).distinct().select("node", mark), "marks")
         while not new.isEmpty():
