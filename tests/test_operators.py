@@ -216,3 +216,24 @@ def test_canonical_json_takes_the_last_of_equal_keys_and_one_form_of_numbers(spa
     got = df.select("k", ingest.canonical_json(F.col("p")).alias("c")).distinct().collect()
     assert len(got) == len(alike)
     assert {r.k: r.c for r in got} == {0: '{"a":2}', 1: '{"b":{"y":2,"z":3}}', 2: '{"s":"x:1.0,","t":[1,-5,2.5]}', 3: '{"s":"q\\"1.0"}'}
+
+
+def test_feeds_meet_by_equal_keys(spark):
+    from tidewheel.plans import details
+    from tidewheel.tables import models
+
+    m = models(spark, "/root/testdata/sf0.001")
+    want = spark.sql(details.FEEDS.format(m="{m}"), m=m).select("un", "dh")
+    got = details.feeds(m)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    m.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "NestedLoop" not in (plan := details.feeds(m)._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+    finally:
+        m.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cycles_behind_a_walk_that_lies_on_none(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "g"), ("g", "h")]
+    found = graph.strong_components(spark.createDataFrame(edges, "src string, dst string"))
+    assert sorted(map(tuple, found.collect())) == [("d", "d"), ("e", "d")]

@@ -20,6 +20,13 @@ RICH_S = f"x AS (SELECT * EXCLUDE payload, {RICH} AS payload FROM (SELECT *, CAS
 FEEDS = "SELECT a.model_hash AS uh, a.name AS un, b.model_hash AS dh, b.name AS dn FROM {m} a JOIN {m} b ON CAST(substr(b.model_hash, 2) AS BIGINT) - CAST(substr(a.model_hash, 2) AS BIGINT) IN (1, 2) AND CAST(substr(a.model_hash, 2) AS BIGINT) % 10 < 7"
 
 
+def feeds(m: DataFrame) -> DataFrame:
+    """upstream (a name), downstream (a hash): FEEDS as a join by equal keys."""
+    key = F.substr("model_hash", F.lit(2)).cast("long")
+    own = m.where(key % 10 < 7).select(F.col("name").alias("upstream"), F.explode(F.array(key + 1, key + 2)).alias("key"))
+    return own.join(m.select(key.alias("key"), F.col("model_hash").alias("downstream")), "key").select("upstream", "downstream")
+
+
 @query(f"""WITH {M}, {S}, {RICH_S}, fd AS ({FEEDS.format(m="m")}),
   last AS (SELECT model_hash, arg_max(k, ("timestamp", snapshot_hash)) AS k, arg_max(i % 7, ("timestamp", snapshot_hash)) FILTER (i % 3 <> 0) AS note, arg_max(i % 5, ("timestamp", snapshot_hash)) FILTER (i % 3 <> 0) AS deep, count(*) AS n,
     md5(string_agg(snapshot_hash, '|' ORDER BY "timestamp" DESC, snapshot_hash DESC)) AS events FROM x GROUP BY 1),
@@ -30,8 +37,7 @@ def investigate_full(spark, d):
     """Every model's page in full detail: all events, all metadata, both sides of its links."""
     m = models(spark, d)
     s = snapshots(spark, d).withColumn("i", F.substr("snapshot_hash", F.lit(2)).cast("long")).withColumn("payload", F.expr(RICH)).drop("i")
-    feeds = spark.sql(FEEDS.format(m="{m}"), m=m).select(F.col("un").alias("upstream"), F.col("dh").alias("downstream"))
-    links = G.dependencies(stored(B.link_events(feeds, m), "feeds"), m, known(spark, d))
+    links = G.dependencies(stored(B.link_events(feeds(m), m), "feeds"), m, known(spark, d))
     none = B.facts(ledger(spark, d), m, ntz(WHEN), ("validated",), known(spark, d))
     page = L.investigate(m, s, B.membership(ledger(spark, d), m, known=known(spark, d)), none, links, ntz(WHEN), None)
     entries = F.array_sort(F.map_entries("metadata"))
