@@ -87,3 +87,13 @@ def test_a_member_added_on_the_way_is_heard_of(spark, tmp_path):
     member = spark.createDataFrame([("g", "h:b")], "group_hash string, member_hash string")
     events = governed(spark, [own("e3", "b", 3), own("e5", "b", 5, "deployed")])
     assert {r.snapshot_hash for r in B.change_events(events, member, m).collect()} <= before
+
+
+def test_facts_are_kept_by_the_engine(spark, tmp_path):
+    """No Python for each fact: an aggregation over the stream holds them."""
+    governed(spark, COMPOSITE).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    q = G.follow(source(spark, f"{tmp_path}/in"), models(spark, MEMBERS), f"{tmp_path}/facts", f"{tmp_path}/cp")
+    q.awaitTermination()
+    assert [o["operatorName"] for p in q.recentProgress[-1:] for o in p["stateOperators"]] == ["stateStoreSave"]
+    kept = {(r.kind, r.key) for r in G.current(spark, f"{tmp_path}/facts").collect()}
+    assert kept == {("member", "h:feature_pipeline"), ("member", "h:scoring_model"), ("observation", "OBS-2"), ("validated", "")}

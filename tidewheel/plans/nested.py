@@ -11,9 +11,9 @@ from ..operators import graph as G
 from ..operators import intervals as V_
 from ..operators import membership as B
 from ..operators import trees as W
-from ..sources.store import shared_dir, stored
+from ..sources.store import shared_dir
 from ..streaming import groups as Y
-from ..tables import M, ledger, models, snapshots
+from ..tables import M, known, ledger, models, snapshots
 from . import rules as R
 from .catalog import DEPENDENCIES, G_, OPENED, SQL, VALIDATED, membership_sql, ntz, query
 
@@ -66,7 +66,7 @@ def streamed_groups(spark, d):
     files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
     log.repartition(files, "snapshot_hash").write.parquet(f"{path}/in")
     events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{path}/in")
-    Y.follow(events, stored(models(spark, d).select("model_hash", "name"), "models"), f"{path}/facts", f"{path}/checkpoint").awaitTermination()
+    Y.follow(events, models(spark, d), f"{path}/facts", f"{path}/checkpoint", known(spark, d)).awaitTermination()
     return Y.standing(spark, f"{path}/facts").withColumn("last_validated", F.col("last_validated").cast("timestamp_ntz"))
 
 

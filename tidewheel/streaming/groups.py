@@ -1,6 +1,7 @@
-"""Groups followed as their events arrive: keyed state for members, observations and validations, and for who hears of whom.
+"""Groups followed as their events arrive: state for members, observations and validations, and for who hears of whom.
 
-State is kept with a key for each single fact, so that a group with very many members is spread like any other. Both queries give
+Facts of groups are an aggregation over the stream, with a key for each single fact, so that a group with very many members is
+spread like any other; who hears of whom is keyed state with Python's code. Both queries give
 what a batch over the whole log gives, in whatever order and batches events arrive, and go on from their checkpoint.
 """
 
@@ -12,12 +13,11 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.membership import KEYS, MEMBERS, OBSERVATIONS, change_rows, names
+from ..operators.membership import KEYS, MEMBER, MEMBERS, OBSERVATIONS, OPEN, change_rows, facts, names
 from ..sources.store import EventLog
 from ..tables import INTERNAL_EVENTS
 
 #: Times in keyed state are microseconds.
-FACT = "linked boolean, op_at long, op_hash string, added boolean, issued boolean, resolved boolean, at long"
 TURN = "group_hash string, kind string, key string, active boolean, at long"
 HEARS = "linked boolean, op_at long, op_hash string, added boolean"
 RAISED = "group_hash string, member_hash string, cause string, cause_hash string, at long, actor string"
@@ -64,46 +64,19 @@ def belongs(state: list) -> bool:
     return bool(linked if at is None else added)
 
 
-class FactState(StatefulProcessor):
-    """One fact of a group. A row goes out when it turns active or inactive, and when a validation is newer."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fact = handle.getValueState("fact", FACT)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        group, kind, name = key
-        old = list(self.fact.get()) if self.fact.exists() else None
-        member, issued, resolved, at = (old[:4], *old[4:]) if old else ([False, None, None, None], False, False, None)
-        was = None if old is None else self.active(kind, member, issued, resolved)
-        since = at
-        for r in rows:
-            at = r.at if at is None else max(at, r.at)
-            if kind == "member":
-                member = later(member, r)
-            issued, resolved = issued or r.op == "observation_issued", resolved or r.op == "observation_resolved"
-        self.fact.update((*member, issued, resolved, at))
-        now = self.active(kind, member, issued, resolved)
-        if now != was or (kind == "validated" and at != since):
-            yield Row(group_hash=group, kind=kind, key=name, active=now, at=at)
-
-    @staticmethod
-    def active(kind: str, member: list, issued: bool, resolved: bool) -> bool:
-        return {"member": belongs(member), "observation": issued and not resolved, "validated": True}[kind]
-
-    def close(self) -> None:
-        pass
-
-
-def follow(events: DataFrame, m: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the facts of groups current at `path`: each batch adds the facts that turned, as a folder of its own that a batch run
-    again replaces. Read them with current()."""
+def follow(events: DataFrame, m: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None) -> StreamingQuery:
+    """Keep the facts of groups current at `path`: each batch adds the facts that it touched, as a folder of its own that a batch run
+    again replaces. Read them with current(). The facts are the batch's own (membership.facts): Spark's aggregation over the stream
+    keeps them. known: names(m), if it is at hand."""
     ready(events.sparkSession)
-    turned = governance(events, m).groupBy("group_hash", "kind", "key").transformWithState(FactState(), TURN, "Append", "None")
+    active = F.when(F.col("kind") == "member", F.expr(MEMBER)).when(F.col("kind") == "observation", F.expr(OPEN)).otherwise(True)
+    at = F.unix_micros(F.col("at").cast("timestamp"))
+    touched = facts(events, m, known=known).select("group_hash", "kind", "key", F.coalesce(active, F.lit(False)).alias("active"), at.alias("at"))
 
     def keep(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    return turned.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).foreachBatch(keep).start()
+    return touched.writeStream.option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).foreachBatch(keep).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
