@@ -174,3 +174,15 @@ def test_events_at_hand_have_the_hash_of_their_payload(spark):
     raised = m.select(F.lit("g").alias("group_hash"), F.col("model_hash").alias("member_hash"), F.col("name").alias("member_name"), F.col("name").alias("cause"), F.lit("s").alias("cause_hash"), F.lit("2026-04-01").cast("timestamp_ntz").alias("timestamp"), F.lit("x").alias("actor"))
     changed = B.change_rows(raised)
     assert changed.where(I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")) == F.col("snapshot_hash")).count() == len(odd)
+
+
+def test_texts_of_changes_are_made_once_an_event(spark):
+    m = spark.createDataFrame([("h1", "a"), ("h2", "b")], "model_hash string, name string")
+    s = spark.createDataFrame([("s1", "h1", "deployed", "x"), ("s2", "h2", "deployed", "x"), ("s3", "h1", "validated", "x")], "snapshot_hash string, model_hash string, event_type string, actor string").withColumn("timestamp", F.lit("2026-04-01").cast("timestamp_ntz"))
+    member = spark.createDataFrame([(f"g{k}", "h1") for k in range(9)], "group_hash string, member_hash string")
+    found = B.change_events(s, member, m)
+    over = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "sha2" in over and "to_json" not in over
+    got = found.withColumn("own", I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"))).collect()
+    assert sorted(r.model_hash for r in got) == [f"g{k}" for k in range(9)]
+    assert all(r.snapshot_hash == r.own and json.loads(r.payload)["original_snapshot_hash"] == "s1" for r in got)

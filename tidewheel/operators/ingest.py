@@ -48,7 +48,17 @@ def model_hash(name: Column, owner: Column, created_at: Column) -> Column:
 
 def snapshot_hash(model: Column, timestamp: Column, payload: Column, canonical: Column | None = None) -> Column:
     """The identity of an event: likewise, over its model, time and payload as canonical JSON, which may be at hand."""
-    return F.substr(F.sha2(F.concat_ws(":", model, iso(timestamp), canonical_json(payload) if canonical is None else canonical), 256), F.lit(1), F.lit(32))
+    return text_hash(model, snapshot_text(timestamp, canonical_json(payload) if canonical is None else canonical))
+
+
+def snapshot_text(timestamp: Column, canonical: Column) -> Column:
+    """What follows the model in the text that the identity of an event is taken of."""
+    return F.concat_ws(":", iso(timestamp), canonical)
+
+
+def text_hash(model: Column, text: Column) -> Column:
+    """The identity of a model's event, from its snapshot_text."""
+    return F.substr(F.sha2(F.concat_ws(":", model, text), 256), F.lit(1), F.lit(32))
 
 
 def text_json(**values: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from ..tables import INTERNAL_EVENTS
-from .ingest import snapshot_hash, text_json
+from .ingest import snapshot_text, text_hash, text_json
 
 MEMBERS = ("depends_on", "member_added", "member_removed")
 OBSERVATIONS = ("observation_issued", "observation_resolved")
@@ -128,17 +129,30 @@ def change_events(s: DataFrame, member: DataFrame, m: DataFrame) -> DataFrame:
     """The rows of the log that models' own events raise in their groups: snapshot_hash, model_hash (the group), timestamp and
     actor (those of the cause), event_type, payload. s: snapshot_hash, model_hash, timestamp, event_type, actor; internal
     events raise none."""
-    own = s.where(~F.col("event_type").isin(*INTERNAL_EVENTS)).select("model_hash", F.col("snapshot_hash").alias("cause_hash"), F.col("event_type").alias("cause"), "timestamp", "actor")
-    named = m.select("model_hash", F.col("name").alias("member_name"))
-    return change_rows(own.join(named, "model_hash").join(member.withColumnRenamed("member_hash", "model_hash"), "model_hash").withColumnRenamed("model_hash", "member_hash"))
+    own = s.where(~F.col("event_type").isin(*INTERNAL_EVENTS)).select(F.col("model_hash").alias("member_hash"), F.col("snapshot_hash").alias("cause_hash"), F.col("event_type").alias("cause"), "timestamp", "actor")
+    member = stored(member.select("group_hash", "member_hash"), "members")
+    heard = own.join(member.select("member_hash").distinct(), "member_hash", "left_semi").join(m.select(F.col("model_hash").alias("member_hash"), F.col("name").alias("member_name")), "member_hash")
+    # Texts are made once an event, before it meets its groups; dealt by event in a fixed number, as rows here are many rows there.
+    tasks = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return told_rows(with_texts(heard).repartition(tasks, "member_hash", "cause_hash").join(member, "member_hash"))
 
 
 def change_rows(raised: DataFrame) -> DataFrame:
     """Log rows of raised(group_hash, member_hash, member_name, cause, cause_hash, timestamp, actor)."""
+    return told_rows(with_texts(raised))
+
+
+def with_texts(raised: DataFrame) -> DataFrame:
+    """raised(member_hash, member_name, cause, cause_hash, timestamp) with what is the same in all groups: payload, and `identity`, what
+    follows the group's hash in the text that an event's hash is taken of."""
     payload = F.to_json(F.struct("member_name", "member_hash", F.col("cause").alias("original_event_type"), F.col("cause_hash").alias("original_snapshot_hash")))
     canonical = text_json(member_name=F.col("member_name"), member_hash=F.col("member_hash"), original_event_type=F.col("cause"), original_snapshot_hash=F.col("cause_hash"))
-    rows = raised.select(F.col("group_hash").alias("model_hash"), "timestamp", "actor", F.lit("member_changed").alias("event_type"), payload.alias("payload"), canonical.alias("canonical"))
-    return rows.select(snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"), F.col("canonical")).alias("snapshot_hash"), "model_hash", "timestamp", "actor", "event_type", "payload")
+    return raised.withColumns({"payload": payload, "identity": snapshot_text(F.col("timestamp"), canonical)})
+
+
+def told_rows(rows: DataFrame) -> DataFrame:
+    """The log rows of rows(group_hash, timestamp, actor, payload, identity)."""
+    return rows.select(text_hash(F.col("group_hash"), F.col("identity")).alias("snapshot_hash"), F.col("group_hash").alias("model_hash"), "timestamp", "actor", F.lit("member_changed").alias("event_type"), "payload")
 
 
 def member_changed(s: DataFrame, member: DataFrame) -> DataFrame:
