@@ -78,6 +78,35 @@ def test_closure_with_cycles(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("wide", [0, 6, 13, 40])
+def test_wide_frontiers_reach_the_same(spark, monkeypatch, wide):
+    rng = random.Random(2)
+    links = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(40)]
+    e = spark.createDataFrame(links, "src string, dst string")
+    reach = lambda: sorted(tuple(r) for r in graph.closure(e, e.select(F.col("src").alias("root"))).collect())
+    want = reach()
+    monkeypatch.setattr(graph, "WIDE", wide)
+    assert reach() == want
+
+
+def test_wide_frontiers_are_not_shuffled(spark, monkeypatch):
+    def moved():
+        jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    links = [(f"p{i}", f"u{(i * 7 + j) % 20}") for i in range(300) for j in range(9)] + [(f"u{i}", f"n{i % 3}") for i in range(20)] + [(f"n{i}", "r") for i in range(3)]
+    e = spark.createDataFrame(links, "src string, dst string")
+    monkeypatch.setattr(graph, "WIDE", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        assert graph.closure(e, e.where("src LIKE 'p%'").select(F.col("src").alias("root"))).count() == 300 * (9 + 3 + 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved() - before < 20_000
+
+
 def test_closure_has_no_end_but_the_graph_s(spark):
     e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(75)], "src string, dst string")
     got = {r.node: r.hops for r in graph.closure(e, spark.createDataFrame([("n0",)], "root string")).collect()}

@@ -11,21 +11,38 @@ from ..sources.store import numbered, shared_dir, stored
 from .membership import payloads
 
 
+#: Rows of a frontier from which on a round of closure() looks its nodes up once each, and nodes up to which they are broadcast for that.
+WIDE = 1_000_000
+
+
 def closure(edges: DataFrame, roots: DataFrame, at_hand: bool = False) -> DataFrame:
     """root, node, hops: all that roots(root) reach along edges(src, dst), with the fewest hops; a root isn't in its own.
 
     A frontier joins the edges, which are stored once; what was reached before drops out, and each round is written to the
     shared folder. It ends when nothing new is reached, however long the paths. at_hand: edges are a stored table already, best
     one that is bucketed by src.
+
+    Where many rows of a frontier share few nodes, the links that leave these are found first. Then neither frontier nor edges
+    are shuffled, and of what was reached before just the rows of nodes that can be reached now.
     """
     edges = edges.select("src", "dst") if at_hand else stored(edges.select("src", "dst"), "edges")
     found = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct(), "reach")
     frontier, hops = found, 0
     while True:
         hops += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = stored(step.join(found, ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)), "reach")
-        if frontier.isEmpty():
+        near, before = edges, found
+        if hops > 1 and rows > WIDE:  # roots are different nodes
+            starts = stored(frontier.select(F.col("node").alias("src")).distinct(), "starts")
+            if starts.count() <= WIDE:
+                near = stored(edges.join(F.broadcast(starts), "src", "left_semi").select("src", "dst").distinct(), "near")
+                ends = stored(near.select(F.col("dst").alias("node")).distinct(), "ends")
+                if not (n := ends.count()):
+                    return found.where("hops > 0")
+                if n <= WIDE:
+                    before = found.join(F.broadcast(ends), "node", "left_semi")
+        step = frontier.join(near, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        frontier = stored(step.join(before, ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)), "reach")
+        if not (rows := frontier.count()):
             return found.where("hops > 0")
         found = found.unionByName(frontier)
         if hops % 8 == 0:  # else a long walk reads ever more tables
@@ -166,20 +183,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
             return found
 
 
-def trace_order(edges: DataFrame, root: str) -> DataFrame:
-    """node, position, level, hops: what `root` depends on, each after all that it depends on itself, root last.
+def trace_order(edges: DataFrame, root: str, at_hand: bool = False) -> DataFrame:
+    """node, position, level, hops: what `root` depends on, each after all that it depends on itself, root last. at_hand: edges are
+    stored already.
 
     Nodes on common cycles are one unit (strong_components); level is the most units on a path that leads to a node's own,
     and within a level nodes are in order of name. Nodes of a unit stand together, those farthest from the root (by fewest
     hops) first, in the place of the least name of them.
     """
     spark = edges.sparkSession
-    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    edges = edges.select("src", "dst") if at_hand else stored(edges.select("src", "dst"), "edges")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     one = spark.createDataFrame([(root,)], "root string")
-    hops = stored(closure(back, one).select("node", "hops").unionByName(one.select(F.col("root").alias("node"), F.lit(0).alias("hops"))), "hops")
+    hops = stored(closure(back, one, at_hand=True).select("node", "hops").unionByName(one.select(F.col("root").alias("node"), F.lit(0).alias("hops"))), "hops")
     inside = edges.where("src <> dst").join(hops.select(F.col("node").alias("src")), "src", "left_semi").join(hops.select(F.col("node").alias("dst")), "dst", "left_semi")
-    links = stored(inside.select("src", "dst"), "links")
+    links = stored(inside.select("src", "dst").distinct(), "links")
     folder = f"{shared_dir(spark)}/tidewheel/levels-{uuid.uuid4().hex}"
     place = lambda df, level: df.select("node").write.parquet(f"{folder}/level={level}")
     targets = lambda of: of.select(F.col("dst").alias("node")).distinct()
