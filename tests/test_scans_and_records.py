@@ -75,6 +75,19 @@ def test_trace_has_platforms_and_labels(spark):
     assert lookup.trace(edges, "raw", platforms, direction="upstream").collect() == []
 
 
+def test_trace_copies_no_stored_edges(spark, monkeypatch):
+    labels, real = [], lookup.G.stored
+    for module in (lookup, lookup.G):
+        monkeypatch.setattr(module, "stored", lambda df, label: labels.append(label) or real(df, label))
+    edges = spark.createDataFrame([("raw", "feat"), ("raw", "feat"), ("feat", "score"), ("raw", "score"), ("x", "y")], "src string, dst string")
+    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct().withColumn("platform", F.upper("name"))
+    found = lookup.trace(edges, "feat", names, at_hand=True)
+    assert sorted((r.name, r.position, r.platform) for r in found.collect()) == [("raw", 1, "RAW"), ("score", 1, "SCORE")]
+    assert "edges" not in labels
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Aggregate") < plan.index("LeftSemi")  # platforms of other nodes aren't grouped
+
+
 def test_record_stores(spark, tmp_path):
     tables = records.stores(spark, f"{tmp_path}")
     for k in (1, 2):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from . import graph as G
 from . import timeline as L
 
@@ -55,22 +56,26 @@ def search(m: DataFrame, s: DataFrame, offset: int, limit: int, text: str | None
     return out.withColumn("total", found.agg(F.count("*")).scalar()).withColumn("has_more", F.col("total") > offset + limit)
 
 
-def trace(edges: DataFrame, root: str, platforms: DataFrame, depth: int | None = None, direction: str = "both") -> DataFrame:
+def trace(edges: DataFrame, root: str, platforms: DataFrame, depth: int | None = None, direction: str = "both", at_hand: bool = False) -> DataFrame:
     """name, direction, relationship, position, hops, platform of what a node depends on and of what depends on it, within `depth`
     hops. Upstream positions count back from the root in dependency order, downstream ones go by hops and name.
 
-    edges: src, dst; platforms: name, platform, null or missing where there is none."""
+    edges: src, dst; platforms: name, platform, null or missing where there is none. at_hand: edges are stored already."""
     spark = edges.sparkSession
+    edges = edges.select("src", "dst") if at_hand else stored(edges.select("src", "dst"), "edges")
     parts = []
     if direction in ("upstream", "both"):
-        up = G.trace_order(edges, root).where(F.col("node") != root)
+        up = G.trace_order(edges, root, at_hand=True).where(F.col("node") != root)
         total = up.agg(F.count("*")).scalar()
         parts.append(up.select(F.col("node").alias("name"), F.lit("upstream").alias("direction"), F.lit("depends_on").alias("relationship"), (total - F.col("position") + 1).alias("position"), "hops"))
     if direction in ("downstream", "both"):
-        down = G.closure(edges, spark.createDataFrame([(root,)], "root string")).where(F.col("node") != root)
+        down = G.closure(edges, spark.createDataFrame([(root,)], "root string"), at_hand=True).where(F.col("node") != root)
         ranked = G.numbered(down.select("node", "hops"), "position", "hops", "node")
         parts.append(ranked.select(F.col("node").alias("name"), F.lit("downstream").alias("direction"), F.lit("feeds_into").alias("relationship"), "position", "hops"))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if depth is not None:
         found = found.where(F.col("hops") <= depth)
-    return found.join(platforms.select("name", "platform"), "name", "left").select("name", "direction", "relationship", "position", "hops", "platform")
+    found = stored(found, "trace")
+    # Only the platforms of what was found: the semi join goes below a user's own grouping of names.
+    own = platforms.select("name", "platform").join(found.select("name"), "name", "left_semi")
+    return found.join(own, "name", "left").select("name", "direction", "relationship", "position", "hops", "platform")

@@ -357,10 +357,14 @@ DIAMONDS = """d AS (SELECT * FROM e UNION ALL SELECT DISTINCT 'p' || p_partkey,
 
 
 def diamonds(spark, d) -> DataFrame:
+    return edges(spark, d).unionByName(shortcuts(spark, d))
+
+
+def shortcuts(spark, d) -> DataFrame:
     key = F.col("p_partkey")
     more = read(spark, d, "part").select(key, F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("j")).where(key % 10 + F.col("j") < 10)
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
-    return edges(spark, d).unionByName(more.select(name(key).alias("src"), name(key + F.col("j")).alias("dst")).distinct())
+    return more.select(name(key).alias("src"), name(key + F.col("j")).alias("dst")).distinct()
 
 
 @query(f"""WITH RECURSIVE {E}, {DIAMONDS}, up AS (SELECT 'p17' AS node, 0 AS hops UNION SELECT src, hops + 1 FROM up JOIN d ON dst = node),

@@ -9,9 +9,9 @@ from ..operators import lookup as U
 from ..operators import records as K
 from ..operators import scanner as C
 from ..sources.store import stored
-from ..tables import E, M, S, models, read, snapshots
+from ..tables import E, M, S, edges, models, read, snapshots
 from . import rules as R
-from .catalog import CONDITIONS, DIAMONDS, PLATFORMS, SINCE, UNTIL, WHEN, diamonds, ntz, query
+from .catalog import CONDITIONS, DIAMONDS, PLATFORMS, SINCE, UNTIL, WHEN, ntz, query, shortcuts
 
 
 @query(f"""WITH {M}, {S}, {PLATFORMS}, f AS (SELECT * FROM m JOIN pf USING (model_hash) JOIN (SELECT model_hash, max("timestamp") AS last_event, count(*) AS n FROM s GROUP BY 1) USING (model_hash) WHERE platform = 'ml')
@@ -62,8 +62,8 @@ NODE_PLATFORMS = """SELECT DISTINCT node AS name, CASE substr(node, 1, 1) WHEN '
   SELECT name, direction, relationship, position, CAST(hops AS INTEGER) AS hops, platform FROM r LEFT JOIN pl USING (name) WHERE hops <= 2""")
 def trace_tool(spark, d):
     """What a part depends on and what depends on it, within two hops, with platform and relationship."""
-    e = stored(diamonds(spark, d), "diamonds")
-    return U.trace(e, "p17", spark.sql(NODE_PLATFORMS.format(e="{e}"), e=e), 2)
+    e = edges(spark, d).unionByName(stored(shortcuts(spark, d), "shortcuts"))  # edges are stored already
+    return U.trace(e, "p17", spark.sql(NODE_PLATFORMS.format(e="{e}"), e=e), 2, at_hand=True)
 
 
 #: A scan by each of two platforms: odd and even models of its own events, and names that no model has.
