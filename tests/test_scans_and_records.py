@@ -32,6 +32,25 @@ def test_a_scan_with_code(spark):
     assert [x.timestamp() for x in asked] == [2.0]
 
 
+def test_a_scan_asks_for_each_candidate_once(spark, tmp_path):
+    m, s = frames(spark)
+    kept, more = f"{tmp_path}/kept", f"{tmp_path}/more"
+
+    def note(path, row, answer):
+        with open(path, "a") as f:
+            f.write(f"{row['name']}:{','.join(sorted(row))}\n")
+        return answer
+
+    found = spark.createDataFrame([(x,) for x in ["a", *(f"n{i}" for i in range(2500))]], "name string").coalesce(1)
+    source = scanner.Source(found, None, lambda row: note(kept, row, row["name"] != "n7"), lambda row: note(more, row, {"x": 1}), new_only=True)
+    done = scanner.scan(m, s, {"p": source}, "r")
+    assert [tuple(r) for r in done.reports.collect()] == [("p", 2500, 2499, 1, 1)]
+    assert done.events.where("event_type = 'enriched'").count() == 2499 and done.errors.collect() == []
+    lines = lambda path: sorted(open(path).read().split())
+    assert lines(kept) == sorted(f"{x}:name" for x in ["a", *(f"n{i}" for i in range(2500))])
+    assert lines(more) == sorted(f"n{i}:name" for i in range(2500) if i != 7)
+
+
 def test_gates_and_platforms(spark):
     m, s = frames(spark)
     found = spark.createDataFrame([("z",)], "name string")

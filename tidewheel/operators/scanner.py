@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..sources.store import stored
 from . import ingest as I
 
 Row = dict[str, Any]
@@ -30,34 +31,41 @@ class Source(NamedTuple):
     new_only: bool = False
 
 
-def kept(candidates: DataFrame, keep: Column | Callable[[Row], bool] | None) -> DataFrame:
-    """The candidates that pass. A function runs over Arrow batches; one that fails stops the job, as a filter has no second way."""
-    if keep is None or isinstance(keep, Column):
-        return candidates if keep is None else candidates.where(keep)
+#: Candidates that a worker holds as Python objects at a time.
+ROWS = 1_000
 
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([bool(keep(row)) for row in batch.to_pylist()], pa.bool_()))
 
-    return candidates.mapInArrow(passed, candidates.schema)
-
-
-def enriched(candidates: DataFrame, enrich: Callable[[Row], Row | None]) -> DataFrame:
-    """name, enrichment (JSON, null for nothing), error (null, or what a candidate's enrichment failed with: the others go on)."""
+def asked(candidates: DataFrame, source: Source) -> DataFrame:
+    """name, enrichment (JSON, null for nothing), error (null, or what a candidate's enrichment failed with: the others go on) of the
+    candidates(..., __new) that pass. A user's functions run in one pass over Arrow batches; a filter that fails stops the job, as
+    it has no second way. With new_only just candidates that are __new are enriched."""
+    keep, enrich, new_only = source.keep, source.enrich, source.new_only
+    if isinstance(keep, Column):
+        candidates, keep = candidates.where(keep), None
+    if keep is None and enrich is None:
+        return candidates.select("name", F.lit(None).cast("string").alias("enrichment"), F.lit(None).cast("string").alias("error"))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, more, errors = [], [], []
-            for row in batch.to_pylist():
-                try:
-                    found, error = enrich(row), None
-                    text = json.dumps(found, sort_keys=True, default=str) if found else None
-                except Exception as failed:  # a user's code, whatever it hits
-                    text, error = None, f"{type(failed).__name__}: {failed}"
-                names.append(row["name"])
-                more.append(text)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (names, more, errors)], ["name", "enrichment", "error"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                own = batch.drop_columns(["__new"])
+                if keep:
+                    passed = pa.array([bool(keep(row)) for row in own.to_pylist()], pa.bool_())
+                    batch, own = batch.filter(passed), own.filter(passed)
+                names, more, errors = batch.column("name").to_pylist(), [], []
+                for row, new in zip(own.to_pylist() if enrich else [], batch.column("__new").to_pylist()):
+                    text = error = None
+                    if new or not new_only:
+                        try:
+                            found = enrich(row)
+                            text = json.dumps(found, sort_keys=True, default=str) if found else None
+                        except Exception as failed:  # a user's code, whatever it hits
+                            error = f"{type(failed).__name__}: {failed}"
+                    more.append(text)
+                    errors.append(error)
+                nothing = [] if enrich else [None] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (names, more + nothing, errors + nothing)], ["name", "enrichment", "error"])
 
     return candidates.mapInArrow(told, "name string, enrichment string, error string")
 
@@ -83,12 +91,10 @@ def scan(m: DataFrame, s: DataFrame, sources: dict[str, Source], run_id: str, on
         if last is not None and not source.changed(last):
             reports = reports.unionByName(spark.createDataFrame([(platform, 0, 0, 0, 0)], FOUND))
             continue
-        candidates = kept(source.candidates, source.keep)
-        names = candidates.select("name")
-        more = names.withColumns({"enrichment": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-        if source.enrich:
-            asked = candidates.join(m.select("name"), "name", "left_anti") if source.new_only else candidates
-            more = names.join(enriched(asked, source.enrich), "name", "left")
+        # Stored, so that a user's code runs once for each candidate, whatever of the scan is read.
+        known = m.select("name", F.lit(False).alias("__new")).distinct()
+        flagged = source.candidates.join(known, "name", "left").withColumn("__new", F.col("__new").isNull()) if source.new_only else source.candidates.withColumn("__new", F.lit(True))
+        more = stored(asked(flagged.select(*source.candidates.columns, "__new"), source), "asked")
         found, report = I.scan(m, s, more.select("name", "enrichment"), platform)
         texts = more.select("name", F.when(F.coalesce("enrichment", F.lit("{}")) != "{}", F.concat(F.substring("enrichment", F.lit(1), F.length("enrichment") - 1), F.lit(', "scan_run_id": '), F.to_json(F.array(F.lit(run_id))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(run_id)))) - 2), F.lit("}"))).alias("text"))
         plain = F.to_json(F.struct(F.lit(run_id).alias("scan_run_id")))
