@@ -46,6 +46,8 @@ def test_a_scan_asks_for_each_candidate_once(spark, tmp_path):
     done = scanner.scan(m, s, {"p": source}, "r")
     assert [tuple(r) for r in done.reports.collect()] == [("p", 2500, 2499, 1, 1)]
     assert done.events.where("event_type = 'enriched'").count() == 2499 and done.errors.collect() == []
+    for df in (done.events, done.reports, done.errors):  # what is read of a scan runs no Python again
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
     lines = lambda path: sorted(open(path).read().split())
     assert lines(kept) == sorted(f"{x}:name" for x in ["a", *(f"n{i}" for i in range(2500))])
     assert lines(more) == sorted(f"n{i}:name" for i in range(2500) if i != 7)
