@@ -74,3 +74,26 @@ def test_small_caches_and_long_texts(spark, monkeypatch):
     found = packing.WordIds(packing.tokenizer_path()).all(pa.array(texts))
     for text, ids in zip(texts, found, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_a_worker_sends_and_tokenizes_little_at_a_time(spark, monkeypatch):
+    """Whatever the size of the batches that come in: what a worker makes of one is never whole in memory, and the rows are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toArrow().combine_chunks().to_batches()
+    rows = lambda batches: [r for b in batches for r in b.to_pylist()]
+    packer = lambda: packing.HarmonicPacker(0, 2048, 8)
+    whole = list(packing.packed(iter(docs), packer(), b"\1\0\0\0"))
+    fresh, given = packing.WordIds(packing.tokenizer_path()), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.encode = tokenizer.encode
+            self.encode_batch_fast = lambda texts, **how: given.append(len(texts)) or tokenizer.encode_batch_fast(texts, **how)
+
+    fresh.tokenizer = Counted(fresh.tokenizer)
+    monkeypatch.setattr(packing, "word_ids", lambda: fresh)
+    for name, value in (("SENT", 20_000), ("CALL", 50), ("CALLS", 3)):
+        monkeypatch.setattr(packing, name, value)
+    little = list(packing.packed(iter(docs), packer(), b"\1\0\0\0"))
+    assert len(docs) == 1 and rows(little) == rows(whole) and len(little) > 10
+    assert all(sum(map(len, b.column("ids").to_pylist())) < 20_000 + 4 * 2048 for b in little)
+    assert max(given) == 3 and len(given) > 10

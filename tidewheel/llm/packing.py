@@ -32,8 +32,10 @@ TOKENIZER = "word_bpe_49k.json"
 TOGETHER = 8 << 20
 #: Words whose ids a Python worker remembers, besides those of the texts at hand: about 20 MB.
 REMEMBERED = 400_000
-#: Words in one call of the tokenizer.
-CALL = 2_000
+#: Words in one text that is given to the tokenizer, and how many such texts it gets at once: it holds some hundred bytes a token.
+CALL, CALLS = 2_000, 8
+#: Bytes of ids that a worker sends back together, about. Spark's own memory holds such a batch whole, too.
+SENT = 2 << 20
 #: A token of the tokenizer that no text without SPECIAL can give; it stands between the words of a call.
 MARK, SPECIAL = "<|endoftext|>", "<|"
 #: Punctuation at a word's end that is a token of its own after a letter or digit, whatever the word.
@@ -86,9 +88,12 @@ class WordIds:
 
     def called(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and the ids, by the tokenizer; the words have no SPECIAL."""
-        texts = [MARK.join([*words[at : at + CALL], ""]) for at in range(0, len(words), CALL)]  # a mark after each word
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in found)])
+        found = [np.zeros(0, np.uint32)]
+        for first in range(0, len(words), CALL * CALLS):
+            some = words[first : first + CALL * CALLS]
+            texts = [MARK.join([*some[at : at + CALL], ""]) for at in range(0, len(some), CALL)]  # a mark after each word
+            found.extend(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        ids = np.concatenate(found)
         ends = np.flatnonzero(ids == self.mark)
         return np.diff(ends, prepend=-1).astype(np.int32) - 1, np.delete(ids, ends)
 
@@ -203,6 +208,27 @@ class HarmonicPacker:
             yield from self.close(taken, size)
 
 
+def packed(batches: Iterator[pa.RecordBatch], packer: HarmonicPacker, end: bytes) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) to batches of SCHEMA, each sent once its ids are SENT bytes or more. Then Arrow gives back what
+    it keeps of freed memory, as the worker lives on beside Spark's own memory, idle or in other tasks."""
+    names, kinds = zip(*(x.split() for x in SCHEMA.split(", ")))
+    types = [pa.binary() if kind == "binary" else pa.int64() for kind in kinds]
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(names), types)], list(names))
+    ids, rows, size = word_ids(), [], 0
+    for batch in batches:
+        for key, found in zip(batch.column(0).to_pylist(), ids.all(batch.column(1))):
+            for row in packer.add(key, found + end):
+                rows.append(row)
+                size += len(row[3])
+                if size >= SENT:
+                    yield out(rows)
+                    rows, size = [], 0
+                    pa.default_memory_pool().release_unused()
+    rows.extend(packer.finish())
+    yield out(rows)
+    pa.default_memory_pool().release_unused()
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, classes: int = CLASSES, end_id: int = END_ID) -> DataFrame:
     """docs packed into sequences of at most `capacity` tokens: one row a piece (SCHEMA). One pass, no shuffle.
 
@@ -214,20 +240,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     A very long text is tokenized some megabytes at a time, cut at white space, and packed whole. Texts of equal length
     are packed in the order in which they come.
     """
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids()
-        packer = HarmonicPacker(TaskContext.get().partitionId(), capacity, classes)
-        types = [pa.binary() if n == "ids" else pa.int64() for n in names]
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, found in zip(batch.column(0).to_pylist(), ids.all(batch.column(1))):
-                rows.extend(packer.add(key, found + end))
-            yield out(rows)
-        yield out(list(packer.finish()))
+        return packed(batches, HarmonicPacker(TaskContext.get().partitionId(), capacity, classes), end)
 
     slim = columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.coalesce(F.col(text), F.lit("")))
     return slim.mapInArrow(run, SCHEMA)
