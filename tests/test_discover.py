@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,53 @@ def test_texts_of_changes_are_made_once_an_event(spark):
     got = found.withColumn("own", I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"))).collect()
     assert sorted(r.model_hash for r in got) == [f"g{k}" for k in range(9)]
     assert all(r.snapshot_hash == r.own and json.loads(r.payload)["original_snapshot_hash"] == "s1" for r in got)
+
+
+def test_what_an_import_shuffles(spark):
+    """Matches are dealt once, and few upstream ends are not dealt at all; contents go through one shuffle, for their order."""
+    found = D.ingest(nodes(spark, "2026-04-01 00:00:00"), spark.createDataFrame([], MODEL), spark.createDataFrame([], EVENT))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "downstream" in " ".join(re.findall(r"hashpartitioning\(([^)]*)\)", plan(found.events)))
+    assert not re.findall(r"hashpartitioning\([^)]*upstream[^)]*\)", plan(found.events))
+    assert found.discovered.inputFiles() == found.judged.inputFiles()  # they aren't stored once more
+
+
+def test_many_upstream_ends_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(G, "WIDE", 2)
+    found = D.ingest(nodes(spark, "2026-04-01 00:00:00"), spark.createDataFrame([], MODEL), spark.createDataFrame([], EVENT))
+    assert found.sources is None and kinds(found.events) == ALL
+
+
+def test_contents_are_canonical_as_they_are_made(spark):
+    odd = ['a"b', "c\\d", "\t\n\x7f", "é \U0001f600", "1.0", ""]
+    rows = [(f"n{k}", [("T", {"zeta": x, "alpha": x})], {"updated_at": x, "Z": x, "inputs": x} if k % 2 else {x: x, "_content_hash": x}) for k, x in enumerate(odd)]
+    port = "array<struct<identifier:string,schema:map<string,string>>>"
+    made = spark.createDataFrame(rows, f"name string, outputs {port}, metadata map<string,string>").select("name", F.lit("p").alias("platform"), F.col("outputs").alias("inputs"), "outputs", "metadata", F.lit("2026-04-01").cast("timestamp_ntz").alias("seen_at"))
+    found = D.ingest(made, spark.createDataFrame([], MODEL), spark.createDataFrame([], EVENT))
+    p = F.col("payload")
+    got = found.discovered.select(p, I.canonical_json(p).alias("canonical"), I.content_hash(p).alias("content"), "snapshot_hash", I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), p).alias("own")).collect()
+    assert len(got) == len(odd)
+    for r in got:
+        assert r.payload == r.canonical and r.snapshot_hash == r.own and json.loads(r.payload)["_content_hash"] == r.content
+    again = D.ingest(made.withColumn("seen_at", F.lit("2026-04-02").cast("timestamp_ntz")), found.models, found.events)
+    assert tuple(again.counts.first())[:2] == (0, len(odd))
+
+
+def test_names_of_links_are_those_of_dependencies(spark):
+    m = spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h3", "h1"), ("h4", "b"), ("h5", None)], "model_hash string, name string")
+    refs = [("h1", "b"), ("zz", "b"), (None, "b"), ("", "h1"), ("h3", None), ("zz", "zz"), (None, None), ("h5", "a"), ("zz", "a")]
+    said = [(own, kind, json.dumps({k: v for k, v in (("upstream_hash", h), ("upstream", n)) if v is not None})) for h, n in refs for own in ("h1", "h2", "gone") for kind in ("depends_on", "has_dependent")]
+    s = spark.createDataFrame([*said, ("h1", "depends_on", "odd")], "model_hash string, event_type string, payload string")
+    want = G.dependencies(s, m, B.names(m)).where("direction = 'upstream'").join(m, "model_hash").select("other_name", "name")
+    got = G.linked_names(s, m, B.named(m))
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert key(got) == key(want) and got.count() == 14
+
+
+def test_events_that_an_import_does_not_read(spark):
+    empty = spark.createDataFrame([], EVENT)
+    first = D.ingest(nodes(spark, "2026-04-01 00:00:00"), spark.createDataFrame([], MODEL), empty)
+    more = nodes(spark, "2026-04-03 00:00:00", [("scoring_model", "ml", ["features", "customers"], ["scores"])])
+    sure = lambda log: sorted(map(tuple, D.ingest(more, first.models, log).events.collect()))
+    whole = sure(first.events)
+    assert len(whole) == 3 and whole == sure(first.events.where(F.col("event_type").isin(*D.READ)))

@@ -19,6 +19,8 @@ from . import graph as G
 from . import ingest as I
 from . import membership as B
 
+#: The types of events that an import reads of a log: contents, links, and who is in which group.
+READ = ("discovered", *B.MEMBERS)
 EVENT = ("snapshot_hash", "model_hash", "timestamp", "event_type", "actor", "source", "payload")
 # Metadata that becomes columns of the model, and not part of a discovered event's payload.
 OF_MODEL = ("owner", "node_type", "tier", "purpose", "model_origin", "source_updated_at")
@@ -31,23 +33,23 @@ def json_object(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
-def node_payload(platform: Column, inputs: Column, outputs: Column, metadata: Column) -> Column:
-    """The payload of a node's discovered event: platform, ports, and the metadata that isn't part of the model; a metadata key
-    that is spelled like one of these takes its place."""
+def node_content(platform: Column, inputs: Column, outputs: Column, metadata: Column) -> Column:
+    """What a node's discovered event says, as a map from keys to canonical JSON texts: platform, ports, and the metadata that isn't
+    part of the model; a metadata key that is spelled like one of these takes its place."""
     quoted = lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)
-    port = lambda p: F.map_concat(F.create_map(F.lit("identifier"), p["identifier"]), F.map_filter(p["schema"], lambda k, v: k != "identifier"))
+    port = lambda p: F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.create_map(F.lit("identifier"), p["identifier"]), F.map_filter(p["schema"], lambda k, v: k != "identifier")))))
     ports = lambda side: F.coalesce(F.to_json(F.transform(side, port)), F.lit("[]"))
     own = F.create_map(F.lit("platform"), F.coalesce(quoted(platform), F.lit("null")), F.lit("inputs"), ports(inputs), F.lit("outputs"), ports(outputs))
     more = F.transform_values(F.map_filter(metadata, lambda k, v: ~k.isin(*OF_MODEL)), lambda k, v: F.coalesce(quoted(v), F.lit("null")))
-    return json_object(F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(more, k)), more))
+    return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(more, k)), more)
 
 
-def log_rows(of: DataFrame) -> DataFrame:
+def log_rows(of: DataFrame, *more: str) -> DataFrame:
     """Rows of the log with their identity. of: model_hash, timestamp, event_type, payload, and actor, source and canonical (the
-    payload as canonical JSON) if it has them."""
+    payload as canonical JSON) if it has them. more: columns of it to carry along."""
     missing = {c: F.lit(None).cast("string") for c in ("actor", "source") if c not in of.columns}
     canonical = F.col("canonical") if "canonical" in of.columns else None
-    return of.withColumns({**missing, "snapshot_hash": I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"), canonical)}).select(*EVENT)
+    return of.withColumns({**missing, "snapshot_hash": I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload"), canonical)}).select(*EVENT, *more)
 
 
 def registered(new: DataFrame) -> DataFrame:
@@ -67,18 +69,21 @@ def ingest(nodes: DataFrame, m: DataFrame, s: DataFrame | Callable[[], DataFrame
     each other by time. m: MODEL; s: EVENT. A name that m lacks is registered, with owner, type, tier, purpose and origin from its
     first node's metadata; a valid status is taken, the last one stated; last_seen is that of the last node. A node whose
     content is what its model's latest discovered event has adds no event. If any was added, all nodes of the log are
-    connected, and links that it lacks get their two events. Own events reach the groups that the models are in.
+    connected, and links that it lacks get their two events. Own events reach the groups that the models are in. Of s only events
+    of the types READ count.
     s may be a function that gives the log: it is read when events or counts are.
     """
     meta = lambda *keys, default: F.coalesce(*[F.nullif(F.element_at("metadata", k), F.lit("")) for k in keys], F.lit(default))
     rows = nodes.select(
-        "name", "platform", F.col("seen_at").alias("timestamp"), F.when(F.coalesce("platform", F.lit("")) != "", F.concat(F.lit("connector:"), "platform")).otherwise("system").alias("actor"), node_payload(F.col("platform"), F.col("inputs"), F.col("outputs"), F.col("metadata")).alias("payload"),
+        "name", "platform", F.col("seen_at").alias("timestamp"), F.when(F.coalesce("platform", F.lit("")) != "", F.concat(F.lit("connector:"), "platform")).otherwise("system").alias("actor"), node_content(F.col("platform"), F.col("inputs"), F.col("outputs"), F.col("metadata")).alias("content"),
         I.normal_status(F.element_at("metadata", "status")).alias("stated"), meta("owner", default="unknown").alias("owner"), meta("model_type", "node_type", "type", default="unknown").alias("model_type"),
         meta("tier", default="unclassified").alias("tier"), meta("purpose", default="").alias("purpose"), meta("model_origin", default="internal").alias("model_origin"),
         F.element_at("metadata", "source_updated_at").alias("occurred"),
     )
-    rows = stored(rows, "nodes")
-    order = F.struct("timestamp", "payload")
+    # Nodes of one name and time follow each other by a hash of all that they say: so what finds the first and last carries no content.
+    told = F.xxhash64(json_object(F.col("content")), *[c for c in rows.columns if c not in ("name", "timestamp", "content")])
+    rows = stored(rows.withColumn("told", told), "nodes")
+    order = F.struct("timestamp", "told")
     about = ("owner", "model_type", "tier", "purpose", "model_origin", "actor")
     each = rows.groupBy("name").agg(
         F.min_by(F.struct(*about, F.col("timestamp").alias("created_at")), order).alias("of"), F.max("timestamp").alias("seen"), F.max_by("stated", F.when(F.col("stated").isNotNull(), order)).alias("stated"), F.max_by("platform", order).alias("platform")
@@ -116,32 +121,50 @@ class Staged:
 
     @cached_property
     def judged(self) -> DataFrame:
-        found = self.rows.join(self.touched.select("name", "model_hash"), "name").withColumn("snapshot_hash", I.snapshot_hash(F.col("model_hash"), F.col("timestamp"), F.col("payload")))
-        before = self.log.where("event_type = 'discovered'").join(self.touched.where("NOT is_new").select("model_hash"), "model_hash", "left_semi")
-        return stored(I.add(before, found), "judged")
+        """A row a node: is_new, and its discovered event, which just new ones have a payload for. Contents go through one shuffle."""
+        before = I.latest_content(self.log.where("event_type = 'discovered'").join(self.touched.where("NOT is_new").select("model_hash"), "model_hash", "left_semi"))
+        found = self.rows.join(self.touched.select("name", "model_hash").join(before, "model_hash", "left"), "name")
+        found = found.withColumn("content_hash", F.sha2(json_object(F.map_filter("content", lambda k, v: ~k.isin(*I.VOLATILE))), 256))
+        previous = F.coalesce(F.lag("content_hash").over(Window.partitionBy("name", "model_hash").orderBy("timestamp", "told")), "before")
+        extra = {"_content_hash": F.col("content_hash"), "change_detected": I.iso(F.col("timestamp")), "change_occurred": F.col("occurred")}
+        more = F.map_filter(F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1))]), lambda k, v: v != "null")
+        full = json_object(F.map_concat(F.map_filter("content", lambda k, v: ~F.map_contains_key(more, k)), more))
+        rows = found.withColumn("is_new", ~F.col("content_hash").eqNullSafe(previous)).withColumn("payload", F.when(F.col("is_new"), full))
+        events = log_rows(rows.select("model_hash", "timestamp", F.lit("discovered").alias("event_type"), "payload", "actor", F.col("platform").alias("source"), F.col("payload").alias("canonical"), "is_new"), "is_new")
+        return stored(events, "judged")
 
     @cached_property
     def discovered(self) -> DataFrame:
-        extra = {"_content_hash": F.col("content_hash"), "change_detected": I.iso(F.col("timestamp")), "change_occurred": F.col("occurred")}
-        entries = F.from_json("payload", "map<string,string>")
-        full = F.concat(F.substring("payload", F.lit(1), F.length("payload") - 1), *[F.coalesce(F.concat(F.lit(f',"{k}":'), F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)), F.lit("")) for k, v in extra.items()], F.lit("}"))
-        full = F.when(F.size(entries) > 0, full)
-        return stored(log_rows(self.judged.where("is_new").select("model_hash", "timestamp", F.lit("discovered").alias("event_type"), full.alias("payload"), "actor", F.col("platform").alias("source"))), "discovered")
+        return self.judged.where("is_new").select(*EVENT)
+
+    @cached_property
+    def known(self) -> DataFrame:
+        return stored(B.named(self.names), "known")
 
     @cached_property
     def links(self) -> tuple[DataFrame, DataFrame] | None:
         """What connecting gives, if any content was added."""
         if not self.connect or self.discovered.isEmpty():
             return None
-        links = G.dependencies(self.log, self.names, B.names(self.names)).where("direction = 'upstream'").join(self.names, "model_hash")
-        return G.connect(logged_nodes(self.log.select(*EVENT).unionByName(self.discovered), self.names), links.select(F.col("other_name").alias("src"), F.col("name").alias("dst")))
+        return G.connect(self.nodes, G.linked_names(self.log, self.names, self.known), at_hand=True)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The nodes of the log and the batch."""
+        return stored(logged_nodes(self.log.select(*EVENT).unionByName(self.discovered), self.names).select("name", "inputs", "outputs"), "nodes")
+
+    @cached_property
+    def sources(self) -> DataFrame | None:
+        """What is known of the nodes with outputs, if these are few."""
+        mine = stored(self.nodes.where("size(outputs) > 0").select(F.col("name").alias("key")).distinct(), "sources")
+        return self.known.join(mine, "key", "left_semi") if mine.count() <= G.WIDE else None
 
     @cached_property
     def events(self) -> DataFrame:
         new = registered(self.touched.where("is_new")).unionByName(self.discovered)
         if self.links:
             at = self.rows.agg(F.max("timestamp").alias("timestamp"))
-            new = new.unionByName(log_rows(B.link_rows(self.links[0], self.names, "data_flow", "identifier").crossJoin(F.broadcast(at)).withColumn("actor", F.lit("graph_builder"))))
+            new = new.unionByName(log_rows(B.link_rows(self.links[0], self.names, "data_flow", "identifier", self.known, self.sources).crossJoin(F.broadcast(at)).withColumn("actor", F.lit("graph_builder"))))
         # Of a batch's own events only discovered ones reach groups: registrations and links are internal.
         changed = B.change_events(self.discovered, B.membership(self.log, self.m), self.names)
         return new.unionByName(changed.withColumn("source", F.lit(None).cast("string")).select(*EVENT))

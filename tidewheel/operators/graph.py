@@ -11,7 +11,8 @@ from ..sources.store import numbered, shared_dir, stored
 from .membership import payloads
 
 
-#: Rows of a frontier from which on a round of closure() looks its nodes up once each, and nodes up to which they are broadcast for that.
+#: Rows of a frontier from which on a round of closure() looks its nodes up once each, and nodes up to which they are broadcast for that,
+#: and for looking up the ends of links.
 WIDE = 1_000_000
 
 
@@ -68,7 +69,14 @@ TASK_PORTS = 200_000
 
 
 def port_matches(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
-    """upstream, downstream, identifier for each output port that feeds an input port; one row a pair of nodes.
+    """upstream, downstream, identifier for each output port that feeds an input port; one row a pair of nodes."""
+    met, tasks = port_meetings(outputs, inputs)
+    # Dealt by pairs first: so rows are sorted once, after their shuffle, and not before it too.
+    return met.repartition(tasks, "upstream", "downstream").groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"))
+
+
+def port_meetings(outputs: DataFrame, inputs: DataFrame) -> tuple[DataFrame, int]:
+    """upstream, downstream, identifier for each output port that feeds an input port, and how many tasks the ports need.
 
     outputs and inputs: (node, identifier, schema map). Identifiers must be equal whatever their case, the schemas must
     have the same keys, and every value must match, % being a wildcard. Ports of one shared identifier don't meet there, but by
@@ -110,17 +118,20 @@ def port_matches(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     met = o.join(i, ["identifier", "keys", "tag"]).where("upstream <> downstream")
     if loose:
         met = met.where("CASE WHEN tag LIKE 'in:%' THEN i_plain ELSE o_plain END OR forall(map_keys(o), k -> " + value_matches("o[k]", "i[k]") + ")")
-    # Dealt by pairs first: so rows are sorted once, after their shuffle, and not before it too.
-    return met.select("upstream", "downstream", "identifier").repartition(tasks, "upstream", "downstream").groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"))
+    return met.select("upstream", "downstream", "identifier"), tasks
 
 
-def connect(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def connect(nodes: DataFrame, edges: DataFrame, at_hand: bool = False) -> tuple[DataFrame, DataFrame]:
     """(new, counts) from nodes(name, inputs, outputs) and the edges(src, dst) that are known: the links to write, as
-    upstream, downstream, identifier, and one row of links_created, links_skipped."""
-    nodes = stored(nodes.select("name", "inputs", "outputs"), "nodes")  # they are read for each side, and for the patterns in use
+    upstream, downstream, identifier, and one row of links_created, links_skipped. Matches and edges meet in one shuffle, by the
+    downstream node, whose matches lie together already. at_hand: nodes are stored already."""
+    nodes = nodes if at_hand else stored(nodes.select("name", "inputs", "outputs"), "nodes")  # they are read for each side, and for the patterns in use
     ports = lambda side: nodes.select(F.col("name").alias("node"), F.explode(side).alias("p")).select("node", "p.identifier", "p.schema")
-    old = edges.select(F.col("src").alias("upstream"), F.col("dst").alias("downstream"), F.lit(True).alias("known")).distinct()
-    met = port_matches(ports("outputs"), ports("inputs")).join(old, ["upstream", "downstream"], "left")
+    found, tasks = port_meetings(ports("outputs"), ports("inputs"))
+    old = edges.select(F.col("src").alias("upstream"), F.col("dst").alias("downstream"), F.lit(None).cast("string").alias("identifier"), F.lit(True).alias("known"))
+    both = found.withColumn("known", F.lit(None).cast("boolean")).unionByName(old).repartition(tasks, "downstream")
+    # Identifiers of ports are not null where they met, so pairs without one are edges that nothing matches now.
+    met = both.groupBy("upstream", "downstream").agg(F.min("identifier").alias("identifier"), F.max("known").alias("known")).where("identifier IS NOT NULL")
     counts = met.agg(F.count_if(F.col("known").isNull()).alias("links_created"), F.count_if(F.col("known")).alias("links_skipped"))
     return met.where("known IS NULL").drop("known"), counts
 
@@ -141,6 +152,17 @@ def dependencies(s: DataFrame, m: DataFrame, known: DataFrame, more: tuple[str,
     return found.join(m.select(F.col("model_hash").alias("other_hash"), F.col("name").alias("other_name")), "other_hash").select("model_hash", "direction", "relationship", "other_hash", "other_name", *more)
 
 
+def linked_names(s: DataFrame, m: DataFrame, known: DataFrame) -> DataFrame:
+    """src, dst: the names of both ends of each depends_on event, as dependencies() finds them. known: named(m). Events refer to few
+    upstream models, so each reference is looked up once, not once for each event. s: model_hash, event_type, payload."""
+    links = payloads(s.where("event_type = 'depends_on'"), "upstream string, upstream_hash string")
+    of = links.select("model_hash", F.coalesce("p.upstream_hash", F.lit("")).alias("hash"), F.coalesce("p.upstream", F.lit("")).alias("name"))
+    keys = F.array(*[F.struct(F.lit(k).alias("order"), F.col(c).alias("key")) for k, c in enumerate(("hash", "name"))])
+    refs = of.select("hash", "name").distinct().select("hash", "name", F.explode(keys).alias("by")).select("hash", "name", "by.*").where("key <> ''")
+    found = refs.join(known.select("key", F.col("name").alias("src")), "key").groupBy("hash", "name").agg(F.min_by("src", "order").alias("src"))
+    return of.join(found, ["hash", "name"]).select("model_hash", "src").join(m.select("model_hash", F.col("name").alias("dst")), "model_hash").select("src", "dst")
+
+
 #: How often a turn of strong_components may leave out what lies on no cycle.
 TRIMS = 8
 

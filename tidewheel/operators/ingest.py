@@ -66,13 +66,19 @@ def text_json(**values: Column) -> Column:
     return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]))
 
 
+def latest_content(log: DataFrame) -> DataFrame:
+    """model_hash, before: the hash of the content that a model had last. log: (model_hash, snapshot_hash, timestamp, payload)."""
+    h = content_hash(F.col("payload"))
+    return log.groupBy("model_hash").agg(F.max_by(h, F.struct("timestamp", "snapshot_hash")).alias("before"))
+
+
 def add(log: DataFrame, batch: DataFrame) -> DataFrame:
     """batch with `is_new`: whether its content differs from what the model had before, in the log or in the batch.
 
     log and batch: (model_hash, snapshot_hash, timestamp, payload). Rows of the batch follow each other by time.
     """
     h = content_hash(F.col("payload"))
-    old = log.groupBy("model_hash").agg(F.max_by(h, F.struct("timestamp", "snapshot_hash")).alias("before"))
+    old = latest_content(log)
     w = Window.partitionBy("model_hash").orderBy("timestamp", "snapshot_hash")
     rows = batch.withColumn("content_hash", h).join(old, "model_hash", "left")
     previous = F.coalesce(F.lag("content_hash").over(w), "before")

@@ -27,6 +27,12 @@ def names(m: DataFrame) -> DataFrame:
       SELECT model_hash AS key, 0 AS order, model_hash FROM {m} UNION ALL SELECT name, 1, model_hash FROM {m}) WHERE key IS NOT NULL GROUP BY key""", m=m)
 
 
+def named(m: DataFrame) -> DataFrame:
+    """key, found, name: names(m), and what the model found is called."""
+    return m.sparkSession.sql("""SELECT key, of.model_hash AS found, of.name AS name FROM (SELECT key, min(struct(order, model_hash, name)) AS of FROM (
+      SELECT model_hash AS key, 0 AS order, model_hash, name FROM {m} UNION ALL SELECT name, 1, model_hash, name FROM {m}) WHERE key IS NOT NULL GROUP BY key)""", m=m)
+
+
 def payloads(s: DataFrame, schema: str = KEYS) -> DataFrame:
     """s with a struct p of the payload's keys: from columns of their names where s has them, else parsed."""
     wanted = [k.split()[0] for k in schema.split(", ")]
@@ -108,11 +114,13 @@ def link_events(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on"
     return link_rows(pairs, m, relationship, via).drop("canonical")
 
 
-def link_rows(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on", via: str | None = None) -> DataFrame:
-    """link_events, and their payloads as canonical JSON."""
-    known = names(m).join(m.select(F.col("model_hash").alias("found"), "name"), "found")
-    end = lambda side: known.select(F.col("key").alias(side), F.struct(F.col("found").alias("hash"), "name").alias(side[0]))
-    both = pairs.select("upstream", "downstream", *([F.col(via).alias("via")] if via else [])).join(end("upstream"), "upstream").join(end("downstream"), "downstream")
+def link_rows(pairs: DataFrame, m: DataFrame, relationship: str = "depends_on", via: str | None = None, known: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """link_events, and their payloads as canonical JSON. known: named(m), if it is at hand; sources: its rows for upstream ends, if
+    they are few enough to be broadcast. Downstream ends are looked up first, so pairs that are dealt by them stay where they are."""
+    known = named(m) if known is None else known
+    of = {"downstream": known, "upstream": known if sources is None else F.broadcast(sources)}
+    end = lambda side: of[side].select(F.col("key").alias(side), F.struct(F.col("found").alias("hash"), "name").alias(side[0]))
+    both = pairs.select("upstream", "downstream", *([F.col(via).alias("via")] if via else [])).join(end("downstream"), "downstream").join(end("upstream"), "upstream")
     kind = [F.lit(relationship).alias("relationship"), *([F.col("via")] if via else [])]
     same = {"relationship": F.lit(relationship)} | ({"via": F.col("via")} if via else {})
 
