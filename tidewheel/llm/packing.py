@@ -214,17 +214,22 @@ def packed(batches: Iterator[pa.RecordBatch], packer: HarmonicPacker, end: bytes
     names, kinds = zip(*(x.split() for x in SCHEMA.split(", ")))
     types = [pa.binary() if kind == "binary" else pa.int64() for kind in kinds]
     out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(names), types)], list(names))
-    ids, rows, size = word_ids(), [], 0
-    for batch in batches:
-        for key, found in zip(batch.column(0).to_pylist(), ids.all(batch.column(1))):
-            for row in packer.add(key, found + end):
-                rows.append(row)
-                size += len(row[3])
-                if size >= SENT:
-                    yield out(rows)
-                    rows, size = [], 0
-                    pa.default_memory_pool().release_unused()
-    rows.extend(packer.finish())
+    ids = word_ids()
+
+    def found() -> Iterator[tuple]:
+        for batch in batches:
+            for key, own in zip(batch.column(0).to_pylist(), ids.all(batch.column(1))):
+                yield from packer.add(key, own + end)
+        yield from packer.finish()
+
+    rows, size = [], 0
+    for row in found():
+        rows.append(row)
+        size += len(row[3])
+        if size >= SENT:
+            yield out(rows)
+            rows, size = [], 0
+            pa.default_memory_pool().release_unused()
     yield out(rows)
     pa.default_memory_pool().release_unused()
 
